@@ -6,10 +6,12 @@ occurrence, by document id and place, stays; later ones are duplicates. Duplicat
 merged to spans; spans of `least_bytes` and more are reported.
 
 The digests are aggregated before they meet (a passage that a third of all documents hold is one row a task), and the
-occurrences are then joined to the digests that occur more than once; no group is gathered.
+occurrences are then joined to the digests that occur more than once, a plain join whose hot keys Spark can split; no group
+is gathered.
 
 Nulls and edges: a null text is an empty one (no chunks); a null id comes after all others and is reported as null; rows
-that repeat an id are told apart by their text's hash, and identical rows count as one occurrence.
+that repeat an id count as one document, so they do not make each other duplicates, and a text's hash tells their spans
+apart.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeline.llm._batches import blocks, map_arrow, record, span_hashes
+from lodeline.llm._batches import blocks, cut, map_arrow, record, span_hashes
 from lodeline.llm.chunking import boundaries
 
-AVERAGE, LONGEST, WINDOW, LEAST_BYTES = 24, 192, 16, 100
+AVERAGE, LONGEST, WINDOW, LEAST_BYTES = 28, 192, 16, 100
 _LAST = 2**63 - 1
 
 
@@ -33,7 +35,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", average: int = AVERAGE, longest: int = LONGEST) -> DataFrame:
-    """(digest, id, th, span): one row for every chunk; span is its first byte * 65536 + its bytes."""
+    """(digest, id, th, span): one row for every chunk; span is its first byte * 2**17 + 2**16 if the text has had the chunk
+    before + its bytes."""
     schema = pa.schema([("digest", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("span", pa.int64())])
 
     def run(batches):
@@ -44,7 +47,11 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", aver
             starts = np.concatenate(([0], ends[:-1]))
             row = np.searchsorted(offsets, starts, "right") - 1
             ids, hashes = (rows.column(i).to_numpy() for i in (0, 1))
-            yield record(schema, span_hashes(data, starts, ends).view(np.int64), ids[row], hashes[row], (starts - offsets[row]) * 65536 + (ends - starts))
+            digest = span_hashes(data, starts, ends)
+            order = np.lexsort((starts, digest, row))
+            again = np.zeros(len(starts), np.int64)
+            again[order[1:]] = (digest[order][1:] == digest[order][:-1]) & (row[order][1:] == row[order][:-1])
+            yield record(schema, digest.view(np.int64), ids[row], hashes[row], (starts - offsets[row]) * 131072 + again * 65536 + (ends - starts))
 
     return map_arrow(_keyed(docs, id_col, text_col), run, "digest long, id long, th long, span long")
 
@@ -55,9 +62,10 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first_doc_id holds the first occurrence of the span's first chunk.
     """
     every = chunks(docs, id_col, text_col, average, longest)
-    place = F.struct("id", "th", "span")
-    known = every.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select(F.col("digest").alias("of"), "first")
-    later = every.join(known, every.digest == F.col("of")).where(place != F.col("first")).select("id", "th", "span", F.col("first.id").alias("first_id")).withColumn("start", F.shiftright("span", 16)).withColumn("end", F.col("start") + F.col("span").bitwiseAND(F.lit(65535)))
+    known = cut(every.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1").select(F.col("digest").alias("of"), "first_id"))
+    again = F.col("span").bitwiseAND(F.lit(65536)) != 0
+    met = every.join(known, every.digest == F.col("of")).where((F.col("id") != F.col("first_id")) | again)
+    later = met.select("id", "th", "first_id", F.shiftright("span", 17).alias("start"), (F.shiftright("span", 17) + F.col("span").bitwiseAND(F.lit(65535))).alias("end"))
     order = W.partitionBy("id", "th").orderBy("start")
     opens = F.coalesce((F.lag("end").over(order) < F.col("start")).cast("int"), F.lit(1))
     runs = later.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
