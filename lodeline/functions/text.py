@@ -87,11 +87,19 @@ def literal_hit(name: Column, request: Column) -> Column:
     return F.array_contains(F.regexp_extract_all(F.lower(request), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lower(name))
 
 
+def compress_patterns() -> list[tuple[str, str]]:
+    """(pattern, replacement with $1, $2) in order; no lookaround and no ASCII-only boundary, so Java and RE2 agree."""
+    word, fill = r"[\p{L}\p{N}_]", "|".join(FILLERS)
+    before = rf"(?i)(^|[^{word[1:-1]}])"
+    alone = (rf"{before}(?:{fill})([^{word[1:-1]}\s]|$)", "$1$2")
+    return [(rf"{before}(?:(?:{'|'.join(ARTICLES)})\s+)+", "$1"), (rf"{before}(?:(?:{fill})\s+)+", "$1"), alone, alone, (r"[ \t]{2,}", " "), (r"^\s+|\s+$", "")]
+
+
 def compress(text: Column) -> Column:
-    """Articles, then fillers, are dropped, blanks and tabs collapsed, ends trimmed."""
-    dropped = F.regexp_replace(text, rf"(?i)\b({'|'.join(ARTICLES)})\b\s+", "")
-    dropped = F.regexp_replace(dropped, rf"(?i)\b({'|'.join(FILLERS)})\b\s*", "")
-    return F.regexp_replace(F.regexp_replace(dropped, r"[ \t]{2,}", " "), r"^\s+|\s+$", "")
+    """Articles, then fillers, are dropped with the blanks behind them, blanks and tabs collapsed, ends trimmed."""
+    for pattern, put in compress_patterns():
+        text = F.regexp_replace(text, pattern, put)
+    return text
 
 
 def protected_words(text: Column) -> Column:

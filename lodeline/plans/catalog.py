@@ -38,18 +38,18 @@ def _list(values) -> str:
 
 
 def _words(c: str) -> str:
-    return f"list_filter(list_distinct(regexp_extract_all(lower({c}),'[a-z0-9]+')), x -> NOT list_contains({_list(t.STOP_WORDS)}, x))"
+    return f"list_filter(list_distinct(regexp_extract_all(lower({c}),'[a-z0-9]+')), lambda x: NOT list_contains({_list(t.STOP_WORDS)}, x))"
 
 
 def _content_words(c: str) -> str:
-    return f"list_filter({_words(c)}, x -> length(x) >= 3 AND NOT list_contains({_list(t.LEADING_VERBS + t.TYPE_WORDS)}, x))"
+    return f"list_filter({_words(c)}, lambda x: length(x) >= 3 AND NOT list_contains({_list(t.LEADING_VERBS + t.TYPE_WORDS)}, x))"
 
 
 def _bm25(c: str) -> str:
     return rf"regexp_extract_all(lower(regexp_replace({c},'([a-z0-9])([A-Z])','\1 \2','g')),'[a-z0-9]+')"
 
 
-LINES = "list_filter(string_split(text, chr(10)), (x, i) -> NOT (x = '' AND i = len(string_split(text, chr(10)))))"
+LINES = "list_filter(string_split(text, chr(10)), lambda x, i: NOT (x = '' AND i = len(string_split(text, chr(10)))))"
 SYM = "sym AS (SELECT doc_id AS symbol_id, doc_id AS ordinal, source AS file, regexp_extract(text,'[A-Za-z_][A-Za-z0-9_]*') AS name, split_part(text, chr(10), 1) AS doc, text AS source FROM documents)"
 REQ = "req AS (SELECT item_id AS request_id, text FROM benchmark)"
 
@@ -114,7 +114,7 @@ def content_word_body_hits(spark, d):
     return retrieval.body_ranking(requests(spark, d), symbols(spark, d), 3, drop_containers=False)
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, x -> x / sqrt(list_dot_product(e, e))) AS e FROM v),
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
 s AS (SELECT q.vec_id AS request_id, u.vec_id AS symbol_id, round(list_dot_product(q.e, u.e), 9) AS score FROM u q JOIN u ON q.vec_id <> u.vec_id WHERE q.vec_id % 50 = 0)
 SELECT request_id, symbol_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, symbol_id) AS rank FROM s) WHERE rank <= 10""")
 def vector_topk(spark, d):
@@ -215,9 +215,16 @@ def locator_words(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.sort_array(t.words(F.col("text"))), " ").alias("words"), F.size(t.bm25_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(a|an|the)\b\s+', '', 'g'), '(?i)\b(just|really|basically|actually|simply|essentially)\b\s*', '', 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS compressed FROM documents WHERE lang = 'en'""")
+def _compress_sql() -> str:
+    c = "text"
+    for pattern, put in t.compress_patterns():
+        c = f"regexp_replace({c}, '{pattern}', '{put.replace('$', chr(92))}', 'g')"
+    return f"SELECT doc_id, {c} AS compressed FROM documents"
+
+
+@query(_compress_sql())
 def compress_text(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", t.compress(F.col("text")).alias("compressed"))
+    return table(spark, d, "documents").select("doc_id", t.compress(F.col("text")).alias("compressed"))
 
 
 @query(rf"""SELECT item_id AS request_id, CASE WHEN regexp_extract(lower(text), '^\s*(\S+)', 1) IN ('remove', 'delete') THEN true ELSE false END AS is_delete FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'Delete ' ELSE '' END || text AS text FROM benchmark)""")
@@ -278,7 +285,10 @@ def blocks_blank_line(spark, d):
     return blocks.paragraphs(blocks.line_table(spaced))
 
 
-@query(rf"""WITH {_LT.replace('FROM documents', "FROM (SELECT doc_id, regexp_replace(text, '\. ([A-Z])', '.' || chr(10) || '# ' || '\1', 'g') AS text FROM documents)")},
+_MARKED = r"FROM (SELECT doc_id, regexp_replace(text, '\. ([A-Z])', '.' || chr(10) || '# ' || '\1', 'g') AS text FROM documents)"
+
+
+@query(rf"""WITH {_LT.replace('FROM documents', _MARKED)},
 m AS (SELECT file_id, n, trim(regexp_extract(line, '^(#{{1,6}})\s+(.+?)\s*$', 2)) AS name FROM lt WHERE regexp_matches(line, '^(#{{1,6}})\s+(.+?)\s*$')),
 z AS (SELECT file_id, max(n) AS last FROM lt GROUP BY 1)
 SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY n)::INT AS ordinal, name, n AS start_line, coalesce(lead(n) OVER (PARTITION BY file_id ORDER BY n) - 1, last) AS end_line FROM m JOIN z USING (file_id)""")
@@ -498,8 +508,8 @@ def chat_history_latest(spark, d):
 # --- streams, as batches ---------------------------------------------------------------------------------------------
 
 @query("""WITH s AS (SELECT user_id::VARCHAR AS run_id, min(ts) AS ts FROM events WHERE event_type = 'signup' GROUP BY 1), r AS (SELECT user_id::VARCHAR AS run_id, ts, event_type = 'purchase' AS accept FROM events WHERE event_type IN ('purchase', 'error')),
-m AS (SELECT s.run_id, r.ts AS at, accept, row_number() OVER (PARTITION BY s.run_id ORDER BY r.ts NULLS LAST) AS k FROM s LEFT JOIN r ON s.run_id = r.run_id AND r.ts >= s.ts AND r.ts < s.ts + INTERVAL 86400 SECONDS)
-SELECT run_id, CASE WHEN at IS NULL THEN 'expired' WHEN accept THEN 'accepted' ELSE 'rejected' END AS outcome, at AS resolved_at FROM m WHERE k = 1""")
+m AS (SELECT s.run_id, r.ts AS done_at, accept, row_number() OVER (PARTITION BY s.run_id ORDER BY r.ts NULLS LAST) AS k FROM s LEFT JOIN r ON s.run_id = r.run_id AND r.ts >= s.ts AND r.ts < s.ts + INTERVAL 86400 SECONDS)
+SELECT run_id, CASE WHEN done_at IS NULL THEN 'expired' WHEN accept THEN 'accepted' ELSE 'rejected' END AS outcome, done_at AS resolved_at FROM m WHERE k = 1""")
 def pending_confirmation_ttl(spark, d):
     e = table(spark, d, "events").withColumn("run_id", F.col("user_id").cast("string"))
     return streams.confirmations_batch(e.where("event_type = 'signup'"), e.where("event_type in ('purchase', 'error')").withColumn("accept", F.col("event_type") == "purchase"))
