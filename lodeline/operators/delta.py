@@ -142,6 +142,7 @@ def _in_turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for source, ops in zip(f["source"], f["ops"]):
             lines = source.splitlines(keepends=True)
+            ops = [dict(o, start_line=_whole(o["start_line"]), end_line=_whole(o["end_line"]), indent=_whole(o["indent"])) for o in ops]
             place = lambda o: (len(lines) if o["end_line"] is None else o["end_line"]) if o["operation"] == "INSERT" else o["start_line"]
             for o in sorted(sorted(ops, key=lambda o: o["op_ord"]), key=place, reverse=True):
                 at, body = place(o), reindent(o["content"], o["indent"] or 0)
@@ -158,6 +159,11 @@ def _in_turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"file_id": f["file_id"], "source": out})
 
 
+def _whole(x) -> int | None:
+    """Numbers of a column with nulls come as floats."""
+    return None if x is None or x != x else int(x)
+
+
 def reindent(content: str | None, indent: int) -> str:
     """The content without its common indent, moved in by `indent` blanks, ending in one line end."""
     rows = (content or "").rstrip("\n").split("\n")

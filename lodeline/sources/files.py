@@ -32,10 +32,51 @@ def detect_language(files: DataFrame, path: str = "path") -> DataFrame:
     return ext.join(F.broadcast(table), "extension", "left").withColumn("has_symbols", F.coalesce("has_symbols", F.lit(True))).drop("extension")
 
 
+#: Bytes of files with hidden names ("_" or "." first) that a scan reads at most; see `hidden_files`.
+HIDDEN_BYTES = 64 << 20
+
+
+def _file_system(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _read(spark: SparkSession, fs, path) -> bytes:
+    stream = fs.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def hidden_files(spark: SparkSession, root: str, most: int = HIDDEN_BYTES) -> list[tuple[str, bytes, int, int]]:
+    """(path, content, size, mtime_ms) of files whose names start with "_" or ".", which Spark's readers leave out.
+
+    They are read by the driver; more than `most` bytes of them is an error rather than a silent cut.
+    """
+    fs, path = _file_system(spark, root)
+    base, found, total = fs.resolvePath(path).toUri().getPath().rstrip("/"), [], 0
+    walk = fs.listFiles(path, True)
+    while walk.hasNext():
+        status = walk.next()
+        at = status.getPath().toUri().getPath()[len(base) + 1 :]
+        *folders, name = at.split("/")
+        if name[0] not in "_." or any(x.startswith(".") or x in IGNORED for x in folders):
+            continue
+        total += status.getLen()
+        if total > most:
+            raise ValueError(f"more than {most} bytes of files with hidden names below {root}")
+        found.append((at, _read(spark, fs, status.getPath()), status.getLen(), status.getModificationTime()))
+    return found
+
+
 def ignored_names(spark: SparkSession, root: str) -> DataFrame:
     """(name): the built-in names and the lines of the project's ignore file, blank and # lines skipped."""
-    own = spark.read.option("pathGlobFilter", IGNORE_FILE).text(root).select(F.trim("value").alias("name")).where("name <> '' and not startswith(name, '#')")
-    return spark.createDataFrame([(n,) for n in IGNORED], "name string").union(own).distinct()
+    fs, _ = _file_system(spark, root)
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{IGNORE_FILE}")
+    lines = _read(spark, fs, own).decode(errors="replace").splitlines() if fs.exists(own) else []
+    names = {*IGNORED, *(x.strip() for x in lines if x.strip() and not x.strip().startswith("#"))}
+    return spark.createDataFrame([(n,) for n in sorted(names)], "name string")
 
 
 def keep_unignored(files: DataFrame, ignored: DataFrame | None = None, path: str = "path") -> DataFrame:
@@ -51,8 +92,12 @@ def keep_unignored(files: DataFrame, ignored: DataFrame | None = None, path: str
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, source, size, mtime, language, has_symbols) of all files below root that are UTF-8; paths are relative to root."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].split(":")[-1]
-    files = raw.select(F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), f"^{base}/", "").alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    fs, at = _file_system(spark, root)
+    base = len(fs.resolvePath(at).toUri().getPath().rstrip("/")) + 2
+    files = raw.select(F.substr(F.regexp_replace("path", r"^[a-z0-9]+:/+[^/]*(?=/)|^[a-z0-9]+:/+(?=/)", "") if "://" in root and not root.startswith("file:") else F.regexp_replace("path", r"^file:/+", "/"), F.lit(base)).alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    hidden = [(p, bytearray(c), n, t / 1000) for p, c, n, t in hidden_files(spark, root)]
+    if hidden:
+        files = files.union(spark.createDataFrame(hidden, "path string, content binary, size long, t double").select("path", "content", "size", F.timestamp_seconds("t")))
     kept = keep_unignored(files, ignored_names(spark, root)).where(F.is_valid_utf8(F.col("content").cast("string")))
     return detect_language(kept.select("path", F.col("content").cast("string").alias("source"), "size", "mtime"))
 

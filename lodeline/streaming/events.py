@@ -82,19 +82,23 @@ def confirmations_stream(events: DataFrame, ttl: int | None = CONFIRMATION_TTL,
             yield pd.DataFrame({"run_id": [run], "outcome": ["expired"], "resolved_at": [pd.NaT]})
             return
         rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        waiting = state.get[0] if state.exists else None
         for r in rows.itertuples(index=False):
             now = int(r.ts.value // 1_000_000)
             if r.kind == "stash":
-                if not state.exists:
-                    state.update((now,))
-                    if ttl is not None:
-                        state.setTimeoutTimestamp(max(now + ttl * 1000, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                expired = ttl is not None and now >= state.get[0] + ttl * 1000
+                waiting = now if waiting is None else waiting
+            elif waiting is not None:
+                expired = ttl is not None and now >= waiting + ttl * 1000
                 out.append((run, "expired" if expired else "accepted" if r.accept else "rejected", pd.NaT if expired else r.ts))
-                state.remove()
+                waiting = None
             else:
                 out.append((run, "unknown", r.ts))
+        if waiting is not None:
+            state.update((waiting,))
+            if ttl is not None:
+                state.setTimeoutTimestamp(max(waiting + ttl * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["run_id", "outcome", "resolved_at"])
 
     return events.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
