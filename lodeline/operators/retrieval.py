@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import text as t
 from lodeline.operators.graph import pagerank
+from lodeline.plans.joins import small
 
 # BM25's constants, fusion's constant, the confidence ladder, and the gate of the optional call graph.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -81,7 +82,7 @@ def body_ranking(requests: DataFrame, symbols: DataFrame, k: int | None = 3, dro
     """The number of the request's content words in a symbol's source; a symbol around another hit of its file gives way."""
     asked = request_words(requests, t.content_words(F.col("text")))
     bodies = symbols.select("symbol_id", F.explode(t.words(F.col("source"))).alias("word"))
-    scored = bodies.join(asked, "word").groupBy("request_id", "symbol_id").agg(F.count("*").cast("double").alias("score"))
+    scored = bodies.join(small(asked), "word").groupBy("request_id", "symbol_id").agg(F.count("*").cast("double").alias("score"))
     scored = scored.join(symbols.select("symbol_id", "ordinal", "file", "start_line", "end_line"), "symbol_id")
     if drop_containers:
         inner = scored.select("request_id", "file", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
@@ -90,31 +91,41 @@ def body_ranking(requests: DataFrame, symbols: DataFrame, k: int | None = 3, dro
     return top_k(scored, k).select("request_id", "symbol_id", "score", "rank")
 
 
-def bm25_postings(symbols: DataFrame, document: Column | None = None) -> DataFrame:
-    """(symbol_id, dl, word, tf)."""
+def _tokens(symbols: DataFrame, document: Column | None) -> DataFrame:
     document = t.bm25_document(F.col("name"), F.col("docstring_first_line"), F.col("source")) if document is None else document
-    tokens = symbols.select("symbol_id", t.bm25_tokens(document).alias("tokens"))
-    return tokens.select("symbol_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("word")).groupBy("symbol_id", "dl", "word").agg(F.count("*").alias("tf"))
+    return symbols.select("symbol_id", t.bm25_tokens(document).alias("tokens"))
 
 
-def bm25_stats(symbols: DataFrame, postings: DataFrame, document: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """((n, avgdl), (word, df, idf)): negative idfs are EPSILON times the mean idf of the vocabulary."""
-    document = t.bm25_document(F.col("name"), F.col("docstring_first_line"), F.col("source")) if document is None else document
-    corpus = symbols.agg(F.count("*").alias("n"), F.avg(F.size(t.bm25_tokens(document))).alias("avgdl"))
-    df = postings.groupBy("word").agg(F.count("*").alias("df"))
+def bm25_postings(symbols: DataFrame, document: Column | None = None) -> DataFrame:
+    """(symbol_id, dl, word, tf): the whole inverted index, to be stored; ranking does not need it."""
+    return _tokens(symbols, document).select("symbol_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("word")).groupBy("symbol_id", "dl", "word").agg(F.count("*").alias("tf"))
+
+
+def bm25_stats(symbols: DataFrame, document: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """((n, avgdl), (word, df, idf)): negative idfs are EPSILON times the mean idf of the vocabulary.
+
+    Document frequencies are pre-aggregated where the documents are read; only (word, count) rows are shuffled.
+    """
+    tokens = _tokens(symbols, document)
+    corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(corpus)).select("word", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return corpus, raw.crossJoin(F.broadcast(mean)).select("word", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25_ranking(requests: DataFrame, symbols: DataFrame, k: int | None = 10, document: Column | None = None) -> DataFrame:
-    """BM25 over names, doc lines and sources; scores above zero only."""
-    postings = bm25_postings(symbols, document)
-    corpus, idf = bm25_stats(symbols, postings, document)
+    """BM25 over names, doc lines and sources; scores above zero only.
+
+    Tokens are cut down to the requests' words where they are read, so the corpus itself is not shuffled.
+    """
+    corpus, idf = bm25_stats(symbols, document)
     asked = requests.select("request_id", F.explode(t.bm25_tokens(F.col("text"))).alias("word")).groupBy("request_id", "word").agg(F.count("*").alias("qf"))
-    asked = asked.join(idf, "word")
+    vocabulary = asked.select("word").distinct()
+    hits = _tokens(symbols, document).select("symbol_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("word")).join(small(vocabulary), "word").groupBy("symbol_id", "dl", "word").agg(F.count("*").alias("tf"))
+    asked = asked.join(idf.join(small(vocabulary), "word", "left_semi"), "word")
     weight = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(asked, "word").crossJoin(F.broadcast(corpus)).groupBy("request_id", "symbol_id").agg(F.round(F.sum(weight), 9).alias("score")).where("score > 0")
+    scored = hits.join(asked, "word").crossJoin(F.broadcast(corpus)).groupBy("request_id", "symbol_id").agg(F.round(F.sum(weight), 9).alias("score")).where("score > 0")
     return top_k(scored.join(_ordinals(symbols), "symbol_id"), k).select("request_id", "symbol_id", "score", "rank")
 
 

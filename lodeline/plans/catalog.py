@@ -88,8 +88,7 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {_BM25} SELECT w AS word, df, round(idf, 6) AS idf, n, round(avgdl, 6) AS avgdl FROM idf, corpus")
 def bm25_stats(spark, d):
-    s = symbols(spark, d)
-    corpus, idf = retrieval.bm25_stats(s, retrieval.bm25_postings(s))
+    corpus, idf = retrieval.bm25_stats(symbols(spark, d))
     return idf.crossJoin(F.broadcast(corpus)).select("word", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"))
 
 
