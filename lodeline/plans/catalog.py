@@ -6,7 +6,7 @@ model calls, `events` run events; suppliers and parts make a graph.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions import predicates as p
@@ -530,3 +530,100 @@ def run_steps(spark, d):
     kind = F.when(F.col("event_type").isin("view", "click"), "step").when(F.col("event_type") == "error", "error").otherwise("preview")
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), kind.alias("type"), F.col("event_type").alias("tag"))
     return streams.steps(e)
+
+
+# --- more projections, sources and plans -----------------------------------------------------------------------------
+
+@query(f"WITH {SYM} SELECT symbol_id, sha256({_DOC}) AS bm25_hash, sha256(concat_ws(chr(10), nullif(name,''), nullif(doc,''), nullif(substr(source, 1, 2000),''))) AS vector_hash FROM sym")
+def document_projections(spark, d):
+    n, doc, src = F.col("name"), F.col("docstring_first_line"), F.col("source")
+    return symbols(spark, d).select("symbol_id", F.sha2(t.bm25_document(n, doc, src), 256).alias("bm25_hash"), F.sha2(t.vector_document(n, doc, src), 256).alias("vector_hash"))
+
+
+@query(r"""SELECT doc_id, trim(split_part(text, '(', 1), ' ') AS bare, regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) AS unfenced, split_part(text, chr(10), 1) <> '' AS has_head FROM documents""")
+def small_projections(spark, d):
+    fenced = F.concat(F.lit("```python\n"), F.col("text"), F.lit("\n```"))
+    return table(spark, d, "documents").select("doc_id", t.bare_name(F.col("text")).alias("bare"), t.strip_fences(fenced).alias("unfenced"), (F.split_part("text", F.lit("\n"), F.lit(1)) != "").alias("has_head"))
+
+
+@query("""WITH h AS (SELECT DISTINCT sha256(text) AS hash, text FROM documents), c AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id % 2 = 0) SELECT hash, length(text) AS n_chars FROM h WHERE hash NOT IN (SELECT hash FROM c)""")
+def embedding_misses(spark, d):
+    docs = table(spark, d, "documents")
+    cache = docs.where("doc_id % 2 = 0").select(F.sha2("text", 256).alias("hash")).distinct()
+    return retrieval.embedding_misses(docs, cache).select("hash", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("""SELECT p_partkey AS key, CASE WHEN n = 1 THEN 'FOUND' WHEN n > 1 AND hit THEN 'FOUND' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'MISSING' END AS status
+FROM (SELECT a.p_partkey, count(b.p_partkey) AS n, coalesce(bool_or(b.p_partkey = a.p_partkey AND a.p_partkey % 2 = 0), false) AS hit FROM part a LEFT JOIN part b ON b.p_brand = a.p_brand AND b.p_name = CASE WHEN a.p_partkey % 5 = 0 THEN 'nope' ELSE a.p_name END GROUP BY 1)""")
+def find_symbol(spark, d):
+    part = table(spark, d, "part")
+    pool = part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("file"), F.lit("function").alias("symbol_type"), F.col("p_name").alias("name"), F.col("p_partkey").cast("int").alias("start_line"), F.lit(None).cast("string").alias("parent_class"))
+    name = F.when(F.col("p_partkey") % 5 == 0, "nope").otherwise(F.col("p_name"))
+    wanted = part.select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("file"), F.lit("function").alias("symbol_type"), name.alias("symbol_name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("int")).alias("prefer_line"), F.lit(False).alias("allow_delegate"))
+    return targets.find_symbol(wanted, pool).select("key", "status")
+
+
+_TREE = "(SELECT p_brand || '/' || replace(p_name, ' ', '/') || '.py' AS path FROM part)"
+
+
+def _tree(spark, d):
+    return table(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.translate("p_name", " ", "/"), F.lit(".py")).alias("path")).distinct()
+
+
+@query(rf"""WITH p AS (SELECT DISTINCT string_split(path, '/') AS p FROM {_TREE}), e AS (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM p)
+SELECT DISTINCT coalesce(array_to_string(p[1:i-1], '/'), '') AS parent, p[i] AS name, i = len(p) AS is_file, (i - 1)::INT AS depth FROM e""")
+def tree_listing(spark, d):
+    return files.listing(_tree(spark, d))
+
+
+@query(rf"SELECT path, 'python' AS language, true AS has_symbols FROM (SELECT DISTINCT path FROM {_TREE}) WHERE NOT list_has_any(string_split(path, '/'), ['Brand#1', 'red'])")
+def detect_and_ignore(spark, d):
+    ignored = spark.createDataFrame([("Brand#1",), ("red",)], "name string")
+    return files.detect_language(files.keep_unignored(_tree(spark, d), ignored)).select("path", "language", "has_symbols")
+
+
+@query("""WITH a AS (SELECT user_id::VARCHAR AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt, CASE WHEN event_type = 'purchase' THEN 'ok' ELSE 'failed' END AS status FROM events), k AS (SELECT * FROM a WHERE attempt <= 3)
+SELECT run_id, coalesce(min(attempt) FILTER (status = 'ok'), max(attempt))::INT AS attempt, CASE WHEN bool_or(status = 'ok') THEN 'ok' ELSE 'failed' END AS status FROM k GROUP BY 1""")
+def best_attempt(spark, d):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    tries = table(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), n.alias("attempt"), F.when(F.col("event_type") == "purchase", "ok").otherwise("failed").alias("status"))
+    return versions.best_attempt(tries)
+
+
+@query("""WITH o AS (SELECT l_orderkey AS file_id, row_number() OVER () AS op_ord, l_partkey % 50 AS s, l_partkey % 50 + l_suppkey % 6 AS e FROM lineitem)
+SELECT DISTINCT a.file_id FROM o a JOIN o b ON a.file_id = b.file_id AND a.op_ord < b.op_ord AND a.s <= b.e AND b.s <= a.e""")
+def overlapping_operations(spark, d):
+    ops = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("op_ord"), F.lit("REPLACE").alias("operation"), (F.col("l_partkey") % 50).cast("int").alias("start_line"), (F.col("l_partkey") % 50 + F.col("l_suppkey") % 6).cast("int").alias("end_line"))
+    return delta.overlapping(ops)
+
+
+@query(r"""SELECT file_id, n, line FROM (SELECT page_id AS file_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS line FROM (SELECT page_id, string_split('import ' || replace(url, '/', chr(10) || 'use '), chr(10)) AS l FROM pages)) WHERE regexp_matches(line, '^(import|use|package)\b')""")
+def import_lines(spark, d):
+    f = table(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.concat(F.lit("import "), F.replace("url", F.lit("/"), F.lit("\nuse "))).alias("source"))
+    return code.other_imports(blocks.line_table(f))
+
+
+@query("""SELECT conv_id, sha256(string_agg('data: {"turn":' || turn || '}' || chr(10) || chr(10), '' ORDER BY turn)) AS hash FROM conversations GROUP BY 1""")
+def event_frames(spark, d):
+    f = streams.step_frames(table(spark, d, "conversations").select("turn")).select("frame").distinct()
+    turns = table(spark, d, "conversations").select("conv_id", "turn").withColumn("frame", F.concat(F.lit("data: "), F.to_json(F.struct("turn")), F.lit("\n\n"))).join(f, "frame", "left_semi")
+    return turns.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "frame"))), lambda x: x["frame"]), ""), 256).alias("hash"))
+
+
+@query(f"""WITH {SYM}, {REQ}, q AS (SELECT request_id, list_sort({_content_words('text')}) AS w FROM req) SELECT request_id, array_to_string(w, ' ') AS words, len(w)::INT AS n FROM q""")
+def request_content_words(spark, d):
+    w = F.sort_array(t.content_words(F.col("text")))
+    return requests(spark, d).select("request_id", F.array_join(w, " ").alias("words"), F.size(w).alias("n"))
+
+
+@query()
+def locate_symbols_in_file(spark, d):
+    return targets.locate_candidates(requests(spark, d), symbols(spark, d).withColumn("parent_class", F.lit(None).cast("string")))
+
+
+@query()
+def graph_centrality(spark, d):
+    pg = table(spark, d, "pages")
+    own = pg.select(F.col("page_id").alias("symbol_id"), F.col("page_id").alias("ordinal"), F.regexp_extract("html", 'href="([^"]*)"', 1).alias("name"))
+    asked = pg.where("page_id % 50 = 0").select(F.col("page_id").alias("request_id"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    return retrieval.graph_ranking(asked, own, _page_edges(spark, d), 10, iterations=10)
