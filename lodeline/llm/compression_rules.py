@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lodeline.llm._batches import ASCII_SPACE, blocks, map_arrow, mix64, record, span_hashes, word_spans
 
 #: (bytes below, least ratio, largest ratio) of whole documents. Prose of the labelled rows lies well inside.
-BANDS = ((128, 0.0, 1.6), (256, 0.6, 2.25), (512, 1.0, 2.3), (1024, 1.2, 2.4), (4096, 1.35, 2.6), (16384, 1.4, 2.9), (1 << 62, 1.4, 3.3))
+BANDS = ((128, 0.0, 1.5), (256, 0.6, 2.15), (512, 1.0, 2.15), (1024, 1.2, 2.25), (4096, 1.35, 2.45), (16384, 1.4, 2.7), (1 << 62, 1.4, 3.0))
 #: Bytes of a chunk, its band, and the share of chunks that may leave it.
 CHUNK, CHUNK_BAND, CHUNK_SHARE = 2048, (1.3, 2.9), 0.2
 #: Fixed values of the base rule.
