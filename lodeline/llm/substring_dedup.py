@@ -80,7 +80,8 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     kept = docs.schema
     keyed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     joined = keyed.join(cuts, keyed[id_col].cast("long").eqNullSafe(F.col("__of")) & (F.col("__h") == F.col("__th")), "left").drop("__h", "__of", "__th")
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches):
         for b in batches:
@@ -94,6 +95,6 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
                     text = b"".join([*pieces, body[left:]]).decode()
                 out.append(text)
             columns = [pa.array(out, b.column(i).type) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_arrow(joined, run, kept)
