@@ -7,6 +7,8 @@ still processed whole. A null text counts as an empty one in every operator.
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,18 +17,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeline import on_workers
+
 #: The ASCII white space that separates words, [\x20\x09-\x0D].
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(ASCII_SPACE)] = True
 
-_rng = np.random.default_rng(20260101)
-#: One random 64-bit weight per byte value, and the odd base of the polynomial word hash.
-_WEIGHT = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[str, np.ndarray] = {}
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: The low 0 to 8 bytes of a 64-bit word.
+_HEAD = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def lower_ascii(data: bytes) -> bytes:
@@ -61,6 +62,7 @@ def texts(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Rec
 
 def map_arrow(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow, so that a function of this package reads at call sites like any other transformation."""
+    on_workers(df.sparkSession)
     return df.mapInArrow(make, schema)
 
 
@@ -82,7 +84,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _I
     start[edges] |= inside[edges]
     end[edges - 1] |= inside[edges - 1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -94,28 +96,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 16), base, np.uint64)
-        out[0] = 1
-        have = _powers[name] = np.multiply.accumulate(out)
-    return have[:n]
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray = _WEIGHT, piece: int = 1 << 20) -> np.ndarray:
-    """64-bit hashes of ascending spans of a buffer, by a polynomial over its prefix sums (mod 2**64) and a finaliser."""
-    out = np.zeros(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + piece, "right")))
-        a, b = int(starts[i]), int(ends[j - 1])
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(weight[data[a:b]] * _power("up", _BASE, b - a), out=sums[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = mix64((sums[e] - sums[s]) * _power("down", _INVERSE, b - a + 1)[s] + (e - s).astype(np.uint64))
-        i = j
-    return out
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of a buffer, mixing eight bytes at a time; spans that reach further take further rounds."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.empty(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    out = ((words[starts] & _HEAD[np.minimum(size, 8)]) ^ size.astype(np.uint64)) * _STEP
+    out ^= out >> np.uint64(32)
+    more, k = np.flatnonzero(size > 8), 8
+    while len(more):
+        h = (out[more] ^ (words[starts[more] + k] & _HEAD[np.minimum(size[more] - k, 8)])) * _STEP
+        out[more] = h ^ (h >> np.uint64(29))
+        k += 8
+        more = more[size[more] > k]
+    return mix64(out)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -129,6 +126,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, rather than at its next half-hourly sweep."""
+    for _ in range(3):  # what one collection finds unused lets the next one find more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def _own_checkpoints(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lodeline-checkpoints")

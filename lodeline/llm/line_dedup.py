@@ -4,14 +4,17 @@ A line is the set of its words ([^\\x20\\x09-\\x0D]+). Two lines match at Jaccar
 line, by (document id, line number), matches it. Lines without words are never removed.
 
 The join: words are ordered by rarity, and a line's prefix is its first n - ceil(least * n) + 1 words in that order; lines
-that match share a prefix word. Rarity comes from counts over all documents, held in a table of fixed size (2**22 hashed
+that match share a prefix word. Rarity comes from counts over all documents, held in a table of fixed size (2**20 hashed
 counters, one byte each): any order that all lines share keeps the join exact, the counters only decide how selective the
-prefixes are. Postings (word, line, size, position) meet by word, sorted by size, where the length filter bounds the window
-of partners and the positional filter drops pairs whose remaining words cannot suffice. The survivors are verified on the
-words of the lines themselves.
+prefixes are. Postings (word, line, size, position, bitmap) meet by word, sorted by size, where the length filter bounds
+the window of partners, the positional filter drops pairs whose remaining words cannot suffice, and the bitmaps (a parity
+bit for each of 192 classes of words) drop pairs that differ in too many words. Only lines that have a partner left go on,
+to the word they share first; there the pairs are verified on the words of the lines themselves, once each, and leave as
+one row a line: its earliest match and its number of links. No pair is ever a row.
 
 Equal lines (equal multisets of words) are one class with one posting list, so copies are never paired; what is joined and
-verified are links between different classes.
+verified are links between different classes. Postings travel as packed arrays in parts whose number follows the number of
+words, so a part stays at some megabytes at any scale.
 
 Nulls and edges: a null text is an empty one (0 lines); a null id comes after all others; rows that repeat an id are told
 apart by their text's hash, and identical rows count as the same lines; words and classes are told apart by 64-bit hashes
@@ -24,13 +27,18 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeline.llm._batches import blocks, cut, map_arrow, mix64, record, span_hashes, word_spans
+from lodeline.llm._batches import blocks, cut, map_arrow, mix64, record, release, span_hashes, word_spans
 
-LEAST, COUNTERS = 0.8, 22
+LEAST, COUNTERS = 0.8, 20
 _LAST = 2**63 - 1
+#: Counters travel in so many pieces; bytes of a posting; bytes of postings that a part should hold.
+_PIECES, _POSTING, _PART_BYTES = 64, 56, 8 << 20
+_KINDS = (np.uint64,) * 6 + (np.uint32,) * 2
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,185 +53,315 @@ class _Lines:
         self.starts, self.ends, row = word_spans(data, offsets)
         self.hashes = span_hashes(data, self.starts, self.ends)
         breaks = np.flatnonzero(data == 10)
-        before = np.searchsorted(breaks, self.starts)
+        before = np.repeat(np.arange(len(breaks) + 1), np.diff(np.concatenate(([0], np.searchsorted(self.starts, breaks), [len(self.starts)]))))
         line = before + row
         self.first = np.flatnonzero(np.diff(line, prepend=-1))  # first word of each line
         self.count = np.diff(np.append(self.first, len(line)))
         self.row = row[self.first]
         self.number = before[self.first] - np.searchsorted(breaks, offsets[:-1])[self.row]
-        if len(self.first):
-            sums = np.add.reduceat(mix64(self.hashes), self.first) + mix64(np.add.reduceat(mix64(self.hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), self.first))
+        if len(self.first):  # two power sums of the words' hashes: the same for equal multisets, else as good as random
+            sums = np.add.reduceat(self.hashes, self.first) + mix64(np.add.reduceat(self.hashes * self.hashes, self.first))
             self.kind = mix64(sums + self.count.astype(np.uint64)).view(np.int64)
         else:
             self.kind = np.zeros(0, np.int64)
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(kind, id, th, number): every worded line with its class; a text without any gives one row with null kind and number."""
-    schema = pa.schema([("kind", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("number", pa.int32())])
+def lines(docs: DataFrame, wanted: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(kind, id, th, number, line): every worded line with its class; a text without any gives one row with null kind and number.
+
+    line is the text of those whose class is in the bit table `wanted`, about once a task, else null.
+    """
+    schema = pa.schema([("kind", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("number", pa.int32()), ("line", pa.binary())])
+    held = docs.sparkSession.sparkContext.broadcast(np.zeros(1, np.uint64) if wanted is None else wanted)
 
     def run(batches):
+        table, sent = held.value, set()
         for rows, data, offsets in blocks(batches, "text"):
             got = _Lines(data, offsets)
+            if len(sent) > 500_000:
+                sent.clear()
             ids, hashes = (rows.column(i).to_numpy() for i in (0, 1))
             none = np.setdiff1d(np.arange(rows.num_rows), got.row)
             at = np.concatenate((got.row, none))
             empty = np.arange(len(at)) >= len(got.row)
-            yield record(schema, pa.array(np.append(got.kind, np.zeros(len(none), np.int64)), mask=empty), ids[at], hashes[at], pa.array(np.append(got.number, np.zeros(len(none))).astype(np.int32), mask=empty))
+            kind, once = np.unique(got.kind, return_index=True)
+            fresh = np.array([k not in sent for k in kind.tolist()], bool) & _holds(table, kind) if len(kind) else np.zeros(0, bool)
+            sent.update(kind[fresh].tolist())
+            once = once[fresh]
+            texts, whole = [None] * len(at), data.tobytes()
+            for i, a, b in zip(once.tolist(), got.starts[got.first[once]].tolist(), got.ends[got.first[once] + got.count[once] - 1].tolist()):
+                texts[i] = whole[a:b]
+            pad = np.zeros(len(none), np.int64)
+            yield record(schema, pa.array(np.append(got.kind, pad), mask=empty), ids[at], hashes[at], pa.array(np.append(got.number, pad).astype(np.int32), mask=empty), texts)
 
-    return map_arrow(_keyed(docs, id_col, text_col), run, "kind long, id long, th long, number int")
+    return map_arrow(_keyed(docs, id_col, text_col), run, "kind long, id long, th long, number int, line binary")
 
 
-def word_levels(docs: DataFrame, text_col: str = "text", bits: int = COUNTERS) -> np.ndarray:
-    """One byte for each of 2**bits counters: how frequent its words are, on a logarithmic scale, counted over all documents."""
-    schema = pa.schema([("counter", pa.int32()), ("n", pa.int64())])
+def _holds(table: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    slots = kinds & (64 * len(table) - 1)
+    return (table[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
 
-    def run(batches):
+
+def bit_table(kinds: DataFrame) -> np.ndarray:
+    """A bit for every class in kinds(kind), at its hash modulo the size; 2**20 to 2**27 bits, so other classes hit it rarely.
+
+    It only keeps texts out of the shuffle; what it lets through is joined exactly.
+    """
+    bits = min(27, max(20, (8 * kinds.count()).bit_length()))
+    slot = F.col("kind").bitwiseAND(F.lit((1 << bits) - 1))
+    words = kinds.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr("shiftleft(1L, int(kind & 63L))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("set")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words["word"].to_numpy()] = words["set"].to_numpy()
+    return table.view(np.uint64)
+
+
+def word_levels(docs: DataFrame, text_col: str = "text", bits: int = COUNTERS) -> tuple[np.ndarray, int]:
+    """(one byte for each of 2**bits counters: how frequent its words are, on a logarithmic scale; all words), counted over all documents.
+
+    Each task counts into one array; arrays are summed piece by piece in two rounds, as they stream in.
+    """
+    schema = pa.schema([("piece", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
+    size = (1 << bits) // _PIECES
+
+    def count(batches):
         counts = np.zeros(1 << bits, np.int64)
         for _, data, offsets in blocks(batches, "text"):
             starts, ends, _ = word_spans(data, offsets)
-            at, n = np.unique(span_hashes(data, starts, ends) & np.uint64((1 << bits) - 1), return_counts=True)
-            counts[at.astype(np.int64)] += n
-        some = np.flatnonzero(counts)
-        for i in range(0, len(some), 100_000):
-            yield record(schema, some[i : i + 100_000].astype(np.int32), counts[some[i : i + 100_000]])
+            np.add.at(counts, (span_hashes(data, starts, ends) & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
+        if counts.any():
+            salt = TaskContext.get().partitionId() % 32
+            yield record(schema, np.arange(_PIECES, dtype=np.int32), np.full(_PIECES, salt, np.int32), [counts[i * size : (i + 1) * size].tobytes() for i in range(_PIECES)])
+
+    def add(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for piece, salt, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                sums[piece, salt] = sums.get((piece, salt), 0) + np.frombuffer(counts, np.int64)
+        for (piece, _), total in sums.items():
+            yield record(schema, [piece], [0], [total.tobytes()])
 
-    level = F.least(F.lit(255), F.floor(F.log2(F.sum("n").cast("double")) * 8)).cast("int")
-    got = map_arrow(docs.select(F.col(text_col).alias("text")), run, "counter int, n long").groupBy("counter").agg(level.alias("level")).toArrow()
-    out = np.zeros(1 << bits, np.uint8)
-    out[got["counter"].to_numpy()] = got["level"].to_numpy()
-    return out
+    ddl = "piece int, salt int, counts binary"
+    partial = map_arrow(docs.select(F.col(text_col).alias("text")), count, ddl)
+    once = map_arrow(partial.repartition(_PIECES, "piece", "salt"), add, ddl)
+    got = map_arrow(once.repartition(_PIECES, "piece"), add, ddl).collect()
+    counts = np.zeros(1 << bits, np.int64)
+    for r in got:
+        counts[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
+    return np.minimum(255, 8 * np.log2(np.maximum(1, counts))).astype(np.uint8), int(counts.sum())
 
 
 def prefix_length(n: np.ndarray, least: Fraction) -> np.ndarray:
     return n - -(-n * least.numerator // least.denominator) + 1
 
 
-def candidates(docs: DataFrame, text_col: str = "text", least: float = LEAST, levels: np.ndarray | None = None) -> DataFrame:
-    """(a, b), a < b: pairs of line classes that pass the prefix, length and positional filters; a pair may come repeatedly."""
+def _postings(got: _Lines, level: np.ndarray, share: Fraction) -> tuple[np.ndarray, ...]:
+    """(word, kind, three words of bitmap, rarest word, size, position) of the prefixes of a buffer's distinct classes of lines,
+    a line's in order."""
+    _, once = np.unique(got.kind, return_index=True)
+    keep = np.zeros(len(got.kind), bool)
+    keep[once] = True
+    line = np.repeat(np.arange(len(got.kind)), got.count)
+    words = np.flatnonzero(keep[line])
+    line, h = line[words], got.hashes[words]
+    rare = level[(h & np.uint64(len(level) - 1)).astype(np.int64)].astype(np.uint64)
+    # one 64-bit sort by (line, level, high half of the hash); words of a line that agree in all that need the full sort
+    both = (line.astype(np.uint64) << np.uint64(40)) | (rare << np.uint64(32)) | (h >> np.uint64(32))
+    order = np.argsort(both)
+    tied = (both[order][1:] == both[order][:-1]) & (h[order][1:] != h[order][:-1])
+    if tied.any() or len(got.kind) >= 1 << 24:
+        order = np.lexsort((h, rare, line))
+    line, h = line[order], h[order]
+    fresh = np.ones(len(line), bool)
+    fresh[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
+    line, h = line[fresh], h[fresh]
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    size = np.diff(np.append(first, len(line)))
+    position = np.arange(len(line)) - np.repeat(first, size)
+    slot = (mix64(h) >> np.uint64(40)) % np.uint64(192)
+    bit = np.uint64(1) << (slot & np.uint64(63))
+    bitmaps = [np.bitwise_xor.reduceat(np.where(slot >> np.uint64(6) == k, bit, np.uint64(0)), first) for k in range(3)]
+    some = position < prefix_length(np.repeat(size, size), share)
+    own = np.repeat(np.arange(len(first)), size)[some]
+    return h[some], got.kind[line[some]].view(np.uint64), *(b[own] for b in bitmaps), h[first][own], size[own].astype(np.uint32), position[some].astype(np.uint32)
+
+
+def _partners(word, b0, b1, b2, rarest, size, position, share: Fraction, marks: np.ndarray | None = None):
+    """Yields (i, j) arrays of the pairs within equal words, rows sorted by (word, size), that pass the filters.
+
+    Lines with the same rarest word meet there and nowhere else. With `marks`, pairs of two marked rows are skipped and
+    what passes is marked, so a cluster of near copies takes a few rounds, not a round a member.
+    """
+    up, down = share.numerator, share.denominator
+    i = np.arange(len(word) - 1)
+    for d in range(1, len(word)):
+        i = i[i + d < len(word)]
+        j = i + d
+        near = (word[i] == word[j]) & (size[i] * down >= size[j] * up)
+        i, j = i[near], j[near]
+        if not len(i):
+            return
+        x, y = (i, j) if marks is None else (i[fresh := ~(marks[i] & marks[j])], j[fresh])
+        need = -(-up * (size[x] + size[y]) // (up + down))  # the least words in common
+        fits = np.minimum(size[x] - position[x], size[y] - position[y]) >= need
+        fits &= (rarest[x] != rarest[y]) | (word[x] == rarest[x])
+        x, y, need = x[fits], y[fits], need[fits]
+        apart = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in (b0, b1, b2))
+        fits = apart <= size[x] + size[y] - 2 * need
+        x, y = x[fits], y[fits]
+        if marks is not None:
+            marks[x] = marks[y] = True
+        if len(x):
+            yield x, y
+
+
+def candidates(docs: DataFrame, levels: np.ndarray, total: int, text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """(word, kind): the classes of lines that have a possible partner under a word of their prefixes, each once a word."""
     share = Fraction(least).limit_denominator(10_000)
-    held = docs.sparkSession.sparkContext.broadcast(word_levels(docs, text_col) if levels is None else levels)
-    posting = pa.schema([("word", pa.int64()), ("size", pa.int32()), ("position", pa.int32()), ("kind", pa.int64())])
+    held = docs.sparkSession.sparkContext.broadcast(levels)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(4 * tasks, int(total * (1 - least) * _POSTING) // _PART_BYTES)
+    packed = pa.schema([("part", pa.int32()), ("body", pa.binary())])
 
     def post(batches):
-        level = held.value
-        mask = np.uint64(len(level) - 1)
-        for _, data, offsets in blocks(batches, "text"):
-            got = _Lines(data, offsets)
-            if not len(got.kind):
-                continue
-            _, once = np.unique(got.kind, return_index=True)
-            keep = np.zeros(len(got.kind), bool)
-            keep[once] = True
-            line = np.repeat(np.arange(len(got.kind)), got.count)
-            words = np.flatnonzero(keep[line])
-            line, h = line[words], got.hashes[words]
-            order_key = (level[(h & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-            order = np.lexsort((order_key, line))
-            line, order_key = line[order], order_key[order]
-            fresh = np.ones(len(line), bool)
-            fresh[1:] = (line[1:] != line[:-1]) | (order_key[1:] != order_key[:-1])
-            line, order_key = line[fresh], order_key[fresh]
-            first = np.flatnonzero(np.diff(line, prepend=-1))
-            size = np.diff(np.append(first, len(line)))
-            position = np.arange(len(line)) - np.repeat(first, size)
-            size = np.repeat(size, size)
-            some = position < prefix_length(size, share)
-            yield record(posting, order_key[some].view(np.int64), size[some].astype(np.int32), position[some].astype(np.int32), got.kind[line[some]])
-
-    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        level, waiting, bytes_ = held.value, [], 0
 
-    def meet(batches):
-        left = [np.zeros(0, np.int64)] * 4
-        for b in batches:
-            word, size, position, kind = (np.concatenate((x, b.column(i).to_numpy().astype(np.int64))) for i, x in enumerate(left))
-            fresh = np.ones(len(word), bool)
-            fresh[1:] = (word[1:] != word[:-1]) | (kind[1:] != kind[:-1])  # a class comes from several blocks
-            word, size, position, kind = word[fresh], size[fresh], position[fresh], kind[fresh]
-            old = len(left[0])
-            i = np.arange(len(word) - 1)
-            for d in range(1, len(word)):
-                i = i[i + d < len(word)]
-                i = i[(word[i] == word[i + d]) & (size[i] * share.denominator >= size[i + d] * share.numerator)]
-                if not len(i):
-                    break
-                j = i + d
-                most = 1 + np.minimum(size[i] - position[i], size[j] - position[j]) - 1
-                fits = (most * (share.denominator + share.numerator) >= share.numerator * (size[i] + size[j])) & (j >= old)
-                x, y = kind[i[fits]], kind[j[fits]]
-                if len(x):
-                    yield record(pair, np.minimum(x, y), np.maximum(x, y))
-            if len(word):  # later rows of the last word can only match lines within the length window
-                tail = (word == word[-1]) & (size * share.denominator >= size[-1] * share.numerator)
-                left = [word[tail], size[tail], position[tail], kind[tail]]
-
-    text = docs.select(F.col(text_col).alias("text"))
-    postings = map_arrow(text, post, "word long, size int, position int, kind long")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return map_arrow(postings.repartition(parts, "word").sortWithinPartitions("word", "size", "kind"), meet, "a long, b long")
-
-
-def _texts_of(docs: DataFrame, kinds: DataFrame, text_col: str) -> DataFrame:
-    """(kind, line): one line for each class in `kinds(kind)`; a bit table of bounded size keeps most others from being shuffled."""
-    n = kinds.count()
-    bits = min(27, max(20, (8 * n).bit_length()))
-    slot = F.col("kind").bitwiseAND(F.lit((1 << bits) - 1))
-    words = kinds.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr("shiftleft(1L, int(kind & 63L))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("set")).toArrow()
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[words["word"].to_numpy()] = words["set"].to_numpy()
-    held = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
-    schema = pa.schema([("kind", pa.int64()), ("line", pa.binary())])
+        def flush():
+            columns = [np.concatenate(c) for c in zip(*waiting)]
+            part = (mix64(columns[0] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part)
+            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            columns = [c[order] for c in columns]
+            filled = np.flatnonzero(np.diff(ends))
+            return record(packed, filled.astype(np.int32), [b"".join(c[ends[i] : ends[i + 1]].tobytes() for c in columns) for i in filled.tolist()])
 
-    def run(batches):
-        wanted = held.value
         for _, data, offsets in blocks(batches, "text"):
             got = _Lines(data, offsets)
-            if not len(got.kind):
-                continue
-            kind, once = np.unique(got.kind, return_index=True)
-            slots = kind & ((1 << bits) - 1)
-            some = (wanted[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
-            whole, once = data.tobytes(), once[some]
-            begin, end = got.starts[got.first[once]], got.ends[got.first[once] + got.count[once] - 1]
-            yield record(schema, kind[some], [whole[a:b] for a, b in zip(begin.tolist(), end.tolist())])
+            if len(got.kind):
+                waiting.append(_postings(got, level, share))
+                bytes_ += _POSTING * len(waiting[-1][0])
+            if bytes_ > 24 << 20:
+                yield flush()
+                waiting, bytes_ = [], 0
+        if waiting:
+            yield flush()
 
-    found = map_arrow(docs.select(F.col(text_col).alias("text")), run, "kind long, line binary")
-    return found.groupBy("kind").agg(F.min("line").alias("line")).join(kinds, "kind", "left_semi")
+    member = pa.schema([("word", pa.int64()), ("kind", pa.int64())])
 
-
-def links(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """(a, b), a < b: the pairs of different line classes at Jaccard >= least, each once."""
+    def meet(batches):
+        held_part, bodies = None, []
+        for b in batches:
+            for part, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if part != held_part and bodies:
+                    yield members(bodies)
+                    bodies = []
+                held_part = part
+                bodies.append(body)
+        if bodies:
+            yield members(bodies)
+
+    def members(bodies):
+        split = []
+        for body in bodies:
+            n, at, columns = len(body) // _POSTING, 0, []
+            for kind in _KINDS:
+                columns.append(np.frombuffer(body, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+            split.append(columns)
+        columns = [np.concatenate(c) for c in zip(*split)]
+        order = np.lexsort((columns[1], columns[6], columns[0]))
+        word, kind = columns[0][order], columns[1][order]
+        fresh = np.ones(len(word), bool)
+        fresh[1:] = (word[1:] != word[:-1]) | (kind[1:] != kind[:-1])  # a class comes from several blocks
+        word, kind, b0, b1, b2, rarest, size, position = (c[order[fresh]] for c in columns)
+        marks = np.zeros(len(word), bool)
+        for _ in _partners(word, b0, b1, b2, rarest, size.astype(np.int64), position.astype(np.int64), share, marks):
+            pass
+        return record(member, word[marks].view(np.int64), kind[marks].view(np.int64))
+
+    postings = map_arrow(docs.select(F.col(text_col).alias("text")), post, "part int, body binary")
+    return map_arrow(postings.repartition(min(parts, max(tasks, parts // 4)), "part").sortWithinPartitions("part"), meet, "word long, kind long")
+
+
+def verified(members: DataFrame, named: DataFrame, levels: np.ndarray, least: float = LEAST) -> DataFrame:
+    """(kind, id, th, number, n_links): for members(word, kind) the earliest first place of the lines they match, and how many
+    match, over named(kind, id, th, number, line); one row for each word at which a class has matches.
+
+    A pair is verified at the first word that its prefixes share.
+    """
     share = Fraction(least).limit_denominator(10_000)
-    maybe = cut(candidates(docs, text_col, least).distinct())
-    kinds = maybe.select(F.explode(F.array("a", "b")).alias("kind")).distinct()
-    named = cut(_texts_of(docs, kinds, text_col))
-    both = maybe.join(named.select(F.col("kind").alias("a"), F.col("line").alias("x")), "a").join(named.select(F.col("kind").alias("b"), F.col("line").alias("y")), "b").select("a", "b", "x", "y")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    held = members.sparkSession.sparkContext.broadcast(levels)
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = members.join(named, "kind").repartition(tasks, "word").sortWithinPartitions("word").select("word", "kind", "id", "th", "number", "line")
+    schema = pa.schema([("kind", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("number", pa.int32()), ("n_links", pa.int64())])
 
     def verify(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                p, q = set(x.split()), set(y.split())
+        word, rows = None, []  # of the word whose rows may go on in the next batch
+        for batch in batches:
+            done = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if row[0] != word and rows:
+                    done.append(rows)
+                    rows = []
+                word = row[0]
+                rows.append(row)
+            if done:
+                yield judge(done)
+        if rows:
+            yield judge([rows])
+
+    def judge(groups):
+        rows = [r for g in groups for r in g]
+        texts = {r[1]: r[5] for r in rows}
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts.values()]))).astype(np.int64)
+        posted = _postings(_Lines(np.frombuffer(b"".join(texts.values()), np.uint8), offsets), held.value, share)
+        # the posting of each row: its class and its word
+        where = {(k, w): i for i, (k, w) in enumerate(zip(posted[1].view(np.int64).tolist(), posted[0].view(np.int64).tolist()))}
+        mine = np.array([where[r[1], r[0]] for r in rows], np.int64)
+        columns = [c[mine] for c in posted]
+        order = np.lexsort((columns[6], columns[0]))
+        word, _, b0, b1, b2, rarest, size, position = (c[order] for c in columns)
+        rows = [rows[i] for i in order.tolist()]
+        prefixes: dict[int, list[int]] = {}
+        for k, w in where:
+            prefixes.setdefault(k, []).append(w)
+        words = {k: frozenset(x.split()) for k, x in texts.items()}
+        near, count = [None] * len(rows), [0] * len(rows)
+        for x, y in _partners(word, b0, b1, b2, rarest, size.astype(np.int64), position.astype(np.int64), share):
+            for i, j in zip(x.tolist(), y.tolist()):
+                u, v = rows[i], rows[j]
+                p, q = words[u[1]], words[v[1]]
                 shared = len(p & q)
-                keep.append(shared * share.denominator >= share.numerator * (len(p) + len(q) - shared))
-            some = b.filter(pa.array(keep, pa.bool_()))
-            yield record(schema, some.column(0), some.column(1))
-
-    return map_arrow(both, verify, "a long, b long")
+                if shared * share.denominator < share.numerator * (len(p) + len(q) - shared):
+                    continue
+                other = prefixes[v[1]]
+                if next(w for w in prefixes[u[1]] if w in other) != u[0]:
+                    continue  # it counts there
+                count[i] += 1
+                count[j] += 1
+                if near[i] is None or v[2:5] < near[i]:
+                    near[i] = v[2:5]
+                if near[j] is None or u[2:5] < near[j]:
+                    near[j] = u[2:5]
+        out = [(r[1], *p, c) for r, p, c in zip(rows, near, count) if c]
+        return record(schema, *([r[i] for r in out] for i in range(5)))
+
+    return map_arrow(met, verify, "kind long, id long, th long, number int, n_links long")
 
 
 def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(id, th, n_lines, removed array<int>, n_links): for every document its worded lines, the numbers of those to remove, and
     the links of its lines' classes to other classes."""
-    every = cut(lines(docs, id_col, text_col))
+    levels, total = word_levels(docs, text_col)
+    members = cut(candidates(docs, levels, total, text_col, least))
+    release(docs.sparkSession)
+    every = cut(lines(docs, bit_table(members.select("kind").distinct()), id_col, text_col))
     place = F.struct("id", "th", "number")
-    firsts = cut(every.where("kind is not null").groupBy("kind").agg(F.min(place).alias("first")))
-    pairs = cut(links(docs, text_col, least))
-    either = pairs.select(F.col("a").alias("kind"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    met = either.join(firsts.select(F.col("kind").alias("other"), "first"), "other").groupBy("kind").agg(F.min("first").alias("near"), F.count("*").alias("n_links"))
-    best = firsts.join(met, "kind", "left").select(F.col("kind").alias("of"), F.least("first", F.coalesce("near", "first")).alias("best"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    judged = every.join(best, every.kind == best.of, "left")
+    firsts = cut(every.where("kind is not null").groupBy("kind").agg(F.min(place).alias("first"), F.max("line").alias("line")))
+    named = firsts.where("line is not null").select("kind", "first.*", "line")
+    met = verified(members, named, levels, least).groupBy("kind").agg(F.min(place).alias("near"), F.sum("n_links").alias("n_links"))
+    best = firsts.select("kind", "first").join(cut(met), "kind", "left").select(F.col("kind").alias("of"), F.least("first", F.coalesce("near", "first")).alias("best"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    release(docs.sparkSession)
+    judged = every.drop("line").join(best, every.kind == best.of, "left")
     gone = F.col("kind").isNotNull() & (F.col("best") < place)
     return judged.groupBy("id", "th").agg(F.count_distinct("number").alias("n_lines"), F.sort_array(F.collect_set(F.when(gone, F.col("number")))).alias("removed"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_links"))
 

@@ -99,16 +99,11 @@ def test_line_links(docs, rows):
                 kinds[tuple(sorted(Counter(line.split()).items()))] = frozenset(line.split())
     sets = list(kinds.values())
     want = sum(len(a & b) * 5 >= 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
-    maybe = line_dedup.candidates(docs).distinct()
-    named = line_dedup.lines(docs, line_dedup.bit_table(maybe.select(F.explode(F.array("a", "b")).alias("kind")).distinct())).where("line is not null").groupBy("kind").agg(F.min("line").alias("line"))
-    got = line_dedup.verified(maybe, named)
-    assert got.count() == got.distinct().count() == want
-
-
-def test_crowded_meeting_places(docs, monkeypatch):
-    want = sorted(map(tuple, line_dedup.report(docs).collect()))
-    monkeypatch.setattr(line_dedup, "GATHERED", 2)
-    assert sorted(map(tuple, line_dedup.report(docs).collect())) == want
+    got = line_dedup.line_matches(docs)
+    by_doc = sum(r["n_links"] for r in got.collect())
+    held = Counter(kind for _, text in rows for kind in {tuple(sorted(Counter(x.split()).items())): 0 for x in text.encode().split(b"\n") if x.split()} for _ in range(sum(tuple(sorted(Counter(x.split()).items())) == kind for x in text.encode().split(b"\n") if x.split())))
+    links = {k: sum(len(w & o) * 5 >= 4 * len(w | o) for q, o in kinds.items() if q != k) for k, w in kinds.items()}
+    assert sum(links.values()) == 2 * want and by_doc == sum(links[k] * n for k, n in held.items())
 
 
 def test_line_dedup_edges(odd, spark):
