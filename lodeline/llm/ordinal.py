@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodeline.llm._batches import blocks, map_arrow, mix64, record, span_hashes, word_spans
 
-SAMPLE, BITS, TOP_GRADE, LEAST_TAIL = 16000, 18, 2, 0.25
+SAMPLE, BITS, TOP_GRADE, LEAST_TAIL = 32000, 18, 2, 0.15
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[b for b in range(128) if not chr(b).isalnum()]] = True
 _CLASS = np.zeros((5, 256), np.uint8)
@@ -117,12 +117,26 @@ def minimise(evaluate, x: np.ndarray, rounds: int, memory: int = 12) -> np.ndarr
     return x
 
 
-def fit_arrays(grades: np.ndarray, places: np.ndarray, first: np.ndarray, bits: int = BITS, top: int = TOP_GRADE, rounds: int = 120, decay: float = 1e-5, least_z: float = 4.0, least_phi: float = 0.14) -> Model:
+def telling_places(have: np.ndarray, count: np.ndarray, least_z: float = 4.0, least_phi: float = 0.14) -> np.ndarray:
+    """Which places get a weight, from have[grade, place] rows that have a place and count[grade] rows.
+
+    Their share of rows must differ across some threshold by `least_z` standard errors and a correlation of `least_phi`: the
+    thousands of words that have nothing to do with the grade would otherwise be fitted to the sample's accidents.
+    """
+    n, out = count.sum(), np.zeros(have.shape[1], bool)
+    for k in range(1, len(count)):
+        below, above = count[:k].sum(), count[k:].sum()
+        if below and above:
+            rate = (have.sum(axis=0) + 0.5) / (n + 1)
+            apart = have[k:].sum(axis=0) / above - have[:k].sum(axis=0) / below
+            out |= np.abs(apart) >= max(least_z, least_phi * np.sqrt(n)) * np.sqrt(rate * (1 - rate) * (1 / below + 1 / above))
+    return out
+
+
+def fit_arrays(grades: np.ndarray, places: np.ndarray, first: np.ndarray, bits: int = BITS, top: int = TOP_GRADE, rounds: int = 120, decay: float = 1e-5, telling: np.ndarray | None = None) -> Model:
     """Minimises the mean cumulative-link loss, each grade weighing alike, plus decay / 2 * |weights|**2; deterministic.
 
-    Only places whose share of rows differs across some threshold by `least_z` standard errors and a correlation of
-    `least_phi` get a weight: the thousands of words that have nothing to do with the grade would otherwise be fitted to
-    the sample's accidents.
+    telling: the places that get a weight; by default as `telling_places` says for these rows.
     """
     n = len(grades)
     model = Model(np.zeros(1 << bits), np.arange(top, dtype=float) - (top - 1) / 2, bits, n)
@@ -130,15 +144,9 @@ def fit_arrays(grades: np.ndarray, places: np.ndarray, first: np.ndarray, bits:
         model.thresholds -= 4.0  # nothing is known: everything is kept
         return model
     row = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.append(first, len(places))))
-    have = np.stack([np.bincount(places[grades[row] == k], minlength=1 << bits) for k in range(top + 1)]).astype(float)
     count = np.bincount(grades, minlength=top + 1)
-    telling = np.zeros(1 << bits, bool)
-    for k in range(1, top + 1):
-        below, above = count[:k].sum(), count[k:].sum()
-        if below and above:
-            rate = (have.sum(axis=0) + 0.5) / (n + 1)
-            apart = have[k:].sum(axis=0) / above - have[:k].sum(axis=0) / below
-            telling |= np.abs(apart) >= max(least_z, least_phi * np.sqrt(n)) * np.sqrt(rate * (1 - rate) * (1 / below + 1 / above))
+    if telling is None:
+        telling = telling_places(np.stack([np.bincount(places[grades[row] == k], minlength=1 << bits) for k in range(top + 1)]).astype(float), count)
     keep, used = telling[places], np.flatnonzero(telling)
     column, row = (np.cumsum(telling) - 1)[places[keep]], row[keep]
     size = len(used)
@@ -174,21 +182,44 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, bits: int = BITS, top: int = TOP_GRADE) -> Model:
-    """Fits on the `sample` rows of grades(doc_id, grade) whose hashed ids are smallest; the features, not the texts, reach the driver."""
+    """Fits on the `sample` rows of grades(doc_id, grade) whose hashed ids are smallest.
+
+    Two passes over those rows: the first counts places by grade on the executors, the second sends the driver only the
+    telling places of each row, some dozens. Texts never reach the driver.
+    """
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    counts = pa.schema([("grade", pa.int32()), ("place", pa.int32()), ("n", pa.int64())])
+
+    def count(batches):
+        have, rows_of = np.zeros((top + 1, 1 << bits), np.int64), np.zeros(top + 1, np.int64)
+        for rows, data, offsets in blocks(batches, "text"):
+            places, first = features(data, offsets, bits)
+            grade = rows.column(1).to_numpy().astype(np.int64)
+            rows_of += np.bincount(grade, minlength=top + 1)
+            np.add.at(have, (np.repeat(grade, np.diff(np.append(first, len(places)))), places), 1)
+        at = np.nonzero(have)
+        yield record(counts, np.append(at[0], np.arange(top + 1)).astype(np.int32), np.append(at[1], np.full(top + 1, -1)).astype(np.int32), np.append(have[at], rows_of))
+
+    got = map_arrow(labelled, count, "grade int, place int, n long").groupBy("grade", "place").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
+    grade, place, n = (got[c].to_numpy() for c in ("grade", "place", "n"))
+    have, rows_of, real = np.zeros((top + 1, 1 << bits)), np.zeros(top + 1, np.int64), place >= 0
+    have[grade[real], place[real]] = n[real]
+    rows_of[grade[~real]] = n[~real]
+    telling = telling_places(have, rows_of)
+    held = docs.sparkSession.sparkContext.broadcast(telling)
     schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("places", pa.binary())])
 
-    def run(batches):
+    def pick(batches):
         for rows, data, offsets in blocks(batches, "text"):
             places, first = features(data, offsets, bits)
-            packed = [p.astype("<u4").tobytes() for p in np.split(places, first[1:])]
+            packed = [p[held.value[p]].astype("<u4").tobytes() for p in np.split(places, first[1:])]
             yield record(schema, rows.column(0), rows.column(1).cast(pa.int32()), packed)
 
-    got = sorted(tuple(r) for r in map_arrow(labelled, run, "doc_id long, grade int, places binary").collect())
-    rows = [np.frombuffer(p, "<u4") for _, _, p in got]
-    first = np.concatenate(([0], np.cumsum([len(r) for r in rows])))[:-1] if rows else np.zeros(0, np.int64)
-    return fit_arrays(np.array([g for _, g, _ in got], np.int64), np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64), first.astype(np.int64), bits, top)
+    rows = sorted(tuple(r) for r in map_arrow(labelled, pick, "doc_id long, grade int, places binary").collect())
+    each = [np.frombuffer(p, "<u4") for _, _, p in rows]
+    first = np.concatenate(([0], np.cumsum([len(r) for r in each]))).astype(np.int64)[: len(each)]
+    return fit_arrays(np.array([g for _, g, _ in rows], np.int64), np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64), first, bits, top, telling=telling)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least_tail: float = LEAST_TAIL) -> DataFrame:
