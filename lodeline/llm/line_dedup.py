@@ -78,7 +78,7 @@ def lines(docs: DataFrame, wanted: np.ndarray | None = None, id_col: str = "doc_
         table, sent = held.value, set()
         for rows, data, offsets in blocks(batches, "text"):
             got = _Lines(data, offsets)
-            if len(sent) > 500_000:
+            if len(sent) > 200_000:
                 sent.clear()
             ids, hashes = (rows.column(i).to_numpy() for i in (0, 1))
             none = np.setdiff1d(np.arange(rows.num_rows), got.row)
@@ -239,7 +239,7 @@ def candidates(docs: DataFrame, levels: np.ndarray, total: int, text_col: str =
             if len(got.kind):
                 waiting.append(_postings(got, level, share))
                 bytes_ += _POSTING * len(waiting[-1][0])
-            if bytes_ > 24 << 20:
+            if bytes_ > 12 << 20:
                 yield flush()
                 waiting, bytes_ = [], 0
         if waiting:
@@ -314,28 +314,33 @@ def verified(members: DataFrame, named: DataFrame, levels: np.ndarray, least: fl
         texts = {r[1]: r[5] for r in rows}
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts.values()]))).astype(np.int64)
         posted = _postings(_Lines(np.frombuffer(b"".join(texts.values()), np.uint8), offsets), held.value, share)
-        # the posting of each row: its class and its word
-        where = {(k, w): i for i, (k, w) in enumerate(zip(posted[1].view(np.int64).tolist(), posted[0].view(np.int64).tolist()))}
-        mine = np.array([where[r[1], r[0]] for r in rows], np.int64)
+        first = np.flatnonzero(np.diff(posted[1].view(np.int64), prepend=~posted[1].view(np.int64)[:1]))
+        every, starts = posted[0].view(np.int64).tolist(), first.tolist()
+        prefixes = {k: every[a:b] for k, a, b in zip(posted[1][first].view(np.int64).tolist(), starts, [*starts[1:], len(every)])}
+        begins = dict(zip(prefixes, starts))
+        mine = np.array([begins[r[1]] + prefixes[r[1]].index(r[0]) for r in rows], np.int64)
         columns = [c[mine] for c in posted]
         order = np.lexsort((columns[6], columns[0]))
         word, _, b0, b1, b2, rarest, size, position = (c[order] for c in columns)
         rows = [rows[i] for i in order.tolist()]
-        prefixes: dict[int, list[int]] = {}
-        for k, w in where:
-            prefixes.setdefault(k, []).append(w)
         words = {k: frozenset(x.split()) for k, x in texts.items()}
-        near, count = [None] * len(rows), [0] * len(rows)
+        near, count, shares = [None] * len(rows), [0] * len(rows), {}
+        up, down = share.numerator, share.denominator
         for x, y in _partners(word, b0, b1, b2, rarest, size.astype(np.int64), position.astype(np.int64), share):
             for i, j in zip(x.tolist(), y.tolist()):
                 u, v = rows[i], rows[j]
+                ours, other = prefixes[u[1]], prefixes[v[1]]
+                if ours[0] != other[0]:  # else it is their rarest word
+                    other = shares.get(v[1]) or shares.setdefault(v[1], frozenset(other))
+                    for first_shared in ours:
+                        if first_shared in other:
+                            break
+                    if first_shared != u[0]:
+                        continue  # the pair is verified there
                 p, q = words[u[1]], words[v[1]]
                 shared = len(p & q)
-                if shared * share.denominator < share.numerator * (len(p) + len(q) - shared):
+                if shared * down < up * (len(p) + len(q) - shared):
                     continue
-                other = prefixes[v[1]]
-                if next(w for w in prefixes[u[1]] if w in other) != u[0]:
-                    continue  # it counts there
                 count[i] += 1
                 count[j] += 1
                 if near[i] is None or v[2:5] < near[i]:
@@ -359,7 +364,9 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = cut(every.where("kind is not null").groupBy("kind").agg(F.min(place).alias("first"), F.max("line").alias("line")))
     named = firsts.where("line is not null").select("kind", "first.*", "line")
     met = verified(members, named, levels, least).groupBy("kind").agg(F.min(place).alias("near"), F.sum("n_links").alias("n_links"))
-    best = firsts.select("kind", "first").join(cut(met), "kind", "left").select(F.col("kind").alias("of"), F.least("first", F.coalesce("near", "first")).alias("best"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # both sides of the last join are plain shuffles, so that Spark can split a very common line
+    best = cut(firsts.select("kind", "first").join(met, "kind", "left").select(F.col("kind").alias("of"), F.least("first", F.coalesce("near", "first")).alias("best"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    del members, firsts, named, met
     release(docs.sparkSession)
     judged = every.drop("line").join(best, every.kind == best.of, "left")
     gone = F.col("kind").isNotNull() & (F.col("best") < place)
