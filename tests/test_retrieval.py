@@ -106,7 +106,7 @@ def test_edges_and_locate(spark, symbols):
     edges = graph.call_edges(calls, symbols)
     assert sorted(map(tuple, edges.collect())) == [(2, "add"), (4, "check_password")]
     got = retrieval.locate(ask(spark, "raise an exception when the password type is wrong"), symbols, edges, iterations=10).orderBy("rank").collect()
-    assert got[0]["name"] == "check_password" and got[0]["risk"] == "HIGH" and got[0]["called_by_count"] == 1
+    assert got[0]["name"] == "check_password" and got[0]["risk"] == "MEDIUM" and got[0]["called_by_count"] == 1
     best = retrieval.locate_best_file(ask(spark, "check the password", "zzz qqq"), symbols).collect()
     assert [(r["request_id"], r["file"]) for r in best] == [(0, "auth.py")]
 
@@ -139,7 +139,7 @@ def test_body_containment(spark):
 def test_targets(spark, symbols):
     fuzzy = targets.delete_candidates(ask(spark, "remove chek_pasword", "delete password", "delete add"), symbols)
     got = {(r["request_id"], r["symbol_id"], r["method"]) for r in fuzzy.collect()}
-    assert (1, 3, "substring") in got and (2, 1, "substring") in got
+    assert got == {(1, 3, "substring")}  # add is a generic verb, and pasword is too short for the whole name
     s = spark.createDataFrame([(1, "tan"), (2, "sec"), (3, "cos"), (4, "cos2"), (5, "substract")], "symbol_id long, name string")
     many = targets.multi_delete(ask(spark, "delete tan, sec and cos", "delete tan and nothing", "delete tan"), s)
     assert sorted((r["request_id"], r["symbol_id"]) for r in many.collect()) == [(0, 1), (0, 2), (0, 3)]
