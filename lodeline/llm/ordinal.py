@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from lodeline.llm._batches import blocks, map_arrow, mix64, record, span_hashes, word_spans
 
 SAMPLE, BITS, TOP_GRADE, LEAST_TAIL = 32000, 18, 2, 0.15
+#: Standard errors from which on a place's weight is taken as the rows say (see fit_arrays).
+SURE = 8.0
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[b for b in range(128) if not chr(b).isalnum()]] = True
 _CLASS = np.zeros((5, 256), np.uint8)
@@ -117,26 +119,36 @@ def minimise(evaluate, x: np.ndarray, rounds: int, memory: int = 12) -> np.ndarr
     return x
 
 
-def telling_places(have: np.ndarray, count: np.ndarray, least_z: float = 4.0, least_phi: float = 0.14) -> np.ndarray:
-    """Which places get a weight, from have[grade, place] rows that have a place and count[grade] rows.
+def evidence(have: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How many standard errors apart a place's share of rows is, from have[grade, place] rows that have it and count[grade] rows.
 
-    Their share of rows must differ across some threshold by `least_z` standard errors and a correlation of `least_phi`: the
-    thousands of words that have nothing to do with the grade would otherwise be fitted to the sample's accidents.
+    The largest over all thresholds and over each grade against the rest: a middle grade's words would be diluted by the
+    grades on their side of a threshold.
     """
-    n, out = count.sum(), np.zeros(have.shape[1], bool)
-    for k in range(1, len(count)):
-        below, above = count[:k].sum(), count[k:].sum()
-        if below and above:
-            rate = (have.sum(axis=0) + 0.5) / (n + 1)
-            apart = have[k:].sum(axis=0) / above - have[:k].sum(axis=0) / below
-            out |= np.abs(apart) >= max(least_z, least_phi * np.sqrt(n)) * np.sqrt(rate * (1 - rate) * (1 / below + 1 / above))
+    n, out, grades = count.sum(), np.zeros(have.shape[1]), np.arange(len(count))
+    rate = (have.sum(axis=0) + 0.5) / (n + 1)
+    for side in [grades >= k for k in grades[1:]] + [grades == k for k in grades]:
+        inside, outside = count[side].sum(), count[~side].sum()
+        if inside and outside:
+            apart = have[side].sum(axis=0) / inside - have[~side].sum(axis=0) / outside
+            np.maximum(out, np.abs(apart) / np.sqrt(rate * (1 - rate) * (1 / inside + 1 / outside)), out=out)
     return out
 
 
-def fit_arrays(grades: np.ndarray, places: np.ndarray, first: np.ndarray, bits: int = BITS, top: int = TOP_GRADE, rounds: int = 120, decay: float = 1e-5, telling: np.ndarray | None = None) -> Model:
+def telling_places(have: np.ndarray, count: np.ndarray, least_z: float = 4.0) -> np.ndarray:
+    """Which places get a weight: those whose evidence is `least_z` standard errors, however rare they are.
+
+    The thousands of words that have nothing to do with the grade would otherwise be fitted to the sample's accidents.
+    """
+    return evidence(have, count) >= least_z
+
+
+def fit_arrays(grades: np.ndarray, places: np.ndarray, first: np.ndarray, bits: int = BITS, top: int = TOP_GRADE, rounds: int = 120, decay: float = 1e-5, telling: np.ndarray | None = None, proof: np.ndarray | None = None) -> Model:
     """Minimises the mean cumulative-link loss, each grade weighing alike, plus decay / 2 * |weights|**2; deterministic.
 
-    telling: the places that get a weight; by default as `telling_places` says for these rows.
+    telling: the places that get a weight; by default as `telling_places` says for these rows. proof: the evidence of all
+    places; the decay of a place below SURE standard errors grows by the eighth power of what it lacks, so that words near
+    the bar, some of them accidents, have a say but a small one.
     """
     n = len(grades)
     model = Model(np.zeros(1 << bits), np.arange(top, dtype=float) - (top - 1) / 2, bits, n)
@@ -146,15 +158,18 @@ def fit_arrays(grades: np.ndarray, places: np.ndarray, first: np.ndarray, bits:
     row = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.append(first, len(places))))
     count = np.bincount(grades, minlength=top + 1)
     if telling is None:
-        telling = telling_places(np.stack([np.bincount(places[grades[row] == k], minlength=1 << bits) for k in range(top + 1)]).astype(float), count)
+        have = np.stack([np.bincount(places[grades[row] == k], minlength=1 << bits) for k in range(top + 1)]).astype(float)
+        telling, proof = telling_places(have, count), evidence(have, count)
     keep, used = telling[places], np.flatnonzero(telling)
-    column, row = (np.cumsum(telling) - 1)[places[keep]], row[keep]
+    column, row = (np.cumsum(telling, dtype=np.int32) - 1)[places[keep]], row[keep]
     size = len(used)
+    decays = decay * (np.ones(size) if proof is None else np.maximum(1, SURE / proof[used]) ** 8)
+    pieces = [slice(i, i + (1 << 20)) for i in range(0, len(row), 1 << 20)]  # so that no step needs an array of all entries
     weight = 1.0 / count[grades] / (count > 0).sum()
 
     def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
         weights, thresholds = x[:size], np.cumsum(np.concatenate((x[size : size + 1], np.exp(np.clip(x[size + 1 :], -8, 8)))))
-        scores = np.bincount(row, weights[column], n)
+        scores = sum((np.bincount(row[p], weights[column[p]], n) for p in pieces), np.zeros(n))
         tail = 1 / (1 + np.exp(-np.clip(scores[:, None] - thresholds[None, :], -40, 40)))
         full = np.hstack([np.ones((n, 1)), tail, np.zeros((n, 1))])
         at, over = full[np.arange(n), grades], full[np.arange(n), grades + 1]
@@ -164,9 +179,9 @@ def fit_arrays(grades: np.ndarray, places: np.ndarray, first: np.ndarray, bits:
         slope = tail * (1 - tail) / gap[:, None]
         by_threshold = np.array([(weight * (np.where(grades == k, slope[:, k], 0.0) - np.where(grades == k + 1, slope[:, k], 0.0))).sum() for k in range(top)])
         by_gap = [by_threshold[k:].sum() * (thresholds[k] - thresholds[k - 1]) for k in range(1, top)]
-        gradient = -np.concatenate((np.bincount(column, by_score[row], size), [by_threshold.sum()], by_gap))
-        gradient[:size] += decay * weights
-        return float(-(weight * np.log(gap)).sum() + decay / 2 * weights.dot(weights)), gradient
+        gradient = -np.concatenate((sum((np.bincount(column[p], by_score[row[p]], size) for p in pieces), np.zeros(size)), [by_threshold.sum()], by_gap))
+        gradient[:size] += decays * weights
+        return float(-(weight * np.log(gap)).sum() + (decays * weights).dot(weights) / 2), gradient
 
     x = minimise(evaluate, np.concatenate((np.zeros(size), [-0.5], np.zeros(top - 1))), rounds)
     model.weights[used] = x[:size]
@@ -185,7 +200,7 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits on the `sample` rows of grades(doc_id, grade) whose hashed ids are smallest.
 
     Two passes over those rows: the first counts places by grade on the executors, the second sends the driver only the
-    telling places of each row, some dozens. Texts never reach the driver.
+    telling places of each row, some hundreds. Texts never reach the driver.
     """
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
@@ -206,7 +221,7 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
     have, rows_of, real = np.zeros((top + 1, 1 << bits)), np.zeros(top + 1, np.int64), place >= 0
     have[grade[real], place[real]] = n[real]
     rows_of[grade[~real]] = n[~real]
-    telling = telling_places(have, rows_of)
+    telling, proof = telling_places(have, rows_of), evidence(have, rows_of)
     held = docs.sparkSession.sparkContext.broadcast(telling)
     schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("places", pa.binary())])
 
@@ -219,7 +234,7 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
     rows = sorted(tuple(r) for r in map_arrow(labelled, pick, "doc_id long, grade int, places binary").collect())
     each = [np.frombuffer(p, "<u4") for _, _, p in rows]
     first = np.concatenate(([0], np.cumsum([len(r) for r in each]))).astype(np.int64)[: len(each)]
-    return fit_arrays(np.array([g for _, g, _ in rows], np.int64), np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64), first, bits, top, telling=telling)
+    return fit_arrays(np.array([g for _, g, _ in rows], np.int64), np.concatenate(each) if each else np.zeros(0, np.int64), first, bits, top, telling=telling, proof=proof)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least_tail: float = LEAST_TAIL) -> DataFrame:

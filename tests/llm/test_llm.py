@@ -357,6 +357,15 @@ def test_classifier_gradient():
     assert base <= np.log(3) + 0.05 and a.thresholds[0] < a.thresholds[1]
 
 
+def test_classifier_rare_words():
+    count, have = np.array([4000, 3000, 25000]), np.zeros((3, 4))
+    have[:, 0], have[:, 1], have[:, 2], have[:, 3] = (1, 17, 0), (0, 15, 0), (40, 30, 250), (2000, 1500, 12500)
+    assert ordinal.telling_places(have, count).tolist() == [True, True, False, False]  # proven, though rare among many rows
+    count, have = np.array([3000, 500, 500]), np.array([[90.0], [40.0], [0.0]])
+    below = 4 * np.sqrt(131 / 4001 * (1 - 131 / 4001) * (1 / 3000 + 1 / 1000))
+    assert 40 / 1000 - 90 / 3000 < below and ordinal.telling_places(have, count).all()  # the middle grade against the rest
+
+
 def test_classifier_edges(odd, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["kept"] for r in ordinal.score(odd, ordinal.fit(odd, ordinal.graded(none))).collect())
