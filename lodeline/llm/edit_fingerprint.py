@@ -9,7 +9,7 @@ Hamming distance mostly agree on the sample) and keeps the least hash of the sam
 of equal components estimates the likeness of two texts. Blocks keep an insertion from shifting all that follows it, and let
 texts of any length be walked side by side.
 
-`near_documents` bands the components, joins each bucket's members to its first member, and verifies by likeness.
+`near_documents` bands the components, compares the different fingerprints of each bucket, and verifies by likeness.
 
 Nulls and edges: a null text is an empty one; empty texts share one fingerprint (likeness 1 among themselves); in the order
 of documents null ids come last and equal ids are told apart by their text's hash; equal texts have equal fingerprints.
@@ -29,6 +29,8 @@ from lodeline.llm._batches import cut, map_arrow, mix64, record
 
 COMPONENTS, PLACES, BLOCK, LONGEST, STEPS = 64, 4, 24, 48, 64
 _CLASSES = 256
+#: Fingerprints of a bucket that one key compares with all of it; what stands for a null id.
+SHARE, _LAST = 512, 2**63 - 1
 
 _rng = np.random.default_rng(20260103)
 #: The walk's random bits for (step, class), the sampled steps of each component, and its hash multipliers.
@@ -140,17 +142,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = 16) -> DataFrame:
-    """(a, b, likeness), a < b: bucket-mates of equal bands, each tied to the bucket's smallest id, verified by likeness.
+    """(a, b, likeness), a before b: documents that share a band's key and are verified by likeness.
 
-    A bucket of n documents gives n - 1 candidates, so hot buckets stay linear; classes follow by taking components.
+    Equal fingerprints are one class: its first document stands for it and is linked to each of the others, so n copies give
+    n - 1 links. The first documents of all classes in a bucket are compared with each other; a bucket of more than SHARE is
+    dealt to as many keys, so that no task holds all of its pairs. Rows that repeat an id with another text are documents of
+    their own (a = b); null ids come last and are reported as null.
     """
-    marked = cut(fingerprints(docs, id_col, text_col).where("doc_id is not null"))
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("fingerprint", pa.string())])
+
+    def run(batches):
+        for b in batches:
+            yield record(schema, b.column(0), b.column(1), sketches(b.column(2).to_pylist()))
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    marked = cut(map_arrow(keyed, run, "id long, th long, fingerprint string").distinct())
+    first = marked.groupBy("fingerprint").agg(F.min(F.struct("id", "th")).alias("doc"))
+    copies = marked.join(first, "fingerprint").where(F.struct("id", "th") > F.col("doc")).select(F.col("doc.id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("likeness"))
     width = COMPONENTS * 4 // bands
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("fingerprint", 1 + i * width, width).alias("key")) for i in range(bands)])
-    bucketed = marked.select("doc_id", "fingerprint", F.explode(keys).alias("k")).select("doc_id", "fingerprint", "k.band", "k.key")
-    heads = bucketed.groupBy("band", "key").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"))
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), lambda i: F.substring(F.col("fingerprint"), i * 4 + 1, F.lit(4)) == F.substring(F.col("head.fingerprint"), i * 4 + 1, F.lit(4)))) / COMPONENTS
-    return bucketed.join(heads, ["band", "key"]).where("doc_id > head.doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), same.alias("likeness")).where(F.col("likeness") >= least).distinct()
+    bucketed = first.select("doc", "fingerprint", F.explode(keys).alias("k")).select("doc", "fingerprint", "k.band", "k.key")
+    crowds = bucketed.groupBy("band", "key").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = bucketed.join(crowds, ["band", "key"])
+    left = met.select("band", "key", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int").alias("part"), F.col("doc").alias("x"), F.col("fingerprint").alias("fx"))
+    right = met.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("doc").alias("y"), F.col("fingerprint").alias("fy"))
+    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), lambda i: F.substring(F.col("fx"), i * 4 + 1, F.lit(4)) == F.substring(F.col("fy"), i * 4 + 1, F.lit(4)))) / COMPONENTS
+    links = left.join(right, ["band", "key", "part"]).where("x < y").select("x", "y", same.alias("likeness")).where(F.col("likeness") >= least).distinct()
+    real = lambda c: F.when(F.col(c) < F.lit(_LAST), F.col(c)).alias(c)
+    return links.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "likeness").unionByName(copies).select(real("a"), real("b"), "likeness")
 
 
 def edited(text: str, after: str) -> str:

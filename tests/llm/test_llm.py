@@ -277,6 +277,30 @@ def test_near_documents(spark):
     assert {(i, 100 + i) for i in range(20)} <= got and {(i, 200 + i) for i in range(5)} <= got and all(b % 100 == a % 100 for a, b in got)
 
 
+def test_near_documents_keep_every_link(spark, monkeypatch):
+    rng = random.Random(16)
+    make = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    passage, rows = make(150), []
+    for group in range(4):  # a shared passage with ends of their own, each in mutual variants
+        own = passage + " " + make(90)
+        for k in range(8):
+            at = rng.randrange(len(own) - 20)
+            rows.append((10 * group + k, own[:at] + "".join(rng.choices("xyz", k=10)) + own[at + 10 :], "en", "s", 0))
+    rows += [(None, rows[3][1], "en", "s", 0), (rows[0][0], rows[1][1] + " end", "en", "s", 0)]
+    prints = edit_fingerprint.sketches([r[1] for r in rows])
+    last = sorted(((2**63 if r[0] is None else r[0]), p) for r, p in zip(rows, prints))
+    share = lambda p, q: any(p[i : i + 16] == q[i : i + 16] for i in range(0, 256, 16))
+    first = {}
+    want = Counter((first[p], a) for a, p in last if first.setdefault(p, a) != a)
+    heads = [(a, p) for a, p in last if first[p] == a]
+    want += Counter((a, b) for k, (a, p) in enumerate(heads) for b, q in heads[k + 1 :] if share(p, q) and edit_fingerprint.likeness(p, q) >= 0.8)
+    for size in (512, 3):
+        monkeypatch.setattr(edit_fingerprint, "SHARE", size, raising=False)
+        got = edit_fingerprint.near_documents(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+        assert Counter((r["a"], 2**63 if r["b"] is None else r["b"]) for r in got) == want
+    assert any(b == 2**63 for _, b in want) and (0, 0) in want and len(want) > 40
+
+
 def test_edited_edges(odd):
     got = edit_fingerprint.edited_fingerprints(odd).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in ODD)
