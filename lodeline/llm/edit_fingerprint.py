@@ -27,15 +27,16 @@ from pyspark.sql import functions as F
 
 from lodeline.llm._batches import cut, map_arrow, mix64, record
 
-COMPONENTS, PLACES, BLOCK, LONGEST, STEPS = 64, 4, 24, 48, 64
+COMPONENTS, PLACES, BLOCK, LONGEST, STEPS = 64, 4, 24, 48, 128
 _CLASSES = 256
 #: Fingerprints of a bucket that one key compares with all of it; what stands for a null id.
 SHARE, _LAST = 512, 2**63 - 1
 
 _rng = np.random.default_rng(20260103)
-#: The walk's random bits for (step, class), the sampled steps of each component, and its hash multipliers.
+#: The walk's random bits for (step, class), the sampled steps of each component (every step in two of them), and its hash
+#: multipliers. A walk moves on by about half its steps: 64 +- 6 characters, so it reaches the end of the longest block.
 _MOVE = _rng.integers(0, 2, (STEPS, _CLASSES), dtype=np.int32)
-_AT = np.sort(_rng.integers(0, STEPS, (COMPONENTS, PLACES)), axis=1)
+_AT = np.sort(np.concatenate([_rng.permutation(STEPS) for _ in range(COMPONENTS * PLACES // STEPS)]).reshape(COMPONENTS, PLACES), axis=1)
 _SALT = _rng.integers(0, 2**63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _EMPTY = np.full(COMPONENTS, 2**64 - 1, np.uint64)
 

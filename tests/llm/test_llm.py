@@ -269,6 +269,22 @@ def test_walks_follow_edits():
     assert (walks[:, 0] == walks[:, 1]).mean() > 0.2 and edit_fingerprint.sketches([text, ""])[0] == base
 
 
+def test_walks_read_whole_blocks():
+    rng = np.random.default_rng(4)
+    n, blocks = edit_fingerprint.LONGEST, 200
+    base = rng.integers(0, 256, (blocks, n)).astype(np.uint8)
+    starts = np.arange(blocks) * n
+    walks = lambda classes: edit_fingerprint.walk(classes.ravel(), starts, starts + n)
+    seen, sampled = walks(base), walks(base)[np.unique(edit_fingerprint._AT)]
+    for place in range(n):
+        changed = base.copy()
+        changed[:, place] += 1
+        assert (walks(changed) != seen).any(axis=0).mean() > 0.98 and (walks(changed)[np.unique(edit_fingerprint._AT)] != sampled).any(axis=0).mean() > 0.98
+    text = "".join(rng.choice(list("abcdefgh"), 2000))
+    missed = sum(edit_fingerprint.sketches([text[i : i + n]]) == edit_fingerprint.sketches([text[i : i + n - 1] + "z"]) for i in range(0, 1900, n))
+    assert missed <= 1
+
+
 def test_near_documents(spark):
     rng = random.Random(6)
     base = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(200)) for _ in range(20)]
