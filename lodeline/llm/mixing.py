@@ -10,7 +10,8 @@ reversed, as a fraction), which the cumulative targets map to a source; the slot
 
 Blocks: a source's documents are shuffled by a hash and laid end to end on a tape that repeats `repeat` times; block r of a
 source is the r-th stretch of corpus words / 2**bits words (boundaries rounded down). Slot rank joins block number, and a
-document takes the words of the blocks it shares. Running sums go over (source, hash bucket) first and within a bucket
+document takes the words of the blocks it shares. The blocks after a source's last slot follow until its target is reached,
+and the block that holds the target's end is cut there: a source takes its target to within a word, however few slots it has. Running sums go over (source, hash bucket) first and within a bucket
 after, so that a source that holds a third of all rows is never one task.
 
 Nulls and edges: a null text has size 0 and takes 0 words; a null source is a source; an empty table gives no rows;
@@ -55,6 +56,19 @@ def targets(sizes: DataFrame, weights=WEIGHTS, repeat: int = REPEAT) -> DataFram
     return lined.select("source", "source_size", "weight", "target", F.coalesce(F.lag("high").over(order), F.lit(0.0)).alias("low"), "high", "all_words")
 
 
+def _points(aims: DataFrame, bits: int) -> DataFrame:
+    """(source, first, end): the grid points inside a source's stretch of the target line, first included, end not."""
+    n = 1 << bits
+    return aims.select("source", "target", "all_words", F.ceil(F.col("low") * n).alias("first"), F.least(F.lit(n), F.ceil(F.col("high") * n)).alias("end"))
+
+
+def _remainders(aims: DataFrame, bits: int) -> DataFrame:
+    """(source, rank): the blocks from a source's number of slots on, up to the one that holds its target's end."""
+    counted = _points(aims, bits).where("target > 0").withColumn("slots", F.greatest(F.lit(0), F.coalesce(F.col("end") - F.col("first"), F.lit(0))))
+    upto = F.floor(F.col("target") * float(1 << bits) / F.col("all_words")).cast("long") + 2
+    return counted.select("source", F.explode(F.sequence("slots", F.greatest("slots", upto))).alias("rank"))
+
+
 def schedule(aims: DataFrame, bits: int = BITS) -> DataFrame:
     """(slot, source, rank): the source of every slot and the slot's rank among its source's, from 0.
 
@@ -62,8 +76,7 @@ def schedule(aims: DataFrame, bits: int = BITS) -> DataFrame:
     of j, so no join is needed to place them. Ranks are counted within stretches of slots and carried over from the
     stretches before.
     """
-    n = 1 << bits
-    inside = aims.select("source", F.ceil(F.col("low") * n).alias("first"), F.least(F.lit(n), F.ceil(F.col("high") * n)).alias("end")).where("end > first")
+    inside = _points(aims, bits).where("end > first")
     point = inside.select("source", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("point"))
     slot = F.conv(F.reverse(F.lpad(F.bin("point"), bits, "0")), 2, 10).cast("long")
     drawn = point.select(slot.alias("slot"), "source").withColumn("stretch", F.shiftright("slot", max(0, bits - 6)))
@@ -92,9 +105,9 @@ def _mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     each = laid.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1)))).withColumn("begin", begin)
     each = each.where(F.col("begin") <= F.col("target") + 2 * F.col("all_words") / n + 2).withColumn("first", F.greatest(F.lit(0), F.floor(F.col("begin") * (n * 1.0) / F.nullif(F.col("all_words"), F.lit(0))) - 1)).withColumn("last", F.floor((F.col("begin") + F.col("size")) * (n * 1.0) / F.nullif(F.col("all_words"), F.lit(0))) + 1)
     shared = each.withColumn("block", F.explode(F.sequence("first", "last")))
-    overlap = F.least(edge(F.col("block") + 1), F.col("begin") + F.col("size")) - F.greatest(edge(F.col("block")), F.col("begin"))
+    overlap = F.least(edge(F.col("block") + 1), F.col("begin") + F.col("size"), F.round("target").cast("long")) - F.greatest(edge(F.col("block")), F.col("begin"))
     shared = shared.select("source", "bucket", "h", "nth", "block", overlap.alias("words")).where("words > 0")
-    drawn = schedule(aims, bits).select(F.col("source").alias("of"), "rank")
+    drawn = schedule(aims, bits).select("source", "rank").unionByName(_remainders(aims, bits)).withColumnRenamed("source", "of")
     taken = shared.join(drawn, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("rank"))).groupBy("source", "bucket", "h", "nth").agg(F.sum("words").alias("taken"))
     a, b = laid.alias("a"), taken.alias("b")
     same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.nth") == F.col("b.nth"))
@@ -109,7 +122,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, repeat: int = REPEAT, bits: int = BITS) -> DataFrame:
     """The mix as whole documents: every row as often as the words taken from it make up its text, rounded; columns unchanged.
 
-    Only a document that the last block of its source cuts is rounded; a document without words takes none and is left out.
+    Only the document that the end of its source's target cuts is rounded; a document without words takes none and is left out.
     """
     times = _mix(docs, id_col, text_col, source_col, weights, repeat, bits).groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.round(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).cast("int").alias("__times")).where("__times > 0")
     keyed = docs.withColumn("__k", F.xxhash64(F.col(id_col), F.col(text_col)))

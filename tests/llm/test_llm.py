@@ -563,6 +563,20 @@ def test_mixing(spark, seed):
     assert all(copies[r["doc_id"]] == int(r["taken"] / r["size"] + 0.5) for r in got if r["size"])
 
 
+@pytest.mark.parametrize("bits", [4, 16])
+def test_mixing_small_sources(spark, bits):
+    rows = [(i, "w " * 3000, "en", "hot", 0) for i in range(60)] + [(100 + i, "w " * (i % 9), "en", f"s{i:02}", 0) for i in range(40)] + [(200 + i, "w " * 900, "en", "mid", 0) for i in range(3)]
+    docs = documents(spark, rows)
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    want = brute_targets({s: sizes[s] for s in {r[3] for r in rows}})
+    for r in mixing.mix(docs, bits=bits).collect():
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - float(want[s])) <= 0.51 for s in want)
+    assert {r["source"] for r in mixing.mixed_documents(docs, bits=bits).collect()} == {s for s in want if sizes[s]}
+
+
 def test_schedule_is_low_discrepancy(spark):
     aims = mixing.targets(spark.createDataFrame([("a", 500), ("b", 500), ("c", 500)], "source string, source_size long"))
     slots = mixing.schedule(aims, bits=10).orderBy("slot").collect()
