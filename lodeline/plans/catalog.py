@@ -403,14 +403,24 @@ def _named(spark, d):
 
 
 def _asked(spark, d, text):
-    return table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("request_id"), text.alias("text"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("request_id"), text.alias("text"))
+
+
+def _delete_requests(spark, d):
+    word = F.get(F.array(*[F.lit(x) for x in ("red", "blue", "widget", "bolt", "zzz")]), F.col("s_suppkey") % 5)
+    return _asked(spark, d, F.concat(F.lit("delete the "), word, F.lit(" function")))
 
 
 @query(f"""WITH {_NAMED}, q AS (SELECT s_suppkey AS request_id, ['red','blue','widget','bolt','zzz'][(s_suppkey % 5 + 1)::INT] AS w FROM supplier WHERE s_suppkey <= 20)
 SELECT DISTINCT request_id, symbol_id, 'substring' AS method FROM q JOIN s ON contains(lower(name), w)""")
 def delete_candidates(spark, d):
-    word = F.get(F.array(*[F.lit(x) for x in ("red", "blue", "widget", "bolt", "zzz")]), F.col("s_suppkey") % 5)
-    return targets.delete_candidates(_asked(spark, d, F.concat(F.lit("delete the "), word, F.lit(" function"))), _named(spark, d), fuzzy=False)
+    return targets.delete_candidates(_delete_requests(spark, d).where("request_id <= 20"), _named(spark, d), fuzzy=False)
+
+
+@query(f"""WITH {_NAMED}, q AS (SELECT s_suppkey AS request_id, ['red','blue','widget','bolt','zzz'][(s_suppkey % 5 + 1)::INT] AS w FROM supplier)
+SELECT DISTINCT request_id, symbol_id, 'substring' AS method FROM q JOIN s ON contains(lower(name), w)""")
+def delete_candidates_whole(spark, d):
+    return targets.delete_candidates(_delete_requests(spark, d), _named(spark, d), fuzzy=False)
 
 
 @query()
@@ -423,13 +433,22 @@ def _suppliers(spark, d):
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol_id"), F.lower(F.regexp_replace("s_name", "[^A-Za-z0-9]", "")).alias("name"))
 
 
+def _pair_requests(spark, d):
+    u = _suppliers(spark, d)
+    pairs = u.alias("a").join(u.alias("b"), F.col("b.symbol_id") == F.col("a.symbol_id") + 1)
+    return pairs.select(F.col("a.symbol_id").alias("request_id"), F.concat(F.lit("Delete "), "a.name", F.lit(" and "), "b.name").alias("text"))
+
+
 @query("""WITH u AS (SELECT s_suppkey AS symbol_id, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS name FROM supplier), q AS (SELECT a.symbol_id AS request_id, a.symbol_id AS first, b.symbol_id AS second FROM u a JOIN u b ON b.symbol_id = a.symbol_id + 1 WHERE a.symbol_id <= 20)
 SELECT request_id, 0 AS phrase_ord, first AS symbol_id FROM q UNION ALL SELECT request_id, 1, second FROM q""")
 def multi_delete(spark, d):
-    u = _suppliers(spark, d)
-    pairs = u.alias("a").join(u.alias("b"), F.col("b.symbol_id") == F.col("a.symbol_id") + 1).where("a.symbol_id <= 20")
-    asked = pairs.select(F.col("a.symbol_id").alias("request_id"), F.concat(F.lit("Delete "), "a.name", F.lit(" and "), "b.name").alias("text"))
-    return targets.multi_delete(asked, u)
+    return targets.multi_delete(_pair_requests(spark, d).where("request_id <= 20"), _suppliers(spark, d))
+
+
+@query("""WITH u AS (SELECT s_suppkey AS symbol_id, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS name FROM supplier), q AS (SELECT a.symbol_id AS request_id, a.symbol_id AS first, b.symbol_id AS second FROM u a JOIN u b ON b.symbol_id = a.symbol_id + 1)
+SELECT request_id, 0 AS phrase_ord, first AS symbol_id FROM q UNION ALL SELECT request_id, 1, second FROM q""")
+def multi_delete_whole(spark, d):
+    return targets.multi_delete(_pair_requests(spark, d), _suppliers(spark, d))
 
 
 @query("""WITH u AS (SELECT s_suppkey AS symbol_id, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS name FROM supplier) SELECT symbol_id AS request_id, name AS old_name, 'fresh_' || symbol_id AS new_name FROM u WHERE symbol_id % 2 = 0""")
