@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from lodeline.llm._batches import blocks, map_arrow, mix64, record, span_hashes, word_spans
 
 SAMPLE, BITS, TOP_GRADE, LEAST_TAIL = 32000, 18, 2, 0.15
-#: Standard errors from which on a place's weight is taken as the rows say (see fit_arrays).
-SURE = 8.0
+#: Standard errors from which on a place's weight is taken as the rows say (see fit_arrays), and the decay of weights.
+SURE, DECAY = 8.0, 1e-5
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[b for b in range(128) if not chr(b).isalnum()]] = True
 _CLASS = np.zeros((5, 256), np.uint8)
@@ -143,7 +143,7 @@ def telling_places(have: np.ndarray, count: np.ndarray, least_z: float = 4.0) ->
     return evidence(have, count) >= least_z
 
 
-def fit_arrays(grades: np.ndarray, places: np.ndarray, first: np.ndarray, bits: int = BITS, top: int = TOP_GRADE, rounds: int = 120, decay: float = 1e-5, telling: np.ndarray | None = None, proof: np.ndarray | None = None) -> Model:
+def fit_arrays(grades: np.ndarray, places: np.ndarray, first: np.ndarray, bits: int = BITS, top: int = TOP_GRADE, rounds: int = 120, decay: float = DECAY, telling: np.ndarray | None = None, proof: np.ndarray | None = None) -> Model:
     """Minimises the mean cumulative-link loss, each grade weighing alike, plus decay / 2 * |weights|**2; deterministic.
 
     telling: the places that get a weight; by default as `telling_places` says for these rows. proof: the evidence of all
@@ -161,15 +161,26 @@ def fit_arrays(grades: np.ndarray, places: np.ndarray, first: np.ndarray, bits:
         have = np.stack([np.bincount(places[grades[row] == k], minlength=1 << bits) for k in range(top + 1)]).astype(float)
         telling, proof = telling_places(have, count), evidence(have, count)
     keep, used = telling[places], np.flatnonzero(telling)
-    column, row = (np.cumsum(telling, dtype=np.int32) - 1)[places[keep]], row[keep]
-    size = len(used)
-    decays = decay * (np.ones(size) if proof is None else np.maximum(1, SURE / proof[used]) ** 8)
-    pieces = [slice(i, i + (1 << 20)) for i in range(0, len(row), 1 << 20)]  # so that no step needs an array of all entries
+    column, lengths = (np.cumsum(telling, dtype=np.int32) - 1)[places[keep]], np.bincount(row[keep], minlength=n)
+    return _solve(model, grades, column, lengths, used, decay * _caution(used, proof), rounds)
+
+
+def _caution(used: np.ndarray, proof: np.ndarray | None) -> np.ndarray:
+    """By how much the decay of each used place is raised."""
+    return np.ones(len(used)) if proof is None else np.maximum(1, SURE / proof[used]) ** 8
+
+
+def _solve(model: Model, grades: np.ndarray, column: np.ndarray, lengths: np.ndarray, used: np.ndarray, decays: np.ndarray, rounds: int = 120) -> Model:
+    """Fits the model's weights at `used`; a row has `lengths` entries of column, which are positions in used."""
+    n, size, top = len(grades), len(used), len(model.thresholds)
+    count, ends = np.bincount(grades, minlength=top + 1), np.concatenate(([0], np.cumsum(lengths)))
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], 1 << 20)), n))
+    pieces = [(a, b, slice(ends[a], ends[b])) for a, b in zip(np.append(0, cuts), cuts) if a < b]  # no step needs an array of all entries
     weight = 1.0 / count[grades] / (count > 0).sum()
 
     def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
         weights, thresholds = x[:size], np.cumsum(np.concatenate((x[size : size + 1], np.exp(np.clip(x[size + 1 :], -8, 8)))))
-        scores = sum((np.bincount(row[p], weights[column[p]], n) for p in pieces), np.zeros(n))
+        scores = np.concatenate([np.bincount(np.repeat(np.arange(b - a), lengths[a:b]), weights[column[p]], b - a) for a, b, p in pieces])
         tail = 1 / (1 + np.exp(-np.clip(scores[:, None] - thresholds[None, :], -40, 40)))
         full = np.hstack([np.ones((n, 1)), tail, np.zeros((n, 1))])
         at, over = full[np.arange(n), grades], full[np.arange(n), grades + 1]
@@ -179,7 +190,7 @@ def fit_arrays(grades: np.ndarray, places: np.ndarray, first: np.ndarray, bits:
         slope = tail * (1 - tail) / gap[:, None]
         by_threshold = np.array([(weight * (np.where(grades == k, slope[:, k], 0.0) - np.where(grades == k + 1, slope[:, k], 0.0))).sum() for k in range(top)])
         by_gap = [by_threshold[k:].sum() * (thresholds[k] - thresholds[k - 1]) for k in range(1, top)]
-        gradient = -np.concatenate((sum((np.bincount(column[p], by_score[row[p]], size) for p in pieces), np.zeros(size)), [by_threshold.sum()], by_gap))
+        gradient = -np.concatenate((sum((np.bincount(column[p], np.repeat(by_score[a:b], lengths[a:b]), size) for a, b, p in pieces), np.zeros(size)), [by_threshold.sum()], by_gap))
         gradient[:size] += decays * weights
         return float(-(weight * np.log(gap)).sum() + (decays * weights).dot(weights) / 2), gradient
 
@@ -222,19 +233,26 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
     have[grade[real], place[real]] = n[real]
     rows_of[grade[~real]] = n[~real]
     telling, proof = telling_places(have, rows_of), evidence(have, rows_of)
-    held = docs.sparkSession.sparkContext.broadcast(telling)
+    used, kind = np.flatnonzero(telling), "<u2" if telling.sum() < 65536 else "<u4"
+    held = docs.sparkSession.sparkContext.broadcast(np.where(telling, np.cumsum(telling) - 1, -1).astype(np.int32))
     schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("places", pa.binary())])
 
     def pick(batches):
         for rows, data, offsets in blocks(batches, "text"):
             places, first = features(data, offsets, bits)
-            packed = [p[held.value[p]].astype("<u4").tobytes() for p in np.split(places, first[1:])]
+            packed = [p[p >= 0].astype(kind).tobytes() for p in np.split(held.value[places], first[1:])]
             yield record(schema, rows.column(0), rows.column(1).cast(pa.int32()), packed)
 
-    rows = sorted(tuple(r) for r in map_arrow(labelled, pick, "doc_id long, grade int, places binary").collect())
-    each = [np.frombuffer(p, "<u4") for _, _, p in rows]
-    first = np.concatenate(([0], np.cumsum([len(r) for r in each]))).astype(np.int64)[: len(each)]
-    return fit_arrays(np.array([g for _, g, _ in rows], np.int64), np.concatenate(each) if each else np.zeros(0, np.int64), first, bits, top, telling=telling, proof=proof)
+    got = map_arrow(labelled, pick, "doc_id long, grade int, places binary").toArrow()
+    if not got.num_rows:
+        return fit_arrays(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), bits, top)
+    rows = sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "grade", "places"))))
+    del got
+    grades_of, lengths = np.array([g for _, g, _ in rows], np.int64), np.array([len(p) for _, _, p in rows], np.int64) // int(kind[-1])
+    column = np.frombuffer(b"".join(p for _, _, p in rows), kind)
+    del rows
+    model = Model(np.zeros(1 << bits), np.arange(top, dtype=float) - (top - 1) / 2, bits, len(grades_of))
+    return _solve(model, grades_of, column, lengths, used, DECAY * _caution(used, proof))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least_tail: float = LEAST_TAIL) -> DataFrame:
