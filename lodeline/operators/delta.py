@@ -9,6 +9,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 
 from lodeline import schemas
 from lodeline.functions import text as t
+from lodeline.plans.lineage import cut
+
+#: Places behind line ends, those that split_lines knows, so that a line keeps its end.
+KEPT_ENDS = r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0B\x0C\x1C-\x1E\x85\u2028\u2029])"
 
 
 def parse(deltas: DataFrame, default_file: str | None = None) -> DataFrame:
@@ -132,43 +137,42 @@ def apply_lines(lines: DataFrame, ops: DataFrame) -> DataFrame:
 
 
 def apply_sequential(files: DataFrame, ops: DataFrame) -> DataFrame:
-    """(file_id, source) for files with overlapping spans: operations in turn, by position from the bottom, file by file."""
-    listed = ops.groupBy("file_id").agg(F.collect_list(F.struct("op_ord", "operation", "start_line", "end_line", "content", "indent")).alias("ops"))
-    return files.join(listed, "file_id").select("file_id", "source", "ops").mapInPandas(_in_turn, "file_id long, source string")
-
-
-def _in_turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        out = []
-        for source, ops in zip(f["source"], f["ops"]):
-            lines = source.splitlines(keepends=True)
-            ops = [dict(o, start_line=_whole(o["start_line"]), end_line=_whole(o["end_line"]), indent=_whole(o["indent"])) for o in ops]
-            place = lambda o: (len(lines) if o["end_line"] is None else o["end_line"]) if o["operation"] == "INSERT" else o["start_line"]
-            for o in sorted(sorted(ops, key=lambda o: o["op_ord"]), key=place, reverse=True):
-                at, body = place(o), reindent(o["content"], o["indent"] or 0)
-                if o["operation"] == "INSERT":
-                    lines[at:at] = ["\n", body]
-                elif o["operation"] == "REPLACE":
-                    lines[at - 1 : o["end_line"]] = [body]
-                else:
-                    end = o["end_line"]
-                    while end < len(lines) and not lines[end].strip():
-                        end += 1
-                    del lines[at - 1 : end]
-            out.append("".join(lines))
-        yield pd.DataFrame({"file_id": f["file_id"], "source": out})
-
-
-def _whole(x) -> int | None:
-    """Numbers of a column with nulls come as floats."""
-    return None if x is None or x != x else int(x)
-
-
-def reindent(content: str | None, indent: int) -> str:
-    """The content without its common indent, moved in by `indent` blanks, ending in one line end."""
-    rows = (content or "").rstrip("\n").split("\n")
-    depth = min((len(r) - len(r.lstrip()) for r in rows if r.strip()), default=0)
-    return "\n".join(" " * indent + r[depth:] if r.strip() else "" for r in rows) + "\n"
+    """(file_id, source) for files with overlapping spans, whose operations count one after the other from the bottom up.
+
+    A layer holds one operation of each file, so the layers are as many as the busiest file has operations; each is the line
+    algebra over rows (file_id, n, piece), where a piece is a line with its end, or all that an earlier layer put in one place:
+    to the operations above, content counts as one line. Equal places keep the order of op_ord. Null and empty sources have no
+    lines; operations of files that are not there are left out.
+    """
+    pieces = files.select("file_id", F.posexplode(F.filter(F.split(F.coalesce("source", F.lit("")), KEPT_ENDS, -1), lambda x: x != "")).alias("n", "piece")).withColumn("n", F.col("n") + 1)
+    sizes = pieces.groupBy("file_id").agg(F.max("n").alias("last"))
+    at = F.when(F.col("operation") == "INSERT", F.coalesce("end_line", "last", F.lit(0))).otherwise(F.col("start_line"))
+    turn = F.row_number().over(W.partitionBy("file_id").orderBy(F.desc("at"), "op_ord"))
+    layered = cut(
+        ops.join(files.select("file_id"), "file_id", "left_semi").join(sizes, "file_id", "left").withColumn("at", at).withColumn("layer", turn)
+        .select("file_id", "layer", "operation", "at", "end_line", t.dedent_to(F.col("content"), F.coalesce("indent", F.lit(0))).alias("body"))
+    )
+    for k in range(1, (layered.agg(F.max("layer")).first()[0] or 0) + 1):
+        pieces = cut(_layer(pieces, layered.where(F.col("layer") == k).drop("layer")))
+    joined = pieces.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "").alias("source"))
+    return layered.select("file_id").distinct().join(joined, "file_id", "left").select("file_id", F.coalesce("source", F.lit("")).alias("source"))
+
+
+def _layer(pieces: DataFrame, ops: DataFrame) -> DataFrame:
+    """pieces after at most one operation a file, numbered anew."""
+    met = pieces.join(ops, "file_id", "left")
+    # a DELETE ends before the first worded piece behind its span
+    behind = F.when((F.col("n") > F.col("end_line")) & (F.regexp_replace("piece", r"\s", "") != ""), F.col("n"))
+    stop = F.when(F.col("operation") == "DELETE", F.coalesce(F.min(behind).over(W.partitionBy("file_id")), F.lit(2**31 - 1))).otherwise(F.col("end_line") + 1)
+    lost = F.col("operation").isin("REPLACE", "DELETE") & (F.col("n") >= F.col("at")) & (F.col("n") < stop)
+    kept = met.withColumn("lost", F.coalesce(lost, F.lit(False))).where("not lost").select("file_id", F.col("n").alias("k"), F.lit(0).alias("j"), "piece")
+    gap = F.array(F.lit("\n"))
+    fresh = ops.where("operation <> 'DELETE'").select(
+        "file_id", (F.col("at") - F.when(F.col("operation") == "INSERT", 0).otherwise(1)).alias("k"),
+        F.posexplode(F.when(F.col("operation") == "INSERT", F.concat(gap, F.array("body"))).otherwise(F.array("body"))).alias("j", "piece"),
+    )
+    every = kept.unionByName(fresh.withColumn("j", F.col("j") + 1))
+    return every.select("file_id", F.row_number().over(W.partitionBy("file_id").orderBy("k", "j")).alias("n"), "piece")
 
 
 def splice_blocks(lines: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -191,39 +195,56 @@ def rename_words(source: Column, old: str, new: str) -> Column:
 
 
 def rename(files: DataFrame) -> DataFrame:
-    """files(file_id, source, old_name, new_name) with `renamed`: whole words, or where there are none, parts of identifiers."""
+    """files(file_id, source, old_name, new_name) with `renamed`: whole words, or where there are none, parts of identifiers.
+
+    Whole words are replaced by an expression; only files that have none, but hold the name's letters, go through Python. A
+    null source stays null.
+    """
+    edge = r"[^\p{L}\p{N}_]"
+    pattern = F.concat(F.lit(rf"(^|{edge})\Q"), "old_name", F.lit(rf"\E({edge}|$)"))
+    put = F.concat(F.lit("$1"), F.regexp_replace("new_name", r"([\\$])", r"\\$1"), F.lit("$2"))
+    once = lambda c: F.regexp_replace(c, pattern, put)
+    marked = files.select("file_id", "source", "old_name", "new_name", once(once(F.col("source"))).alias("renamed"))
+    letters = lambda c: F.lower(F.translate(c, "_", ""))
+    partly = F.coalesce((F.col("renamed") == F.col("source")) & F.contains(letters(F.col("source")), letters(F.col("old_name"))), F.lit(False))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(renamed=[rename_text(s, o, n) for s, o, n in zip(f["source"], f["old_name"], f["new_name"])])[["file_id", "renamed"]]
+            yield f.assign(renamed=[rename_parts(s, o, n) for s, o, n in zip(f["source"], f["old_name"], f["new_name"])])[["file_id", "renamed"]]
+
+    parts = marked.where(partly).select("file_id", "source", "old_name", "new_name").mapInPandas(run, "file_id long, renamed string")
+    return marked.where(~partly).select(F.col("file_id").cast("long").alias("file_id"), "renamed").unionByName(parts)
+
 
-    return files.select("file_id", "source", "old_name", "new_name").mapInPandas(run, "file_id long, renamed string")
+#: The words of an identifier: a run of capitals before a capitalised word, a word with its capitals, capitals alone.
+_WORD = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]*[a-z0-9]+|[A-Z]+")
 
 
-def rename_text(source: str, old: str, new: str) -> str:
-    changed = re.sub(rf"\b{re.escape(old)}\b", lambda _: new, source)
-    if changed != source:
-        return changed
+def rename_parts(source: str, old: str, new: str) -> str:
     return re.sub(r"[A-Za-z_][A-Za-z0-9_]*", lambda m: rename_part(m[0], old, new), source)
 
 
 def rename_part(identifier: str, old: str, new: str) -> str:
-    """The identifier with the shortest run of its parts that spells `old` replaced, in that run's case; else unchanged.
+    """The identifier with the fewest neighbouring words that spell `old` replaced, in their case; else unchanged.
 
-    Parts are those between underscores, or else those between changes of case.
+    Words are what stands between underscores, or in an identifier without any what changes of case set apart. The letters
+    of all words are laid end to end, so a run spells `old` where old's letters stand from one word's start to another's end.
     """
     snake = "_" in identifier
-    cuts = [m.start() for m in re.finditer("_", identifier)] if snake else [m.start() for m in re.finditer(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", identifier)]
-    starts = [0, *[c + snake for c in cuts]]
-    ends = [*cuts, len(identifier)]
-    spans = sorted(((j - i, i, j) for i in range(len(starts)) for j in range(i, len(starts))))
-    for _, i, j in spans:
-        run = identifier[starts[i] : ends[j]]
-        if (run.replace("_", "") if snake else run).lower() == old.lower():
-            like = identifier[starts[i] : ends[i]] if snake else run
-            put = new.upper() if like.isupper() else (new[:1].upper() if like[:1].isupper() else new[:1].lower()) + new[1:]
-            return identifier[: starts[i]] + put + identifier[ends[j] :]
-    return identifier
+    words = identifier.split("_") if snake else _WORD.findall(identifier)
+    ends = list(accumulate(map(len, words)))
+    spelt, wanted, best = "".join(words).lower(), old.lower(), None
+    for i, start in enumerate([0, *ends[:-1]]):
+        if wanted and spelt.startswith(wanted, start) and (end := start + len(wanted)) in ends:
+            j = ends.index(end, i)
+            if best is None or j - i < best[1] - best[0]:
+                best = (i, j)
+    if best is None:
+        return identifier
+    i, j = best
+    like = words[i] if snake else "".join(words[i : j + 1])
+    put = new.upper() if like.isupper() else (new[:1].upper() if like[:1].isupper() else new[:1].lower()) + new[1:]
+    return ("_" if snake else "").join([*words[:i], put, *words[j + 1 :]])
 
 
 def rename_sweep(files: DataFrame, ops: DataFrame) -> DataFrame:

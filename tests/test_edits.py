@@ -1,6 +1,7 @@
 import random
+import textwrap
+from itertools import dropwhile
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,8 +9,20 @@ from lodeline.operators import blocks, delta, versions
 
 
 def in_turn(source, ops):
-    frame = pd.DataFrame({"file_id": [1], "source": [source], "ops": [ops]})
-    return next(iter(delta._in_turn(iter([frame]))))["source"][0]
+    """One operation after the other: what stands above it, its own lines, what stands below."""
+    rows = source.splitlines(keepends=True)
+    last = len(rows)
+    where = {o["op_ord"]: o["start_line"] if o["operation"] != "INSERT" else last if o["end_line"] is None else o["end_line"] for o in ops}
+    for o in sorted(ops, key=lambda o: (-where[o["op_ord"]], o["op_ord"])):
+        at, put = where[o["op_ord"]], []
+        above, below = (rows[:at], rows[at:]) if o["operation"] == "INSERT" else (rows[: at - 1], rows[o["end_line"] :])
+        if o["operation"] == "DELETE":
+            below = list(dropwhile(lambda x: not x.strip(), below))
+        else:
+            text = textwrap.indent(textwrap.dedent(o["content"].rstrip("\n")), " " * o["indent"]) + "\n"
+            put = ["\n", text] if o["operation"] == "INSERT" else [text]
+        rows = above + put + below
+    return "".join(rows)
 
 
 def test_apply_equals_sequential(spark):
@@ -38,6 +51,25 @@ def test_apply_equals_sequential(spark):
         assert not own or turn[i] == in_turn(source, own)
 
 
+def test_overlapping_operations_in_turn(spark):
+    rng, files, ops = random.Random(14), [], []
+    for i in range(12):
+        n = rng.randint(2, 9)
+        files.append((i, "".join(rng.choice(["a\n", "  b\n", "\n", "c d\r\n"]) for _ in range(n)) + rng.choice(["", "end"])))
+        n = len(files[-1][1].splitlines())
+        for k in range(rng.randint(0, 4)):
+            at, kind = rng.randint(1, n), rng.choice(["REPLACE", "DELETE", "INSERT"])
+            end = rng.choice([None, at]) if kind == "INSERT" else min(n, at + rng.randint(0, 3))
+            ops.append((i, k, kind, None if kind == "INSERT" else at, end, rng.choice([0, 2]), "put %d\n  in\n" % k))
+    ops.append((99, 0, "DELETE", 1, 1, 0, ""))  # a file that is not there
+    f = spark.createDataFrame([*files, (50, None)], "file_id long, source string")
+    o = spark.createDataFrame(ops, "file_id long, op_ord int, operation string, start_line int, end_line int, indent int, content string")
+    keys = ("op_ord", "operation", "start_line", "end_line", "indent", "content")
+    want = {i: in_turn(source, own) for i, source in files if (own := [dict(zip(keys, x[1:])) for x in ops if x[0] == i])}
+    assert {r["file_id"]: r["source"] for r in delta.apply_sequential(f, o).collect()} == want
+    assert delta.apply_sequential(f, o.limit(0)).count() == 0
+
+
 def test_replace_with_same_text_is_identity(spark):
     f = spark.createDataFrame([(1, "def f():\n    return 1\n\n\ndef g():\n    return 2\n")], "file_id long, source string")
     o = spark.createDataFrame([(1, 0, "REPLACE", 1, 2, 0, "def f():\n    return 1\n")], "file_id long, op_ord int, operation string, start_line int, end_line int, indent int, content string")
@@ -72,8 +104,14 @@ def test_parse_and_validate(spark):
         ("nothing", "zzz", "y", "nothing"),
     ],
 )
-def test_rename(source, old, new, want):
-    assert delta.rename_text(source, old, new) == want
+def test_rename(spark, source, old, new, want):
+    f = spark.createDataFrame([(1, source, old, new), (2, None, old, new)], "file_id long, source string, old_name string, new_name string")
+    assert {r["file_id"]: r["renamed"] for r in delta.rename(f).collect()} == {1: want, 2: None}
+
+
+@pytest.mark.parametrize(("name", "old", "want"), [("HTTPServerName", "server", "HTTPClientName"), ("_my_api_key", "apikey", "_my_client"), ("parseHTTP2Frame", "http2", "parseCLIENTFrame"), ("aBc", "bc", "aClient"), ("abc", "bc", "abc"), ("api_api_key", "api_key", "api_api_key"), ("a__b", "ab", "client")])
+def test_rename_part(name, old, want):
+    assert delta.rename_part(name, old, "client") == want
 
 
 def test_diff_round_trip(spark):
