@@ -50,11 +50,11 @@ def test_query(spark, duck, name):
 def test_deletions_cover_all_suppliers(spark):
     d = DIR.replace("sf0.001", "sf0.01")
     suppliers = {r[0] for r in catalog.table(spark, d, "supplier").select("s_suppkey").collect()}
-    asked = {n: {r[0] for r in catalog.QUERIES[n](spark, d).select("request_id").distinct().collect()} for n in ("delete_candidates_whole", "delete_candidates_fuzzy", "multi_delete_whole")}
-    assert asked["multi_delete_whole"] == suppliers - {max(suppliers)}
+    asked = {n: {r[0] for r in catalog.QUERIES[n](spark, d).select("request_id").distinct().collect()} for n in ("delete_candidates", "delete_candidates_fuzzy", "multi_delete")}
+    assert asked["multi_delete"] == suppliers - {max(suppliers)}
     con = duckdb.connect()
     for t in ("part", "supplier"):
         con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
-    for n in ("delete_candidates_whole", "multi_delete_whole"):
+    for n in ("delete_candidates", "multi_delete"):
         assert rows(catalog.QUERIES[n](spark, d).toPandas()) == rows(con.sql(catalog.ORACLE[n]).df())
     assert len(suppliers) > 20 and all(max(ids) > 20 for ids in asked.values())
