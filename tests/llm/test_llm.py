@@ -223,6 +223,37 @@ def test_codec_queries(docs, odd, rows, library):
     assert bpe_codec.round_trip(odd.limit(0)).count() == token_counts.token_counts(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, " " * 1_500_000 + "a", "\n" * 1_100_000 + "x  ", "x" * 3_000_000, "漢字 かな" * 400_000, "a\t\u2003" * 500_000, ("word " * 3000 + " " * 200_000) * 4], ids=["blanks", "blanks a", "line ends", "letters", "han", "white", "mixed"])
+def test_millions_of_characters(library, text):
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert bpe_codec.Codec().encode(text) == ids and token_counts.merger(None).count(text) == len(ids)
+
+
+def test_long_white_space_in_spark(spark):
+    got = bpe_codec.round_trip(spark.createDataFrame([(1, " " * 1_000_000, "en", "s", 0), (2, " " * 1_000_000 + "a", "en", "s", 0)], SCHEMA)).orderBy("doc_id").collect()
+    assert [r["decoded_sha256"] for r in got] == [hashlib.sha256(x).hexdigest() for x in (b" " * 1_000_000, b" " * 1_000_000 + b"a")]
+
+
+def test_joins_widen_until_both_sides_agree(library):
+    rng = random.Random(21)
+    words = [" ".join(rng.choices(["tion", "the", "12", "it's", "a", "über", "--", "x\n"], k=rng.randint(2, 9))) for _ in range(200)]
+    text = " ".join(words)
+    codec = bpe_codec.Codec(average=16, longest=64)
+    want = library.encode(text, add_special_tokens=False).ids
+    assert codec.encode(text) == want and codec.joined > 20 and codec.widened == 0
+    lying = bpe_codec.Codec(average=16, longest=64)
+    honest = lying._chunk
+
+    def chunk(piece):  # now and then an encoding that is wrong beside its first or its last place
+        c = honest(piece)
+        if c is None or rng.random() < 0.4:
+            return c
+        return c._replace(**{rng.choice(["first", "last"]): b"\x07\0\0\0"})
+
+    lying._chunk = chunk
+    assert lying.encode(text) == want and lying.widened > 10
+
+
 def test_chunks_are_reused():
     rng = random.Random(1)
     passage = " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(2000))
