@@ -96,19 +96,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of a buffer, mixing eight bytes at a time; spans that reach further take further rounds."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: np.uint64 = _STEP) -> np.ndarray:
+    """64-bit hashes of spans of a buffer, mixing eight bytes at a time; spans that reach further take further rounds.
+
+    Another odd `step` gives another hash function.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     padded = np.empty(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
     size = ends - starts
-    out = ((words[starts] & _HEAD[np.minimum(size, 8)]) ^ size.astype(np.uint64)) * _STEP
+    out = ((words[starts] & _HEAD[np.minimum(size, 8)]) ^ size.astype(np.uint64)) * step
     out ^= out >> np.uint64(32)
     more, k = np.flatnonzero(size > 8), 8
     while len(more):
-        h = (out[more] ^ (words[starts[more] + k] & _HEAD[np.minimum(size[more] - k, 8)])) * _STEP
+        h = (out[more] ^ (words[starts[more] + k] & _HEAD[np.minimum(size[more] - k, 8)])) * step
         out[more] = h ^ (h >> np.uint64(29))
         k += 8
         more = more[size[more] > k]
@@ -143,6 +146,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, **keys) -> DataFrame:
+    """One struct column `row` with all columns of docs, and the given key columns: no name of docs can clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
 def ascending(column: str):
     """Order by UTF-8 bytes, that is by code point, null last."""
     return F.col(column).asc_nulls_last()
