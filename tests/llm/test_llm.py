@@ -594,6 +594,33 @@ def test_license_scan(spark, docs, odd, rows):
     assert license_scan.license_scan(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("license = \"MIT OR Apache-2.0\"", {"mit", "apache-2.0"}, 1.0), ("License: see the file", set(), 0.5), ("\"license\": \"GPL-3.0-only\",", {"gpl-3.0-only"}, 0.25), ("# SPDX-License-Identifier: Own-1.0 */ x", {"own-1.0"}, 0.3),
+        ("under Apache 2.0 terms", {"apache"}, 0.95), ("mit anderen Worten", set(), 0.5), ("BSD-3-Clause and cc-by-sa 4.0", {"bsd", "cc-by-sa"}, 0.4), ("License-Expression: (LGPL-2.1-only OR MIT) AND MPL-2.0", {"lgpl-2.1-only", "mit", "mpl-2.0"}, 0.6),
+        ("cc by nc, then cc by", {"cc-by-nc", "cc-by"}, 0.1), ("MIT License: x", {"mit"}, 1.0), ("spdx-license-identifier", set(), 0.5), ("licence", set(), 0.5),
+    ],
+)
+def test_license_labels(text, labels, score):
+    got = license_scan.scan(text.encode())
+    assert got["labels"] == labels and got["score"] == score
+
+
+def test_license_scan_is_linear():
+    import time
+
+    took = {}
+    for text in ("cc by ", "mit license ", "license: mit\n", "license: (", "license: mit "):
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            got = license_scan.scan((text * n).encode())
+            took[text, n] = time.process_time() - began
+            assert got["n_words"] == len(text.replace(":", "").replace("(", "").split()) * n
+        assert took[text, 80_000] < 12 * took[text, 20_000] + 0.2
+    assert len(license_scan.scan(b"mit license " * 80_000)["base"]) == 80_000
+
+
 @pytest.mark.parametrize(
     ("expression", "names", "value"),
     [
