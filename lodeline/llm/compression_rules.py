@@ -1,11 +1,13 @@
 """Quality rules by compression bands.
 
-A text's zstandard ratio (bytes over compressed bytes) is taken over the whole document and over fixed chunks. Repetitive
-text compresses too well, noise too badly. What is normal depends on length, since a compressor learns as it goes, so each
-length class has limits of its own; chunks share one class. A text is rejected if its whole ratio leaves its band or if
-more than `CHUNK_SHARE` of its full chunks leave theirs.
-
-Nulls and edges: a null text has no words, so it fails the base rule; repeated rows and any id stay as they are.
+A text's zstandard ratio (bytes over compressed bytes) is taken over the whole document and over fixed chunks, of which the
+last may be shorter. Repetitive text compresses too well, noise too badly. What is normal depends on length, since a
+compressor learns as it goes, so each length class has limits of its own; a shorter last chunk has those of texts of its
+length. A text is rejected if its whole ratio leaves its band or if more than `CHUNK_SHARE` of its chunks leave theirs.
+
+Nulls and edges: a null text has no words, so it fails the base rule; an empty text has ratio 1 and no chunks; texts of any
+length are read whole; repeated rows and any id stay as they are, columns besides id and text are not looked at, an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,14 +60,23 @@ class Bands:
     def ratio(self, text: bytes) -> float:
         return len(text) / len(self.compress(text)) if text else 1.0
 
+    def inside(self, text: bytes) -> tuple[float, bool]:
+        """The ratio of a text and whether it lies in the band of its length."""
+        ratio = self.ratio(text)
+        least, most = next((lo, hi) for below, lo, hi in self.bands if len(text) < below)
+        return ratio, least <= ratio <= most
+
     def verdict(self, text: bytes) -> tuple[float, int, int, bool]:
-        """(whole ratio, full chunks, chunks outside their band, within limits)."""
-        n = len(text)
-        whole = self.ratio(text)
-        least, most = next((lo, hi) for below, lo, hi in self.bands if n < below)
-        ratios = [self.ratio(text[i : i + self.chunk]) for i in range(0, n - self.chunk + 1, self.chunk)] if n >= 2 * self.chunk else []
-        bad = sum(not self.chunk_band[0] <= r <= self.chunk_band[1] for r in ratios)
-        return whole, len(ratios), bad, least <= whole <= most and bad <= self.chunk_share * len(ratios)
+        """(whole ratio, chunks, chunks outside their band, within limits)."""
+        whole, fine = self.inside(text)
+        if len(text) <= self.chunk:  # the text is its only chunk
+            return whole, int(bool(text)), int(bool(text) and not fine), fine
+        full = len(text) // self.chunk * self.chunk
+        bad = sum(not self.chunk_band[0] <= self.ratio(text[i : i + self.chunk]) <= self.chunk_band[1] for i in range(0, full, self.chunk))
+        if full < len(text):
+            bad += not self.inside(text[full:])[1]
+        chunks = -(-len(text) // self.chunk)
+        return whole, chunks, bad, fine and bad <= self.chunk_share * chunks
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long"

@@ -373,13 +373,44 @@ def brute_rules(text):
     return len(words), sum(c not in SPACE for c in text), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(marked), failed
 
 
-def test_quality_rules(docs, odd, rows):
-    for frame, texts in ((extra(docs), rows), (odd, [(r[0], r[1] or "") for r in ODD])):
-        got = sorted((tuple(r)[:7] for r in compression_rules.quality_rules(frame).collect()), key=repr)
-        assert got == sorted(((i, *brute_rules(t)) for i, t in texts), key=repr)
+def brute_bands(text):
+    """(ratio, chunks, bad chunks, fine) under the stated bands, text after text."""
+    import zstandard
+
+    ratio = lambda b: len(b) / len(zstandard.ZstdCompressor(level=3).compress(b)) if b else 1.0
+    band = lambda n: next((lo, hi) for below, lo, hi in compression_rules.BANDS if n < below)
+    ok = lambda b, limits: limits[0] <= ratio(b) <= limits[1]
+    body, size = text.encode(), compression_rules.CHUNK
+    parts = [body[i : i + size] for i in range(0, len(body), size)]
+    bad = sum(not ok(x, compression_rules.CHUNK_BAND if len(x) == size < len(body) else band(len(x))) for x in parts)
+    return ratio(body), len(parts), bad, ok(body, band(len(body))) and bad <= 0.2 * len(parts)
+
+
+def test_quality_rules(docs, odd, rows, spark):
+    rng = random.Random(18)
+    noise = lambda n: "".join(chr(rng.randrange(0x21, 0x7E)) for _ in range(n))
+    prose = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(2000))
+    mixed = [(i, (prose[i * 7 :][:n] + noise(m))[: n + m], "en", "s", 0) for i, (n, m) in enumerate([(100, 0), (2048, 0), (2047, 1), (4000, 90), (4096, 1500), (5000, 900), (9000, 1500), (300, 300), (0, 600), (10_000, 0)])]
+    for frame, texts in ((extra(docs), rows), (odd, [(r[0], r[1] or "") for r in ODD]), (spark.createDataFrame(mixed, SCHEMA), [r[:2] for r in mixed])):
+        got = sorted((tuple(r) for r in compression_rules.quality_rules(frame).collect()), key=repr)
+        want = []
+        for i, t in texts:
+            base, (ratio, n, bad, fine) = brute_rules(t), brute_bands(t)
+            want.append((i, *base, not base[-1] and fine, ratio, n, bad))
+        assert got == sorted(want, key=repr)
     assert compression_rules.quality_rules(odd.limit(0)).count() == 0
 
 
+def test_tails_are_judged():
+    rng = random.Random(19)
+    prose = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(700))[:2500].encode()
+    judge = compression_rules.Bands()
+    junk = bytes(rng.randrange(0x21, 0x7E) for _ in range(1500))
+    assert judge.verdict(prose)[1:] == (2, 0, True)
+    assert not judge.verdict(prose[:2048] + junk)[3] and judge.verdict(prose[:2048] + junk)[2] == 1
+    assert not judge.verdict(prose[:2048] + b"ab" * 700)[3]
+
+
 def test_compression_bands(spark):
     rng = random.Random(8)
     vocabulary = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(3000)]
