@@ -4,15 +4,16 @@ Grades run from 0 to K. One weight vector over hashed text features is shared by
 t1 < ... < tK turn a score s into P(grade >= k) = sigmoid(s - tk). The sum of these tails is the expected grade; the last
 tail is the chance of the top grade, by which documents are selected.
 
-Features of a text (each counted once): its lower-cased words, their 4- and 5-byte heads, and a few binned shares (distinct
-words, symbols, capitals, digits, word length), all hashed to 2**bits places. `fit` learns on at most `sample` labelled rows, those with
-the smallest hashed ids (that bound is the only sampling here); scoring covers every row.
+Features of a text (each counted once): its lower-cased words and a few binned shares (distinct words, symbols, capitals,
+digits, word length, lines), all hashed to 2**bits places. `fit` learns on at most `sample` labelled rows, one for each of the
+ids whose hashes are smallest (that bound is the only sampling here); scoring covers every row.
 
 The `labels` table gives grades: 0 for low quality, 1 for good but toxic, 2 for good and not toxic.
 
-Nulls and edges: a null text is an empty one and has the bias features only; labels without quality, or without a
-document, are left out, a null toxic counts as 0, several labels of an id count as the lowest; without any labels the
-weights are zero and every document is kept.
+Nulls and edges: a null text is an empty one and has the binned features only; labels without quality, or without a
+document, are left out, a null toxic counts as 0, several labels of an id count as the lowest, and of several rows with one
+id the text with the least hash is learnt from; without any labels the weights are zero and every document is kept. Repeated
+rows are each scored and kept or dropped alike; other columns, whatever their names, pass through `select` unchanged.
 """
 
 from __future__ import annotations
@@ -24,19 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm._batches import blocks, map_arrow, mix64, record, span_hashes, word_spans
+from lodeline.llm._batches import blocks, cut, map_arrow, mix64, record, span_hashes, word_spans
 
-SAMPLE, BITS, TOP_GRADE, LEAST_TAIL = 32000, 18, 2, 0.15
+SAMPLE, BITS, TOP_GRADE, LEAST_TAIL = 32000, 18, 2, 0.35
 #: Standard errors from which on a place's weight is taken as the rows say (see fit_arrays), and the decay of weights.
 SURE, DECAY = 8.0, 1e-5
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[b for b in range(128) if not chr(b).isalnum()]] = True
-_CLASS = np.zeros((5, 256), np.uint8)
-_CLASS[0, [b for b in range(128) if chr(b) in "#*$%&|<>!?@^~=+_{}[]\\/"]] = 1
-_CLASS[1, range(65, 91)] = 1
-_CLASS[2, range(48, 58)] = 1
-_CLASS[3, [b for b in range(128) if chr(b).isalpha()]] = 1
-_CLASS[4, 10] = 1
+#: Two counters a word: symbols and capitals, digits and letters, line ends.
+_PAIRS = np.zeros((3, 256), np.uint64)
+_PAIRS[0, [b for b in range(128) if chr(b) in "#*$%&|<>!?@^~=+_{}[]\\/"]] += np.uint64(1)
+_PAIRS[0, range(65, 91)] += np.uint64(1 << 32)
+_PAIRS[1, range(48, 58)] += np.uint64(1)
+_PAIRS[1, [b for b in range(128) if chr(b).isalpha()]] += np.uint64(1 << 32)
+_PAIRS[2, 10] += np.uint64(1)
 _LOWER_TABLE = np.arange(256, dtype=np.uint8)
 _LOWER_TABLE[65:91] += 32
 
@@ -54,23 +56,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The different values, ascending."""
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(feature places, first place of each row): the distinct hashed features of every text of a buffer."""
     n = len(offsets) - 1
     low = _LOWER_TABLE[data]
     starts, ends, row = word_spans(low, offsets, _SEPARATOR)
-    mask = np.uint64((1 << bits) - 1)
-    kinds = [span_hashes(low, starts, ends)]
-    for k, head in enumerate((4, 5)):
-        kinds.append(span_hashes(low, starts, np.minimum(ends, starts + head)) * np.uint64(2 * k + 3) + np.uint64(k + 1))
-    words = np.bincount(row, minlength=n)
-    hashed = [np.sort((np.uint64(1) << np.uint64(40)) * row.astype(np.uint64) + (mix64(h) & mask)) for h in kinds]
-    both = np.unique(np.concatenate(hashed))
-    distinct = np.bincount((np.unique(hashed[0]) >> np.uint64(40)).astype(np.int64), minlength=n)
-    size = np.maximum(1, np.diff(offsets))
-    sums = [np.concatenate(([0], np.cumsum(c[data], dtype=np.int64))) for c in _CLASS]
-    symbols, capitals, digits, letters, lines = [s[offsets[1:]] - s[offsets[:-1]] for s in sums]
+    mask, shift = np.uint64((1 << bits) - 1), np.uint64(bits)
+    both = _distinct((row.astype(np.uint64) << shift) | (span_hashes(low, starts, ends) & mask))
+    distinct = np.bincount((both >> shift).astype(np.int64), minlength=n)
+    size, words = np.diff(offsets), np.bincount(row, minlength=n)
+    full, sums = np.flatnonzero(size), np.zeros((6, n), np.int64)
+    for k, pair in enumerate(_PAIRS):
+        if len(full):
+            sums[2 * k : 2 * k + 2, full] = np.add.reduceat(pair[data], offsets[full]).view("<u4").reshape(-1, 2).T
+    symbols, capitals, digits, letters, lines, _ = sums
     length = np.minimum(7, np.log2(np.maximum(1, words) / 8).clip(0).astype(np.int64))
+    size = np.maximum(1, size)
     bins = [
         np.zeros(n, np.int64),
         length * 16 + (15 * distinct / np.maximum(1, words)).astype(np.int64),
@@ -78,9 +85,8 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
         np.minimum(31, np.bincount(row, ends - starts, n).astype(np.int64) // np.maximum(1, words)),
         np.minimum(31, 200 * lines // size),
     ]
-    rows = np.arange(n, dtype=np.uint64) << np.uint64(40)
-    binned = [rows + (mix64((b + 1000 * (i + 1)).astype(np.uint64)) & mask) for i, b in enumerate(bins)]
-    every = np.unique(np.concatenate([both, *binned]))
+    rows = np.arange(n, dtype=np.uint64) << shift
+    every = _distinct(np.concatenate([both, *(rows | (mix64((b + 1000 * (i + 1)).astype(np.uint64)) & mask) for i, b in enumerate(bins))]))
     return (every & mask).astype(np.int64), np.searchsorted(every, rows)
 
 
@@ -170,16 +176,16 @@ def _caution(used: np.ndarray, proof: np.ndarray | None) -> np.ndarray:
     return np.ones(len(used)) if proof is None else np.maximum(1, SURE / proof[used]) ** 8
 
 
-def _solve(model: Model, grades: np.ndarray, column: np.ndarray, lengths: np.ndarray, used: np.ndarray, decays: np.ndarray, rounds: int = 120) -> Model:
-    """Fits the model's weights at `used`; a row has `lengths` entries of column, which are positions in used."""
-    n, size, top = len(grades), len(used), len(model.thresholds)
+def objective(grades: np.ndarray, column: np.ndarray, lengths: np.ndarray, size: int, top: int, decays: np.ndarray):
+    """The loss and its gradient as a function of (weights, first threshold, logarithms of the gaps between thresholds)."""
+    n = len(grades)
     count, ends = np.bincount(grades, minlength=top + 1), np.concatenate(([0], np.cumsum(lengths)))
     cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], 1 << 20)), n))
     pieces = [(a, b, slice(ends[a], ends[b])) for a, b in zip(np.append(0, cuts), cuts) if a < b]  # no step needs an array of all entries
     weight = 1.0 / count[grades] / (count > 0).sum()
 
     def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
-        weights, thresholds = x[:size], np.cumsum(np.concatenate((x[size : size + 1], np.exp(np.clip(x[size + 1 :], -8, 8)))))
+        weights, thresholds = x[:size], thresholds_of(x[size:])
         scores = np.concatenate([np.bincount(np.repeat(np.arange(b - a), lengths[a:b]), weights[column[p]], b - a) for a, b, p in pieces])
         tail = 1 / (1 + np.exp(-np.clip(scores[:, None] - thresholds[None, :], -40, 40)))
         full = np.hstack([np.ones((n, 1)), tail, np.zeros((n, 1))])
@@ -194,9 +200,20 @@ def _solve(model: Model, grades: np.ndarray, column: np.ndarray, lengths: np.nda
         gradient[:size] += decays * weights
         return float(-(weight * np.log(gap)).sum() + (decays * weights).dot(weights) / 2), gradient
 
+    return evaluate
+
+
+def thresholds_of(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate((x[:1], np.exp(np.clip(x[1:], -8, 8)))))
+
+
+def _solve(model: Model, grades: np.ndarray, column: np.ndarray, lengths: np.ndarray, used: np.ndarray, decays: np.ndarray, rounds: int = 120) -> Model:
+    """Fits the model's weights at `used`; a row has `lengths` entries of column, which are positions in used."""
+    size, top = len(used), len(model.thresholds)
+    evaluate = objective(grades, column, lengths, size, top, decays)
     x = minimise(evaluate, np.concatenate((np.zeros(size), [-0.5], np.zeros(top - 1))), rounds)
     model.weights[used] = x[:size]
-    model.thresholds = np.cumsum(np.concatenate((x[size : size + 1], np.exp(np.clip(x[size + 1 :], -8, 8)))))
+    model.thresholds = thresholds_of(x[size:])
     model.loss = evaluate(x)[0]
     return model
 
@@ -208,13 +225,15 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, bits: int = BITS, top: int = TOP_GRADE) -> Model:
-    """Fits on the `sample` rows of grades(doc_id, grade) whose hashed ids are smallest.
+    """Fits on at most `sample` rows: one for each of the ids of grades(doc_id, grade) whose hashes are smallest.
 
-    Two passes over those rows: the first counts places by grade on the executors, the second sends the driver only the
-    telling places of each row, some hundreds. Texts never reach the driver.
+    Those rows are written once; two passes over them follow: the first counts places by grade on the executors, the second
+    sends the driver only the telling places of each row, some hundreds. Texts never reach the driver.
     """
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    met = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    labelled = cut(met.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     counts = pa.schema([("grade", pa.int32()), ("place", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
@@ -268,7 +287,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             tails = judge.tails(np.add.reduceat(weights[places].astype(np.float64), first))
             yield record(schema, rows.column(0), tails.sum(axis=1).round(6), tails[:, -1].round(6), tails[:, -1] >= least_tail)
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
+    return map_arrow(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
 def select(docs: DataFrame, model: Model, text_col: str = "text", least_tail: float = LEAST_TAIL) -> DataFrame:

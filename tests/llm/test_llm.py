@@ -458,11 +458,44 @@ def test_classifier_held_out(spark):
 
 def test_classifier_gradient():
     rng = np.random.default_rng(1)
-    grades, width = rng.integers(0, 3, 60), 4
-    places = np.concatenate([np.sort(rng.choice(16, width, replace=False)) for _ in range(60)])
-    a = ordinal.fit_arrays(grades, places, np.arange(0, 240, width), bits=4, telling=np.ones(16, bool))
-    base = a.loss
-    assert base <= np.log(3) + 0.05 and a.thresholds[0] < a.thresholds[1]
+    grades, width = rng.integers(0, 4, 60), 4
+    column = np.concatenate([np.sort(rng.choice(16, width, replace=False)) for _ in range(60)])
+    evaluate = ordinal.objective(grades, column, np.full(60, width), 16, 3, np.full(16, 0.01))
+    x = rng.normal(0, 0.5, 19)
+    got, step = evaluate(x)[1], 1e-6
+    for k in range(19):
+        e = np.eye(19)[k] * step
+        assert abs((evaluate(x + e)[0] - evaluate(x - e)[0]) / (2 * step) - got[k]) < 1e-6
+    weights, edges = x[:16], np.cumsum([x[16], np.exp(x[17]), np.exp(x[18])])  # the loss, row by row
+    tails = [[1.0, *(1 / (1 + np.exp(-(weights[column[4 * i : 4 * i + 4]].sum() - t))) for t in edges), 0.0] for i in range(60)]
+    count = Counter(grades.tolist())
+    loss = -sum(np.log(t[g] - t[g + 1]) / count[g] / len(count) for t, g in zip(tails, grades.tolist())) + 0.005 * (weights**2).sum()
+    assert abs(loss - evaluate(x)[0]) < 1e-9
+    fitted = ordinal.fit_arrays(np.minimum(grades, 2), column, np.arange(0, 240, width), bits=4, telling=np.ones(16, bool))
+    assert fitted.loss <= np.log(3) + 0.05 and fitted.thresholds[0] < fitted.thresholds[1]
+
+
+def test_classifier_features():
+    rng = random.Random(23)
+    texts = ["".join(rng.choices("abAB19.,# é\n", k=rng.choice([0, 1, 5, 60, 400]))) for _ in range(50)]
+    body = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(b) for b in body]))).astype(np.int64)
+    places, first = ordinal.features(np.frombuffer(b"".join(body), np.uint8), offsets)
+    for i, b in enumerate(body):
+        alone, _ = ordinal.features(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+        own = places[first[i] : first[i + 1] if i + 1 < len(body) else None]
+        assert own.tolist() == alone.tolist() == sorted(set(own.tolist()))
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in b)
+        import re
+
+        words = set(re.findall(rb"[0-9A-Za-z\x80-\xff]+", low))
+        assert len(own) <= len(words) + 7 and len(own) >= len(words)
+
+
+def test_classifier_sample_bounds_rows(spark):
+    docs = documents(spark, [(1, f"text {i} of one id", "en", "s", 0) for i in range(300)] + [(2, "other", "en", "s", 0)] * 40 + [(3, None, "en", "s", 0)])
+    grades = spark.createDataFrame([(1, 2), (2, 0), (3, 1)], "doc_id long, grade int")
+    assert ordinal.fit(docs, grades).rows == 3 and ordinal.fit(docs, grades, sample=2).rows == 2
 
 
 def test_classifier_rare_words():
