@@ -1,21 +1,27 @@
 """Mixing sources to target weights by a low-discrepancy schedule; DataFrame and SQL functions only.
 
 Targets: the sources, by code point with null last, weigh 5, 2, 1, 5, 2, 1, ... and share all words of the corpus; a
-source's target stops at `repeat` times its own words and the excess is shared again by weight (water-filling, in closed
-form over the sorted cap-to-weight ratios).
+source's target stops at `repeat` times its own words and the excess is shared again by weight until none is above (each
+round is one aggregation of the sources, of which the driver sees three sums).
 
-Schedule: 2**bits slots stand for equal stretches of the mix. Slot s has the van der Corput point of s (its bits
-reversed, as a fraction), which the cumulative targets map to a source; the slots of a source are ranked in slot order. All
-2**bits points together are an even grid, so a source gets its share of slots to within one.
+Schedule: 2**bits slots stand for equal stretches of the mix. Slot s has the van der Corput point of s (its bits reversed,
+as a fraction), which the cumulative targets map to a source; the slots of a source are ranked in slot order. All 2**bits
+points together are an even grid, so a source gets its share of slots to within one, and any run of slots holds each source
+by its share. `bits` grows with the corpus, so that a slot is at most 2**SLOT_WORDS words.
 
 Blocks: a source's documents are shuffled by a hash and laid end to end on a tape that repeats `repeat` times; block r of a
-source is the r-th stretch of corpus words / 2**bits words (boundaries rounded down). Slot rank joins block number, and a
-document takes the words of the blocks it shares. The blocks after a source's last slot follow until its target is reached,
-and the block that holds the target's end is cut there: a source takes its target to within a word, however few slots it has. Running sums go over (source, hash bucket) first and within a bucket
-after, so that a source that holds a third of all rows is never one task.
+source is the r-th stretch of corpus words / 2**bits words (boundaries rounded down). Slot rank joins block number: a
+document takes the words of the blocks it shares, and the first slot among them is its place in the mix. The blocks after a
+source's last slot follow the schedule until the target is reached, and the block that holds the target's end is cut there:
+a source takes its target to within a word, however few slots it has.
+
+Hot sources: running sums go over (source, stretch of the hash) first and within a stretch after, so that a source that
+holds a third of all rows is never one task; the order on the tape is that of the hashes, whatever the stretches. The
+sources themselves are dealt by range and summed range by range, so that domains may be sources.
 
 Nulls and edges: a null text has size 0 and takes 0 words; a null source is a source; an empty table gives no rows;
-repeated rows are told apart by a running number within equal (id, text hash), so every row takes its own words.
+repeated rows are told apart by a running number within equal (id, text hash), so every row takes its own words; columns
+besides id, text and source are not looked at by `mix` and pass through `mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeline.llm._batches import ascending, cut
+from lodeline.llm._batches import ascending, cut, packed
 
 #: The weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
-REPEAT, BITS, BUCKETS = 3, 16, 256
+#: Rounds of the tape; bits of the schedule at least; bits of the words of a slot at most; stretches of hashes at least.
+REPEAT, BITS, SLOT_WORDS, STRETCHES = 3, 16, 24, 256
 
 
 def size_of(text: Column) -> Column:
@@ -36,95 +43,137 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _before(dealt: DataFrame, total: str) -> DataFrame:
+    """dealt(part, ...) with `before`: the sum of `total` over all rows of lower parts."""
+    sums = dealt.groupBy("part").agg(F.sum(total).alias("sum"))
+    run = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a part
+    return dealt.join(F.broadcast(sums.select("part", F.coalesce(F.sum("sum").over(run), F.lit(0)).alias("before"))), "part")
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, repeat: int = REPEAT) -> DataFrame:
-    """(source, source_size, weight, target, low, high): low and high bound the source on the cumulative target line, from 0 to 1.
+    """(source, source_size, weight, target, start, end, low, high, all_words) of sizes(source, source_size), a row a source.
 
-    sizes: (source, source_size), one row for each source; the two windows run over that table alone.
+    The source has the words from start to end (rounded) of the line of all targets, whose shares are low and high.
     """
-    order = W.orderBy(ascending("source"))
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)).withColumn("cap", F.col("source_size") * F.lit(float(repeat)))
-    by_ratio = W.orderBy(F.col("cap") / F.col("weight"), ascending("source"))
-    whole = W.partitionBy()
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    rest = by_ratio.rowsBetween(0, W.unboundedFollowing)
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    # the level holds from the first source that it doesn't fill; all sources before that one are at their caps
-    filled = weighed.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole))
-    aimed = filled.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))))
-    reached = F.sum("target").over(order.rowsBetween(W.unboundedPreceding, 0)) / F.nullif(F.sum("target").over(whole), F.lit(0.0))
-    lined = aimed.withColumn("high", reached).withColumn("all_words", F.sum("source_size").over(whole))
-    return lined.select("source", "source_size", "weight", "target", F.coalesce(F.lag("high").over(order), F.lit(0.0)).alias("low"), "high", "all_words")
+    by_source = W.partitionBy("part").orderBy(ascending("source"))
+    dealt = sizes.select("source", "source_size").repartitionByRange(min(_tasks(sizes), 200), ascending("source")).withColumn("part", F.spark_partition_id()).withColumn("one", F.lit(1))
+    nth = F.col("before") + F.row_number().over(by_source) - 1
+    listed = _before(cut(dealt), "one").withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (nth % len(weights) + 1).cast("int")))
+    listed = cut(listed.select("part", "source", "source_size", "weight", (F.col("source_size") * repeat).alias("cap")))
+    all_words, rest = listed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    words, capped = all_words, -1
+    while True:
+        full = F.col("cap") * F.lit(rest) <= F.col("weight").cast("decimal(38,0)") * F.lit(words)
+        n, held, weight = listed.where(full).agg(F.count("*"), F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if n == capped:
+            break
+        capped, words, rest = n, all_words - held, listed.where(~full).agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+        if not rest:
+            break
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(words / rest)) if rest else F.col("cap").cast("double")
+    aimed = listed.withColumn("target", target).withColumn("aim", F.round("target").cast("long"))
+    within = F.sum("aim").over(by_source.rowsBetween(W.unboundedPreceding, 0))
+    lined = cut(_before(aimed, "aim").withColumn("end", F.col("before") + within).withColumn("start", F.col("end") - F.col("aim")).drop("part", "before"))
+    line = max(1, lined.agg(F.coalesce(F.max("end"), F.lit(1))).first()[0])
+    return lined.select("source", "source_size", "weight", "target", "start", "end", (F.col("start") / line).alias("low"), (F.col("end") / line).alias("high"), F.lit(line).alias("line"), F.lit(all_words).cast("long").alias("all_words"))
 
 
 def _points(aims: DataFrame, bits: int) -> DataFrame:
     """(source, first, end): the grid points inside a source's stretch of the target line, first included, end not."""
-    n = 1 << bits
-    return aims.select("source", "target", "all_words", F.ceil(F.col("low") * n).alias("first"), F.least(F.lit(n), F.ceil(F.col("high") * n)).alias("end"))
+    up = lambda c: F.expr(f"(cast({c} as decimal(30,0)) * {1 << bits} + line - 1) div line")
+    return aims.select("source", "target", "all_words", up("start").alias("first"), up("end").alias("end"))
 
 
-def _remainders(aims: DataFrame, bits: int) -> DataFrame:
-    """(source, rank): the blocks from a source's number of slots on, up to the one that holds its target's end."""
-    counted = _points(aims, bits).where("target > 0").withColumn("slots", F.greatest(F.lit(0), F.coalesce(F.col("end") - F.col("first"), F.lit(0))))
-    upto = F.floor(F.col("target") * float(1 << bits) / F.col("all_words")).cast("long") + 2
-    return counted.select("source", F.explode(F.sequence("slots", F.greatest("slots", upto))).alias("rank"))
+def _slot(point: str, bits: int) -> Column:
+    """The slot of a grid point: its bits reversed."""
+    return F.conv(F.reverse(F.lpad(F.bin(point), bits, "0")), 2, 10).cast("long")
 
 
 def schedule(aims: DataFrame, bits: int = BITS) -> DataFrame:
     """(slot, source, rank): the source of every slot and the slot's rank among its source's, from 0.
 
     The points inside a source's stretch of the target line are grid points j / 2**bits; their slots are the reversed bits
-    of j, so no join is needed to place them. Ranks are counted within stretches of slots and carried over from the
-    stretches before.
+    of j, so no join is needed to place them.
     """
-    inside = _points(aims, bits).where("end > first")
-    point = inside.select("source", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("point"))
-    slot = F.conv(F.reverse(F.lpad(F.bin("point"), bits, "0")), 2, 10).cast("long")
-    drawn = point.select(slot.alias("slot"), "source").withColumn("stretch", F.shiftright("slot", max(0, bits - 6)))
-    counts = drawn.groupBy("source", "stretch").count()
-    carried = counts.select(F.col("source").alias("of"), F.col("stretch").alias("at"), F.coalesce(F.sum("count").over(W.partitionBy("source").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("carried"))
-    inner = F.row_number().over(W.partitionBy("source", "stretch").orderBy("slot")) - 1
-    return drawn.withColumn("inner", inner).join(carried, F.col("source").eqNullSafe(F.col("of")) & (F.col("stretch") == F.col("at"))).select("slot", "source", (F.col("carried") + F.col("inner")).alias("rank"))
-
-
-def _mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, repeat: int = REPEAT, bits: int = BITS, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, h, source, size, source_size, target, taken) for every row of docs; h hashes id and text."""
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text).alias("size"), F.xxhash64(F.col(id_col), text).alias("h"))
-    rows = cut(rows.withColumn("bucket", F.pmod("h", F.lit(buckets))))  # the texts are read once
-    tape = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")
-    placed = rows.withColumn("to", F.sum("size").over(tape.rowsBetween(W.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(tape))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    aims = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, repeat)
-    starts = sums.withColumn("base", F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("s").join(aims.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
-    starts = starts.select(F.col("s.source").alias("of"), F.col("s.bucket").alias("in"), "base", "source_size", "target", "all_words")
-    laid = placed.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in"))).select("doc_id", "source", "bucket", "h", "nth", "size", "source_size", "target", "all_words", (F.col("base") + F.col("to") - F.col("size")).alias("at"))
-    # the blocks of all rounds of the tape that a document shares, as far as the source's target can reach
-    n = 1 << bits
-    edge = lambda r: F.shiftright(r * F.col("all_words"), bits)
-    begin = F.col("at") + F.col("round") * F.col("source_size")
-    each = laid.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1)))).withColumn("begin", begin)
-    each = each.where(F.col("begin") <= F.col("target") + 2 * F.col("all_words") / n + 2).withColumn("first", F.greatest(F.lit(0), F.floor(F.col("begin") * (n * 1.0) / F.nullif(F.col("all_words"), F.lit(0))) - 1)).withColumn("last", F.floor((F.col("begin") + F.col("size")) * (n * 1.0) / F.nullif(F.col("all_words"), F.lit(0))) + 1)
-    shared = each.withColumn("block", F.explode(F.sequence("first", "last")))
-    overlap = F.least(edge(F.col("block") + 1), F.col("begin") + F.col("size"), F.round("target").cast("long")) - F.greatest(edge(F.col("block")), F.col("begin"))
-    shared = shared.select("source", "bucket", "h", "nth", "block", overlap.alias("words")).where("words > 0")
-    drawn = schedule(aims, bits).select("source", "rank").unionByName(_remainders(aims, bits)).withColumnRenamed("source", "of")
-    taken = shared.join(drawn, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("rank"))).groupBy("source", "bucket", "h", "nth").agg(F.sum("words").alias("taken"))
-    a, b = laid.alias("a"), taken.alias("b")
-    same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.nth") == F.col("b.nth"))
-    return a.join(b, same, "left").select("a.doc_id", "a.h", "a.source", "a.size", "a.source_size", "a.target", F.coalesce("b.taken", F.lit(0)).cast("long").alias("taken"))
+    point = _points(aims, bits).where("end > first").select("source", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("point"))
+    drawn = point.select(_slot("point", bits).alias("slot"), "source")
+    return drawn.select("slot", "source", (F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1).cast("long").alias("rank"))
+
 
+def _remainders(aims: DataFrame, bits: int) -> DataFrame:
+    """(slot, source, rank): the blocks from a source's number of slots on, up to the one that holds its target's end.
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, repeat: int = REPEAT, bits: int = BITS, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of docs."""
-    return _mix(docs, id_col, text_col, source_col, weights, repeat, bits, buckets).drop("h")
+    They go with the slots of the grid points from the one before the source's stretch on, which lie as evenly in the mix.
+    """
+    counted = _points(aims, bits).where("target > 0").withColumn("slots", F.greatest(F.lit(0), F.col("end") - F.col("first")))
+    upto = F.floor(F.col("target") * float(1 << bits) / F.col("all_words")).cast("long") + 2
+    ranks = counted.select("source", "first", "slots", F.explode(F.sequence("slots", F.greatest("slots", upto))).alias("rank"))
+    point = F.pmod(F.col("first") - 1 + F.col("rank") - F.col("slots"), F.lit(1 << bits))
+    return ranks.withColumn("point", point).select(_slot("point", bits).alias("slot"), "source", "rank")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, repeat: int = REPEAT, bits: int = BITS) -> DataFrame:
-    """The mix as whole documents: every row as often as the words taken from it make up its text, rounded; columns unchanged.
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, repeat: int, bits: int | None) -> tuple[DataFrame, int]:
+    """(doc_id, h, nth, source, size, source_size, target, taken, slots) for every row of docs, and the schedule's bits.
 
-    Only the document that the end of its source's target cuts is rounded; a document without words takes none and is left out.
+    h hashes id and text, nth tells rows with one h apart; slots are the first slots of the rounds that it is taken in.
+    """
+    text, doc_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    tasks = _tasks(docs)
+    kept = (max(STRETCHES, 4 * tasks) - 1).bit_length()
+    rows = docs.select(doc_id.alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size_of(text).alias("size"), F.xxhash64(doc_id, text).alias("h"))
+    rows = cut(rows.withColumn("stretch", F.shiftright("h", 64 - kept).cast("int")))  # the texts are read once
+    sums = cut(rows.groupBy("source", "stretch").agg(F.sum("size").alias("words")))
+    aims = cut(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, repeat))
+    if bits is None:
+        bits = max(BITS, (aims.agg(F.coalesce(F.max("all_words"), F.lit(0))).first()[0]).bit_length() - SLOT_WORDS)
+    n = 1 << bits
+    tape = W.partitionBy("source", "stretch").orderBy("h", "doc_id", "size")
+    placed = rows.withColumn("to", F.sum("size").over(tape.rowsBetween(W.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(tape))
+    run = W.partitionBy("source").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.withColumn("base", F.coalesce(F.sum("words").over(run), F.lit(0))).alias("s").join(aims.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
+    starts = starts.select(F.col("s.source").alias("of"), F.col("s.stretch").alias("in"), "base", "source_size", "target", "all_words")
+    document = ["doc_id", "h", "nth", "source", "size", "source_size", "target"]
+    laid = placed.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("stretch") == F.col("in"))).select(*document, "all_words", (F.col("base") + F.col("to") - F.col("size")).alias("at"))
+    # the blocks of all rounds of the tape that a document shares, as far as the source's target can reach
+    edge = lambda r: F.expr(f"(all_words div {n}) * ({r}) + ((all_words % {n}) * ({r})) div {n}")
+    about = lambda c: F.floor(c * (n * 1.0) / F.nullif(F.col("all_words"), F.lit(0)))
+    each = laid.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1)))).withColumn("begin", F.col("at") + F.col("round") * F.col("source_size")).where("begin < round(target)")
+    spread = each.withColumn("block", F.explode(F.sequence(F.greatest(F.lit(0), about(F.col("begin")) - 1), about(F.col("begin") + F.col("size")) + 1)))
+    overlap = F.least(edge("block + 1"), F.col("begin") + F.col("size"), F.round("target").cast("long")) - F.greatest(edge("block"), F.col("begin"))
+    shared = spread.withColumn("words", overlap).where("words > 0")
+    drawn = schedule(aims, bits).unionByName(_remainders(aims, bits)).select("slot", F.col("source").alias("of"), "rank")
+    met = shared.join(drawn, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("rank"))).select(*document, "round", "words", "slot")
+    every = met.unionByName(laid.select(*document, F.lit(0).alias("round"), F.lit(0).cast("long").alias("words"), F.lit(None).cast("long").alias("slot")))
+    slots = F.array_sort(F.array_compact(F.array(*[F.min(F.when(F.col("round") == r, F.col("slot"))) for r in range(repeat)])))
+    return every.groupBy(*document).agg(F.sum("words").alias("taken"), slots.alias("slots")), bits
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, repeat: int = REPEAT, bits: int | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, slot) for every row of docs; slot is its first place in the mix, null
+    if it takes no words."""
+    got, _ = _mix(docs, id_col, text_col, source_col, weights, repeat, bits)
+    return got.select("doc_id", "source", "size", "source_size", "target", "taken", F.array_min("slots").alias("slot"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, repeat: int = REPEAT, bits: int | None = None) -> DataFrame:
+    """The mix as whole documents in the order of the schedule: every row as often as the words taken from it make up its text,
+    rounded, each time at the slot of that round; columns unchanged.
+
+    Only the document that the end of its source's target cuts is rounded, and rows equal in id, text and source, which share
+    what is taken of them alike; a document without words takes none and is left out.
     """
-    times = _mix(docs, id_col, text_col, source_col, weights, repeat, bits).groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.round(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).cast("int").alias("__times")).where("__times > 0")
-    keyed = docs.withColumn("__k", F.xxhash64(F.col(id_col), F.col(text_col)))
-    joined = keyed.join(times, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__h")))
-    return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken, bits = _mix(docs, id_col, text_col, source_col, weights, repeat, bits)
+    times = F.round(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).cast("int")
+    rounds = F.array_sort(F.array_compact(F.array(*[F.min(F.get("slots", F.lit(r))) for r in range(repeat)])))
+    plan = taken.groupBy(F.col("h").alias("of"), F.col("source").alias("from")).agg(times.alias("times"), rounds.alias("slots")).where("times > 0")
+    keyed = packed(docs, h=F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), source=F.col(f"`{source_col}`"))
+    joined = keyed.join(plan, (F.col("h") == F.col("of")) & F.col("source").eqNullSafe(F.col("from")))
+    each = joined.select("row", "h", "slots", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    slot = F.element_at("slots", F.least("copy", F.size("slots")))
+    tasks = _tasks(docs)
+    ordered = each.withColumn("slot", slot).repartitionById(tasks, F.expr(f"cast(slot * {tasks} div {1 << bits} as int)"))
+    return ordered.sortWithinPartitions("slot", "h", "copy").select("row.*")

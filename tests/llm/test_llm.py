@@ -737,7 +737,7 @@ def test_mixing(spark, seed):
 
 @pytest.mark.parametrize("bits", [4, 16])
 def test_mixing_small_sources(spark, bits):
-    rows = [(i, "w " * 3000, "en", "hot", 0) for i in range(60)] + [(100 + i, "w " * (i % 9), "en", f"s{i:02}", 0) for i in range(40)] + [(200 + i, "w " * 900, "en", "mid", 0) for i in range(3)]
+    rows = [(i, "w " * 3000, "en", "hot", 0) for i in range(60)] + [(100 + i, "w " * 3, "en", f"s{i:04}", 0) for i in range(1000)] + [(2000 + i, "w " * 900, "en", "mid", 0) for i in range(3)]
     docs = documents(spark, rows)
     sizes, taken = Counter(), Counter()
     for r in rows:
@@ -760,6 +760,56 @@ def test_schedule_is_low_discrepancy(spark):
         assert all(abs(seen[s] - n * x) < 6 for s, x in shares.items())
 
 
+def brute_mix(rows, bits, weights=(5, 2, 1), repeat=3):
+    """doc_id -> (taken, first slot) with the operator's hashes, the schedule and blocks laid out word by word.
+
+    rows: (doc_id, h, source, size) in the order of h.
+    """
+    sizes = Counter()
+    for _, _, s, n in rows:
+        sizes[s] += n
+    order, total, n = sorted(sizes, key=lambda s: (s is None, (s or "").encode())), sum(sizes.values()), 1 << bits
+    aim = {s: round(float(t)) for s, t in brute_targets(sizes, weights, repeat).items()}
+    line, edges, at = sum(aim.values()), {}, 0
+    for s in order:
+        edges[s] = (at, at + aim[s])
+        at += aim[s]
+    queue = {s: [] for s in order}
+    for slot in range(n):
+        point = int(format(slot, f"0{bits}b")[::-1], 2)
+        for s in order:
+            if edges[s][0] * n <= point * line < edges[s][1] * n:
+                queue[s].append(slot)
+    for s in order:
+        first = -(-edges[s][0] * n // line)
+        queue[s] += [int(format((first - 1 + k) % n, f"0{bits}b")[::-1], 2) for k in range(aim[s] * n // total + 3)]
+    out = {i: [0, None] for i, *_ in rows}
+    for s in order:
+        tape = [i for i, _, q, m in rows if q == s for _ in range(m)] * repeat
+        block = 0
+        for word, i in enumerate(tape[: aim[s]]):
+            while (block + 1) * total // n <= word:
+                block += 1
+            slot = queue[s][block]
+            out[i][0] += 1
+            out[i][1] = slot if out[i][1] is None else min(out[i][1], slot)
+    return {i: tuple(x) for i, x in out.items()}
+
+
+@pytest.mark.parametrize("bits", [5, 9])
+def test_mix_follows_the_schedule(spark, bits):
+    rng = random.Random(bits)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 40, 200])), "en", rng.choice([None, "", "a", "é", "hot", "hot", "hot"]), 0) for i in range(90)]
+    docs = documents(spark, rows)
+    laid = [(r["doc_id"], r["h"], r["source"], len(r["text"].split())) for r in docs.withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h").collect()]
+    want = brute_mix(laid, bits)
+    got = {r["doc_id"]: (r["taken"], r["slot"]) for r in mixing.mix(docs, bits=bits).collect()}
+    assert got == want and len({x for _, x in got.values()}) > 10
+    mixed = [r["doc_id"] for r in mixing.mixed_documents(docs, bits=bits).collect()]
+    once = [i for k, i in enumerate(mixed) if i not in mixed[:k]]
+    assert [want[i][1] for i in once] == sorted(want[i][1] for i in once) and len(mixed) > len(once) > 20  # in the order of the schedule
+
+
 def test_mixing_edges(odd, spark):
     got = mixing.mix(odd).collect()
     assert len(got) == len(ODD) and all(r["taken"] <= 3 * r["size"] for r in got)
