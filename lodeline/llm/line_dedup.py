@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeline.llm._batches import blocks, cut, map_arrow, mix64, record, release, span_hashes, word_spans
+from lodeline.llm._batches import blocks, cut, map_arrow, mix64, packed, record, release, span_hashes, word_spans
 
 LEAST, COUNTERS = 0.8, 20
 _LAST = 2**63 - 1
@@ -42,8 +42,8 @@ _KINDS = (np.uint64,) * 6 + (np.uint32,) * 2
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 class _Lines:
@@ -384,9 +384,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A document all of whose worded lines go is left out; one that never had any stays as it is.
     """
-    got = line_matches(docs, id_col, text_col, least).where("size(removed) > 0").select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("removed").alias("__removed"), (F.col("n_lines") == F.size("removed")).alias("__all"))
-    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__i", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
-    joined = keyed.join(got, (F.col("__i") == F.col("__id")) & (F.col("__h") == F.col("__th")), "left").where("not coalesce(__all, false)")
-    pieces = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains("__removed", p["i"]))
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(pieces, lambda p: p["x"]), "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    got = line_matches(docs, id_col, text_col, least).where("size(removed) > 0").select(F.col("id").alias("of"), F.col("th").alias("of_th"), "removed", (F.col("n_lines") == F.size("removed")).alias("whole"))
+    text = F.col(f"`{text_col}`")
+    keyed = packed(docs, id=F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)), th=F.xxhash64(F.coalesce(text, F.lit(""))))
+    joined = keyed.join(got, (F.col("id") == F.col("of")) & (F.col("th") == F.col("of_th")), "left").where("not coalesce(whole, false)")
+    body = F.col("row").getField(text_col)
+    pieces = F.filter(F.transform(F.split(body, "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains("removed", p["i"]))
+    left = F.when(F.col("removed").isNull(), body).otherwise(F.array_join(F.transform(pieces, lambda p: p["x"]), "\n"))
+    return joined.select(*[left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -293,13 +293,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def select(docs: DataFrame, model: Model, text_col: str = "text", least_tail: float = LEAST_TAIL) -> DataFrame:
     """The rows of docs, all columns unchanged, whose chance of the top grade is at least `least_tail`."""
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds, model.bits))
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches):
         weights, thresholds, bits = held.value
         judge = Model(weights, thresholds, bits)
-        for rows, data, offsets in blocks(batches, text_col):
+        for rows, data, offsets in blocks(batches, f"c{at}"):
             places, first = features(data, offsets, bits)
             tails = judge.tails(np.add.reduceat(weights[places].astype(np.float64), first))
-            yield rows.filter(pa.array(tails[:, -1] >= least_tail))
+            yield pa.RecordBatch.from_arrays(rows.columns, names=names).filter(pa.array(tails[:, -1] >= least_tail))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(docs.toDF(*[f"c{i}" for i in range(len(names))]), run, docs.schema)

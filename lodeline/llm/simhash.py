@@ -10,8 +10,13 @@ The range-join lays the embedded points on projected grids. The segments form `G
 over those groups. Candidates meet in a cell, are kept where the lower bound allows, then verified on the fingerprints,
 all inside the join condition: a pair leaves the join once (from the first grid that holds it) and only if it is a link.
 
+Only different fingerprints are joined, copies are never paired. Their number of links is bounded: a fingerprint has at most
+43744 others within three bits, however many documents there are, and at most 128 lie within three bits of each other.
+
 Nulls and edges: a null text is an empty one, whose fingerprint is zero and is linked like any other; a null id keeps its
-row (it joins the component of its fingerprint, and is never the smallest id unless all are null); repeated rows stay.
+row (it joins the component of its fingerprint, and is never the smallest id unless all are null); repeated rows stay in
+`near_duplicates`, and `keep_one` keeps one of them; columns besides id and text, whatever their names, pass through
+`keep_one`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeline.llm._batches import cut, lower_ascii, map_arrow, record, texts
+from lodeline.llm._batches import cut, lower_ascii, map_arrow, packed, record, texts
 from lodeline.llm.components import connected_components
 
 #: Fixed values of the fingerprint: shingle width and hash seed.
@@ -72,8 +77,8 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, fp): the text's hash and a signed 64-bit fingerprint for every row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     return map_arrow(source, _fingerprints, "doc_id long, th long, fp long")
 
 
@@ -102,7 +107,9 @@ def links(points: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) ->
     grids = list(combinations(range(groups), keep))
     number = {g: i for i, g in enumerate(grids)}
     cells = F.array(*[F.struct(F.lit(i).cast("short").alias("grid"), F.col("e").bitwiseAND(F.lit(_signed(sum(masks[g] for g in grid)))).alias("cell")) for i, grid in enumerate(grids)])
-    placed = points.select("fp", embed(F.col("fp")).alias("e")).select("fp", F.explode(cells).alias("c")).select("fp", "c.grid", "c.cell")
+    # dealt anew, as few tasks may hold the points and each gives a row a grid
+    dealt = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    placed = dealt.select("fp", embed(F.col("fp")).alias("e")).select("fp", F.explode(cells).alias("c")).select("fp", "c.grid", "c.cell")
     # for each set of agreeing groups (as bits) the grid that reports the pair: the one over the first agreeing groups
     first = [-1] * (1 << groups)
     for bits in range(1 << groups):
@@ -138,9 +145,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """The rows of docs with one document of each component, the one with the smallest id (null last); columns unchanged."""
-    last = F.lit(2**63 - 1)
-    kept = near_duplicates(docs, id_col, text_col, distance).groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "th")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th"))
-    keyed = docs.withColumn("__i", F.coalesce(F.col(id_col).cast("long"), last)).withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(kept, (F.col("__i") == F.col("__id")) & (F.col("__h") == F.col("__th")))
-    once = joined.withColumn("__n", F.row_number().over(W.partitionBy("__id", "__th").orderBy("__i"))).where("__n = 1")
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    last, text = F.lit(2**63 - 1), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    best = near_duplicates(docs, id_col, text_col, distance).groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "th")).alias("k"))
+    kept = best.select(F.col("k.id").alias("of"), F.col("k.th").alias("of_th"))
+    keyed = packed(docs, id=F.coalesce(F.col(f"`{id_col}`").cast("long"), last), th=F.xxhash64(text))
+    joined = keyed.join(kept, (F.col("id") == F.col("of")) & (F.col("th") == F.col("of_th")))
+    return joined.withColumn("nth", F.row_number().over(W.partitionBy("id", "th").orderBy("of"))).where("nth = 1").select("row.*")

@@ -1,16 +1,43 @@
-"""Each stage of the pipeline against its brute-force version, and the whole run."""
+"""Each stage of the pipeline against its brute-force version, its edge cases, and the whole run."""
 
+import hashlib
 import os
+from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_llm import brute_components, brute_fingerprint, brute_lines
+from lodeline.llm import mixing
+from tests.llm.test_llm import CLASHING, ODD, SCHEMA, brute_components, brute_fingerprint, brute_lines, brute_mix
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
 
 
+def words(text):
+    return len((text or "").encode().split())
+
+
+def brute_copies(spark, docs, bits=mixing.BITS):
+    """How often each document of docs (ids are unique) stands in the mix, and its first slot."""
+    laid = [(r["doc_id"], r["h"], r["source"], words(r["text"])) for r in docs.withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h").collect()]
+    size = {i: n for i, _, _, n in laid}
+    return {i: (int(taken / size[i] + 0.5), slot) for i, (taken, slot) in brute_mix(laid, bits).items() if size[i]}
+
+
+def brute_round_trip(texts):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    library, out = Tokenizer.from_file(path("byte_bpe_50k.json")), []
+    for i, t in texts:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        out.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    return out
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
@@ -31,7 +58,33 @@ def test_stages(spark):
     assert sorted(r["doc_id"] for r in one.collect()) == sorted(set(groups.values()))
     mixed = corpus_pipeline.mix(spark, one, DIR)
     assert mixed.schema == docs.schema
-    texts = dict(want)
-    assert all(texts[r["doc_id"]] == r["text"] for r in mixed.collect())
-    final = corpus_pipeline.encode(spark, mixed, DIR)
-    assert final.count() == mixed.count() == corpus_pipeline.run(spark, DIR).count()
+    texts, copies = dict(want), brute_copies(spark, one)
+    mixed = mixed.cache()
+    got = [(r["doc_id"], r["text"]) for r in mixed.collect()]
+    assert Counter(got) == Counter({(i, texts[i]): n for i, (n, _) in copies.items() if n})
+    first = list(dict.fromkeys(i for i, _ in got))
+    assert [copies[i][1] for i in first] == sorted(copies[i][1] for i in first)
+    trips = sorted(brute_round_trip(got))
+    assert sorted(map(tuple, corpus_pipeline.encode(spark, mixed, DIR).collect())) == trips
+    assert sorted(map(tuple, corpus_pipeline.run(spark, DIR).collect())) == trips
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_edges_of_stages(spark, stage):
+    """Nulls in any column, empty and long texts, repeated rows, an empty table, and a column for every inner name."""
+    f = dict(corpus_pipeline.STAGES)[stage]
+    plain = spark.createDataFrame(ODD, SCHEMA)
+    named = plain
+    for c in CLASHING:
+        named = named.withColumn(c, F.lit(f"own {c}"))
+    a, b = f(spark, plain, DIR), f(spark, named, DIR)
+    if stage == corpus_pipeline.STAGES[-1][0]:
+        assert a.columns == b.columns and Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect())) and a.count() == len(ODD)
+    else:
+        assert a.schema == plain.schema and b.schema == named.schema
+        rows = b.collect()
+        assert Counter(map(tuple, a.collect())) == Counter(tuple(r[c] for c in plain.columns) for r in rows)
+        assert all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+    assert f(spark, named.limit(0), DIR).count() == 0
+    nothing = spark.createDataFrame([(None, None, None, None, None)] * 3, SCHEMA)
+    assert f(spark, nothing, DIR).count() <= 3
