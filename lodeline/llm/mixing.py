@@ -60,10 +60,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, repeat: int = REPEAT) -> DataFram
     The source has the words from start to end (rounded) of the line of all targets, whose shares are low and high.
     """
     by_source = W.partitionBy("part").orderBy(ascending("source"))
-    dealt = sizes.select("source", "source_size").repartitionByRange(min(_tasks(sizes), 200), ascending("source")).withColumn("part", F.spark_partition_id()).withColumn("one", F.lit(1))
+    dealt = sizes.select("source", "source_size").repartitionByRange(max(1, _tasks(sizes) // 8), ascending("source")).withColumn("part", F.spark_partition_id()).withColumn("one", F.lit(1))
     nth = F.col("before") + F.row_number().over(by_source) - 1
     listed = _before(cut(dealt), "one").withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (nth % len(weights) + 1).cast("int")))
-    listed = cut(listed.select("part", "source", "source_size", "weight", (F.col("source_size") * repeat).alias("cap")))
+    listed = listed.select("part", "source", "source_size", "weight", (F.col("source_size") * repeat).alias("cap"))
     all_words, rest = listed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
     words, capped = all_words, -1
     while True:
@@ -77,7 +77,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, repeat: int = REPEAT) -> DataFram
     target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(words / rest)) if rest else F.col("cap").cast("double")
     aimed = listed.withColumn("target", target).withColumn("aim", F.round("target").cast("long"))
     within = F.sum("aim").over(by_source.rowsBetween(W.unboundedPreceding, 0))
-    lined = cut(_before(aimed, "aim").withColumn("end", F.col("before") + within).withColumn("start", F.col("end") - F.col("aim")).drop("part", "before"))
+    lined = _before(aimed, "aim").withColumn("end", F.col("before") + within).withColumn("start", F.col("end") - F.col("aim")).drop("part", "before")
     line = max(1, lined.agg(F.coalesce(F.max("end"), F.lit(1))).first()[0])
     return lined.select("source", "source_size", "weight", "target", "start", "end", (F.col("start") / line).alias("low"), (F.col("end") / line).alias("high"), F.lit(line).alias("line"), F.lit(all_words).cast("long").alias("all_words"))
 
@@ -126,7 +126,7 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights,
     kept = (max(STRETCHES, 4 * tasks) - 1).bit_length()
     rows = docs.select(doc_id.alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size_of(text).alias("size"), F.xxhash64(doc_id, text).alias("h"))
     rows = cut(rows.withColumn("stretch", F.shiftright("h", 64 - kept).cast("int")))  # the texts are read once
-    sums = cut(rows.groupBy("source", "stretch").agg(F.sum("size").alias("words")))
+    sums = rows.groupBy("source", "stretch").agg(F.sum("size").alias("words"))
     aims = cut(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, repeat))
     if bits is None:
         bits = max(BITS, (aims.agg(F.coalesce(F.max("all_words"), F.lit(0))).first()[0]).bit_length() - SLOT_WORDS)
