@@ -2,17 +2,22 @@
 
 A text is cut at content-defined places into short blocks. Over each block all documents share one random walk: at step j
 the walk writes the character class under its cursor and moves on by one (from a block's end to its start) or stays, as a
-random bit for (j, class) says. Two
-blocks at a small edit distance soon walk in step again, so their walks differ at few places: edit distance has become
-Hamming distance. A component of the fingerprint samples a few places of the walk (bit sampling, so that walks at a small
-Hamming distance mostly agree on the sample) and keeps the least hash of the samples over all blocks of the text. The share
-of equal components estimates the likeness of two texts. Blocks keep an insertion from shifting all that follows it, and let
-texts of any length be walked side by side.
+random bit for (j, class) says. Two blocks at a small edit distance soon walk in step again, so their walks differ at few
+places: edit distance has become Hamming distance.
 
-`near_documents` bands the components, compares the different fingerprints of each bucket, and verifies by likeness.
+The embedding of a text has COMPONENTS coordinates. A coordinate samples a few places of the walks (bit sampling, so that
+walks at a small Hamming distance mostly agree on the sample) and takes the least hash of the samples over all blocks of the
+text, of which the fingerprint holds 16 bits. The Hamming distance of two fingerprints is the number of coordinates that
+differ, and their likeness the share that agree. A walk over a whole text would be the same idea without blocks; it isn't
+taken, as its steps cannot be done side by side, so a long text holds up a task, and as sampled places of texts of different
+lengths don't correspond.
+
+`near_documents` bands the coordinates, compares the different fingerprints of each bucket, and verifies by likeness.
 
 Nulls and edges: a null text is an empty one; empty texts share one fingerprint (likeness 1 among themselves); in the order
-of documents null ids come last and equal ids are told apart by their text's hash; equal texts have equal fingerprints.
+of documents null ids come last and equal ids are told apart by their text's hash; equal texts have equal fingerprints;
+repeated rows stay, columns besides id and text are not looked at, an empty table gives no rows, and a single document is
+its own next one.
 """
 
 from __future__ import annotations
@@ -114,9 +119,14 @@ def as_text(sketch: np.ndarray) -> str:
     return (mix64(sketch) >> np.uint64(48)).astype(">u2").tobytes().hex()
 
 
+def hamming(a: str, b: str) -> int:
+    """The coordinates in which two fingerprints differ."""
+    return sum(a[i : i + 4] != b[i : i + 4] for i in range(0, len(a), 4))
+
+
 def likeness(a: str, b: str) -> float:
-    """Share of equal components of two fingerprints."""
-    return sum(a[i : i + 4] == b[i : i + 4] for i in range(0, len(a), 4)) / (len(a) // 4)
+    """The share of equal coordinates of two fingerprints."""
+    return 1 - hamming(a, b) / (len(a) // 4)
 
 
 def sketches(texts: list[str], budget: int = 400_000) -> list[str]:
@@ -180,66 +190,99 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - third] + after[:third]
 
 
+def _range_of(bounds: np.ndarray, place: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """The range of each (place, tie), ascending in that order; a place that is several bounds has as many ranges, by tie."""
+    low, high = np.searchsorted(bounds, place, "left"), np.searchsorted(bounds, place, "right")
+    share = ((tie.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)).astype(np.int64)
+    return np.where(high > low, low + 1 + ((high - low) * share >> 32), high)
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, hamming_edited, hamming_next) for
+    every row.
 
     The edited text has its last third replaced by the start of the next document in descending id (after the last one:
-    the first). Documents are dealt by ranges of ids, and the first document of each range goes to the range before as
-    well, so neighbours meet with one shuffle of the (compressed) texts and no task sees more than its ranges. The driver
-    sees two numbers for each range.
+    the first). Documents are dealt by ranges of (id, text hash), so that one id, or null, may hold many rows, and the first
+    document of each range goes to the range before as well: neighbours meet with one shuffle of the (compressed) texts and
+    no task sees more than its ranges. The driver sees some numbers for each range.
     """
     n = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    place = (-F.col("doc_id")).alias("place")  # ascends as the order does; null comes last
-    ids = source.select(place)
-    found = ids.agg(F.percentile_approx("place", F.array(*[F.lit(i / n) for i in range(n)]), F.lit(10 * n)).alias("b")).first()["b"]
-    bounds = np.array(sorted(set(found or [])), np.int64)
-
-    def dealt(batches):
+    text = F.col(f"`{text_col}`")
+    # ascends as the order does; null comes last
+    place = F.coalesce(F.bitwise_not(F.col(f"`{id_col}`").cast("long")), F.lit(_LAST))
+    source = docs.select(place.alias("place"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
+    found = docs.select(place.alias("place")).agg(F.percentile_approx("place", F.array(*[F.lit(i / n) for i in range(1, n)] or [F.lit(0.5)]), F.lit(10 * n)).alias("b")).first()["b"]
+    bounds = np.array(sorted(found or []), np.int64)
+
+    def heads(batches):
+        best: dict[int, tuple[int, int]] = {}
         for b in batches:
-            at = np.searchsorted(bounds, b.column(0).fill_null(0).to_numpy(zero_copy_only=False), "right")
-            at = np.where(b.column(0).is_null().to_numpy(zero_copy_only=False), len(bounds) + 1, at)
-            yield pa.record_batch([b.column(0), pa.array(at.astype(np.int32))], names=["place", "at"])
-
-    heads = {r["at"]: r["head"] for r in map_arrow(ids, dealt, "place long, at int").groupBy("at").agg(F.min("place").alias("head")).collect()}
-    full = sorted(heads)
+            place, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
+            at = _range_of(bounds, place, tie)
+            order = np.lexsort((tie, place, at))
+            first = order[np.flatnonzero(np.diff(at[order], prepend=-1))] if len(order) else order
+            for k, p, q in zip(at[first].tolist(), place[first].tolist(), tie[first].tolist()):
+                best[k] = min(best.get(k, (p, q)), (p, q))
+        for k, (p, q) in best.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([p]), pa.array([q])], names=["at", "place", "tie"])
+
+    got = map_arrow(source.select("place", "tie"), heads, "at int, place long, tie long").groupBy("at").agg(F.min(F.struct("place", "tie")).alias("head"))
+    head = {r["at"]: tuple(r["head"]) for r in got.collect()}
+    full = sorted(head)
     before = {r: full[i - 1] for i, r in enumerate(full)}
     dealt_schema = pa.schema([("at", pa.int32()), ("copy", pa.bool_()), ("place", pa.int64()), ("tie", pa.int64()), ("doc_id", pa.int64()), ("body", pa.binary())])
 
     def deal(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
+        copied = set()  # of equal rows one is enough in the range before
         for b in batches:
             out = [[] for _ in dealt_schema]
-            for doc_id, tie, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                place = None if doc_id is None else -doc_id
-                at = len(bounds) + 1 if place is None else int(np.searchsorted(bounds, place, "right"))
+            ranges_ = _range_of(bounds, b.column(0).to_numpy(), b.column(1).to_numpy()).tolist()
+            for at, place, tie, doc_id, text in zip(ranges_, *(b.column(i).to_pylist() for i in range(4))):
                 body = pack((text or "").encode())
-                for r, copy in ((at, False), (before[at], True))[: 1 + (place == heads[at])]:
+                kinds = [(at, False)]
+                if head[at] == (place, tie) and at not in copied:
+                    copied.add(at)
+                    kinds.append((before[at], True))
+                for r, copy in kinds:
                     for column, value in zip(out, (r, copy, place, tie, doc_id, body)):
                         column.append(value)
             yield record(dealt_schema, *out)
 
-    tied = source.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
-    rows = map_arrow(tied, deal, "at int, copy boolean, place long, tie long, doc_id long, body binary")
-    rows = rows.repartition(max(1, n // 4), "at").sortWithinPartitions("at", "copy", F.col("place").asc_nulls_last(), "tie").select("copy", "doc_id", "body")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    rows = map_arrow(source, deal, "at int, copy boolean, place long, tie long, doc_id long, body binary")
+    rows = rows.repartition(max(1, n // 4), "at").sortWithinPartitions("at", "copy", "place", "tie").select("at", "copy", "doc_id", "body")
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+        ("hamming_edited", pa.int64()), ("hamming_next", pa.int64()),
+    ])
+
+    def judged(rows: list[tuple[int, bool, int, str]]):
+        # a range ends with a copy of the next one's head; of several copies the first counts
+        pairs = [(x, y) for x, y in zip(rows, rows[1:]) if not x[1] and x[0] == y[0]]
+        changed = [edited(x[3], y[3]) for x, y in pairs]
+        prints = sketches([r[3] for r in rows])
+        own = [(p, q) for x, y, p, q in zip(rows, rows[1:], prints, prints[1:]) if not x[1] and x[0] == y[0]]
+        new = sketches(changed)
+        far, next_ = [hamming(p, e) for (p, _), e in zip(own, new)], [hamming(p, q) for p, q in own]
+        share = lambda d: 1 - d / COMPONENTS
+        return record(
+            schema, [x[2] for x, _ in pairs], [len(x[3]) for x, _ in pairs], [hashlib.sha256(t.encode()).hexdigest() for t in changed],
+            [p for p, _ in own], new, list(map(share, far)), list(map(share, next_)), far, next_,
+        )
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        held: list[tuple[bool, int, str]] = []  # the row whose next one is yet to come
+        held: list[tuple[int, bool, int, str]] = []  # its last row's next one is yet to come
+        size = 0
         for b in batches:
-            rows = held + [(c, i, unpack(t).decode()) for c, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())]
-            pairs = [(x, y) for x, y in zip(rows, rows[1:]) if not x[0]]
-            held = rows[-1:]
-            if not pairs:
-                continue
-            changed = [edited(x[2], y[2]) for x, y in pairs]
-            prints = sketches([r[2] for r in rows])
-            own = [(p, q) for x, p, q in zip(rows, prints, prints[1:]) if not x[0]]
-            new = sketches(changed)
-            yield record(
-                schema, [x[1] for x, _ in pairs], [len(x[2]) for x, _ in pairs], [hashlib.sha256(t.encode()).hexdigest() for t in changed],
-                [p for p, _ in own], new, [likeness(p, e) for (p, _), e in zip(own, new)], [likeness(p, q) for p, q in own],
-            )
-
-    return map_arrow(rows, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            for at, copy, doc_id, body in zip(*(b.column(i).to_pylist() for i in range(4))):
+                text = unpack(body).decode()
+                held.append((at, copy, doc_id, text))
+                size += len(text)
+                if size > 4_000_000 and len(held) > 1:
+                    yield judged(held)
+                    held, size = held[-1:], len(text)
+        if len(held) > 1:
+            yield judged(held)
+
+    return map_arrow(rows, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, hamming_edited long, hamming_next long")

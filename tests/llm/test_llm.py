@@ -272,15 +272,67 @@ def test_chunks_are_reused():
 
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
+def brute_sketch(text):
+    """The fingerprint of a text, block after block and step after step, with the module's random numbers only."""
+    e, word, long_ = edit_fingerprint, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF
+
+    def mix(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & long_
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 & long_
+        return x ^ x >> 33
+
+    classes = [mix(ord(c)) >> 56 for c in text]
+    rolled = [c * 0x9E3779B1 & word for c in classes]
+    for s, k in ((1, 7), (2, 13), (4, 19)):
+        rolled = [h if i < s else (h ^ ((rolled[i - s] << k | rolled[i - s] >> 32 - k) & word)) * 0x85EBCA6B & word for i, h in enumerate(rolled)]
+    ends = sorted({i + 1 for i, h in enumerate(rolled) if (h ^ h >> 15) * 0xC2B2AE35 & word < 2**32 // e.BLOCK and i + 1 >= 8} | ({len(text)} if text else set()))
+    blocks, last = [], 0
+    for end in ends:
+        while end - last > e.LONGEST:
+            blocks.append(classes[last : last + e.LONGEST])
+            last += e.LONGEST
+        blocks.append(classes[last:end])
+        last = end
+    least = [long_] * e.COMPONENTS
+    for block in blocks:
+        walk, at = [], 0
+        for j in range(e.STEPS):
+            walk.append(block[at])
+            at += int(e._MOVE[j][block[at]])
+            if at >= len(block):
+                at = 0
+        for k in range(e.COMPONENTS):
+            x = 0
+            for j in e._AT[k].tolist():
+                x = (x << 8 | walk[j]) & word
+            x = (x + k & word) * int(e._SALT[k]) & long_
+            x ^= x >> 29
+            x = x * 0xBF58476D1CE4E5B9 & long_
+            x ^= x >> 32
+            least[k] = min(least[k], x)
+    return "".join(f"{mix(x) >> 48:04x}" for x in least)
+
+
+def test_sketches_against_brute_force(rows):
+    rng = random.Random(24)
+    texts = [t for _, t in rows[:25]] + ["", "a", "x" * 300, "漢字かな" * 40, "".join(rng.choices("abcdefgh \n", k=3000))]
+    want = [brute_sketch(t) for t in texts]
+    assert edit_fingerprint.sketches(texts) == want and edit_fingerprint.sketches(texts, budget=50) == want
+
+
 def test_edited_fingerprints(docs, rows, spark):
-    order = sorted(rows, reverse=True)
+    order, prints = sorted(rows, reverse=True), {}
+    sketch = lambda t: prints.get(t) or prints.setdefault(t, brute_sketch(t))
     want = {}
     for k, (i, text) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
         n = len(text) // 3
         new = text[: len(text) - n] + after[:n]
-        f, e, q = edit_fingerprint.sketches([text, new, after])
-        want[i] = (i, len(text), hashlib.sha256(new.encode()).hexdigest(), f, e, edit_fingerprint.likeness(f, e), edit_fingerprint.likeness(f, q))
+        f, e, q = map(sketch, (text, new, after))
+        apart = lambda a, b: sum(a[j : j + 4] != b[j : j + 4] for j in range(0, 256, 4))
+        want[i] = (i, len(text), hashlib.sha256(new.encode()).hexdigest(), f, e, 1 - apart(f, e) / 64, 1 - apart(f, q) / 64, apart(f, e), apart(f, q))
     for ranges in (1, 3, 50):
         got = {r["doc_id"]: tuple(r) for r in edit_fingerprint.edited_fingerprints(extra(docs), ranges=ranges).collect()}
         assert got == want
@@ -288,6 +340,22 @@ def test_edited_fingerprints(docs, rows, spark):
     assert edit_fingerprint.edited_fingerprints(one).first()["edited_sha256"] == hashlib.sha256(b"abc def abc").hexdigest()
 
 
+def test_edited_fingerprints_of_one_id(spark):
+    rng = random.Random(25)
+    texts = ["".join(rng.choices("abcdef ", k=rng.randint(0, 60))) for _ in range(120)]
+    rows = [(None if k % 3 else 7, t, "en", "s", 0) for k, t in enumerate(texts)] + [(i, f"text {i}", "en", "s", 0) for i in range(20, 30)] + [(-(2**63), "least", "en", "s", 0), (2**63 - 1, "most", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    hashed = docs.withColumn("tie", F.xxhash64("text")).collect()
+    order = sorted(((2**63 - 1 if r["doc_id"] is None else ~r["doc_id"], r["tie"], r["text"]) for r in hashed))
+    after = lambda k: order[(k + 1) % len(order)][2]
+    want = Counter(hashlib.sha256((t[: len(t) - len(t) // 3] + after(k)[: len(t) // 3]).encode()).hexdigest() for k, (_, _, t) in enumerate(order))
+    for ranges in (2, 16):
+        assert Counter(r["edited_sha256"] for r in edit_fingerprint.edited_fingerprints(docs, ranges=ranges).collect()) == want
+    bounds = np.array([5, 9, 9, 9, 12])
+    at = edit_fingerprint._range_of(bounds, np.array([4, 5, 9, 9, 9, 10, 13]), np.array([0, 0, -(2**63), 0, 2**63 - 1, 0, 0]))
+    assert at.tolist() == [0, 1, 2, 3, 4, 4, 5]
+
+
 def test_walks_follow_edits():
     rng = random.Random(2)
     text = " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(600))
