@@ -7,8 +7,6 @@ still processed whole. A null text counts as an empty one in every operator.
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -87,6 +85,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _I
     return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
+class Seen:
+    """Remembers 64-bit keys in a table of fixed size: what it calls seen was seen, what it forgot counts as new."""
+
+    def __init__(self, bits: int = 18):
+        self.table, self.filled, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, bool), np.uint64((1 << bits) - 1)
+
+    def fresh(self, keys: np.ndarray) -> np.ndarray:
+        """Which of these different keys are new; they are remembered."""
+        keys = keys.view(np.uint64)
+        at = (mix64(keys) & self.mask).astype(np.int64)
+        out = ~self.filled[at] | (self.table[at] != keys)
+        self.table[at], self.filled[at] = keys, True
+        return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit words."""
     x = x ^ (x >> np.uint64(33))
@@ -118,23 +131,24 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: np
     return mix64(out)
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    Only where that setting is absent (tests, a laptop) a folder below the warehouse is used.
+    Only where that setting is absent (tests, a laptop) a folder below the warehouse is used. The shuffle files of the plan
+    that is cut are of no use any more: Spark's own setting deletes them when the checkpoint is written.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         _own_checkpoints(spark)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more, rather than at its next half-hourly sweep."""
-    for _ in range(3):  # what one collection finds unused lets the next one find more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+    before = spark.conf.get(_FREE)
+    spark.conf.set(_FREE, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_FREE, before)
 
 
 def _own_checkpoints(spark: SparkSession) -> None:

@@ -112,6 +112,30 @@ def test_line_links(docs, rows):
     assert sum(links.values()) == 2 * want and by_doc == sum(links[k] * n for k, n in held.items())
 
 
+@pytest.mark.parametrize("limits", [line_dedup.Limits(), line_dedup.Limits(large=4, neighbours=2, held=3000, fair=5), line_dedup.Limits(large=7, neighbours=5, fair=1)], ids=["usual", "small", "odd"])
+def test_hot_words(spark, limits):
+    rng = random.Random(31)
+    rows = []
+    base = [f"r{k}" for k in range(12)]
+    for i in range(70):  # one large group of near copies, and lines that share hot words without being alike
+        line = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            line[rng.randrange(12)] = f"x{rng.randrange(40)}"
+        other = ["hot1", "hot2", "hot3", *(f"y{rng.randrange(400)}" for _ in range(rng.randint(0, 6)))]
+        rows.append((i, " ".join(line) + "\n" + " ".join(other), "en", "s", 0))
+    docs = documents(spark, rows)
+    gone, _ = brute_lines([r[:2] for r in rows])
+    got = line_dedup.line_matches(docs, limits=limits).collect()
+    assert {r["id"]: r["removed"] for r in got if r["removed"]} == dict(gone)
+    every = [(i, frozenset(x.split())) for i, t, *_ in rows for x in t.split("\n")]
+    kinds = {tuple(sorted(x.split())) for _, t, *_ in rows for x in t.split("\n")}
+    want = Counter()
+    for i, t, *_ in rows:
+        for x in t.split("\n"):
+            want[i] += sum(k != tuple(sorted(x.split())) and 5 * len(set(k) & set(x.split())) >= 4 * len(set(k) | set(x.split())) for k in kinds)
+    assert {r["id"]: r["n_links"] for r in got} == {i: want[i] for i, *_ in rows} and len(every) == 140 and sum(want.values()) > 500
+
+
 def test_line_dedup_edges(odd, spark):
     got = [(r["doc_id"], r["n_lines"], r["removed"]) for r in line_dedup.report(odd).collect()]
     assert sorted(got, key=repr) == sorted([(1, 0, ""), (2, 0, ""), (None, 2, "1"), (3, 1, ""), (4, 2, "1"), (5, 0, ""), (6, 1, ""), (7, 0, "")], key=repr)
