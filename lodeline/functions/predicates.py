@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as t
@@ -96,6 +96,16 @@ def test_candidates(path: Column) -> Column:
     return F.array(F.concat(under, test), F.concat(under, after), F.concat(under, F.lit("tests/"), test), F.concat(under, F.lit("tests/"), after), F.concat(F.lit("tests/"), under, test), F.concat(F.lit("tests/"), test))
 
 
+def narrowed_test_target(edits: DataFrame, files: DataFrame) -> DataFrame:
+    """edits(run_id, file, test_target) with `target`: the default "." becomes the first test file of the edited one that is there
+    among files(path), else its folder; a target that was asked for stays."""
+    asked = edits.where("test_target = '.'").select("run_id", "file", F.posexplode(test_candidates(F.col("file"))).alias("preference", "path"))
+    found = asked.join(files.select("path").distinct(), "path", "left_semi").groupBy("run_id", "file").agg(F.min_by("path", "preference").alias("found"))
+    folder = F.nullif(F.regexp_extract("file", r"^(.*)/[^/]*$", 1), F.lit(""))
+    narrowed = F.when(F.col("test_target") == ".", F.coalesce("found", folder, "test_target")).otherwise(F.col("test_target"))
+    return edits.join(found, ["run_id", "file"], "left").select(*edits.columns, narrowed.alias("target"))
+
+
 def trivial_delegate(lines: Column, start: Column, end: Column, indent: Column, parent: Column, name: Column) -> Column:
     """A module-level symbol of two or three worded lines whose body calls parent.name( ."""
     body = F.filter(t.line_slice(lines, start, end), lambda x: F.trim(x) != "")

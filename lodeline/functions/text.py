@@ -96,10 +96,14 @@ def compress_patterns() -> list[tuple[str, str]]:
 
 
 def compress(text: Column) -> Column:
-    """Articles, then fillers, are dropped with the blanks behind them, blanks and tabs collapsed, ends trimmed."""
+    """Articles, then fillers, are dropped with the blanks behind them, blanks and tabs collapsed, ends trimmed.
+
+    A text that would lose or gain a protected word by that stays as it is.
+    """
+    short = text
     for pattern, put in compress_patterns():
-        text = F.regexp_replace(text, pattern, put)
-    return text
+        short = F.regexp_replace(short, pattern, put)
+    return F.when(words_preserved(text, short), short).otherwise(text)
 
 
 def protected_words(text: Column) -> Column:

@@ -59,6 +59,30 @@ def operations(parsed: DataFrame) -> DataFrame:
     return flat.select("run_id", "op_ord", "o.operation", "o.target.file", "o.target.symbol_type", "o.target.symbol_name", "o.target.anchor", "o.content")
 
 
+#: How a definition opens, in the languages that have symbols.
+DEFINITION = (
+    r"(?m)^\s*(?:(?:export|default|public|private|protected|internal|static|async|final|abstract|sealed|data|open|override|inline|unsafe|pub)\s+)*"
+    r"(?:def|class|function|func|fn|fun|sub|struct|interface|trait|enum)\s+(?:\([^)]*\)\s*)?(?:self\.)?([A-Za-z_]\w*)"
+)
+
+
+def definition(content: Column) -> Column:
+    """The first name that a snippet defines, or null."""
+    return F.nullif(F.regexp_extract(F.coalesce(content, F.lit("")), DEFINITION, 1), F.lit(""))
+
+
+def annotated(checked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Validated operations with line_range(start, end, after_line), and an INSERT's name corrected to what its content defines.
+
+    checked: as validate_targets gives it; sizes(file, n_lines). An INSERT without an anchor goes after the last line.
+    """
+    insert = F.col("operation") == "INSERT"
+    after = F.when(insert, F.coalesce("end_line", "n_lines"))
+    span = F.struct(F.when(~insert, F.col("start_line")).alias("start"), F.when(~insert, F.col("end_line")).alias("end"), after.alias("after_line"))
+    name = F.when(insert, F.coalesce(definition(F.col("content")), "symbol_name")).otherwise(F.col("symbol_name"))
+    return checked.join(sizes, "file", "left").withColumn("line_range", span).withColumn("symbol_name", name).drop("n_lines")
+
+
 def validate_targets(ops: DataFrame, symbols: DataFrame, shown: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """ops with status, error, symbol_id and the target's span.
 
@@ -69,7 +93,7 @@ def validate_targets(ops: DataFrame, symbols: DataFrame, shown: DataFrame | None
     name = F.when(F.col("operation") == "INSERT", F.col("anchor")).otherwise(F.col("symbol_name"))
     spans = symbols.groupBy("file", "symbol_type", F.col("name").alias("wanted")).agg(F.count("*").alias("n"), F.min(F.struct("symbol_id", "start_line", "end_line", "indent")).alias("hit"))
     met = ops.withColumn("wanted", name).join(spans, ["file", "symbol_type", "wanted"], "left")
-    defined = F.regexp_extract(F.coalesce("content", F.lit("")), r"(?m)^\s*(?:async\s+def|def|class)\s+(\w+)", 1)
+    defined = definition(F.col("content"))
     taken = symbols.select("file", "symbol_type", F.col("name").alias("defined")).distinct().withColumn("taken", F.lit(True))
     met = met.withColumn("defined", F.when(F.col("operation") == "INSERT", defined)).join(taken, ["file", "symbol_type", "defined"], "left")
     if shown is not None:
@@ -187,6 +211,16 @@ def parse_block_response(response: Column) -> Column:
     return F.transform(F.arrays_zip(names.alias("n"), bodies.alias("b")), lambda x: F.struct(F.trim(x["n"]).alias("name"), x["b"].alias("content")))
 
 
+def block_outcomes(answers: DataFrame, expected: DataFrame) -> DataFrame:
+    """(run_id, status, missing, blocks) of answers(run_id, response) against expected(run_id, name): a block that the response
+    never has makes the run GENERATION_INCOMPLETE, else it is ok and blocks(run_id) hold the new contents by name."""
+    got = answers.select("run_id", F.explode(parse_block_response(F.col("response"))).alias("b")).select("run_id", "b.*").groupBy("run_id", "name").agg(F.last("content").alias("content"))
+    met = expected.join(got, ["run_id", "name"], "left")
+    gone = F.array_join(F.sort_array(F.collect_list(F.when(F.col("content").isNull(), F.col("name")))), ", ")
+    every = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("name", "content")))))
+    return met.groupBy("run_id").agg(gone.alias("missing"), every.alias("blocks")).select("run_id", F.when(F.col("missing") == "", "ok").otherwise("GENERATION_INCOMPLETE").alias("status"), "missing", "blocks")
+
+
 def rename_words(source: Column, old: str, new: str) -> Column:
     """Whole-word occurrences of an identifier replaced; the same word boundaries in Java and RE2."""
     edge = r"[^\p{L}\p{N}_]"
@@ -252,14 +286,23 @@ def rename_sweep(files: DataFrame, ops: DataFrame) -> DataFrame:
 
     files(file_id, source); ops with file_id, symbol_name, start_line, end_line, content.
     """
-    new = F.regexp_extract("content", r"(?m)^\s*(?:async\s+def|def|class)\s+(\w+)", 1)
-    asked = ops.where("operation = 'REPLACE'").withColumn("new_name", new).where("new_name <> '' and new_name <> symbol_name").join(files, "file_id")
+    asked = ops.where("operation = 'REPLACE'").withColumn("new_name", definition(F.col("content"))).where("new_name <> symbol_name").join(files, "file_id")
     lines = t.split_lines(F.col("source"))
     outside = F.array_join(F.concat(t.line_slice(lines, F.lit(1), F.col("start_line") - 1), t.line_slice(lines, F.col("end_line") + 1, F.size(lines))), "\n")
     still = F.array_contains(F.regexp_extract_all(outside, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.col("symbol_name"))
     return asked.where(still).select("file_id", F.col("symbol_name").alias("old_name"), "new_name")
 
 
+def swept(changed: DataFrame, sweeps: DataFrame) -> DataFrame:
+    """changed(file_id, source) after the renames of sweeps(file_id, old_name, new_name), one after the other by old name."""
+    order = W.partitionBy("file_id").orderBy("old_name", "new_name")
+    turns = cut(sweeps.distinct().withColumn("turn", F.row_number().over(order)))
+    for k in range(1, (turns.agg(F.max("turn")).first()[0] or 0) + 1):
+        now = rename(changed.join(turns.where(F.col("turn") == k).drop("turn"), "file_id"))
+        changed = cut(changed.join(now, "file_id", "left").select("file_id", F.coalesce("renamed", "source").alias("source")))
+    return changed
+
+
 def diffs(pairs: DataFrame) -> DataFrame:
     """pairs(file_id, path, before, after) with the unified diff and the change ratio: changed lines over lines before (1 at least)."""
 
@@ -303,6 +346,6 @@ def orphaned_imports(before: Column, after: Column, rest: Column) -> Column:
 
 
 def cross_file_impact(renames: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(file_id, old_name, caller_id, caller_file): callers of renamed names in other files."""
+    """(file_id, old_name, caller_id, caller_file): callers in other files of the renamed names of renames(file_id, file, old_name)."""
     callers = symbols.select(F.col("symbol_id").alias("caller_id"), F.col("file").alias("caller_file"))
-    return renames.join(edges, renames.old_name == edges.callee_name).join(callers, "caller_id").where(F.col("caller_file") != F.col("file_id").cast("string")).select("file_id", "old_name", "caller_id", "caller_file")
+    return renames.join(edges, renames.old_name == edges.callee_name).join(callers, "caller_id").where("caller_file <> file").select("file_id", "old_name", "caller_id", "caller_file")

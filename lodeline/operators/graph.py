@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from lodeline.plans.lineage import cut
 
 # Damping, tolerance and the most iterations.
 DAMPING, TOLERANCE, ITERATIONS = 0.85, 1e-6, 100
+#: Nodes, and links, of a graph that a task may hold: some 30 MB.
+SMALL_GRAPH = 500_000
 
 
 def call_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -39,14 +43,50 @@ def local_called_by(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return best.groupBy(F.col("callee_id").alias("symbol_id")).agg(F.count_distinct("caller_id").alias("called_by_count"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = None, requests: DataFrame | None = None, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float | None = TOLERANCE, every: int = 5) -> DataFrame:
+def _by_request(nodes: DataFrame, links: DataFrame, personal: DataFrame | None, requests: DataFrame, damping: float, iterations: int, tolerance: float | None, every: int) -> DataFrame:
+    """The ranks of a graph of at most SMALL_GRAPH nodes and links, which every task holds as arrays: a request is a row."""
+    spark = nodes.sparkSession
+    names = pd.Index([r["node"] for r in nodes.collect()])
+    got = links.toPandas()
+    held = spark.sparkContext.broadcast((names, names.get_indexer(got["src"]), names.get_indexer(got["dst"]), got["share"].to_numpy()))
+    asked = requests.select("request_id").distinct()
+    if personal is None:
+        asked = asked.withColumn("named", F.lit(None).cast(f"array<{nodes.schema['node'].dataType.simpleString()}>"))
+    else:
+        known = personal.join(nodes, "node", "left_semi").groupBy("request_id").agg(F.collect_set("node").alias("named"))
+        asked = asked.join(known, "request_id", "left")
+
+    def run(frames):
+        names, src, dst, share = held.value
+        n = len(names)
+        loose = np.ones(n, bool)
+        loose[src] = False
+        for f in frames:
+            for request, named in zip(f["request_id"], f["named"]):
+                restart = np.full(n, 1.0 / n)
+                if named is not None and len(named):
+                    restart = np.zeros(n)
+                    restart[names.get_indexer(list(named))] = 1.0 / len(named)
+                rank = np.full(n, 1.0 / n)
+                for i in range(iterations):
+                    old = rank
+                    rank = damping * (np.bincount(dst, old[src] * share, n) + old[loose].sum() / n) + (1 - damping) * restart
+                    if tolerance is not None and (i + 1) % every == 0 and np.abs(rank - old).sum() < tolerance:
+                        break
+                yield pd.DataFrame({"request_id": request, "node": names, "rank": rank})
+
+    types = f"request_id {requests.schema['request_id'].dataType.simpleString()}, node {nodes.schema['node'].dataType.simpleString()}, rank double"
+    return asked.mapInPandas(run, types)
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = None, requests: DataFrame | None = None, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float | None = TOLERANCE, every: int = 5, small: int = SMALL_GRAPH) -> DataFrame:
     """(request_id, node, rank): weights are shares of what leaves a node, nodes without an exit give to all alike, and the walk
     restarts at personal(request_id, node), or anywhere if a request names none.
 
     nodes(node), edges(src, dst, weight); without `requests` there is one, numbered 0. Repeated edges add up and edges to
-    unknown nodes are left out. A step is one join on the source and one aggregation by (request, node); lineage is cut every
-    few steps, and the driver sees one number, the largest change of any request. tolerance None: exactly `iterations` steps.
-    Fewer than two nodes: no rows.
+    unknown nodes are left out. A step is one join on the source and one aggregation by (request, node), in which what arrives
+    and what every node keeps meet; every step is written, as the next reads it twice, and every few steps the driver sees one number, the largest change of any request. tolerance None: exactly `iterations` steps.
+    Fewer than two nodes: no rows. A graph of at most `small` nodes and links is held by every task, which then steps alone.
     """
     spark = nodes.sparkSession
     requests = spark.range(1).select(F.col("id").alias("request_id")) if requests is None else requests
@@ -59,6 +99,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = No
     leaving = links.groupBy("src").agg(F.sum("weight").alias("leaving"))
     links = cut(links.join(leaving, "src").select("src", "dst", (F.col("weight") / F.col("leaving")).alias("share")))
     exits = links.select(F.col("src").alias("node")).distinct().withColumn("exits", F.lit(True))
+    if n <= small and links.count() <= small:
+        return _by_request(nodes, links, personal, requests, damping, iterations, tolerance, every)
     base = requests.select("request_id").distinct().crossJoin(nodes).join(exits, "node", "left")
     if personal is not None:
         counts = personal.groupBy("request_id").agg(F.count("*").alias("named"))
@@ -67,19 +109,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = No
     else:
         restart = F.lit(1.0 / n)
     base = cut(base.select("request_id", "node", restart.alias("restart"), F.coalesce("exits", F.lit(False)).alias("exits")))
-    ranks = base.select("request_id", "node", F.lit(1.0 / n).alias("rank"))
+    ranks = base.withColumn("rank", F.lit(1.0 / n))
+    stay = base.select("request_id", "node", F.lit(0.0).alias("arrived"), "restart", "exits")
     for i in range(iterations):
-        arrived = ranks.join(links, ranks.node == links.src).groupBy("request_id", F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("arrived"))
-        dangling = ranks.join(base.where("not exits").select("request_id", "node"), ["request_id", "node"], "left_semi").groupBy("request_id").agg(F.sum("rank").alias("loose"))
-        step = base.join(arrived, ["request_id", "node"], "left").join(dangling, "request_id", "left")
-        new = step.select("request_id", "node", (damping * (F.coalesce("arrived", F.lit(0.0)) + F.coalesce("loose", F.lit(0.0)) / n) + (1 - damping) * F.col("restart")).alias("rank"))
-        checks = (i + 1) % every == 0
-        if checks or i + 1 == iterations:
-            new = cut(new)
-        if checks and tolerance is not None:
+        moved = ranks.join(links, ranks.node == links.src).select("request_id", F.col("dst").alias("node"), (F.col("rank") * F.col("share")).alias("arrived"), F.lit(None).cast("double").alias("restart"), F.lit(None).cast("boolean").alias("exits"))
+        loose = ranks.groupBy("request_id").agg(F.sum(F.when(~F.col("exits"), F.col("rank")).otherwise(0.0)).alias("loose"))
+        step = moved.unionByName(stay).groupBy("request_id", "node").agg(F.sum("arrived").alias("arrived"), F.max("restart").alias("restart"), F.max("exits").alias("exits")).join(loose, "request_id")
+        new = step.select("request_id", "node", "restart", "exits", (damping * (F.col("arrived") + F.col("loose") / n) + (1 - damping) * F.col("restart")).alias("rank"))
+        new = cut(new)  # each step is read twice by the next one
+        if (i + 1) % every == 0 and tolerance is not None:
             old = ranks.select("request_id", "node", F.col("rank").alias("old"))
             change = new.join(old, ["request_id", "node"]).groupBy("request_id").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("c")).agg(F.max("c")).first()[0]
             if change is None or change < tolerance:
-                return new
+                return new.select("request_id", "node", "rank")
         ranks = new
-    return ranks
+    return ranks.select("request_id", "node", "rank")

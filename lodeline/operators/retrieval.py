@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from lodeline.functions import text as t
 from lodeline.operators.graph import pagerank
 from lodeline.plans.joins import small
+from lodeline.plans.lineage import cut
 
 # BM25's constants, fusion's constant, the confidence ladder, and the gate of the optional call graph.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -63,37 +66,39 @@ def request_words(requests: DataFrame, words: Column) -> DataFrame:
 
 
 def symbol_ranking(requests: DataFrame, symbols: DataFrame, k: int | None = 10) -> DataFrame:
-    """5 for the name standing in the request, one for each request word in the name, one for each in the first doc line."""
-    asked = request_words(requests, t.words(F.col("text")))
-    tokens = requests.select("request_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("word"))
-    named = symbols.select("symbol_id", F.explode(t.words(F.col("name"))).alias("word"))
-    described = symbols.select("symbol_id", F.explode(t.words(F.col("docstring_first_line"))).alias("word"))
-    literal = symbols.select("symbol_id", F.lower("name").alias("word"))
-    hits = (
-        literal.join(tokens, "word").select("request_id", "symbol_id", F.lit(5.0).alias("s"))
-        .unionByName(named.join(asked, "word").select("request_id", "symbol_id", F.lit(1.0).alias("s")))
-        .unionByName(described.join(asked, "word").select("request_id", "symbol_id", F.lit(1.0).alias("s")))
-    )
-    scored = hits.groupBy("request_id", "symbol_id").agg(F.sum("s").alias("score"))
-    return top_k(scored.join(_ordinals(symbols), "symbol_id"), k).select("request_id", "symbol_id", "score", "rank")
+    """5 for the name standing in the request, one for each request word in the name, one for each in the first doc line.
+
+    Each symbol gives its words, with what they are worth, in one pass; tokens and words of a request are told apart.
+    """
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    tagged = lambda words, token: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(token).alias("token")))
+    asked = requests.select("request_id", F.explode(F.concat(tagged(t.words(F.col("text")), False), tagged(tokens, True))).alias("q")).select("request_id", "q.*")
+    worth = lambda words, token, s: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(token).alias("token"), F.lit(s).alias("s")))
+    offered = F.concat(worth(F.array(F.lower("name")), True, 5.0), worth(t.words(F.col("name")), False, 1.0), worth(t.words(F.col("docstring_first_line")), False, 1.0))
+    hits = symbols.select("symbol_id", "ordinal", F.explode(offered).alias("o")).select("symbol_id", "ordinal", "o.*").join(small(asked), ["word", "token"])
+    return top_k(hits.groupBy("request_id", "symbol_id", "ordinal").agg(F.sum("s").alias("score")), k).select("request_id", "symbol_id", "score", "rank")
 
 
 def body_ranking(requests: DataFrame, symbols: DataFrame, k: int | None = 3, drop_containers: bool = True) -> DataFrame:
     """The number of the request's content words in a symbol's source; a symbol around another hit of its file gives way."""
     asked = request_words(requests, t.content_words(F.col("text")))
-    bodies = symbols.select("symbol_id", F.explode(t.words(F.col("source"))).alias("word"))
-    scored = bodies.join(small(asked), "word").groupBy("request_id", "symbol_id").agg(F.count("*").cast("double").alias("score"))
-    scored = scored.join(symbols.select("symbol_id", "ordinal", "file", "start_line", "end_line"), "symbol_id")
+    place = ["ordinal", "file", "start_line", "end_line"]
+    bodies = symbols.select("symbol_id", *place, F.explode(t.words(F.col("source"))).alias("word"))
+    scored = bodies.join(small(asked), "word").groupBy("request_id", "symbol_id", *place).agg(F.count("*").cast("double").alias("score"))
     if drop_containers:
-        inner = scored.select("request_id", "file", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-        around = (F.col("o.request_id") == F.col("i.request_id")) & (F.col("o.file") == F.col("i.file")) & (F.col("start_line") <= F.col("s")) & (F.col("e") <= F.col("end_line")) & ((F.col("start_line") != F.col("s")) | (F.col("e") != F.col("end_line")))
-        scored = scored.alias("o").join(inner.alias("i"), around, "left_anti")
+        # by start, longer spans first: what a hit contains follows it, and some of it ends by the hit's end if the least
+        # end behind it does; spans that are equal contain each other but give no way
+        order = W.partitionBy("request_id", "file").orderBy("start_line", F.desc("end_line"))
+        spans = scored.select("request_id", "file", "start_line", "end_line").distinct()
+        least = F.min("end_line").over(order.rowsBetween(1, W.unboundedFollowing))
+        around = spans.withColumn("least", least).where("least <= end_line").drop("least")
+        scored = scored.join(around, ["request_id", "file", "start_line", "end_line"], "left_anti")
     return top_k(scored, k).select("request_id", "symbol_id", "score", "rank")
 
 
 def _tokens(symbols: DataFrame, document: Column | None) -> DataFrame:
     document = t.bm25_document(F.col("name"), F.col("docstring_first_line"), F.col("source")) if document is None else document
-    return symbols.select("symbol_id", t.bm25_tokens(document).alias("tokens"))
+    return symbols.select("symbol_id", "ordinal", t.bm25_tokens(document).alias("tokens"))
 
 
 def bm25_postings(symbols: DataFrame, document: Column | None = None) -> DataFrame:
@@ -104,29 +109,32 @@ def bm25_postings(symbols: DataFrame, document: Column | None = None) -> DataFra
 def bm25_stats(symbols: DataFrame, document: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """((n, avgdl), (word, df, idf)): negative idfs are EPSILON times the mean idf of the vocabulary.
 
-    Document frequencies are pre-aggregated where the documents are read; only (word, count) rows are shuffled.
+    One pass over the documents: each gives a row a different word and one, without a word, with its length; they are
+    added up where the documents are read, so that only (word, count) rows move. The vocabulary is written once and read
+    for the totals, the mean and the words.
     """
-    tokens = _tokens(symbols, document)
-    corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(corpus)).select("word", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+    marked = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("word"), F.size("tokens").alias("dl"))), F.transform(F.array_distinct("tokens"), lambda w: F.struct(w.alias("word"), F.lit(0).alias("dl"))))
+    counted = cut(_tokens(symbols, document).select(F.explode(marked).alias("m")).groupBy("m.word").agg(F.count("*").alias("df"), F.sum("m.dl").alias("length")))
+    corpus = counted.where("word is null").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    raw = counted.where("word is not null").crossJoin(F.broadcast(corpus)).select("word", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return corpus, raw.crossJoin(F.broadcast(mean)).select("word", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_ranking(requests: DataFrame, symbols: DataFrame, k: int | None = 10, document: Column | None = None) -> DataFrame:
+def bm25_ranking(requests: DataFrame, symbols: DataFrame, k: int | None = 10, document: Column | None = None, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """BM25 over names, doc lines and sources; scores above zero only.
 
-    Tokens are cut down to the requests' words where they are read, so the corpus itself is not shuffled.
+    Tokens are cut down to the requests' words where they are read, so the corpus itself is not shuffled. stats: those of
+    bm25_stats, where several rankings share them.
     """
-    corpus, idf = bm25_stats(symbols, document)
+    corpus, idf = stats or bm25_stats(symbols, document)
     asked = requests.select("request_id", F.explode(t.bm25_tokens(F.col("text"))).alias("word")).groupBy("request_id", "word").agg(F.count("*").alias("qf"))
-    vocabulary = asked.select("word").distinct()
-    hits = _tokens(symbols, document).select("symbol_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("word")).join(small(vocabulary), "word").groupBy("symbol_id", "dl", "word").agg(F.count("*").alias("tf"))
-    asked = asked.join(idf.join(small(vocabulary), "word", "left_semi"), "word")
+    weighed = small(asked.join(idf.select("word", "idf"), "word"))  # without a document's word nothing is found
+    vocabulary = weighed.select("word").distinct()
+    hits = _tokens(symbols, document).select("symbol_id", "ordinal", F.size("tokens").alias("dl"), F.explode("tokens").alias("word")).join(small(vocabulary), "word").groupBy("symbol_id", "ordinal", "dl", "word").agg(F.count("*").alias("tf"))
     weight = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(asked, "word").crossJoin(F.broadcast(corpus)).groupBy("request_id", "symbol_id").agg(F.round(F.sum(weight), 9).alias("score")).where("score > 0")
-    return top_k(scored.join(_ordinals(symbols), "symbol_id"), k).select("request_id", "symbol_id", "score", "rank")
+    scored = hits.join(weighed, "word").crossJoin(F.broadcast(corpus)).groupBy("request_id", "symbol_id", "ordinal").agg(F.round(F.sum(weight), 9).alias("score")).where("score > 0")
+    return top_k(scored, k).select("request_id", "symbol_id", "score", "rank")
 
 
 def unit_vector(vector: Column) -> Column:
@@ -136,17 +144,81 @@ def unit_vector(vector: Column) -> Column:
     return F.transform(wide, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
 
 
+#: Vectors of a block of the product of requests and symbols.
+BLOCK = 4096
+
+
+def _blocks(vectors: DataFrame, name: str) -> DataFrame:
+    """(<name>_ids, <name>_ordinals, <name>) of vectors(id, ordinal, vector): blocks of unit vectors of one length, as packed arrays."""
+    schema = pa.schema([(f"{name}_ids", pa.binary()), (f"{name}_ordinals", pa.binary()), (name, pa.binary())])
+
+    def run(batches):
+        waiting: dict[int, list] = {}
+        for batch in batches:
+            for id_, ordinal, v in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if v is None or id_ is None or None in v:
+                    continue
+                held = waiting.setdefault(len(v), [])
+                held.append((id_, ordinal, v))
+                if len(held) == BLOCK:
+                    yield packed(waiting.pop(len(v)))
+        for held in waiting.values():
+            yield packed(held)
+
+    def packed(held):
+        ids, ordinals, vectors_ = zip(*held)
+        matrix = np.array(vectors_, np.float64)
+        norm = np.sqrt((matrix**2).sum(axis=1, keepdims=True))
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), np.array(ordinals, np.int64).tobytes(), (matrix / np.where(norm == 0, 1, norm)).tobytes())], schema=schema)
+
+    return vectors.mapInArrow(run, f"{name}_ids binary, {name}_ordinals binary, {name} binary")
+
+
 def vector_ranking(requests: DataFrame, symbols: DataFrame, k: int | None = 10, exclude_self: bool = False) -> DataFrame:
     """Cosine of the `embedding` columns of requests(request_id, embedding) and symbols(symbol_id, embedding), best first.
 
-    The requests are a stated query set against all vectors: they are broadcast only while they are few, else Spark plans
-    the join in blocks.
+    The requests are a stated query set against all vectors, in blocks: each pair of blocks is one matrix product that
+    leaves k rows a request (all, if k is None), and those are ranked together. Null vectors are left out; vectors of
+    different lengths do not meet.
+    """
+    ordinal = F.col("ordinal") if "ordinal" in symbols.columns else F.col("symbol_id")
+    asked = _blocks(requests.select(F.col("request_id").cast("long").alias("id"), F.lit(0).alias("ordinal"), "embedding"), "q")
+    stored = _blocks(symbols.select(F.col("symbol_id").cast("long").alias("id"), ordinal.cast("long").alias("ordinal"), "embedding"), "v")
+    schema = pa.schema([("request_id", pa.int64()), ("symbol_id", pa.int64()), ("ordinal", pa.int64()), ("score", pa.float64())])
+
+    def run(batches):
+        for batch in batches:
+            for qi, _, q, vi, vo, v in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                qi, vi, vo = (np.frombuffer(x, np.int64) for x in (qi, vi, vo))
+                q, v = np.frombuffer(q).reshape(len(qi), -1), np.frombuffer(v).reshape(len(vi), -1)
+                if q.shape[1] != v.shape[1]:
+                    continue
+                scores = np.round(q @ v.T, 9) + 0.0
+                if exclude_self:
+                    scores[qi[:, None] == vi[None, :]] = np.nan
+                for row, own in zip(qi.tolist(), scores):
+                    order = np.lexsort((vi, vo, -own))
+                    order = order[~np.isnan(own[order])][:k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), row)), pa.array(vi[order]), pa.array(vo[order]), pa.array(own[order])], schema=schema)
+
+    best = asked.crossJoin(stored).select("q_ids", "q_ordinals", "q", "v_ids", "v_ordinals", "v").mapInArrow(run, "request_id long, symbol_id long, ordinal long, score double")
+    return top_k(best, k).select("request_id", "symbol_id", "score", "rank")
+
+
+def optional_vectors(requests: DataFrame, symbols: DataFrame, location: str | None, k: int | None = 10) -> DataFrame | None:
+    """The vector ranking from the embeddings(kind, id, embedding) at a location; None, an absent signal, if there are none.
+
+    kind is request or symbol. Requests and symbols without an embedding are left out.
     """
-    asked = requests.select("request_id", unit_vector(F.col("embedding")).alias("q"))
-    stored = symbols.select("symbol_id", F.col("ordinal") if "ordinal" in symbols.columns else F.col("symbol_id").alias("ordinal"), unit_vector(F.col("embedding")).alias("v"))
-    pairs = stored.join(asked, F.col("symbol_id") != F.col("request_id")) if exclude_self else stored.crossJoin(asked)
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return top_k(pairs.select("request_id", "symbol_id", "ordinal", F.round(dot, 9).alias("score")), k).select("request_id", "symbol_id", "score", "rank")
+    from lodeline.sources.files import available
+
+    spark = requests.sparkSession
+    if not available(spark, location):
+        return None
+    stored = spark.read.parquet(location)
+    asked = requests.select("request_id").join(stored.where("kind = 'request'").select(F.col("id").alias("request_id"), "embedding"), "request_id")
+    known = symbols.select("symbol_id", "ordinal").join(stored.where("kind = 'symbol'").select(F.col("id").alias("symbol_id"), "embedding"), "symbol_id")
+    return vector_ranking(asked, known, k)
 
 
 def embedding_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
@@ -176,13 +248,18 @@ def structural_score(source: Column, request: Column, language: Column) -> Colum
     return F.when(language == "python", sum(hit[1:], hit[0])).otherwise(0)
 
 
-def fuse(rankings: Sequence[DataFrame], k: int | None = 5) -> DataFrame:
-    """Reciprocal-rank fusion; ties go to what was seen first, by ranking and then by rank."""
+def _listed(rankings: Sequence[DataFrame]) -> DataFrame:
+    """(request_id, symbol_id, rank, retriever): the rankings in one table, numbered."""
     every = None
     for i, r in enumerate(rankings):
         part = r.select("request_id", "symbol_id", F.col("rank").cast("long").alias("rank"), F.lit(i).alias("retriever"))
         every = part if every is None else every.unionByName(part)
-    scored = every.groupBy("request_id", "symbol_id").agg(F.round(F.sum(1.0 / (FUSION_K + F.col("rank"))), 12).alias("score"), F.min(F.struct("retriever", "rank")).alias("seen"), F.count("*").alias("n_retrievers"))
+    return every
+
+
+def fuse(rankings: Sequence[DataFrame], k: int | None = 5) -> DataFrame:
+    """Reciprocal-rank fusion; ties go to what was seen first, by ranking and then by rank."""
+    scored = _listed(rankings).groupBy("request_id", "symbol_id").agg(F.round(F.sum(1.0 / (FUSION_K + F.col("rank"))), 12).alias("score"), F.min(F.struct("retriever", "rank")).alias("seen"), F.count("*").alias("n_retrievers"))
     return top_k(scored, k, ties=("seen", "symbol_id")).select("request_id", "symbol_id", "score", "rank", "n_retrievers")
 
 
@@ -193,10 +270,14 @@ def confidence(fused: DataFrame) -> DataFrame:
     return got.select("request_id", F.when(F.coalesce(F.col("top"), F.lit(0.0)) <= 0, 0.0).when(F.col("second").isNull(), ONLY_CONFIDENCE).otherwise(margin).alias("confidence"))
 
 
-def locate(requests: DataFrame, symbols: DataFrame, edges: DataFrame | None = None, vectors: DataFrame | None = None, k: int = 5, use_structure: bool = True, iterations: int = 100) -> DataFrame:
-    """Localisation over all signals: (request_id, rank, symbol_id, score, confidence, use_call_graph, risk, evidence, calls, called_by_count).
+def locate(
+    requests: DataFrame, symbols: DataFrame, edges: DataFrame | None = None, vectors: DataFrame | None = None, k: int = 5, use_structure: bool = True, iterations: int = 100, sites: DataFrame | None = None,
+) -> DataFrame:
+    """Localisation over all signals: (request_id, rank, symbol_id, score, confidence, use_call_graph, risk, evidence, calls, called_by_count, call_sites).
 
-    vectors: an optional ranking; edges(caller_id, callee_name): optional call edges. An absent signal is just not fused.
+    vectors: an optional ranking; edges(caller_id, callee_name): optional call edges; sites(name, file, line): optional calls.
+    An absent signal is just not fused. The shortlist that structure is looked for in is written once, and read for it and
+    for the last fusion.
     """
     from lodeline.functions.predicates import risk
 
@@ -207,11 +288,13 @@ def locate(requests: DataFrame, symbols: DataFrame, edges: DataFrame | None = No
     if edges is not None:
         rankings.append(graph_ranking(requests, symbols, edges, wide, iterations))
     if use_structure:
+        ranked = cut(_listed(rankings))
+        rankings = [ranked.where(F.col("retriever") == i) for i in range(len(rankings))]
         shortlist = fuse(rankings, wide).select("request_id", "symbol_id", F.col("rank").alias("ordinal"))
         seen = shortlist.join(symbols.select("symbol_id", "source", "language"), "symbol_id").join(requests.select("request_id", "text"), "request_id")
         fit = seen.select("request_id", "symbol_id", "ordinal", structural_score(F.col("source"), F.col("text"), F.col("language")).cast("double").alias("score")).where("score > 0")
         rankings.append(top_k(fit, None).select("request_id", "symbol_id", "score", "rank"))
-    fused = fuse(rankings, k)
+    fused = cut(fuse(rankings, k))
     out = fused.join(confidence(fused), "request_id").withColumn("use_call_graph", F.col("confidence") < CALL_GRAPH_BELOW)
     out = out.join(symbols.select("symbol_id", "file", "name", "symbol_type", "start_line", "end_line", risk(F.col("name"), F.col("symbol_type"), F.col("source")).alias("risk")), "symbol_id")
     if edges is not None:
@@ -220,10 +303,14 @@ def locate(requests: DataFrame, symbols: DataFrame, edges: DataFrame | None = No
         out = out.join(calls, "symbol_id", "left").join(callers, "name", "left")
     else:
         out = out.withColumn("calls", F.array().cast("array<string>")).withColumn("called_by_count", F.lit(0).cast("long"))
+    if sites is not None:
+        out = call_sites(out, sites)
+    else:
+        out = out.withColumn("call_sites", F.lit(None).cast("array<struct<file: string, line: int>>"))
     evidence = F.format_string("found by %d of %d rankings; risk %s", F.col("n_retrievers"), F.lit(len(rankings)), F.col("risk"))
     return out.select(
         "request_id", "rank", "symbol_id", "file", "name", "symbol_type", "start_line", "end_line", F.round("score", 4).alias("score"), "confidence", "use_call_graph", "risk",
-        F.coalesce("calls", F.array().cast("array<string>")).alias("calls"), F.coalesce("called_by_count", F.lit(0)).alias("called_by_count"), evidence.alias("evidence"),
+        F.coalesce("calls", F.array().cast("array<string>")).alias("calls"), F.coalesce("called_by_count", F.lit(0)).alias("called_by_count"), F.coalesce("call_sites", F.array().cast("array<struct<file: string, line: int>>")).alias("call_sites"), evidence.alias("evidence"),
     )
 
 
@@ -236,7 +323,7 @@ def locate_best_file(requests: DataFrame, symbols: DataFrame, vectors: DataFrame
 def call_sites(candidates: DataFrame, calls: DataFrame, most: int = 10) -> DataFrame:
     """candidates(request_id, symbol_id, name) with up to `most` call sites of calls(name, file, line), first ones first."""
     order = W.partitionBy("request_id", "symbol_id").orderBy("file", "line")
-    sites = candidates.join(calls, "name").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    sites = candidates.select("request_id", "symbol_id", "name").join(calls.select("name", "file", "line"), "name").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     listed = sites.groupBy("request_id", "symbol_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "file", "line"))), lambda x: F.struct(x["file"].alias("file"), x["line"].alias("line"))).alias("call_sites"))
     return candidates.join(listed, ["request_id", "symbol_id"], "left")
 

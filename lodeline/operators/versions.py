@@ -82,9 +82,35 @@ def stale(files: DataFrame, known: DataFrame) -> DataFrame:
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last write of each key."""
-    return rows.withColumn("__k", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("__k = 1").drop("__k")
+    best = rows.select(F.struct(*rows.columns).alias("row"), F.col(key).alias("key"), F.col(order).alias("order"))
+    return best.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy(F.desc("order")))).where("nth = 1").select("row.*")
 
 
 def run_id(*parts: Column) -> Column:
     """A reproducible id from a run's inputs."""
     return F.substring(F.sha2(F.concat_ws("\u001f", *parts), 256), 1, 12)
+
+
+def symbol_counts(metadata: DataFrame, by: str = "project_id") -> DataFrame:
+    """(project, n_files, n_symbols): a project's distinct files and its symbols."""
+    return metadata.groupBy(by).agg(F.count_distinct("file").alias("n_files"), F.count("*").alias("n_symbols"))
+
+
+def run_records(runs: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(project_id, key, body): what is kept of runs(project_id, run_id, ...) and of deltas(project_id, run_id, attempt, body), of
+    which runs without a delta have none; attempts are numbered where there are several."""
+    record = runs.select("project_id", F.concat(F.lit("benchmarks/"), "run_id").alias("key"), F.to_json(F.struct(*runs.columns)).alias("body"))
+    suffix = F.when(F.col("attempt").isNull(), F.lit("")).otherwise(F.concat(F.lit("-attempt"), F.col("attempt").cast("string")))
+    return record.unionByName(deltas.where("body is not null").select("project_id", F.concat(F.lit("deltas/"), "run_id", suffix).alias("key"), "body"))
+
+
+def persist_runs(records: DataFrame, location: str) -> None:
+    """Appends records to a store that is partitioned by project; of a key that is written again the last counts."""
+    records.withColumn("written_at", F.current_timestamp()).write.mode("append").partitionBy("project_id").parquet(location)
+
+
+def persisted_runs(spark, location: str) -> DataFrame:
+    """(project_id, key, body) as last written."""
+    order = W.partitionBy("project_id", "key").orderBy(F.desc("written_at"))
+    rows = spark.read.parquet(location).withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return rows.select(F.col("project_id").cast("string").alias("project_id"), "key", "body")

@@ -1,14 +1,19 @@
-"""Joins whose broadcast is decided by a count."""
+"""Joins whose broadcast is decided by the size of what was written."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is broadcast.
-SMALL_ROWS = 200_000
+from lodeline.plans.lineage import cut
 
+#: Bytes up to which a side is broadcast, a string with its length and other values with 16 bytes each.
+SMALL_BYTES = 16 << 20
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, which is counted; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """df, written once, with a broadcast hint if it takes at most `most` bytes; otherwise for a shuffled join."""
+    kept = cut(df)
+    row = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")), F.lit(16 * len(df.columns)))
+    size = kept.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(kept) if size <= most else kept

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as t
+from lodeline.plans.lineage import cut
 
-# Directories that no scan enters (dot-directories are never entered), and the file that adds more.
-IGNORED = (".git", ".venv", "venv", "__pycache__", "node_modules", ".pytest_cache", "dist", "build", ".mypy_cache", ".ruff_cache", "minio_local_data", "iee_metadata")
-IGNORE_FILE = ".ieeignore"
+# Directories that no scan enters (dot-directories are never entered).
+IGNORED = (".git", ".venv", "venv", "__pycache__", "node_modules", ".pytest_cache", "dist", "build", ".mypy_cache", ".ruff_cache")
+#: The file that adds more of them, unless a scan is given another name.
+IGNORE_FILE = ".engineignore"
 #: Languages by extension; `symbols` tells which have functions or classes at all.
 LANGUAGES = {
     "python": (("py", "pyi"), True), "javascript": (("js", "jsx", "mjs", "cjs"), True), "typescript": (("ts",), True), "tsx": (("tsx",), True), "java": (("java",), True), "go": (("go",), True),
@@ -25,11 +27,20 @@ def language_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(e, name, has) for name, (exts, has) in LANGUAGES.items() for e in exts], "extension string, language string, has_symbols boolean")
 
 
-def detect_language(files: DataFrame, path: str = "path") -> DataFrame:
-    """files with `language` and `has_symbols` by extension; an unknown language counts as having symbols."""
+def detect_language(files: DataFrame, path: str = "path", sniff: str | None = None) -> DataFrame:
+    """files with `language` and `has_symbols` by extension; an unknown language counts as having symbols.
+
+    sniff: a column of texts; files of unknown extension whose text is Python count as that.
+    """
     table = language_table(files.sparkSession)
     ext = files.withColumn("extension", F.substr(t.suffix(F.col(path)), F.lit(2)))
-    return ext.join(F.broadcast(table), "extension", "left").withColumn("has_symbols", F.coalesce("has_symbols", F.lit(True))).drop("extension")
+    known = ext.join(F.broadcast(table), "extension", "left").withColumn("has_symbols", F.coalesce("has_symbols", F.lit(True))).drop("extension")
+    if sniff is None:
+        return known
+    from lodeline.sources.code import looks_like_python
+
+    plain = known.where("language is null")
+    return known.where("language is not null").unionByName(plain.withColumn("language", F.when(looks_like_python(F.col(sniff)), "python")))
 
 
 #: Bytes of files with hidden names ("_" or "." first) that a scan reads at most; see `hidden_files`.
@@ -70,10 +81,10 @@ def hidden_files(spark: SparkSession, root: str, most: int = HIDDEN_BYTES) -> li
     return found
 
 
-def ignored_names(spark: SparkSession, root: str) -> DataFrame:
+def ignored_names(spark: SparkSession, root: str, ignore_file: str = IGNORE_FILE) -> DataFrame:
     """(name): the built-in names and the lines of the project's ignore file, blank and # lines skipped."""
     fs, _ = _file_system(spark, root)
-    own = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{IGNORE_FILE}")
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{ignore_file}")
     lines = _read(spark, fs, own).decode(errors="replace").splitlines() if fs.exists(own) else []
     names = {*IGNORED, *(x.strip() for x in lines if x.strip() and not x.strip().startswith("#"))}
     return spark.createDataFrame([(n,) for n in sorted(names)], "name string")
@@ -89,7 +100,7 @@ def keep_unignored(files: DataFrame, ignored: DataFrame | None = None, path: str
     return plain.crossJoin(F.broadcast(names)).where(~F.arrays_overlap(folders, F.col("__names"))).drop("__names")
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+def scan(spark: SparkSession, root: str, ignore_file: str = IGNORE_FILE) -> DataFrame:
     """(path, source, size, mtime, language, has_symbols) of all files below root that are UTF-8; paths are relative to root."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     fs, at = _file_system(spark, root)
@@ -98,7 +109,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     hidden = [(p, bytearray(c), n, t / 1000) for p, c, n, t in hidden_files(spark, root)]
     if hidden:
         files = files.union(spark.createDataFrame(hidden, "path string, content binary, size long, t double").select("path", "content", "size", F.timestamp_seconds("t")))
-    kept = keep_unignored(files, ignored_names(spark, root)).where(F.is_valid_utf8(F.col("content").cast("string")))
+    kept = keep_unignored(files, ignored_names(spark, root, ignore_file)).where(F.is_valid_utf8(F.col("content").cast("string")))
     return detect_language(kept.select("path", F.col("content").cast("string").alias("source"), "size", "mtime"))
 
 
@@ -156,13 +167,70 @@ class Store:
 
 def write_metadata(metadata: DataFrame, location: str) -> None:
     """One JSON directory for each file; only the files at hand are replaced."""
-    metadata.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    metadata.write.mode("overwrite").partitionBy("file").json(location)
+    metadata.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").json(location)
+
+
+def delete_metadata(spark: SparkSession, location: str, files: list[str]) -> int:
+    """Removes the directories of the named files; returns how many there were."""
+    gone = 0
+    for name in files:
+        escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+        fs, path = _file_system(spark, f"{location.rstrip('/')}/file={escaped}")
+        gone += bool(fs.delete(path, True))
+    return gone
+
+
+def write_project_metadata(metadata: DataFrame, prints: DataFrame, location: str) -> bool:
+    """Writes metadata(project_id, ...) unless prints(project_id, fingerprint) equal those written before; whether it wrote.
+
+    Only projects whose fingerprint is new are replaced.
+    """
+    spark, at = metadata.sparkSession, f"{location.rstrip('/')}/prints"
+    fs, path = _file_system(spark, at)
+    known = spark.read.parquet(at) if fs.exists(path) else prints.limit(0)
+    fresh = cut(prints.select("project_id", "fingerprint").join(known.select("project_id", "fingerprint"), ["project_id", "fingerprint"], "left_anti"))
+    if fresh.isEmpty():
+        return False
+    some = metadata.join(fresh.select("project_id"), "project_id", "left_semi")
+    some.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").json(f"{location.rstrip('/')}/symbols")
+    fresh.select("fingerprint", "project_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(at)
+    return True
+
+
+def cache_key(name: Column, hashed: Column, digits: int = 8) -> Column:
+    """A readable name with the first digits of a hash, as a path of a cache."""
+    return F.concat(F.regexp_replace(name, r"[^A-Za-z0-9_.-]+", "-"), F.lit("-"), F.substring(F.sha2(hashed, 256), 1, digits))
+
+
+def graph_cache_key(path: Column, language: Column, fingerprint: Column) -> Column:
+    """Where the call graph of a project's files of one language is kept: path hash, language, fingerprint."""
+    return F.concat_ws("_", F.substring(F.sha2(path, 256), 1, 16), language, F.substring(fingerprint, 1, 12))
+
+
+CALL_GRAPH = "caller string, file string, callee string, line int"
 
 
 def call_graph_from_json(spark: SparkSession, path: str) -> DataFrame:
-    """(caller, file, callee, line): call edges that an external analyser has written as JSON lines."""
-    return spark.read.schema("caller string, file string, callee string, line int").json(path)
+    """(caller, file, callee, line): call edges that an external analyser has written as JSON lines; no such path: no rows."""
+    if not available(spark, path):
+        return spark.createDataFrame([], CALL_GRAPH)
+    return spark.read.schema(CALL_GRAPH).json(path)
+
+
+def available(spark: SparkSession, path: str | None) -> bool:
+    """Whether an optional input, what an external tool would have written, is there."""
+    if not path:
+        return False
+    fs, at = _file_system(spark, path)
+    return bool(fs.exists(at))
+
+
+def call_graphs(spark: SparkSession, location: str, languages: tuple[str, ...]) -> DataFrame:
+    """(language, caller, file, callee, line) of one edge file a language; a language without one has no rows, others keep theirs."""
+    out = spark.createDataFrame([], f"language string, {CALL_GRAPH}")
+    for language in languages:
+        out = out.unionByName(call_graph_from_json(spark, f"{location.rstrip('/')}/{language}.json").withColumn("language", F.lit(language)))
+    return out
 
 
 def decode_binary(body: Column) -> Column:

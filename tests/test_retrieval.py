@@ -99,6 +99,10 @@ def test_pagerank(spark):
     want = power(nodes, edges, {"a": 0, "b": 0, "c": 0, "d": 1}, 100)
     assert all(abs(both[5, v] - want[v]) < 1e-5 and abs(both[6, v] - got[v]) < 1e-5 for v in nodes)
     assert graph.pagerank(n.limit(1), e).count() == 0
+    for steps in (1, 4):  # the same steps, distributed
+        far = {(r["request_id"], r["node"]): r["rank"] for r in graph.pagerank(n, e, p, q, iterations=steps, tolerance=None, small=0).collect()}
+        near = {(r["request_id"], r["node"]): r["rank"] for r in graph.pagerank(n, e, p, q, iterations=steps, tolerance=None).collect()}
+        assert far.keys() == near.keys() and all(abs(far[k] - near[k]) < 1e-12 for k in far)
 
 
 def test_edges_and_locate(spark, symbols):

@@ -62,11 +62,11 @@ def test_html():
 
 
 def test_scan_and_listing(spark, tmp_path):
-    for name, text in {"a.py": "x = 1", "sub/b.md": "# B", ".git/c": "no", "node_modules/d.js": "no", "skip/e.py": "no", "sub/__init__.py": "y = 1", ".ieeignore": "# c\nskip\n", "bin.dat": None}.items():
+    for name, text in {"a.py": "x = 1", "sub/b.md": "# B", ".git/c": "no", "node_modules/d.js": "no", "skip/e.py": "no", "sub/__init__.py": "y = 1", ".engineignore": "# c\nskip\n", "bin.dat": None}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(b"\xff\xfe\x00" if text is None else text.encode())
     got = {r["path"]: r["language"] for r in files.scan(spark, str(tmp_path)).collect()}
-    assert got == {"a.py": "python", "sub/b.md": "markdown", "sub/__init__.py": "python", ".ieeignore": None}
+    assert got == {"a.py": "python", "sub/b.md": "markdown", "sub/__init__.py": "python", ".engineignore": None}
     rows = files.listing(spark.createDataFrame([("b/x.py",), ("A.py",), ("b/c/y.py",), ("p.egg-info",)], "path string")).where("parent = ''").collect()
     assert [(r["name"], r["is_file"]) for r in rows] == [("b", False), ("A.py", True)]
     store = files.Store(spark, str(tmp_path / "store"))
