@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodeline.plans import catalog
+from lodeline.plans import catalog, code_catalog  # noqa: F401  (adds its queries to the catalogue)
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
