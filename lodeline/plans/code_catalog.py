@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import predicates as p
 from lodeline.functions import text as t
-from lodeline.operators import blocks, context, delta, graph, retrieval, versions
+from lodeline.operators import blocks, context, delta, graph, retrieval, targets, versions
 from lodeline.plans.catalog import _words, query, table
+from lodeline.plans.engine import Engine
 from lodeline.sources import code, files
 from lodeline.streaming import events as streams
 
@@ -431,3 +432,60 @@ def cache_keys(spark, d):
     return s.select(files.cache_key(F.col("path"), F.col("path")).alias("key"), files.graph_cache_key(F.col("path"), F.lit("python"), F.sha2("s_name", 256)).alias("graph_key"))
 
 
+
+
+# --- the engine's front door -----------------------------------------------------------------------------------------
+
+def _engine(spark, d):
+    f = _project(spark, d).select("path", "source").unionByName(_notes(spark, d).select("path", "source"))
+    return Engine(spark, f)
+
+
+@query("""SELECT s_suppkey AS request_id, 'pkg/mod' || s_suppkey || '.py' AS file, CASE WHEN s_suppkey % 10 = 7 THEN ['structured_edit', 'structured_edit', 'question', 'structured_edit'][(s_suppkey % 4 + 1)::INT]
+ELSE ['rename', 'delete', 'question', 'structured_edit'][(s_suppkey % 4 + 1)::INT] END AS route FROM supplier""")
+def engine_routes(spark, d):
+    k = F.col("s_suppkey")
+    words = F.get(F.array(_filled("Rename helper_{k} to aide_{k}"), _filled("delete Supplier{k}"), F.lit("what is this"), F.lit("speed it up")), (k % 4).cast("int"))
+    asked = table(spark, d, "supplier").select(k.alias("request_id"), words.alias("text"), _filled("pkg/mod{k}.py").alias("file"), F.when(k % 4 == 2, "question").alias("kind"), F.lit(0.9).alias("kind_confidence"))
+    e = _engine(spark, d)
+    return e.routes(asked).select("request_id", "file", "route")
+
+
+@query("""SELECT s_suppkey AS request_id, ['DELETE_FILE', 'CONVERT', 'ANSWERED', 'EDIT'][(s_suppkey % 4 + 1)::INT] AS outcome, CASE WHEN s_suppkey % 4 = 1 THEN 'pkg/mod' || s_suppkey || '.go' END AS target, CASE WHEN s_suppkey % 4 = 2 THEN 'it is ' || s_suppkey END AS answer FROM supplier""")
+def engine_outcomes(spark, d):
+    k = F.col("s_suppkey")
+    words = F.get(F.array(_filled("delete file {k}"), F.lit("port it"), F.lit("what is it"), F.lit("speed it up")), (k % 4).cast("int"))
+    file = F.when(k % 4 == 0, _filled("notes/{k}.md")).otherwise(_filled("pkg/mod{k}.py"))
+    kind = F.when(k % 4 == 1, "whole_file").when(k % 4 == 2, "question")
+    asked = table(spark, d, "supplier").select(k.alias("request_id"), words.alias("text"), file.alias("file"), kind.alias("kind"), F.lit(0.9).alias("kind_confidence"), F.when(k % 4 == 1, "go").alias("extension"))
+    answers = table(spark, d, "supplier").where("s_suppkey % 4 = 2").select(k.alias("request_id"), _filled("it is {k}").alias("answer"))
+    return _engine(spark, d).outcomes(asked, answers).select("request_id", "outcome", "target", "answer")
+
+
+@query(f"""WITH {_K} SELECT k::VARCHAR AS run_id, CASE WHEN k % 4 = 1 THEN 'NO_OP' WHEN k % 10 = 7 THEN 'REFERENCE_ERROR' ELSE ['ok', '', 'REFERENCE_ERROR', 'SYNTAX_ERROR'][(k % 4 + 1)::INT] END AS status,
+CASE WHEN k % 4 = 0 AND k % 10 <> 7 THEN sha256(replace(replace(replace({_sql_source().replace('s_suppkey', 'k').replace('s_name', 'name')}, '@cache' || chr(10) || 'async def helper_' || k || '(x: int) -> int:' || chr(10) || '    return shared(x) + os.getpid()',
+'@cache' || chr(10) || 'def aide_' || k || '(x):' || chr(10) || '    return 1'), 'helper_' || k, 'aide_' || k), 'zzz', 'zzz')) END AS hash FROM k""")
+def engine_edits(spark, d):
+    k = F.col("s_suppkey")
+    op = lambda body: F.concat(F.lit('{"operations":['), body, F.lit("]}"))
+    one = lambda name, content: F.concat(F.lit('{"operation":"REPLACE","target":{"symbol_type":"function","symbol_name":"'), name, F.lit('"},"content":'), content, F.lit("}"))
+    good = one(_filled("helper_{k}"), F.concat(F.lit('"@cache\\ndef aide_'), k.cast("string"), F.lit('(x):\\n    return 1"')))
+    body = F.get(F.array(op(good), F.lit('{"operations":[]}'), op(one(F.lit("nothing"), F.lit('"x"'))), op(one(F.lit("shared"), F.lit('"def shared(:"')))), (k % 4).cast("int"))
+    deltas = table(spark, d, "supplier").select(k.cast("string").alias("run_id"), _filled("pkg/mod{k}.py").alias("file"), body.alias("body"))
+    got = _engine(spark, d).edit(deltas)
+    return got.select("run_id", "status", F.when(F.col("status") == "ok", F.sha2("source", 256)).alias("hash"))
+
+
+@query("""SELECT s_suppkey AS request_id, ['EXISTS', 'ok', 'SYNTAX_ERROR', 'BINARY'][(s_suppkey % 4 + 1)::INT] AS status FROM supplier""")
+def engine_creates(spark, d):
+    k = F.col("s_suppkey")
+    path = F.get(F.array(_filled("pkg/mod{k}.py"), _filled("new/m{k}.py"), _filled("new/m{k}.py"), _filled("new/m{k}.xlsx")), (k % 4).cast("int"))
+    asked = table(spark, d, "supplier").select(k.alias("request_id"), path.alias("path"), F.when(k % 4 == 2, "def (").otherwise("```python\nx = 1\n```").alias("content"))
+    return _engine(spark, d).plan_create(asked).select("request_id", "status")
+
+
+@query(f"WITH {_K} SELECT k AS request_id, file, 'helper_' || k AS name FROM g")
+def engine_finds(spark, d):
+    asked = table(spark, d, "supplier").where("s_suppkey % 10 <> 7").select(F.col("s_suppkey").alias("request_id"), _filled("change helper_{k} now").alias("text"))
+    e = _engine(spark, d)
+    return targets.locate_candidates(asked, e.symbols.withColumn("ordinal", F.col("ordinal").cast("long")), k=1).join(e.symbols.select("symbol_id", "file", "name"), "symbol_id").select("request_id", "file", "name")
