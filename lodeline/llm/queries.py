@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, with their production parameters, over whole tables."""
+"""The ten operators as registered queries, with their production parameters, over whole tables, and what SQL can say of them."""
 
 from __future__ import annotations
 
@@ -51,5 +51,38 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_token_counts, op4_fingerprints, op5_bpe, op6_quality_rules, op7_quality_classifier, op8_substring_dedup, op9_license_scan, op10_mixing)}
-ORACLE: dict[str, str] = {}
+# The columns of three operators that SQL can say, over the same whole tables.
+
+def base_license_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_mixing(spark, sf_dir).groupBy("source").agg(F.sum("size").alias("source_size"), F.round(F.max("target"), 3).alias("target"), F.round(F.sum("taken") - F.max("target")).cast("long").alias("apart"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_simhash, op3_token_counts, op4_fingerprints, op5_bpe, op6_quality_rules, op7_quality_classifier, op8_substring_dedup, op9_license_scan, op10_mixing, base_license_counts, base_quality_counts, base_mix_targets)
+}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+ORACLE: dict[str, str] = {
+    "base_license_counts": r"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, list_filter(range(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS m, list_filter(range(1, len(w)), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS a,
+ list_filter(range(1, len(w) - 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS g FROM w)
+SELECT doc_id, n_words, len(m) + len(a) + len(g) AS n_base, list_min(list_concat(m, a, g)) - 1 AS first_word, list_max(list_concat(m, a, g)) - 1 AS last_word,
+ array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p""",
+    "base_quality_counts": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+x AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM x) WHERE c > 1), r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM t) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, length(text) - length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+ len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN r USING (doc_id)""",
+    "base_mix_targets": rf"""WITH s AS (SELECT source, sum(len({_WORDS}))::BIGINT AS size FROM documents GROUP BY 1), w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 3 * size AS cap FROM s),
+f AS (SELECT *, (sum(size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT max(level) FILTER (level * weight <= cap) AS level FROM f) SELECT source, size AS source_size, round(least(cap, coalesce(g.level * weight, cap))::DOUBLE, 3) AS target, 0 AS apart FROM f, g""",
+}

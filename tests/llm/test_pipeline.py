@@ -88,3 +88,16 @@ def test_edges_of_stages(spark, stage):
     assert f(spark, named.limit(0), DIR).count() == 0
     nothing = spark.createDataFrame([(None, None, None, None, None)] * 3, SCHEMA)
     assert f(spark, nothing, DIR).count() <= 3
+
+
+@pytest.mark.parametrize("name", ["base_license_counts", "base_quality_counts", "base_mix_targets"])
+def test_base_columns_equal_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from lodeline.llm import queries
+
+    got = queries.QUERIES[name](spark, DIR).toPandas()
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DIR}/documents.parquet'")
+    want = con.sql(queries.ORACLE[name]).df()
+    plain = lambda f: sorted((tuple(None if x != x or x is None else x for x in r) for r in f[sorted(f.columns)].astype(object).itertuples(index=False)), key=repr)
+    assert plain(got) == plain(want)
