@@ -1,6 +1,10 @@
 """A training-data pipeline over `documents`: five stages, each one of the operators of lodeline.llm.
 
 Each stage takes what its predecessor kept, as written and read again; all but the last return the columns of documents.
+
+Nulls and edges, alike in all stages: a null text is an empty one (the mix takes no words of it, so it ends there), null ids
+come after all others, repeated rows are documents of their own unless a stage removes copies, columns besides doc_id, text and
+source pass through whatever their names, and an empty table gives none. Each operator's docstring says the rest.
 """
 
 from __future__ import annotations
@@ -43,16 +47,32 @@ STAGES = [("quality classifier", quality), ("line dedup", lines), ("simhash near
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet below spark.checkpoint.dir and read again."""
+def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """The stages over documents, each written as Parquet below spark.checkpoint.dir and read again.
+
+    With a name, the written stages stay in the folder of that name, and a later run takes up after the last whole one;
+    without, each goes when the next one is written.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        for _, stage in STAGES[:-1]:
+            docs = cut(stage(spark, docs, sf_dir))
+        return STAGES[-1][1](spark, docs, sf_dir)
+    at = f"{folder.rstrip('/')}/pipeline-{name or uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        out = stage(spark, docs, sf_dir)
-        if folder:
-            path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{i}"
-            out.write.parquet(path)
-            docs = spark.read.parquet(path)
-        else:
-            docs = cut(out)
+        if not (name and _there(spark, f"{at}/{i}/_SUCCESS")):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{at}/{i}")
+        docs = spark.read.parquet(f"{at}/{i}")
+        if i and not name:
+            _path(spark, f"{at}/{i - 1}", lambda fs, path: fs.delete(path, True))
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _path(spark: SparkSession, name: str, do):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return do(path.getFileSystem(spark._jsc.hadoopConfiguration()), path)
+
+
+def _there(spark: SparkSession, name: str) -> bool:
+    return _path(spark, name, lambda fs, path: fs.exists(path))

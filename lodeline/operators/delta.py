@@ -340,6 +340,12 @@ def parse_diff(diffs_: DataFrame) -> DataFrame:
     return body.select("file_id", "pos", "hunk", "kind", F.substr("line", F.lit(2)).alias("text"), cursor.cast("int").alias("new_line"))
 
 
+def ghost_blocks(parsed: DataFrame) -> DataFrame:
+    """(file_id, new_line, text): the deleted lines of a parsed diff, joined, at the line of the new file that they stand before."""
+    gone = parsed.where("kind = 'del'").groupBy("file_id", "new_line").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("rows"))
+    return gone.select("file_id", "new_line", F.array_join(F.transform("rows", lambda x: x["text"]), "\n").alias("text"))
+
+
 def orphaned_imports(before: Column, after: Column, rest: Column) -> Column:
     """Names bound before and no longer after that the rest of the file still uses."""
     return F.filter(F.array_except(before, after), lambda n: F.array_contains(F.regexp_extract_all(rest, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), n))

@@ -14,7 +14,7 @@ from lodeline.functions import text as t
 from lodeline.operators import blocks, context, delta, graph, retrieval, targets, versions
 from lodeline.plans.catalog import _words, query, table
 from lodeline.plans.engine import Engine
-from lodeline.sources import code, files
+from lodeline.sources import code, files, pages
 from lodeline.streaming import events as streams
 
 _SOURCE = '''import os
@@ -489,3 +489,46 @@ def engine_finds(spark, d):
     asked = table(spark, d, "supplier").where("s_suppkey % 10 <> 7").select(F.col("s_suppkey").alias("request_id"), _filled("change helper_{k} now").alias("text"))
     e = _engine(spark, d)
     return targets.locate_candidates(asked, e.symbols.withColumn("ordinal", F.col("ordinal").cast("long")), k=1).join(e.symbols.select("symbol_id", "file", "name"), "symbol_id").select("request_id", "file", "name")
+
+
+# --- diffs, HTML and close names -------------------------------------------------------------------------------------
+
+def _two_versions(spark, d):
+    before = _filled("one\ntwo {k}\nthree\nfour\nfive\nsix\nseven\neight\nnine\n")
+    after = _filled("one\n2 {k}\nmore\nthree\nfour\nfive\nsix\nseven\neight\nnine\n")
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("file_id"), _filled("x{k}").alias("path"), before.alias("before"), after.alias("after"))
+
+
+@query("""SELECT s_suppkey AS file_id, round(3.0 / 9, 6)::DOUBLE AS change_ratio, replace(replace('--- a/x{k}~+++ b/x{k}~@@ -1,5 +1,6 @@~ one~-two {k}~+2 {k}~+more~ three~ four~ five~', '{k}', s_suppkey::VARCHAR), '~', chr(10)) AS diff FROM supplier""")
+def diff_of_versions(spark, d):
+    return delta.diffs(_two_versions(spark, d)).select("file_id", F.round("change_ratio", 6).alias("change_ratio"), "diff")
+
+
+@query("""SELECT s_suppkey AS file_id, 1 AS hunk, unnest(['ctx', 'del', 'add', 'add', 'ctx', 'ctx', 'ctx']) AS kind, unnest(['one', 'two ' || s_suppkey, '2 ' || s_suppkey, 'more', 'three', 'four', 'five']) AS text, unnest([1, 2, 2, 3, 4, 5, 6]) AS new_line FROM supplier""")
+def diff_view(spark, d):
+    return delta.parse_diff(delta.diffs(_two_versions(spark, d))).select("file_id", "hunk", "kind", "text", "new_line")
+
+
+@query("SELECT s_suppkey AS file_id, 2 AS new_line, 'two ' || s_suppkey AS text FROM supplier")
+def ghost_blocks(spark, d):
+    return delta.ghost_blocks(delta.parse_diff(delta.diffs(_two_versions(spark, d))))
+
+
+@query("""SELECT s_suppkey AS file_id, unnest([1, 2, 3]) AS ordinal, unnest(['header#h' || s_suppkey, 'main.big', 'br']) AS name, unnest([2, 3, 6]) AS start_line, unnest([2, 5, 7]) AS end_line FROM supplier""")
+def page_blocks(spark, d):
+    html = _filled('<html><body>\n<header id="h{k}">a</header>\n<main class="big wide">\n<p>x</p>\n</main>\n<br>\n</body></html>')
+    return pages.html_blocks(table(spark, d, "supplier").select(F.col("s_suppkey").alias("file_id"), html.alias("source")))
+
+
+@query("SELECT s_suppkey AS request_id, s_suppkey AS symbol_id, 'fuzzy' AS method FROM supplier")
+def close_delete_targets(spark, d):
+    name = F.concat(F.lit("n"), F.substring(F.sha2(F.col("s_suppkey").cast("string"), 256), 1, 20))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("request_id"), name.alias("name"))
+    typed = F.concat(F.lit("delete "), F.substring("name", 1, 10), F.lit("qq"), F.substr("name", F.lit(13)))
+    return targets.delete_candidates(s.select("request_id", typed.alias("text")), s.select(F.col("request_id").alias("symbol_id"), "name", F.lit("function").alias("symbol_type")))
+
+
+@query("""SELECT s_suppkey AS file_id, 'load' || s_suppkey || 'BifrostClient() + BIFROST_KEY' || s_suppkey || ' and bifrost_key' AS renamed FROM supplier""")
+def parts_renamed(spark, d):
+    f = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file_id"), _filled("load{k}OpenAIClient() + OPEN_AI_KEY{k} and open_ai_key").alias("source"), F.lit("openai").alias("old_name"), F.lit("bifrost").alias("new_name"))
+    return delta.rename(f)

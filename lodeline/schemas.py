@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-FILES = "path string, source string, language string"
-SYMBOLS = "symbol_id long, ordinal int, file string, name string, symbol_type string, start_line int, end_line int, indent int, parent_class string, docstring_first_line string, source string, language string"
 METADATA = (
     "file string, name string, symbol_type string, start_line int, end_line int, line_count int, parent_class string, docstring_first_line string, parameters array<string>, "
     "decorators array<string>, return_type_hint string, is_async boolean, keywords array<string>, calls array<string>, content_hash string, language string, block string"
 )
-REQUESTS = "request_id long, text string"
-EDGES = "caller_key string, callee_name string"
-RANKING = "request_id long, retriever string, symbol_id long, score double, rank int"
-OPS = "run_id string, op_ord int, operation string, file string, symbol_type string, symbol_name string, anchor string, content string"
 DELTA = (
     "schema_version string, base_version string, operations array<struct<operation: string, target: struct<file: string, symbol_type: string, symbol_name: string, anchor: string>, content: string>>, "
     "escalate struct<kind: string, target_language: string, target_extension: string, renames: array<struct<old_name: string, new_name: string>>, files: array<string>, also_link_current_file: boolean>"
 )
-LLM_CALLS = "run_id string, attempt int, model string, input_tokens long, cached_tokens long, output_tokens long, latency_ms long"
-PRICES = "model string, input double, output double, cached double"
-VERSIONS = "project_id string, version_n int, parent_n int, created_at timestamp, change_request string, strategy string, delta_id string, validation_status string"
-CHECKPOINTS = "project_id string, version_n int, filename string, content string, deleted boolean"
 # Operations, kinds of symbols, and kinds of escalation of an edit.
 OPERATIONS = ("INSERT", "DELETE", "REPLACE")
 SYMBOL_TYPES = ("function", "class")

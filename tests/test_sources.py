@@ -3,7 +3,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodeline.operators import retrieval, versions
 from lodeline.plans.engine import Engine
+from lodeline.plans.settings import Settings, project_id
 from lodeline.sources import code, files, pages
 from lodeline.streaming import events as streams
 
@@ -119,3 +121,59 @@ def test_event_streams(spark, tmp_path):
     assert spark.sql("select * from tumbled").where("event_type = 'click'").first()["n"] == 2
     frames = streams.step_frames(e.select("event_id")).select(F.concat_ws("", F.collect_list("frame").over(Window.partitionBy())).alias("buffer")).limit(1)
     assert streams.parse_frames(frames).count() == 3
+
+
+def test_metadata_sinks(spark, tmp_path):
+    at = str(tmp_path / "meta")
+    rows = spark.createDataFrame([("a.py", "f", 1), ("sub/b.py", "g", 2)], "file string, name string, start_line int")
+    files.write_metadata(rows, at)
+    files.write_metadata(spark.createDataFrame([("a.py", "f2", 1)], rows.schema), at)
+    assert {(r["file"], r["name"]) for r in spark.read.json(at).collect()} == {("a.py", "f2"), ("sub/b.py", "g")}
+    assert files.delete_metadata(spark, at, ["sub/b.py", "none.py"]) == 1
+    assert [r["file"] for r in spark.read.json(at).collect()] == ["a.py"]
+    meta = spark.createDataFrame([("p", "f"), ("q", "g")], "project_id string, name string")
+    prints = spark.createDataFrame([("p", "1"), ("q", "1")], "project_id string, fingerprint string")
+    whole = str(tmp_path / "projects")
+    assert files.write_project_metadata(meta, prints, whole) and not files.write_project_metadata(meta, prints, whole)
+    changed = spark.createDataFrame([("p", "f3"), ("q", "not read")], meta.schema)
+    assert files.write_project_metadata(changed, spark.createDataFrame([("p", "2"), ("q", "1")], prints.schema), whole)
+    assert {(r["project_id"], r["name"]) for r in spark.read.json(f"{whole}/symbols").collect()} == {("p", "f3"), ("q", "g")}
+
+
+def test_optional_inputs_and_settings(spark, tmp_path):
+    assert not files.available(spark, "") and not files.available(spark, str(tmp_path / "none")) and files.available(spark, str(tmp_path))
+    (tmp_path / "python.json").write_text('{"caller": "a", "file": "x.py", "callee": "b", "line": 3}\n')
+    got = files.call_graphs(spark, str(tmp_path), ("python", "java")).collect()
+    assert [tuple(r) for r in got] == [("python", "a", "x.py", "b", 3)]
+    asked = spark.createDataFrame([(1, "x"), (2, "y")], "request_id long, text string")
+    known = spark.createDataFrame([(7, 0), (8, 1)], "symbol_id long, ordinal long")
+    assert retrieval.optional_vectors(asked, known, str(tmp_path / "none")) is None
+    spark.createDataFrame([("request", 1, [1.0, 0.0]), ("symbol", 7, [0.0, 2.0]), ("symbol", 8, [3.0, 0.1]), ("symbol", 9, None)], "kind string, id long, embedding array<double>").write.parquet(str(tmp_path / "vectors"))
+    assert [(r["request_id"], r["symbol_id"], r["rank"]) for r in retrieval.optional_vectors(asked, known, str(tmp_path / "vectors")).orderBy("rank").collect()] == [(1, 8, 1), (1, 7, 2)]
+    spark.conf.set("lodeline.max_repairs", "5")
+    try:
+        settings = Settings.of(spark)
+    finally:
+        spark.conf.unset("lodeline.max_repairs")
+    assert settings.max_repairs == 5 and settings.kind_confidence == 0.8 and Settings.of(spark).max_repairs == 2
+    assert [project_id(*x, settings) for x in ((None, None), ("p", "/a/b"), (None, "/a/b/"))] == ["default", "p", "b"]
+
+
+def test_runs_are_kept(spark, tmp_path):
+    at = str(tmp_path / "runs")
+    runs = spark.createDataFrame([("p", "r1", "ok"), ("q", "r2", "failed")], "project_id string, run_id string, status string")
+    deltas = spark.createDataFrame([("p", "r1", None, "{}"), ("q", "r2", 2, None)], "project_id string, run_id string, attempt int, body string")
+    versions.persist_runs(versions.run_records(runs, deltas), at)
+    versions.persist_runs(versions.run_records(runs.where("run_id = 'r2'").withColumn("status", F.lit("ok")), deltas.limit(0)), at)
+    got = {(r["project_id"], r["key"]): r["body"] for r in versions.persisted_runs(spark, at).collect()}
+    assert got.keys() == {("p", "benchmarks/r1"), ("p", "deltas/r1"), ("q", "benchmarks/r2")} and '"ok"' in got["q", "benchmarks/r2"]
+
+
+def test_steps_are_told(spark):
+    told = []
+    e = Engine(spark, spark.createDataFrame([("a.py", CALCULATOR)], "path string, source string"), on_step=lambda step, detail: told.append(step))
+    e.find(spark.createDataFrame([(1, "add")], "request_id long, text string"))
+    assert told == ["LOCALIZE"] and e.project_id == "default"
+    found = e.find(spark.createDataFrame([(1, "change the add function")], "request_id long, text string")).orderBy("rank").first()
+    assert [(x["file"], x["line"]) for x in found["call_sites"]] == [("a.py", 15)]
+    e.close()
