@@ -47,14 +47,14 @@ STAGES = [("quality classifier", quality), ("line dedup", lines), ("simhash near
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
-    """The stages over documents, each written as Parquet below spark.checkpoint.dir and read again.
+def run(spark: SparkSession, sf_dir: str, name: str | None = None, folder: str | None = None) -> DataFrame:
+    """The stages over documents, each written as Parquet below the folder (by default spark.checkpoint.dir) and read again.
 
     With a name, the written stages stay in the folder of that name, and a later run takes up after the last whole one;
     without, each goes when the next one is written.
     """
     docs = table(spark, sf_dir, "documents")
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         for _, stage in STAGES[:-1]:
             docs = cut(stage(spark, docs, sf_dir))

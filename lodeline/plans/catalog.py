@@ -389,11 +389,11 @@ def diff_lines(spark, d):
     return delta.parse_diff(delta.diffs(_pairs(spark, d)))
 
 
-@query("""SELECT conv_id, turn, (turn % 4 <> 1 AND turn % 4 <> 2) AS valid, CASE turn % 4 WHEN 1 THEN 'schema validation failed: operation' WHEN 2 THEN 'schema validation failed: operations' END AS error, CASE WHEN turn % 4 IN (0, 3) THEN 'f' || conv_id END AS symbol_name FROM conversations""")
+@query("""SELECT conv_id, turn, turn % 7 IN (0, 6) AS valid, 'schema validation failed: ' || [NULL, 'operation', 'operations', 'operations', 'target', 'escalate', NULL][(turn % 7 + 1)::INT] AS error, CASE WHEN turn % 7 = 0 THEN 'f' || conv_id END AS symbol_name FROM conversations""")
 def delta_schema_validate(spark, d):
-    op = F.when(F.col("turn") % 4 == 1, "UPDATE").otherwise("REPLACE")
-    body = F.when(F.col("turn") % 4 == 2, F.lit("{}")).otherwise(F.format_string('{"operations":[{"operation":"%s","target":{"symbol_type":"function","symbol_name":"f%d(x)"},"content":null}]}', op, F.col("conv_id")))
-    rows = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("run_id"), "conv_id", "turn", body.alias("body"))
+    op = lambda kind, target: F.concat(F.lit('{"operations":[{"operation":"'), F.lit(kind), F.lit('","target":{"symbol_type":"'), F.lit(target), F.lit('","symbol_name":"f'), F.col("conv_id").cast("string"), F.lit('(x)"},"content":null}]}'))
+    bodies = [op("REPLACE", "function"), op("UPDATE", "function"), F.lit("{}"), F.lit('{"operations": [{'), op("DELETE", "method"), F.lit('{"operations":[],"escalate":{"kind":"explode"}}'), F.lit('{"operations":[],"escalate":{"kind":"question"}}')]
+    rows = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("run_id"), "conv_id", "turn", F.get(F.array(*bodies), (F.col("turn") % 7).cast("int")).alias("body"))
     return delta.parse(rows).select("conv_id", "turn", "valid", "error", F.get("delta.operations", 0)["target"]["symbol_name"].alias("symbol_name"))
 
 

@@ -532,3 +532,36 @@ def close_delete_targets(spark, d):
 def parts_renamed(spark, d):
     f = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file_id"), _filled("load{k}OpenAIClient() + OPEN_AI_KEY{k} and open_ai_key").alias("source"), F.lit("openai").alias("old_name"), F.lit("bifrost").alias("new_name"))
     return delta.rename(f)
+
+
+@query("SELECT s_suppkey AS k, to_base64(encode(s_name)) AS packed, s_name AS unpacked FROM supplier")
+def binary_codec(spark, d):
+    packed = files.encode_binary(F.encode("s_name", "utf-8"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), packed.alias("packed"), F.decode(files.decode_binary(packed), "utf-8").alias("unpacked"))
+
+
+@query("SELECT s_suppkey AS key, s_suppkey % 2 = 0 AS delegates, CASE WHEN s_suppkey % 3 = 0 THEN 'AMBIGUOUS' WHEN s_suppkey % 2 = 0 THEN 'FOUND' ELSE 'AMBIGUOUS' END AS status, CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 2 = 0 THEN s_suppkey * 2 END AS symbol_id FROM supplier")
+def delegates(spark, d):
+    """A function of two lines that calls the class's method of its name is a delegate; the method is meant."""
+    k = F.col("s_suppkey")
+    body = F.when(k % 2 == 0, "    return Tool.go(x)").otherwise("    return x")
+    lines = F.array(F.lit("class Tool:"), F.lit("    def go(self, x):"), F.lit("        return x"), F.lit("def go(x):"), body)
+    s = table(spark, d, "supplier").withColumn("lines", lines).withColumn("file", _filled("m{k}.py"))
+    of = lambda i, start, end, indent, parent: s.select((k * 2 + i).alias("symbol_id"), "file", F.lit("function").alias("symbol_type"), F.lit("go").alias("name"), F.lit(start).alias("start_line"), F.lit(end).alias("end_line"), F.lit(indent).alias("indent"), F.lit(parent).cast("string").alias("parent_class"), "lines")
+    pool = of(0, 2, 3, 4, "Tool").unionByName(of(1, 4, 5, 0, None))
+    wanted = s.select(k.alias("key"), "file", F.lit("function").alias("symbol_type"), F.lit("go").alias("symbol_name"), F.lit(None).cast("int").alias("prefer_line"), (k % 3 != 0).alias("allow_delegate"))
+    found = targets.find_symbol(wanted, pool)
+    short = s.select(k.alias("key"), p.trivial_delegate(F.col("lines"), F.lit(4), F.lit(5), F.lit(0), F.lit("Tool"), F.lit("go")).alias("delegates"))
+    return found.join(short, "key").select("key", "delegates", "status", "symbol_id")
+
+
+@query("SELECT s_suppkey AS request_id, s_suppkey AS symbol_id, 1 AS rank FROM supplier UNION ALL SELECT s_suppkey, 1000000, 2 FROM supplier")
+def hybrid_reranked(spark, d):
+    """The candidate that BM25 finds as well comes first."""
+    s = table(spark, d, "supplier")
+    own = s.select(F.col("s_suppkey").alias("symbol_id"), F.col("s_suppkey").alias("ordinal"), _filled("unique{k}word").alias("name"), F.lit("").alias("docstring_first_line"), F.lit("").alias("source"))
+    pool = own.unionByName(spark.createDataFrame([(1_000_000, 1_000_000, "other", "", "")], own.schema))
+    asked = s.select(F.col("s_suppkey").alias("request_id"), _filled("find unique{k}word").alias("text"))
+    first = s.select(F.col("s_suppkey").alias("request_id"), F.lit(1_000_000).cast("long").alias("symbol_id"), F.lit(2.0).alias("score"), F.lit(1).alias("rank"))
+    second = s.select(F.col("s_suppkey").alias("request_id"), F.col("s_suppkey").alias("symbol_id"), F.lit(1.0).alias("score"), F.lit(2).alias("rank"))
+    return retrieval.hybrid_rerank(asked, pool, first.unionByName(second)).select("request_id", "symbol_id", "rank")

@@ -177,3 +177,13 @@ def test_steps_are_told(spark):
     found = e.find(spark.createDataFrame([(1, "change the add function")], "request_id long, text string")).orderBy("rank").first()
     assert [(x["file"], x["line"]) for x in found["call_sites"]] == [("a.py", 15)]
     e.close()
+
+
+def test_commit_sink(spark, tmp_path):
+    write = streams.commit_sink(str(tmp_path / "versions"))
+    batch = lambda *ids: spark.createDataFrame([(i, "accepted" if i != "no" else "rejected", datetime(2026, 1, 1)) for i in ids], "run_id string, outcome string, resolved_at timestamp")
+    write(batch("a", "no", "b"), 0)
+    write(batch("c"), 1)
+    write(batch("c"), 1)  # an epoch that is written again is replaced
+    got = spark.read.parquet(str(tmp_path / "versions")).orderBy("version_n").collect()
+    assert [(r["commit_id"], r["version_n"], r["parent_n"]) for r in got] == [("a", 1, None), ("b", 2, 1), ("c", 3, 2)]
