@@ -8,7 +8,8 @@ out of the shuffles: only ids, words and counts move.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,12 @@ CONSTRUCTS = {
 }
 
 
+class Retriever(Protocol):
+    """Ranks symbols for requests: (request_id, symbol_id, score, rank), at most k a request (None: all)."""
+
+    def __call__(self, requests: DataFrame, symbols: DataFrame, k: int | None) -> DataFrame: ...
+
+
 def top_k(scored: DataFrame, k: int | None, score: str = "score", ties: Sequence[str] = ("ordinal", "symbol_id")) -> DataFrame:
     """Adds rank, from 1 and best first, for each request, and keeps k."""
     order = W.partitionBy("request_id").orderBy(F.col(score).desc(), *[F.col(c) for c in ties])
@@ -227,6 +234,14 @@ def embedding_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
     return hashed.join(cache, "hash", "left_anti")
 
 
+def embeddings(texts: DataFrame, cache: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """((hash, embedding) of all texts, the rows to append to the cache): only what the cache(hash, embedding) lacks goes through
+    `embed`, which gives (hash, embedding) for (hash, text)."""
+    fresh = cut(embed(embedding_misses(texts, cache)).select("hash", "embedding"))
+    wanted = texts.select(F.sha2(F.col("text"), 256).alias("hash")).distinct()
+    return wanted.join(cache.select("hash", "embedding").unionByName(fresh), "hash"), fresh
+
+
 def graph_ranking(requests: DataFrame, symbols: DataFrame, edges: DataFrame, k: int | None = 10, iterations: int = 100) -> DataFrame:
     """Personalised PageRank of edges(caller_id, callee_name) towards the symbols that a request's content words name.
 
@@ -271,12 +286,12 @@ def confidence(fused: DataFrame) -> DataFrame:
 
 
 def locate(
-    requests: DataFrame, symbols: DataFrame, edges: DataFrame | None = None, vectors: DataFrame | None = None, k: int = 5, use_structure: bool = True, iterations: int = 100, sites: DataFrame | None = None,
+    requests: DataFrame, symbols: DataFrame, edges: DataFrame | None = None, vectors: DataFrame | None = None, k: int = 5, use_structure: bool = True, iterations: int = 100, sites: DataFrame | None = None, more: Sequence[Retriever] = (),
 ) -> DataFrame:
     """Localisation over all signals: (request_id, rank, symbol_id, score, confidence, use_call_graph, risk, evidence, calls, called_by_count, call_sites).
 
     vectors: an optional ranking; edges(caller_id, callee_name): optional call edges; sites(name, file, line): optional calls.
-    An absent signal is just not fused. The shortlist that structure is looked for in is written once, and read for it and
+    An absent signal is just not fused; `more` retrievers are fused like the built-in ones. The shortlist that structure is looked for in is written once, and read for it and
     for the last fusion.
     """
     from lodeline.functions.predicates import risk
@@ -287,6 +302,7 @@ def locate(
         rankings.append(vectors.where(F.col("rank") <= wide))
     if edges is not None:
         rankings.append(graph_ranking(requests, symbols, edges, wide, iterations))
+    rankings += [retriever(requests, symbols, wide) for retriever in more]
     if use_structure:
         ranked = cut(_listed(rankings))
         rankings = [ranked.where(F.col("retriever") == i) for i in range(len(rankings))]

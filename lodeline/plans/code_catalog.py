@@ -6,6 +6,8 @@ ends in 7 does not parse.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 
@@ -434,6 +436,45 @@ def cache_keys(spark, d):
 
 
 
+# --- sources and sinks, through a folder of the session's own ---------------------------------------------------------
+
+def _scratch(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/lodeline-scratch/{uuid.uuid4().hex}"
+
+
+@query("SELECT s_suppkey AS k, 'text' AS language, 'source of ' || s_name || chr(10) AS source FROM supplier")
+def scanned_files(spark, d):
+    at = _scratch(spark)
+    table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), _filled("source of {name}").alias("value")).repartition("k").write.partitionBy("k").text(at)
+    got = files.scan(spark, at).where("path like 'k=%.txt'")
+    return got.select(F.regexp_extract("path", r"^k=(\d+)/", 1).cast("long").alias("k"), "language", "source")
+
+
+@query("SELECT 'a/' || s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN 'second' ELSE s_name END AS body FROM supplier")
+def stored_objects(spark, d):
+    store, rows = files.Store(spark, _scratch(spark)), table(spark, d, "supplier").select("s_suppkey", _filled("a/{k}").alias("key"), F.col("s_name").alias("body"))
+    store.put(rows.select("key", "body"), "objects")
+    store.put(rows.where("s_suppkey % 2 = 0").select("key", F.lit("second").alias("body")), "objects")
+    return store.list("objects", "a/").join(store.all("objects"), "key").select("key", "body")
+
+
+@query("SELECT p_brand AS project_id, p_brand || ':' || count(*) AS body FROM part GROUP BY 1")
+def kept_runs(spark, d):
+    at, rows = _scratch(spark), table(spark, d, "part").groupBy(F.col("p_brand").alias("project_id")).agg(F.concat_ws(":", F.first("p_brand"), F.count("*").cast("string")).alias("body"))
+    versions.persist_runs(rows.select("project_id", F.lit("benchmarks/r").alias("key"), F.lit("old").alias("body")), at)
+    versions.persist_runs(rows.select("project_id", F.lit("benchmarks/r").alias("key"), "body"), at)
+    return versions.persisted_runs(spark, at).select("project_id", "body")
+
+
+@query("SELECT DISTINCT sha256(text) AS hash, length(text)::DOUBLE AS size, doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0) AS fresh FROM documents")
+def cached_embeddings(spark, d):
+    docs = table(spark, d, "documents")
+    cache = docs.where("doc_id % 2 = 0").select(F.sha2("text", 256).alias("hash"), F.array(F.length("text").cast("double")).alias("embedding")).distinct()
+    every, fresh = retrieval.embeddings(docs, cache, lambda t_: t_.select("hash", F.array(F.length("text").cast("double")).alias("embedding")))
+    return every.join(fresh.select("hash", F.lit(True).alias("fresh")), "hash", "left").select("hash", F.col("embedding")[0].alias("size"), F.coalesce("fresh", F.lit(False)).alias("fresh"))
+
+
 # --- the engine's front door -----------------------------------------------------------------------------------------
 
 def _engine(spark, d):
