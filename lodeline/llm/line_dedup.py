@@ -35,7 +35,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeline.llm._batches import Seen, blocks, cut, map_arrow, mix64, packed, record, span_hashes, word_spans
