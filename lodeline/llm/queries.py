@@ -1,11 +1,11 @@
-"""The ten operators as registered queries, with their production parameters, over whole tables, and what SQL can say of them."""
+"""The operators as registered queries, with their production parameters, over whole tables, and what SQL can say of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import bpe_codec, compression_rules, edit_fingerprint, license_scan, line_dedup, mixing, ordinal, simhash, substring_dedup, token_counts
+from lodeline.llm import bpe_codec, compression_rules, conversation_repair, edit_fingerprint, filter_audit, license_scan, line_dedup, minhash, mixing, ordinal, simhash, substring_dedup, token_counts
 from lodeline.llm._batches import table
 
 
@@ -51,6 +51,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(turns, conversation_repair.damaged(turns))
+
+
 # The columns of three operators that SQL can say, over the same whole tables.
 
 def base_license_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +80,7 @@ def base_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_simhash, op3_token_counts, op4_fingerprints, op5_bpe, op6_quality_rules, op7_quality_classifier, op8_substring_dedup, op9_license_scan, op10_mixing, base_license_counts, base_quality_counts, base_mix_targets)
+    for f in (op1_line_dedup, op2_simhash, op3_token_counts, op4_fingerprints, op5_bpe, op6_quality_rules, op7_quality_classifier, op8_substring_dedup, op9_license_scan, op10_mixing, op11_filter_audit, op12_minhash, op13_conversation_repair, base_license_counts, base_quality_counts, base_mix_targets)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -85,4 +98,25 @@ SELECT doc_id, len(w) AS n_words, length(text) - length(regexp_replace(text, '[^
     "base_mix_targets": rf"""WITH s AS (SELECT source, sum(len({_WORDS}))::BIGINT AS size FROM documents GROUP BY 1), w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 3 * size AS cap FROM s),
 f AS (SELECT *, (sum(size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 g AS (SELECT max(level) FILTER (level * weight <= cap) AS level FROM f) SELECT source, size AS source_size, round(least(cap, coalesce(g.level * weight, cap))::DOUBLE, 3) AS target, 0 AS apart FROM f, g""",
+    "op11_filter_audit": r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, (CASE WHEN len(w) < 100 THEN 1 ELSE 0 END) | (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END) | (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END)
+ | (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END) | (CASE WHEN coalesce(d.doc_id, 9223372036854775807) > first THEN 16 ELSE 0 END) AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY 1, 2),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(letter, bit)),
+o AS (SELECT '' AS filter_order, 0 AS used, []::INTEGER[] AS bits UNION ALL SELECT filter_order || letter, used | bit, list_append(bits, bit) FROM o, f WHERE used & bit = 0),
+s AS (SELECT filter_order, step::INTEGER AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before FROM o, range(1, 6) r(step) WHERE len(filter_order) = 5),
+t AS (SELECT part, bit, before, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+ sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+ FROM c, (SELECT DISTINCT bit, before FROM s) GROUP BY 1, 2, 3)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM s JOIN t USING (bit, before)""",
+    "op12_minhash": r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+b AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+r AS (SELECT x AS node, x AS other FROM b UNION SELECT r.node, b.y FROM r JOIN b ON r.other = b.x),
+c AS (SELECT node, min(other) AS least FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id, coalesce(least, doc_id) = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = doc_id""",
 }
