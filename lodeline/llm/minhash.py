@@ -10,11 +10,12 @@ A pair that meets is kept if its whole signatures are close enough and then conf
 What the signatures can lose: a pair of similarity 0.85 exactly is beyond 15 of 40 with a chance of 1.1e-4, one of 0.88 of 7e-6.
 Sets of up to 5 shingles are linked to equal sets only (5/6 < 0.85), so they have no signature.
 
-Components need no pair of classes that are connected already, so pairs are asked for in rounds: each class names its few
-closest partners under a key, confirmed links are contracted, and only then are further partners, of other components, named;
-the last round names all that are left. Under a key that many classes share the first round deals them to shares; later ones
-drop the key if all its classes are one component, and otherwise let every two shares meet in a cell of their own. So a group
-of near copies is joined by a few pairs each, no pair of different components is left untried, and no task holds a key.
+Components need no pair of classes that are connected already. First each class names its few closest partners (of a key that
+many share, its share's), which are confirmed as rows; these links are contracted. Then only keys that still hold several
+components count: classes that such keys chain together are a group, which meets in one task with its sets, or, when it is
+large, in a cell for every two of its shares; beyond `GROUP` classes the keys themselves are what is dealt to cells. There every
+two classes of different components are compared and confirmed in arrays, and a spanning forest of the links leaves. So a
+group of near copies costs a few rows a class, no pair of different components is left untried, and no task holds a key.
 
 Shingles are told apart by 64-bit hashes within a pair, sets by 128 bits. Nulls and edges: a null text is an empty one; texts
 without words have empty sets, are linked with nothing and are their own component; a null id keeps its row and is never the
@@ -29,6 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeline.llm._batches import Seen, blocks, cut, lower_ascii, map_arrow, mix64, record, span_hashes, word_spans
@@ -39,8 +41,9 @@ WIDTH, PERCENT = 5, 85
 POSITIONS, CHUNKS, ERRORS, DISTANCE = 40, 8, 1, 15
 #: Least size of a set that can be linked to a different one.
 LEAST_SET = 6
-#: Classes of one key that meet in one task; partners that a class names under a key, round by round (None: all).
-SHARE, ROUNDS = 1024, (4, 32, None)
+#: Partners that a class names first. What one share of a key or group takes on: classes, shingles of all. Classes of a group that is
+#: dealt as one. None of them changes the result.
+CLOSEST, SHARE, SHINGLES, GROUP = 4, 1024, 1 << 20, 8192
 
 _LANES = POSITIONS // 4
 _SYMBOLS = [f"s{i}" for i in range(_LANES)]
@@ -133,11 +136,9 @@ def members(classes: DataFrame) -> DataFrame:
     return placed.join(shared, F.col("key") == F.col("k")).select("key", "size", "cls")
 
 
-def _meet(key: np.ndarray, comp: np.ndarray, side: np.ndarray, symbols: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows sorted by key that meet: equal keys, other components, other sides (-1: any), close signatures.
-
-    With `most`, those that are among so many closest of one of the two.
-    """
+def _close(key: np.ndarray, comp: np.ndarray, side: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of the rows sorted by key that meet, each pair once: equal keys, other components, other sides (-1: any) and
+    signatures within DISTANCE."""
     close, i = [np.zeros((3, 0), np.int64)], np.arange(max(0, len(key) - 1))
     for d in range(1, len(key)):
         i = i[i + d < len(key)]
@@ -149,15 +150,16 @@ def _meet(key: np.ndarray, comp: np.ndarray, side: np.ndarray, symbols: np.ndarr
             differ = np.count_nonzero(symbols[part] != symbols[part + d], axis=1)
             near = differ <= DISTANCE
             close.append(np.stack((part[near], part[near] + d, differ[near])))
-    a, b, differ = np.concatenate(close, axis=1)
-    if most is None or not len(a):
-        return a, b
-    both = np.concatenate((a, b))
-    order = np.lexsort((np.concatenate((differ, differ)), both))
-    row = both[order]
-    keep = np.zeros(len(a), bool)
-    keep[order[np.arange(len(row)) - np.searchsorted(row, row) < most] % len(a)] = True
-    return a[keep], b[keep]
+    return tuple(np.concatenate(close, axis=1))
+
+
+def _first(own: np.ndarray, other: np.ndarray, differ: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row, as own, its `most` closest others."""
+    own, other, differ = np.concatenate((own, other)), np.concatenate((other, own)), np.concatenate((differ, differ))
+    order = np.lexsort((differ, own))
+    row = own[order]
+    order = order[np.arange(len(row)) - np.searchsorted(row, row) < most]
+    return own[order], other[order], differ[order]
 
 
 def _halves(names: pa.ChunkedArray) -> np.ndarray:
@@ -165,56 +167,141 @@ def _halves(names: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(names.to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
 
 
-def candidates(cells: DataFrame, most: int | None = None) -> DataFrame:
-    """(a, b), a < b: the pairs of classes in each cell(key, cell, side, cls, comp, s0, ...) that _meet names, each once."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def _whole_cells(batches, do):
+    """do(rows) for pieces of sorted batches that hold whole cells (key, cell)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= 4 * SHARE:  # the last cell may go on
+            rows = pa.Table.from_batches(held)
+            key, cell = (rows.column(c).to_numpy() for c in ("key", "cell"))
+            ends = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+            if len(ends):
+                yield do(rows.slice(0, int(ends[-1])))
+                held = rows.slice(int(ends[-1])).to_batches()
+    if held:
+        yield do(pa.Table.from_batches(held))
+
+
+def _columns(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """(a number for each cell, components, sides, symbols)."""
+    key, cell = (rows.column(c).to_numpy() for c in ("key", "cell"))
+    symbols = np.stack([rows.column(s).to_numpy() for s in _SYMBOLS], axis=1).view(np.uint16)
+    at = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))) if len(key) else key
+    return at, _halves(rows.column("comp")), rows.column("side").to_numpy(), symbols
+
+
+def _sorted_cells(cells: DataFrame, *more: str) -> DataFrame:
+    return cells.select("key", "cell", "side", "cls", "comp", *_SYMBOLS, *more).repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+
+def _names(rows: pa.Table, at: np.ndarray):
+    return rows.column("cls").take(pa.array(at)).combine_chunks()
+
+
+def closest(cells: DataFrame, most: int | None) -> DataFrame:
+    """(a, b), a < b: for each class of cells(key, cell, side, cls, comp, s0, ...) the `most` closest (None: all) that it meets."""
+    schema = pa.schema([("own", pa.binary()), ("other", pa.binary()), ("differ", pa.int32())])
 
     def pairs(rows: pa.Table):
-        key, cell = (rows.column(c).to_numpy() for c in ("key", "cell"))
-        cls, symbols = _halves(rows.column("cls")), np.stack([rows.column(s).to_numpy() for s in _SYMBOLS], axis=1).view(np.uint16)
-        i, j = _meet(key ^ mix64(cell.astype(np.uint64)).view(np.int64), _halves(rows.column("comp")), rows.column("side").to_numpy(), symbols, most)
-        turned = (cls[i, 0] > cls[j, 0]) | ((cls[i, 0] == cls[j, 0]) & (cls[i, 1] > cls[j, 1]))
-        i, j = np.where(turned, j, i), np.where(turned, i, j)
-        return record(schema, *(rows.column("cls").take(pa.array(k)).combine_chunks() for k in (i, j)))
+        i, j, differ = _close(*_columns(rows))
+        if most is not None:
+            i, j, differ = _first(i, j, differ, most)
+        return record(schema, _names(rows, i), _names(rows, j), differ)
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= 4 * SHARE:  # whole cells go, the last one may go on
-                rows = pa.Table.from_batches(held)
-                key, cell = (rows.column(c).to_numpy() for c in ("key", "cell"))
-                ends = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
-                if len(ends):
-                    yield pairs(rows.slice(0, int(ends[-1])))
-                    held = rows.slice(int(ends[-1])).to_batches()
-        if held:
-            yield pairs(pa.Table.from_batches(held))
+    named = map_arrow(_sorted_cells(cells), lambda b: _whole_cells(b, pairs), "own binary, other binary, differ int").where("own != other").distinct()
+    if most is not None:
+        named = named.withColumn("nth", F.row_number().over(W.partitionBy("own").orderBy("differ", "other"))).where(F.col("nth") <= most)
+    return named.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
 
-    dealt = cells.select("key", "cell", "side", "cls", "comp", *_SYMBOLS).repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return map_arrow(dealt, run, "a binary, b binary").where("a < b").distinct()
 
+def _forest(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """Places of the pairs (i, j) that connect components not connected by those before."""
+    _, label = np.unique(comp, axis=0, return_inverse=True)
+    _, places = np.unique(np.sort(np.stack((label[i], label[j])), axis=0), axis=1, return_index=True)
+    up, out = {}, []
 
-def _shares(size):
-    return F.ceil(size / F.lit(SHARE)).cast("int")
+    def top(x):
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
 
+    for k in sorted(places.tolist()):
+        x, y = top(int(label[i[k]])), top(int(label[j[k]]))
+        if x != y:
+            up[x] = y
+            out.append(k)
+    return out
 
-def _own_share(n):
-    return F.pmod(F.xxhash64("cls"), n).cast("int")
+
+def linked_in_cells(cells: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b), a < b: links that connect all components that links between classes of one cell connect.
+
+    cells(key, cell, side, cls, comp, s0, ..., hashes) bring the sets; every two of other components are confirmed on them.
+    """
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def pairs(rows: pa.Table):
+        at, comp, side, symbols = _columns(rows)
+        i, j, _ = _close(at, comp, side, symbols)
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("hashes")]
+        size = np.array([len(x) for x in sets])
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        begin, inside, good = np.cumsum(size) - size, np.zeros(int(ids.max()) + 1, bool), np.zeros(len(i), bool)
+        for a, b in zip(*(x.tolist() for x in _spans(i))):
+            own = ids[begin[i[a]] : begin[i[a]] + size[i[a]]]
+            inside[own] = True
+            while a < b:  # some partners at a time
+                z = min(b, a + max(1, int(np.searchsorted(np.cumsum(size[j[a:b]]), SHINGLES))))
+                of, n = j[a:z], size[j[a:z]]
+                first = np.cumsum(n) - n
+                both = np.add.reduceat(inside[ids[np.repeat(begin[of] - first, n) + np.arange(int(n.sum()))]], first, dtype=np.int64)
+                good[a:z] = 100 * both >= percent * (len(own) + n - both)
+                a = z
+            inside[own] = False
+        i, j = i[good], j[good]
+        some = np.array(_forest(comp, i, j), np.int64)
+        return record(schema, _names(rows, i[some]), _names(rows, j[some]))
+
+    found = map_arrow(_sorted_cells(cells, "hashes"), lambda b: _whole_cells(b, pairs), "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def _spans(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.diff(i, prepend=-1))
+    return first, np.append(first[1:], len(i))
 
 
 def dealt_cells(rows: DataFrame) -> DataFrame:
     """Rows (key, size, cls, comp, ...) with one share a row of the keys that many have."""
-    return rows.withColumn("cell", _own_share(_shares(F.col("size")))).withColumn("side", F.lit(-1))
+    n = F.ceil(F.col("size") / F.lit(SHARE))
+    return rows.withColumn("cell", F.pmod(F.xxhash64("cls"), n).cast("int")).withColumn("side", F.lit(-1))
 
 
 def all_cells(rows: DataFrame) -> DataFrame:
-    """Rows of the keys that hold several components, in a cell for every two shares of a key."""
-    open_keys = rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("of"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("k", "of")
-    shared = rows.join(open_keys, F.col("key") == F.col("k")).withColumn("n", _shares(F.col("of"))).withColumn("own", _own_share(F.col("n")))
-    spread = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    own, other = F.col("own"), F.col("other")
-    return spread.withColumn("cell", F.least(own, other) * F.col("n") + F.greatest(own, other)).withColumn("side", F.when(own == other, -1).when(own < other, 0).otherwise(1))
+    """Rows (key, cls, n, ...) in a cell for every two shares of a key."""
+    sizes = rows.groupBy(F.col("key").alias("k")).agg(F.greatest(F.ceil(F.count("*") / F.lit(SHARE)), F.ceil(F.sum("n") / F.lit(SHINGLES))).cast("int").alias("shares"))
+    shared = rows.join(sizes, F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("shares")).cast("int"))
+    spread = shared.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    own, other = F.col("own"), F.col("with")
+    return spread.withColumn("cell", F.least(own, other) * F.col("shares") + F.greatest(own, other)).withColumn("side", F.when(own == other, -1).when(own < other, 0).otherwise(1))
+
+
+def open_groups(rows: DataFrame) -> DataFrame | None:
+    """(key, cls) of the classes of rows(key, cls, comp) under keys that hold several components: the key stands for the group that
+    such keys chain together or, in a group of more than GROUP classes, is the key itself. None if there is none."""
+    keys = rows.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("cls").alias("lead")).where("low < high").select("k", "lead")
+    held = cut(rows.join(keys, F.col("key") == F.col("k")).select("key", "cls", "lead"))
+    if held.isEmpty():
+        return None
+    groups = cut(connected_components(held.where("lead != cls").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()))
+    large = groups.groupBy(F.col("component").alias("of")).agg((F.count("*") > GROUP).alias("large"))
+    known = groups.join(large, F.col("component") == F.col("of")).select("node", F.xxhash64("component").alias("group"), "large")
+    whole = known.where("not large").select(F.col("group").alias("key"), F.col("node").alias("cls"))
+    return whole.union(held.join(known.where("large"), F.col("cls") == F.col("node")).select("key", "cls"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,20 +351,17 @@ def class_components(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id"
     if shared.isEmpty():
         return None
     wanted = cut(classes.join(shared.select(F.col("cls").alias("c")).distinct(), F.col("cls") == F.col("c"), "left_semi"))
-    sets, parts, tested = cut(shingle_sets(docs, wanted, id_col, text_col)), None, None
-    for most in ROUNDS:
-        named = wanted.withColumn("comp", F.col("cls")) if parts is None else wanted.join(parts, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls"))
-        rows = shared.join(named.select(F.col("cls").alias("c"), "comp", *_SYMBOLS), F.col("cls") == F.col("c"))
-        found = candidates((dealt_cells if most == ROUNDS[0] else all_cells)(rows), most)
-        if tested is not None:
-            found = found.join(tested.select(F.col("a").alias("a2"), F.col("b").alias("b2")), (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_anti")
-        new = cut(confirm(found, sets, percent))
-        if new.isEmpty():
-            continue
-        tested = new if tested is None else tested.union(new)
-        if not new.where("linked").isEmpty():
-            parts = cut(connected_components(tested.where("linked").select("a", "b")))
-    return parts
+    sets = cut(shingle_sets(docs, wanted, id_col, text_col))
+    alone = shared.join(wanted.select(F.col("cls").alias("c"), F.col("cls").alias("comp"), *_SYMBOLS), F.col("cls") == F.col("c"))
+    links = cut(confirm(closest(dealt_cells(alone), CLOSEST), sets, percent).where("linked").select("a", "b"))
+    parts = cut(connected_components(links))
+    named = cut(wanted.join(parts, F.col("cls") == F.col("node"), "left").select("cls", "n", F.coalesce("component", "cls").alias("comp"), *_SYMBOLS))
+    rest = open_groups(shared.join(named.select(F.col("cls").alias("c"), "comp"), F.col("cls") == F.col("c")).select("key", "cls", "comp"))
+    if rest is None:
+        return parts
+    cells = all_cells(rest.join(named.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c")))
+    more = cut(linked_in_cells(cells.join(sets.withColumnRenamed("cls", "of"), F.col("cls") == F.col("of")), percent))
+    return parts if more.isEmpty() else cut(connected_components(links.union(more)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -285,7 +369,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if percent < 84:
         raise ValueError("signatures, and sets too small to have one, are laid out for similarities of 0.84 and more")
     rows = cut(signed(docs, id_col, text_col))
-    classes = rows.where(F.col("n") >= LEAST_SET).groupBy("cls").agg(F.min("kind").alias("kind"), *[F.min(s).alias(s) for s in _SYMBOLS])
+    classes = rows.where(F.col("n") >= LEAST_SET).groupBy("cls").agg(F.min("kind").alias("kind"), F.max("n").alias("n"), *[F.min(s).alias(s) for s in _SYMBOLS])
     parts = class_components(docs, classes, id_col, text_col, percent)
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"))
     named = least.withColumn("component", F.col("cls")) if parts is None else least.join(parts, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls"))

@@ -136,10 +136,10 @@ def near_texts(seed=5, groups=12, copies=14):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("share, rounds", [(1024, (4, 32, None)), (4, (1, 2, None)), (3, (1, None))], ids=["usual", "small", "tiny"])
-def test_minhash_components(spark, monkeypatch, share, rounds):
-    monkeypatch.setattr(minhash, "SHARE", share)
-    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+@pytest.mark.parametrize("limits", [{}, {"SHARE": 4, "CLOSEST": 1}, {"SHARE": 3, "CLOSEST": 1, "GROUP": 5, "SHINGLES": 300}], ids=["usual", "small", "tiny"])
+def test_minhash_components(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(minhash, name, value)
     rows = near_texts()
     docs = extra(documents(spark, [(i, t, "en", "s", 0) for i, t in rows]))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
@@ -161,8 +161,8 @@ def test_every_pair_within_the_distance_meets(spark):
     rows = [(n, *map(int, s.astype(np.uint16).view(np.int64))) for n, s in zip(names, symbols)]
     classes = spark.createDataFrame(rows, "cls binary, " + ", ".join(f"s{i} long" for i in range(minhash.POSITIONS // 4)))
     shared = minhash.members(classes)
-    met = shared.join(classes, "cls").withColumn("comp", F.col("cls"))
-    got = {(bytes(r["a"]), bytes(r["b"])) for r in minhash.candidates(minhash.all_cells(met)).collect()}
+    met = shared.join(classes, "cls").withColumn("comp", F.col("cls")).withColumn("n", F.lit(1))
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in minhash.closest(minhash.all_cells(met), None).collect()}
     want = {(min(x, y), max(x, y)) for i, (x, s) in enumerate(zip(names, symbols)) for y, t in zip(names[:i], symbols[:i]) if np.count_nonzero(s != t) <= minhash.DISTANCE}
     assert got == want and len(want) > 80
 
