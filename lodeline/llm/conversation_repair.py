@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -123,14 +124,15 @@ def tight(kinds: list[int], times: list[int], entry: np.ndarray, leave: np.ndarr
     for i in range(n - 1, -1, -1):
         after[i] = np.minimum((_ROWS.layers[kinds[i]] + after[i + 1][None, :]).min(axis=1) + extra[i], _FAR)
     best, out, before = int((entry + after[0]).min()), [], entry
+    ahead = [a.tolist() for a in after]
     for i, kind in enumerate(kinds):
         here = np.minimum((before[:, None] + CLOSURE).min(axis=0), _FAR)  # with inserts before this row
-        mask = 0
-        for letter, q, to, cost in _INSERTS:
-            if here[q] + cost + after[i][to] == best:
+        mask, cheap = 0, here.tolist()
+        for _, q, to, cost in _INSERTS:
+            if cheap[q] + cost + ahead[i][to] == best:
                 mask |= 1 << (4 + q)
         for letter, q, to, cost in _ROWS.arcs[kind]:
-            if here[q] + cost + extra[i] + after[i + 1][to] == best:
+            if cheap[q] + cost + extra[i] + ahead[i + 1][to] == best:
                 mask |= 1 << (4 * _LETTERS.index(letter) + q)
         out.append(mask)
         before = np.minimum((here[:, None] + _ROWS.rows[kind]).min(axis=0) + extra[i], _FAR)
@@ -206,11 +208,11 @@ def _tight_rows(rows: DataFrame) -> DataFrame:
         at, so_far = None, None
         for key, part, new in _runs(batches, 3):
             if new and at is not None:
-                yield _batch(held, [(*at, so_far.ravel().tolist())])
+                yield (*at, so_far.ravel().tolist())
             more = stretch([r[3] for r in part], [r[4] for r in part])
             at, so_far = key, more if new else product(so_far, more)
         if at is not None:
-            yield _batch(held, [(*at, so_far.ravel().tolist())])
+            yield (*at, so_far.ravel().tolist())
 
     def ends(batches):
         for b in batches:
@@ -221,12 +223,12 @@ def _tight_rows(rows: DataFrame) -> DataFrame:
                     entry.append(np.minimum((entry[-1][:, None] + m).min(axis=0), _FAR))
                 for m in costs[:0:-1]:
                     leave.append(np.minimum((m + leave[-1][None, :]).min(axis=1), _FAR))
-                yield _batch(held, [(none, c, p["part"], [*e.tolist(), *x.tolist()]) for p, e, x in zip(parts, entry, reversed(leave))])
+                yield from ((none, c, p["part"], [*e.tolist(), *x.tolist()]) for p, e, x in zip(parts, entry, reversed(leave)))
 
     ddl = "none boolean, c long, part int, costs array<long>"
-    matrices = map_arrow(ranged.select("none", "c", "part", "kind", "times"), reduce, ddl)
+    matrices = map_arrow(ranged.select("none", "c", "part", "kind", "times"), lambda b: _batches(held, reduce(b)), ddl)
     by_conversation = matrices.groupBy("none", "c").agg(F.sort_array(F.collect_list(F.struct("part", "costs"))).alias("parts"))
-    bounds = map_arrow(by_conversation, ends, ddl)
+    bounds = map_arrow(by_conversation, lambda b: _batches(held, ends(b)), ddl)
     both = bounds.select(*_PLACE, "part", F.lit(0).alias("what"), F.lit(0).cast("long").alias("t"), F.lit("").alias("role"), F.lit("").alias("digest"), F.lit(0).cast("long").alias("times"), F.lit(0).alias("kind"), "costs").unionByName(
         ranged.select(*_PLACE, "part", F.lit(1).alias("what"), *_ORDER, "times", "kind", F.lit(None).cast("array<long>").alias("costs"))
     )
@@ -238,23 +240,25 @@ def _tight_rows(rows: DataFrame) -> DataFrame:
         def whole():
             costs, rows = held[0][-1], held[1:]
             masks = tight([r[8] for r in rows], [r[7] for r in rows], np.array(costs[:4]), np.array(costs[4:]))
-            return _batch(out, [(*r[:2], *r[4:9], m) for r, m in zip(rows, masks)])
+            return [(*r[:2], *r[4:9], m) for r, m in zip(rows, masks)]
 
         for _, part, new in _runs(batches, 3):
             if new and held:
-                yield whole()
+                yield from whole()
                 held.clear()
             held += part
         if held:
-            yield whole()
+            yield from whole()
 
     dealt = both.repartition(*_PLACE, "part").sortWithinPartitions(*_PLACE, "part", "what", *_ORDER)
-    return map_arrow(dealt, arcs, "none boolean, c long, t long, role string, digest string, times long, kind int, mask int")
+    return map_arrow(dealt, lambda b: _batches(out, arcs(b)), "none boolean, c long, t long, role string, digest string, times long, kind int, mask int")
 
 
-def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+def _batches(schema: pa.Schema, rows: Iterator[tuple], size: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches."""
+    rows = iter(rows)
+    while held := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
 class _Conversation:
@@ -334,7 +338,7 @@ def repair(conversations: DataFrame, broken: DataFrame) -> DataFrame:
         for key, part, new in _runs(batches, 2):
             if new:
                 if at is not None:
-                    yield _batch(schema, [at.end()])
+                    yield at.end()
                 at = _Conversation(key)
             for _, _, what, t, role, digest, times, kind, mask, body in part:
                 if what == 1:
@@ -342,6 +346,6 @@ def repair(conversations: DataFrame, broken: DataFrame) -> DataFrame:
                 elif what == 2:
                     at.text(t, role, digest, body)
         if at is not None:
-            yield _batch(schema, [at.end()])
+            yield at.end()
 
-    return map_arrow(sorted_rows, run, "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")
+    return map_arrow(sorted_rows, lambda b: _batches(schema, run(b)), "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")
