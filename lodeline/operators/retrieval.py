@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as t
+from lodeline.operators import tree_patterns
 from lodeline.operators.graph import pagerank
 from lodeline.plans.joins import small
 from lodeline.plans.lineage import cut
@@ -38,16 +39,16 @@ INTENTS = {
     "decorated-def": ("decorator", "decorated", "wraps"),
     "re-call": ("regex", "pattern", "match"),
 }
-#: The constructs as regular expressions over a Python source.
+# The constructs as patterns over the tree of a Python source.
 CONSTRUCTS = {
-    "isinstance-call": r"\bisinstance\s*\([^()]*,",
-    "raise-call": r"(?m)^\s*raise\s+[\w.]+\s*\(",
-    "logging-call": r"\blogging\.\w+\s*\(",
-    "for-loop": r"(?m)^\s*for\s+.+\s+in\s+.+:",
-    "async-def": r"(?m)^\s*async\s+def\s+\w+\s*\(",
-    "math-call": r"\bmath\.\w+\s*\(",
-    "decorated-def": r"(?m)^\s*@[^\n]+\n(\s*@[^\n]+\n)*\s*(async\s+)?def\s+\w+",
-    "re-call": r"\bre\.\w+\s*\(",
+    "isinstance-call": "isinstance($X, ...)",
+    "raise-call": "raise $EXC(...)",
+    "logging-call": "logging.$METHOD(...)",
+    "for-loop": "for $X in $Y: ...",
+    "async-def": "async def $F(...): ...",
+    "math-call": "math.$FUNC(...)",
+    "decorated-def": "@$DEC\ndef $F(...): ...",
+    "re-call": "re.$METHOD(...)",
 }
 
 
@@ -256,11 +257,22 @@ def graph_ranking(requests: DataFrame, symbols: DataFrame, edges: DataFrame, k:
     return top_k(scored.join(_ordinals(symbols), "symbol_id"), k).select("request_id", "symbol_id", "score", "rank")
 
 
-def structural_score(source: Column, request: Column, language: Column) -> Column:
-    """How many constructs that the request asks for stand in the source; Python only."""
-    asked = t.alnum(request)
-    hit = [F.when(F.arrays_overlap(asked, t.words_array(words)) & source.rlike(CONSTRUCTS[c]), 1).otherwise(0) for c, words in INTENTS.items()]
-    return F.when(language == "python", sum(hit[1:], hit[0])).otherwise(0)
+def structural_scores(requests: DataFrame, candidates: DataFrame, constructs: dict[str, str] = CONSTRUCTS, intents: dict[str, tuple[str, ...]] = INTENTS) -> DataFrame:
+    """(request_id, symbol_id, score) of candidates(request_id, symbol_id, source, language): how many constructs that the request
+    asks for the source holds, above zero; Python only.
+
+    Sources that any request asks about become a node table once, and all constructs are matched on it together. Names in
+    comments and strings are no nodes; a source that does not parse has none.
+    """
+    words = F.create_map(*[x for c, w in intents.items() for x in (F.lit(c), t.words_array(w))])
+    asked = requests.select("request_id", F.explode(words).alias("pattern", "words"), t.alnum(F.col("text")).alias("said")).where(F.arrays_overlap("said", "words")).select("request_id", "pattern")
+    python = candidates.where("language = 'python'").select("request_id", "symbol_id", "source")
+    sources = python.join(asked.select("request_id").distinct(), "request_id", "left_semi").groupBy(F.col("symbol_id").alias("source_id")).agg(F.first("source").alias("source"))
+    tree = cut(tree_patterns.nodes(sources))
+    if tree.isEmpty():
+        return python.select("request_id", "symbol_id", F.lit(0.0).alias("score")).limit(0)
+    found = tree_patterns.matches(tree, constructs).select(F.col("source_id").alias("symbol_id"), "pattern").distinct()
+    return python.select("request_id", "symbol_id").distinct().join(asked, "request_id").join(found, ["symbol_id", "pattern"]).groupBy("request_id", "symbol_id").agg(F.count("*").cast("double").alias("score"))
 
 
 def _listed(rankings: Sequence[DataFrame]) -> DataFrame:
@@ -307,8 +319,8 @@ def locate(
         ranked = cut(_listed(rankings))
         rankings = [ranked.where(F.col("retriever") == i) for i in range(len(rankings))]
         shortlist = fuse(rankings, wide).select("request_id", "symbol_id", F.col("rank").alias("ordinal"))
-        seen = shortlist.join(symbols.select("symbol_id", "source", "language"), "symbol_id").join(requests.select("request_id", "text"), "request_id")
-        fit = seen.select("request_id", "symbol_id", "ordinal", structural_score(F.col("source"), F.col("text"), F.col("language")).cast("double").alias("score")).where("score > 0")
+        seen = shortlist.join(symbols.select("symbol_id", "source", "language"), "symbol_id")
+        fit = structural_scores(requests, seen).join(shortlist, ["request_id", "symbol_id"])
         rankings.append(top_k(fit, None).select("request_id", "symbol_id", "score", "rank"))
     fused = cut(fuse(rankings, k))
     out = fused.join(confidence(fused), "request_id").withColumn("use_call_graph", F.col("confidence") < CALL_GRAPH_BELOW)

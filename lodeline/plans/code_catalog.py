@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import predicates as p
 from lodeline.functions import text as t
-from lodeline.operators import blocks, context, delta, graph, retrieval, targets, versions
+from lodeline.operators import blocks, context, delta, graph, retrieval, targets, tree_patterns, versions
 from lodeline.plans.catalog import _words, query, table
 from lodeline.plans.engine import Engine
+from lodeline.plans.lineage import cut
 from lodeline.sources import code, files, pages
 from lodeline.streaming import events as streams
 
@@ -366,7 +367,39 @@ def definitions_and_structure(spark, d):
     snippet = F.get(F.array(F.lit("@x\ndef a():\n    def b(): pass"), F.lit("export async function a() {\n}"), F.lit("x = 1")), (n % 3).cast("int"))
     source = F.get(F.array(F.lit("if isinstance(x, int):\n    pass"), F.lit("raise ValueError(x)"), F.lit("for x in y:\n    pass"), F.lit("z = 1")), (n % 4).cast("int"))
     request = F.get(F.array(F.lit("validate it"), F.lit("raise an error"), F.lit("sort it"), F.lit("validate it")), (n % 4).cast("int"))
-    return table(spark, d, "supplier").select(n.alias("k"), delta.definition(snippet).alias("defined"), retrieval.structural_score(source, request, F.lit("python")).alias("score"))
+    rows = table(spark, d, "supplier").select(n.alias("k"), delta.definition(snippet).alias("defined"), source.alias("source"), request.alias("text"))
+    scores = retrieval.structural_scores(rows.select(F.col("k").alias("request_id"), "text"), rows.select(F.col("k").alias("request_id"), F.col("k").alias("symbol_id"), "source", F.lit("python").alias("language")))
+    return rows.select("k", "defined").join(scores.select(F.col("symbol_id").alias("k"), "score"), "k", "left").select("k", "defined", F.coalesce(F.col("score").cast("int"), F.lit(0)).alias("score"))
+
+
+#: A source with each construct in its code, or in a string and a comment only.
+_TREE = """import math
+
+
+@cache{k}
+def first_{k}(a, *, b=None):
+    text = 'isinstance({name}, int) math.sqrt(2)'  # raise ValueError({k}); for x in y: ...
+    return pick(a, {twice}, {k})
+
+
+class Holder{k}:
+    async def second(self, rows):
+        for row in rows:
+            {call}
+"""
+
+
+@query("""WITH k AS (SELECT s_suppkey AS k, s_suppkey % 4 AS m FROM supplier), p AS (SELECT * FROM (VALUES ('isinstance($X, ...)', 1), ('raise $E(...)', 2), ('math.$F(...)', 3)) p(pattern, m))
+SELECT k, pattern, 13 AS line FROM k JOIN p USING (m) UNION ALL SELECT k, 'for $X in $Y: ...', 12 FROM k UNION ALL SELECT k, 'async def $F(...): ...', 11 FROM k UNION ALL SELECT k, '@$D' || chr(10) || 'def $F(...): ...', 5 FROM k
+UNION ALL SELECT k, 'pick($A, $A, ...)', 7 FROM k WHERE k % 3 = 0 UNION ALL SELECT k, 'pick(..., 7)', 7 FROM k WHERE k = 7 UNION ALL SELECT k, 'class $C: <... isinstance(...) ...>', 10 FROM k WHERE m = 1""")
+def tree_matches(spark, d):
+    """Patterns over the node table of a source a supplier."""
+    n = F.col("s_suppkey")
+    call = F.get(F.array(F.lit("pass"), F.lit("isinstance(row, int)"), F.lit("raise errors.Bad(row)"), F.lit("math.sin(row)")), (n % 4).cast("int"))
+    source = F.replace(F.replace(_filled(_TREE), F.lit("{twice}"), F.when(n % 3 == 0, "a").otherwise("b")), F.lit("{call}"), call)
+    tree = cut(tree_patterns.nodes(table(spark, d, "supplier").select(n.alias("source_id"), source.alias("source"))))
+    asked = ["isinstance($X, ...)", "raise $E(...)", "math.$F(...)", "for $X in $Y: ...", "async def $F(...): ...", "@$D\ndef $F(...): ...", "pick($A, $A, ...)", "pick(..., 7)", "class $C: <... isinstance(...) ...>"]
+    return tree_patterns.matches(tree, {p: p for p in asked}).select(F.col("source_id").alias("k"), "pattern", "line")
 
 
 @query(f"WITH {_SYMBOLS} SELECT 'p' || k % 3 AS project_id, count(DISTINCT file) AS n_files, count(*) AS n_symbols FROM s GROUP BY 1")

@@ -116,8 +116,9 @@ def test_edges_and_locate(spark, symbols):
 
 
 def test_structural_score(spark, symbols):
-    got = {r["name"]: r["s"] for r in symbols.select("name", retrieval.structural_score(F.col("source"), F.lit("validate types and raise errors"), F.col("language")).alias("s")).collect()}
-    assert got["check_password"] == 2 and got["add"] == 0
+    asked = ask(spark, "validate types and raise errors", "sort rows")
+    got = retrieval.structural_scores(asked, asked.select("request_id").crossJoin(symbols)).join(symbols.select("symbol_id", "name"), "symbol_id").collect()
+    assert [(r["request_id"], r["name"], r["score"]) for r in got] == [(0, "check_password", 2.0)]
 
 
 def test_local_callers_and_single_file(spark):
