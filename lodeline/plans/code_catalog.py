@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from lodeline.functions import predicates as p
 from lodeline.functions import text as t
 from lodeline.operators import blocks, context, delta, graph, retrieval, targets, tree_patterns, versions
-from lodeline.plans.catalog import _words, query, table
+from lodeline.operators.posting_index import PostingIndex
+from lodeline.plans import catalog
+from lodeline.plans.catalog import _BM25, _words, query, table
 from lodeline.plans.engine import Engine
 from lodeline.plans.lineage import cut
 from lodeline.sources import code, files, pages
@@ -476,6 +478,17 @@ def _scratch(spark) -> str:
     return f"{base.rstrip('/')}/lodeline-scratch/{uuid.uuid4().hex}"
 
 
+@query(f"WITH {_BM25} SELECT request_id, symbol_id, round(score, 4) AS score, rank FROM bmr WHERE rank <= 10")
+def bm25_indexed_topk(spark, d):
+    """The ranking of bm25_topk from a stored index, after the documents of ids divisible by 5 came in with another text and were put right."""
+    rows, index = catalog.symbols(spark, d), PostingIndex(spark, _scratch(spark), buckets=8, span=256)
+    changed = F.col("symbol_id") % 5 == 0
+    stale = rows.where(changed).withColumn("source", F.concat(F.lit("stale words "), F.reverse("source")))
+    index.add(rows.where(~changed).unionByName(stale))
+    index.add(rows.where(changed), gone=stale)
+    return index.ranking(catalog.requests(spark, d), k=10).withColumn("score", F.round("score", 4))
+
+
 @query("SELECT s_suppkey AS k, 'text' AS language, 'source of ' || s_name || chr(10) AS source FROM supplier")
 def scanned_files(spark, d):
     at = _scratch(spark)
