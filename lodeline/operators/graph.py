@@ -5,12 +5,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeline.plans.lineage import cut
 
 # Damping, tolerance and the most iterations.
 DAMPING, TOLERANCE, ITERATIONS = 0.85, 1e-6, 100
+#: A residual that is not pushed on; what stays of a request's is at most this for each node that it reached.
+RESIDUAL = 1e-10
+#: Links of a node that travel together; steps between two written states.
+_OUT, _STEPS = 1024, 4
 #: Nodes, and links, of a graph that a task may hold: some 30 MB.
 SMALL_GRAPH = 500_000
 
@@ -124,3 +129,76 @@ def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = No
                 return new.select("request_id", "node", "rank")
         ranks = new
     return ranks.select("request_id", "node", "rank")
+
+
+def _pushed(state: DataFrame, out: DataFrame, damping: float) -> DataFrame:
+    """One step: what is over the bar moves from residual to estimate, and its share to where the links lead."""
+    push = F.when(F.col("residual") > F.col("bar"), F.col("residual")).otherwise(0.0)
+    met = state.join(out, state.node == out.src, "left").withColumn("push", push)
+    row = lambda node, rank, residual: F.struct(node.alias("node"), rank.alias("rank"), residual.alias("residual"))
+    own = F.array(row(F.col("node"), F.col("rank") + F.col("push"), F.col("residual") - F.col("push")))
+    sent = F.transform(F.coalesce("links", F.array().cast(out.schema["links"].dataType)), lambda x: row(x["dst"], F.lit(0.0), damping * x["share"] * F.col("push")))
+    rows = F.when(F.coalesce("chunk", F.lit(0)) == 0, own).otherwise(F.slice(own, 1, 0))
+    moved = met.select("request_id", "everywhere", "bar", F.explode(F.concat(rows, F.when(F.col("push") > 0, sent).otherwise(F.slice(sent, 1, 0)))).alias("r"))
+    return moved.groupBy("request_id", "everywhere", "bar", "r.node").agg(F.sum("r.rank").alias("rank"), F.sum("r.residual").alias("residual"))
+
+
+def settled_top(nodes: DataFrame, edges: DataFrame, personal: DataFrame, requests: DataFrame, k: int = 10, damping: float = DAMPING, residual: float = RESIDUAL, most: int = 400) -> DataFrame:
+    """(request_id, node, score, rank): the k best of the settled ranks of `pagerank`, score rounded to 9 digits, ties by ordinal.
+
+    nodes(node, ordinal), edges(src, dst, weight), personal(request_id, node). A request is a sparse set of (node, estimate,
+    residual): residuals over a bar are pushed along the links, so a step touches no more than 1 / `residual` nodes of a
+    request, and what is left unpushed, `residual` for each node reached, bounds the error (by its sum over 1 - damping). What nodes
+    without an exit give to all alike is a multiple of one vector, the walk from anywhere, which is pushed once for all requests;
+    the multiple follows from what ends at such nodes. So a node that a request's walk does not reach has the common vector's
+    rank times that multiple, and of those only the k best, beyond the ones reached, are looked at. No request x node table is made.
+    Fewer than two nodes: no rows.
+    """
+    nodes = cut(nodes.groupBy("node").agg(F.min("ordinal").alias("ordinal")))
+    n = nodes.count()
+    asked = requests.select("request_id").distinct()
+    if n < 2:
+        return asked.crossJoin(nodes).select("request_id", "node", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    known = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    links = known.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    leaving = links.groupBy(F.col("src").alias("from")).agg(F.sum("weight").alias("leaving"), F.ceil(F.count("*") / F.lit(_OUT)).alias("chunks"))
+    shares = links.join(leaving, F.col("src") == F.col("from")).select("src", F.pmod(F.xxhash64("dst"), "chunks").alias("chunk"), "dst", (F.col("weight") / F.col("leaving")).alias("share"))
+    packed = shares.groupBy("src", "chunk").agg(F.collect_list(F.struct("dst", "share")).alias("links"))
+    # a node's own row goes with its first chunk, so every node that has links has a chunk 0
+    heads = shares.select("src").distinct().select("src", F.lit(0).cast("long").alias("chunk"))
+    out = cut(heads.join(packed, ["src", "chunk"], "left").unionByName(packed.where("chunk > 0")))
+    named = personal.join(nodes.select("node"), "node", "left_semi").join(asked, "request_id", "left_semi").select("request_id", "node").distinct()
+    counts = cut(asked.join(named.groupBy("request_id").agg(F.count("*").alias("named")), "request_id", "left"))
+    empty = F.lit(None).cast(requests.schema["request_id"].dataType)
+    start = named.join(counts, "request_id").select("request_id", F.lit(False).alias("everywhere"), F.lit(residual).alias("bar"), "node", F.lit(0.0).alias("rank"), (1.0 / F.col("named")).alias("residual"))
+    common = nodes.select(empty.alias("request_id"), F.lit(True).alias("everywhere"), F.lit(residual / n).alias("bar"), "node", F.lit(0.0).alias("rank"), F.lit(1.0 / n).alias("residual"))
+    state = cut(start.unionByName(common))
+    for _ in range(0, most, _STEPS):
+        for _ in range(_STEPS):
+            state = _pushed(state, out, damping)
+        state = cut(state)
+        if state.where("residual > bar").isEmpty():
+            break
+    ranks = state.select("request_id", "everywhere", "node", (F.col("rank") + F.col("residual")).alias("x"))
+    ends = ranks.join(out.select(F.col("src").alias("node")).distinct(), "node", "left_anti").groupBy("request_id", "everywhere").agg(F.sum("x").alias("ends"))
+    everywhere = ends.where("everywhere").agg(F.coalesce(F.max("ends"), F.lit(0.0)).alias("common_ends"))
+    # p = (1 - d) x + d L u, where L, what stands at nodes without exit, is (1 - d) ends(x) + d L ends(u); u for a request without names
+    lost = counts.join(ends.where("not everywhere").select("request_id", "ends"), "request_id", "left").crossJoin(F.broadcast(everywhere))
+    own_ends = F.when(F.col("named").isNull(), F.col("common_ends")).otherwise(F.coalesce("ends", F.lit(0.0)))
+    at_ends = (1 - damping) * own_ends / (1 - damping * F.col("common_ends"))
+    factor = damping * at_ends + F.when(F.col("named").isNull(), 1 - damping).otherwise(0.0)
+    scale = cut(lost.select("request_id", factor.alias("factor")))
+    u = cut(ranks.where("everywhere").select("node", "x").join(nodes, "node").select("node", "ordinal", F.col("x").alias("u")))
+    reached = cut(ranks.where("not everywhere").join(scale, "request_id").join(u, "node").select("request_id", "node", "ordinal", ((1 - damping) * F.col("x") + F.col("factor") * F.col("u")).alias("p")))
+    sizes = cut(scale.join(reached.groupBy("request_id").agg(F.count("*").alias("reached")), "request_id", "left").select("request_id", "factor", (F.coalesce("reached", F.lit(0)) + k).alias("looked")))
+    looked = min(n, sizes.agg(F.max("looked")).first()[0] or k)
+    best = None
+    for order, where in (([F.round("u", 13).desc(), F.col("ordinal"), F.col("node")], "factor > 0"), ([F.col("ordinal"), F.col("node")], "factor <= 0")):
+        placed = u.orderBy(*order).limit(looked).withColumn("nth", F.row_number().over(W.orderBy(*order)))
+        wanted = sizes.where(where).select("request_id", "factor", F.explode(F.sequence(F.lit(1), F.col("looked").cast("int"))).alias("nth"))
+        part = wanted.join(placed, "nth").select("request_id", "node", "ordinal", (F.col("factor") * F.col("u")).alias("p"))
+        best = part if best is None else best.union(part)
+    others = best.join(reached.select("request_id", "node"), ["request_id", "node"], "left_anti").select("request_id", "node", "ordinal", "p")
+    scored = reached.union(others).select("request_id", "node", "ordinal", F.round("p", 9).alias("score"))
+    top = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("score"), "ordinal", "node"))
+    return scored.withColumn("rank", top).where(F.col("rank") <= k).select("request_id", "node", "score", "rank")

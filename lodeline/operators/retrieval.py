@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import text as t
 from lodeline.operators import tree_patterns
-from lodeline.operators.graph import pagerank
+from lodeline.operators.graph import ITERATIONS, pagerank, settled_top
 from lodeline.plans.joins import small
 from lodeline.plans.lineage import cut
 
@@ -243,16 +243,20 @@ def embeddings(texts: DataFrame, cache: DataFrame, embed: Callable[[DataFrame],
     return wanted.join(cache.select("hash", "embedding").unionByName(fresh), "hash"), fresh
 
 
-def graph_ranking(requests: DataFrame, symbols: DataFrame, edges: DataFrame, k: int | None = 10, iterations: int = 100) -> DataFrame:
+def graph_ranking(requests: DataFrame, symbols: DataFrame, edges: DataFrame, k: int | None = 10, iterations: int | None = None) -> DataFrame:
     """Personalised PageRank of edges(caller_id, callee_name) towards the symbols that a request's content words name.
 
-    Each request has its own restart vector (uniform where nothing is named). Fewer than two symbols: no rows.
+    Each request has its own restart vector (uniform where nothing is named). The ranks are settled ones, by push, or with
+    `iterations`, or all of them (k is None), those of so many steps. Fewer than two symbols: no rows.
     """
     definers = symbols.select(F.col("name").alias("callee_name"), F.col("symbol_id").alias("dst"))
     links = edges.join(definers, "callee_name").where("caller_id <> dst").select(F.col("caller_id").alias("src"), "dst", F.lit(1.0).alias("weight"))
     asked = request_words(requests, t.content_words(F.col("text")))
     named = symbols.select("symbol_id", F.explode(t.words(F.col("name"))).alias("word")).join(asked, "word").select("request_id", F.col("symbol_id").alias("node")).distinct()
-    ranks = pagerank(symbols.select(F.col("symbol_id").alias("node")), links, named, requests.select("request_id"), iterations=iterations)
+    if iterations is None and k is not None:
+        best = settled_top(symbols.select(F.col("symbol_id").alias("node"), "ordinal"), links, named, requests, k)
+        return best.select("request_id", F.col("node").alias("symbol_id"), "score", "rank")
+    ranks = pagerank(symbols.select(F.col("symbol_id").alias("node")), links, named, requests.select("request_id"), iterations=iterations or ITERATIONS)
     scored = ranks.select("request_id", F.col("node").alias("symbol_id"), F.round("rank", 9).alias("score"))
     return top_k(scored.join(_ordinals(symbols), "symbol_id"), k).select("request_id", "symbol_id", "score", "rank")
 
@@ -298,7 +302,7 @@ def confidence(fused: DataFrame) -> DataFrame:
 
 
 def locate(
-    requests: DataFrame, symbols: DataFrame, edges: DataFrame | None = None, vectors: DataFrame | None = None, k: int = 5, use_structure: bool = True, iterations: int = 100, sites: DataFrame | None = None, more: Sequence[Retriever] = (),
+    requests: DataFrame, symbols: DataFrame, edges: DataFrame | None = None, vectors: DataFrame | None = None, k: int = 5, use_structure: bool = True, iterations: int | None = None, sites: DataFrame | None = None, more: Sequence[Retriever] = (),
 ) -> DataFrame:
     """Localisation over all signals: (request_id, rank, symbol_id, score, confidence, use_call_graph, risk, evidence, calls, called_by_count, call_sites).
 

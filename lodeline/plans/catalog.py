@@ -652,3 +652,12 @@ def graph_centrality(spark, d):
     own = pg.select(F.col("page_id").alias("symbol_id"), F.col("page_id").alias("ordinal"), F.regexp_extract("html", 'href="([^"]*)"', 1).alias("name"))
     asked = pg.where("page_id % 50 = 0").select(F.col("page_id").alias("request_id"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
     return retrieval.graph_ranking(asked, own, _page_edges(spark, d), 10, iterations=_STEPS).withColumn("score", F.round("score", 6))
+
+
+@query()
+def settled_centrality(spark, d):
+    """graph_centrality with settled ranks, by push; tests hold the push against long power iteration."""
+    pg = table(spark, d, "pages")
+    own = pg.select(F.col("page_id").alias("symbol_id"), F.col("page_id").alias("ordinal"), F.regexp_extract("html", 'href="([^"]*)"', 1).alias("name"))
+    asked = pg.where("page_id % 50 = 0").select(F.col("page_id").alias("request_id"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    return retrieval.graph_ranking(asked, own, _page_edges(spark, d), 10).withColumn("score", F.round("score", 6))

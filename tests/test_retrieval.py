@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -105,6 +106,26 @@ def test_pagerank(spark):
         assert far.keys() == near.keys() and all(abs(far[k] - near[k]) < 1e-12 for k in far)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_settled_ranks_by_push(spark, seed, monkeypatch):
+    """Within 1e-6 of long power iteration on random graphs, hubs in chunks, nodes without exits, requests without names."""
+    monkeypatch.setattr(graph, "_OUT", 3)
+    rng = random.Random(seed)
+    nodes = list(range(40))
+    edges = [(rng.choice(nodes[: 40 - 10 * (seed % 3)]), rng.choice(nodes), float(rng.randint(1, 4))) for _ in range(90)] + [(0, v, 1.0) for v in nodes[1:20]]
+    named = {0: {3}, 1: {1, 2, 30}, 2: set(), 3: {39}}
+    n = spark.createDataFrame([(v, 100 - v) for v in nodes], "node long, ordinal int")
+    e = spark.createDataFrame([*edges, (1, 77, 5.0)], "src long, dst long, weight double")
+    p = spark.createDataFrame([(r, v) for r, some in named.items() for v in some] + [(1, 77), (9, 3)], "request_id long, node long")
+    got = graph.settled_top(n, e, p, spark.createDataFrame([(r,) for r in named], "request_id long"), 7).collect()
+    for r, some in named.items():
+        want = power(nodes, edges, {v: (v in some) / len(some) if some else 1 / 40 for v in nodes}, 400)
+        mine = sorted((x["rank"], x["node"], x["score"]) for x in got if x["request_id"] == r)
+        assert len(mine) == 7 and all(abs(score - want[v]) < 1e-6 for _, v, score in mine)
+        assert [v for _, v, _ in mine] == sorted(nodes, key=lambda v: (-round(want[v], 9), 100 - v))[:7]
+    assert graph.settled_top(n.limit(1), e, p, n.select(F.col("node").alias("request_id"))).count() == 0
+
+
 def test_edges_and_locate(spark, symbols):
     calls = spark.createDataFrame([(2, "add"), (4, "check_password"), (4, "print"), (1, "add")], "symbol_id long, name string")
     edges = graph.call_edges(calls, symbols)
