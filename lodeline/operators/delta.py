@@ -15,10 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodeline import schemas
 from lodeline.functions import text as t
+from lodeline.operators.targets import find_symbol
 from lodeline.plans.lineage import cut
+from lodeline.sources.code import snippet_name
 
 #: Places behind line ends, those that split_lines knows, so that a line keeps its end.
 KEPT_ENDS = r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0B\x0C\x1C-\x1E\x85\u2028\u2029])"
@@ -59,16 +62,14 @@ def operations(parsed: DataFrame) -> DataFrame:
     return flat.select("run_id", "op_ord", "o.operation", "o.target.file", "o.target.symbol_type", "o.target.symbol_name", "o.target.anchor", "o.content")
 
 
-#: How a definition opens, in the languages that have symbols.
-DEFINITION = (
-    r"(?m)^\s*(?:(?:export|default|public|private|protected|internal|static|async|final|abstract|sealed|data|open|override|inline|unsafe|pub)\s+)*"
-    r"(?:def|class|function|func|fn|fun|sub|struct|interface|trait|enum)\s+(?:\([^)]*\)\s*)?(?:self\.)?([A-Za-z_]\w*)"
-)
+@F.pandas_udf(StringType())
+def _snippet_names(content: pd.Series, path: pd.Series) -> pd.Series:
+    return pd.Series([snippet_name(c, p) for c, p in zip(content, path)], dtype=object)
 
 
-def definition(content: Column) -> Column:
-    """The first name that a snippet defines, or null."""
-    return F.nullif(F.regexp_extract(F.coalesce(content, F.lit("")), DEFINITION, 1), F.lit(""))
+def definition(content: Column, path: Column | None = None) -> Column:
+    """The name of the only definition at the top of a snippet for a file, or null; a parser has to say, so it runs on the workers."""
+    return _snippet_names(content, F.lit(None).cast("string") if path is None else path)
 
 
 def annotated(checked: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -79,21 +80,31 @@ def annotated(checked: DataFrame, sizes: DataFrame) -> DataFrame:
     insert = F.col("operation") == "INSERT"
     after = F.when(insert, F.coalesce("end_line", "n_lines"))
     span = F.struct(F.when(~insert, F.col("start_line")).alias("start"), F.when(~insert, F.col("end_line")).alias("end"), after.alias("after_line"))
-    name = F.when(insert, F.coalesce(definition(F.col("content")), "symbol_name")).otherwise(F.col("symbol_name"))
+    name = F.when(insert, F.coalesce(definition(F.col("content"), F.col("file")), "symbol_name")).otherwise(F.col("symbol_name"))
     return checked.join(sizes, "file", "left").withColumn("line_range", span).withColumn("symbol_name", name).drop("n_lines")
 
 
 def validate_targets(ops: DataFrame, symbols: DataFrame, shown: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """ops with status, error, symbol_id and the target's span.
 
-    REPLACE and DELETE need exactly one target and INSERT's anchor must exist. A REPLACE needs a symbol that was shown
-    (shown(run_id, symbol_name)) and must keep every decorator line of lines(file, n, line); an INSERT must not define a name
-    of its type again.
+    REPLACE and DELETE need one target, and INSERT's anchor must exist: the only symbol of its type and name, or the one at the
+    operation's prefer_line (where ops have that column), or, except for DELETE, of two the one that a trivial delegate, told by
+    its lines, forwards to. A REPLACE needs a symbol that was shown (shown(run_id, symbol_name)) and must keep every decorator
+    line of lines(file, n, line); an INSERT must not define a name of its type again.
     """
     name = F.when(F.col("operation") == "INSERT", F.col("anchor")).otherwise(F.col("symbol_name"))
-    spans = symbols.groupBy("file", "symbol_type", F.col("name").alias("wanted")).agg(F.count("*").alias("n"), F.min(F.struct("symbol_id", "start_line", "end_line", "indent")).alias("hit"))
-    met = ops.withColumn("wanted", name).join(spans, ["file", "symbol_type", "wanted"], "left")
-    defined = definition(F.col("content"))
+    met = cut(ops.withColumn("wanted", name))
+    prefer = F.col("prefer_line") if "prefer_line" in ops.columns else F.lit(None)
+    own = symbols if "parent_class" in symbols.columns else symbols.withColumn("parent_class", F.lit(None).cast("string"))
+    if lines is not None:
+        several = own.groupBy("file", "symbol_type", "name").agg(F.count("*").alias("n")).where("n = 2").join(met.select("file", "symbol_type", F.col("wanted").alias("name")), ["file", "symbol_type", "name"], "left_semi")
+        texts = lines.join(several.select("file").distinct(), "file", "left_semi").groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("lines"))
+        own = own.drop("lines").join(texts, "file", "left")
+    asked = met.where("wanted is not null").select(F.struct("run_id", "op_ord").alias("key"), "file", "symbol_type", F.col("wanted").alias("symbol_name"), prefer.cast("int").alias("prefer_line"), (F.col("operation") != "DELETE").alias("allow_delegate"))
+    found = find_symbol(asked, own).select(F.col("key.run_id").alias("run_id"), F.col("key.op_ord").alias("op_ord"), F.col("status").alias("found"), F.col("symbol_id").alias("hit_id"))
+    spans = symbols.select(F.col("symbol_id").alias("hit_id"), F.struct("symbol_id", "start_line", "end_line", "indent").alias("hit"))
+    met = met.join(found, ["run_id", "op_ord"], "left").join(spans, "hit_id", "left")
+    defined = definition(F.col("content"), F.col("file"))
     taken = symbols.select("file", "symbol_type", F.col("name").alias("defined")).distinct().withColumn("taken", F.lit(True))
     met = met.withColumn("defined", F.when(F.col("operation") == "INSERT", defined)).join(taken, ["file", "symbol_type", "defined"], "left")
     if shown is not None:
@@ -110,8 +121,8 @@ def validate_targets(ops: DataFrame, symbols: DataFrame, shown: DataFrame | None
     target = F.col("operation").isin("REPLACE", "DELETE")
     status = (
         F.when(target & (F.col("operation") == "REPLACE") & F.col("was_shown").isNull(), "UNSEEN_REPLACE")
-        .when(F.col("wanted").isNotNull() & F.col("n").isNull(), "MISSING")
-        .when(F.col("wanted").isNotNull() & (F.col("n") > 1), "AMBIGUOUS")
+        .when(F.col("found") == "MISSING", "MISSING")
+        .when(F.col("found") == "AMBIGUOUS", "AMBIGUOUS")
         .when((F.col("operation") == "REPLACE") & ~kept, "DECORATORS_LOST")
         .when((F.col("operation") == "INSERT") & F.col("taken"), "ALREADY_DEFINED")
         .otherwise("OK")
@@ -127,13 +138,21 @@ def overlapping(ops: DataFrame) -> DataFrame:
     return spans.withColumn("before", before).where("start_line <= before").select("file_id").distinct()
 
 
+def pieces(files: DataFrame) -> DataFrame:
+    """(file_id, n, line, line_end) of files(file_id, source): every line with the end that it has, the last perhaps none."""
+    kept = files.select("file_id", F.posexplode(F.filter(F.split(F.coalesce("source", F.lit("")), KEPT_ENDS, -1), lambda x: x != "")).alias("i", "piece"))
+    ends = F.regexp_extract("piece", r"(\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029])\z", 1)
+    return kept.select("file_id", (F.col("i") + 1).alias("n"), F.substr("piece", F.lit(1), F.length("piece") - F.length(ends)).alias("line"), ends.alias("line_end"))
+
+
 def apply_lines(lines: DataFrame, ops: DataFrame) -> DataFrame:
     """(file_id, source): files after their operations, for files whose spans do not overlap.
 
-    lines(file_id, n, line); ops(file_id, op_ord, operation, start_line, end_line, indent, content). Every line has an order
+    lines(file_id, n, line), as `pieces` gives them with the line_end of each, which stays as it is, or else with \\n behind each; ops(file_id, op_ord, operation, start_line, end_line, indent, content). Every line has an order
     key, so edits need no bottom-up sequence: replaced and deleted lines leave by an anti-join, new ones join at
     their place. A DELETE also takes the blank lines behind it; an INSERT puts a blank line before its content.
     """
+    lines = lines if "line_end" in lines.columns else lines.withColumn("line_end", F.lit("\n"))
     blank = F.regexp_replace("line", r"\s", "") == ""
     gone = ops.where("operation in ('REPLACE', 'DELETE')").select("file_id", "start_line", "end_line", "operation")
     order = W.partitionBy("file_id").orderBy("n")
@@ -144,20 +163,34 @@ def apply_lines(lines: DataFrame, ops: DataFrame) -> DataFrame:
         F.col("l.n").between(F.col("g.start_line"), F.col("g.end_line"))
         | ((F.col("g.operation") == "DELETE") & F.col("l.is_blank") & (F.col("l.n") > F.col("g.end_line")) & (F.coalesce("l.anchor", F.lit(0)) <= F.col("g.end_line")))
     )
-    kept = l.join(g, taken, "left_anti").select("file_id", F.col("n").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"), "line")
+    kept = l.join(g, taken, "left_anti").select("file_id", F.col("n").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"), F.concat("line", "line_end").alias("line"))
     body = F.posexplode(t.split_lines(t.dedent_to(F.col("content"), F.col("indent"))))
     fresh = ops.where("operation in ('REPLACE', 'INSERT')").select("file_id", "op_ord", "operation", "start_line", "end_line", body.alias("i", "line"))
     last = lines.groupBy("file_id").agg(F.max("n").alias("last"))
-    fresh = fresh.join(last, "file_id", "left")
+    fresh = fresh.join(last, "file_id", "left").withColumn("line", F.concat("line", F.lit("\n")))
     replaced = fresh.where("operation = 'REPLACE'").select("file_id", F.col("start_line").alias("k1"), (F.col("op_ord") + 1).alias("k2"), F.col("i").alias("k3"), "line")
     at = F.coalesce("end_line", "last", F.lit(0))
     # later inserts at one place stand before earlier ones, as when each is put there in turn
     inserted = fresh.where("operation = 'INSERT'").select("file_id", at.alias("k1"), (F.lit(1_000_000) - F.col("op_ord")).alias("k2"), (F.col("i") + 1).alias("k3"), "line")
-    gaps = ops.where("operation = 'INSERT'").join(last, "file_id", "left").select("file_id", at.alias("k1"), (F.lit(1_000_000) - F.col("op_ord")).alias("k2"), F.lit(0).alias("k3"), F.lit("").alias("line"))
+    placed = ops.join(last, "file_id", "left").select("file_id", "op_ord", "operation", F.when(F.col("operation") == "INSERT", at).otherwise(F.col("start_line")).alias("at"), "end_line")
+    gaps = placed.where("operation = 'INSERT'").join(_swept_gaps(placed, worded), ["file_id", "op_ord"], "left_anti")
+    gaps = gaps.select("file_id", F.col("at").alias("k1"), (F.lit(1_000_000) - F.col("op_ord")).alias("k2"), F.lit(0).alias("k3"), F.lit("\n").alias("line"))
     every = kept.unionByName(replaced).unionByName(inserted).unionByName(gaps)
-    joined = every.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k1", "k2", "k3", "line"))), lambda x: x["line"]), "\n").alias("source"))
+    joined = every.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k1", "k2", "k3", "line"))), lambda x: x["line"]), "").alias("source"))
     files = lines.select("file_id").distinct()
-    return files.join(joined, "file_id", "left").select("file_id", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat("source", F.lit("\n"))).alias("source"))
+    return files.join(joined, "file_id", "left").select("file_id", F.coalesce("source", F.lit("")).alias("source"))
+
+
+def _swept_gaps(placed: DataFrame, worded: DataFrame) -> DataFrame:
+    """(file_id, op_ord) of the INSERTs whose blank line goes with the blank lines behind a DELETE: only such stand between the two."""
+    i, g, o = placed.where("operation = 'INSERT'").alias("i"), placed.where("operation = 'DELETE'").alias("g"), placed.where("operation <> 'DELETE'").alias("o")
+    w = worded.select("file_id", "n", F.coalesce(F.when(F.col("is_blank"), F.col("anchor")).otherwise(F.col("n")), F.lit(0)).alias("anchor")).alias("w")
+    near = i.join(g, (F.col("i.file_id") == F.col("g.file_id")) & (F.col("g.end_line") <= F.col("i.at"))).join(w, (F.col("w.file_id") == F.col("i.file_id")) & (F.col("w.n") == F.col("i.at")) & (F.col("w.anchor") <= F.col("g.end_line")))
+    between = (F.col("o.file_id") == F.col("i.file_id")) & (
+        ((F.col("o.operation") == "INSERT") & (F.col("o.at") >= F.col("g.end_line")) & ((F.col("o.at") < F.col("i.at")) | ((F.col("o.at") == F.col("i.at")) & (F.col("o.op_ord") > F.col("i.op_ord")))))
+        | ((F.col("o.operation") == "REPLACE") & (F.col("o.at") > F.col("g.end_line")) & (F.col("o.at") <= F.col("i.at")))
+    )
+    return near.join(o, between, "left_anti").select("i.file_id", "i.op_ord").distinct()
 
 
 def apply_sequential(files: DataFrame, ops: DataFrame) -> DataFrame:
@@ -286,7 +319,7 @@ def rename_sweep(files: DataFrame, ops: DataFrame) -> DataFrame:
 
     files(file_id, source); ops with file_id, symbol_name, start_line, end_line, content.
     """
-    asked = ops.where("operation = 'REPLACE'").withColumn("new_name", definition(F.col("content"))).where("new_name <> symbol_name").join(files, "file_id")
+    asked = ops.where("operation = 'REPLACE'").withColumn("new_name", definition(F.col("content"), F.col("file") if "file" in ops.columns else None)).where("new_name <> symbol_name").join(files, "file_id")
     lines = t.split_lines(F.col("source"))
     outside = F.array_join(F.concat(t.line_slice(lines, F.lit(1), F.col("start_line") - 1), t.line_slice(lines, F.col("end_line") + 1, F.size(lines))), "\n")
     still = F.array_contains(F.regexp_extract_all(outside, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.col("symbol_name"))

@@ -85,28 +85,31 @@ class Engine:
         )
         return rows.select("request_id", "file", route.alias("route"))
 
-    def edit(self, deltas: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    def edit(self, deltas: DataFrame, shown: DataFrame | None = None, prefer: DataFrame | None = None) -> DataFrame:
         """(run_id, file, status, error, source, diff, change_ratio, syntax_errors, operations, orphaned, impact) of deltas(run_id, file, body).
 
         Deltas are parsed and validated; the files of runs all of whose operations hold are rewritten. Where a REPLACE defines
         another name and the old one still stands elsewhere in the file, it is swept through the file. The result is diffed
         and checked; `operations` have their line ranges, `orphaned` the imported names that are gone and still used, `impact`
-        the callers of renamed symbols in other files. A run whose delta is sound but empty is a no-op.
+        the callers of renamed symbols in other files. A run whose delta is sound but empty is a no-op. prefer(run_id,
+        symbol_name, prefer_line) tells symbols of one type and name in a file apart.
         """
         self.on_step("VALIDATE", "reading deltas")
         parsed = delta.parse(deltas.select("run_id", F.regexp_replace("body", "^\\s+", "").alias("body")))
         own = deltas.select("run_id", F.col("file").alias("own_file"))
         ops = delta.operations(parsed).join(own, "run_id").withColumn("file", F.coalesce("file", "own_file")).drop("own_file")
+        if prefer is not None:
+            ops = ops.join(prefer.select("run_id", F.col("symbol_name").alias("preferred"), "prefer_line"), (ops.run_id == prefer.run_id) & (F.coalesce("anchor", ops.symbol_name) == F.col("preferred")), "left").select(*[ops[c] for c in ops.columns], "prefer_line")
         sources = self.files.select(F.col("path").alias("file"), "source", "language")
+        edited = sources.join(ops.select("file").distinct(), "file", "left_semi")
         numbered = ops.select("run_id", "file").distinct().join(sources, "file").withColumn("file_id", F.xxhash64("run_id", "file"))
-        lines = blocks.line_table(numbered).join(numbered.select("file_id", "run_id", "file"), "file_id")
-        checked = delta.validate_targets(ops, self.symbols, shown, blocks.line_table(sources.withColumnRenamed("file", "file_id")).withColumnRenamed("file_id", "file")).withColumn("file_id", F.xxhash64("run_id", "file"))
+        checked = delta.validate_targets(ops, self.symbols, shown, blocks.line_table(edited.withColumnRenamed("file", "file_id")).withColumnRenamed("file_id", "file")).withColumn("file_id", F.xxhash64("run_id", "file"))
         checked = cut(checked)  # what follows reads it many times
         bad = checked.where("status <> 'OK'").groupBy("run_id").agg(F.min("status").alias("failed"))
         good = checked.join(bad, "run_id", "left_anti")
         tangled = delta.overlapping(good)
         simple = good.join(tangled, "file_id", "left_anti")
-        changed = delta.apply_lines(lines.join(simple.select("file_id").distinct(), "file_id", "left_semi").select("file_id", "n", "line"), simple)
+        changed = delta.apply_lines(delta.pieces(numbered.join(simple.select("file_id").distinct(), "file_id", "left_semi")), simple)
         changed = changed.unionByName(delta.apply_sequential(numbered.join(tangled, "file_id", "left_semi").select("file_id", "source"), good))
         self.on_step("APPLY", "rewriting files")
         sweeps = cut(delta.rename_sweep(numbered.select("file_id", "source"), good))
@@ -142,8 +145,10 @@ class Engine:
         """(request_id, path, status, source) of requests(request_id, path, content): a path that exists is refused, fences are stripped."""
         known = self.files.select("path", F.lit(True).alias("known"))
         checked = requests.join(known, "path", "left").withColumn("source", text.strip_fences(F.col("content")))
-        errors = code.syntax_errors(files.detect_language(checked.select("path", "source"))).withColumn("bad", F.size("errors") > 0)
-        rows = checked.join(errors.select("path", "bad"), "path", "left")
+        # each request's own content is judged, by a key of its own; the path tells the language
+        keyed = files.detect_language(checked.select(F.to_json(F.struct("request_id", "path")).alias("key"), "path", "source")).drop("path").withColumnRenamed("key", "path").distinct()
+        errors = code.syntax_errors(keyed).groupBy("path").agg(F.max(F.size("errors") > 0).alias("bad")).withColumnRenamed("path", "key")
+        rows = checked.withColumn("key", F.to_json(F.struct("request_id", "path"))).join(errors, "key", "left")
         status = F.when(F.col("known"), "EXISTS").when(predicates.binary_target(F.col("path")), "BINARY").when(F.col("bad"), "SYNTAX_ERROR").otherwise("ok")
         return rows.select("request_id", "path", status.alias("status"), "source").dropDuplicates(["request_id", "path"])
 

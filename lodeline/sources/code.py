@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+import textwrap
 from collections.abc import Iterator
 
 import pandas as pd
@@ -368,10 +369,39 @@ def _errors(source: str, language: str | None) -> list[str]:
 def defined_name(content: str, language: str = "python") -> str | None:
     """The name of the only definition at the top of a snippet, or None."""
     if language == "python":
-        tree = parse(content)
+        tree = parse(textwrap.dedent(content))
         names = [n.name for n in tree.body if isinstance(n, _DEFINITIONS)] if tree is not None else []
     else:
         found = other_symbols("", content, language)
         top = min((s["indent"] for s in found), default=0)
         names = [s["name"] for s in found if s["indent"] == top]
     return names[0] if len(names) == 1 else None
+
+
+#: How a definition opens, in the languages that have symbols; the first group is what it is indented by.
+DEFINITION = re.compile(
+    r"^([ \t]*)(?:(?:export|default|public|private|protected|internal|static|async|final|abstract|sealed|data|open|override|inline|unsafe|pub)\s+)*"
+    r"(?:def|class|function|func|fn|fun|sub|struct|interface|trait|enum)\s+(?:\([^)]*\)\s*)?(?:self\.)?([A-Za-z_]\w*)", re.M
+)
+
+
+def snippet_name(content: str | None, path: str | None = None) -> str | None:
+    """The name of the only definition at the top of a snippet for a file, or None for none or several.
+
+    Of a file of no known language, what parses as Python is that, else the definitions of the least indent are at the top.
+    """
+    from lodeline.sources.files import LANGUAGES
+
+    if not content:
+        return None
+    extension = (path or "").rpartition(".")[2].lower() if "." in (path or "") else ""
+    language = next((name for name, (known, _) in LANGUAGES.items() if extension in known), None)
+    if language == "python":
+        return defined_name(content)
+    if language is not None and (name := defined_name(content, language)):
+        return name
+    if language is None and (tree := parse(textwrap.dedent(content))) is not None and tree.body:
+        return defined_name(content)
+    found = [(len(m[1]), m[2]) for m in DEFINITION.finditer(content)]
+    top = [name for depth, name in found if depth == min(found)[0]]
+    return top[0] if len(top) == 1 else None

@@ -27,9 +27,10 @@ def step_frames(events: DataFrame) -> DataFrame:
 
 
 def parse_frames(text: DataFrame) -> DataFrame:
-    """(pos, body) of the complete frames in text(buffer)."""
-    frames = F.filter(F.split("buffer", "\n\n"), lambda x: F.startswith(x, F.lit("data: ")))
-    return text.select(F.posexplode(frames).alias("pos", "frame")).select("pos", F.substr("frame", F.lit(7)).alias("body"))
+    """(pos, body), with the other columns of `text`, of the frames in its `buffer` that have come to their end."""
+    parts = F.split("buffer", "\n\n", -1)
+    frames = F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.startswith(x, F.lit("data: ")))  # behind the last end is an unfinished one
+    return text.select(*[c for c in text.columns if c != "buffer"], F.posexplode(frames).alias("pos", "frame")).withColumn("body", F.substr("frame", F.lit(7))).drop("frame")
 
 
 def steps(events: DataFrame) -> DataFrame:

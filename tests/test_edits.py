@@ -29,7 +29,8 @@ def test_apply_equals_sequential(spark):
     rng, files, ops = random.Random(4), [], []
     for i in range(30):
         n = rng.randint(1, 12)
-        files.append((i, "".join(rng.choice(["a\n", "  b\n", "\n", "c d\n"]) for _ in range(n)) or "x\n"))
+        ends = ["\n"] if i % 2 else ["\n", "\r\n", "\r"]
+        files.append((i, "".join(rng.choice(["a", "  b", "", "c d"]) + rng.choice(ends) for _ in range(n)) + ("end" if i % 4 == 0 else "")))
         n, at, k = len(files[-1][1].splitlines()), 1, 0
         while at <= n:
             end = min(n, at + rng.randint(0, 2))
@@ -42,7 +43,7 @@ def test_apply_equals_sequential(spark):
             at = end + 2
     f = spark.createDataFrame(files, "file_id long, source string")
     o = spark.createDataFrame(ops, "file_id long, op_ord int, operation string, start_line int, end_line int, indent int, content string")
-    got = {r["file_id"]: r["source"] for r in delta.apply_lines(blocks.line_table(f), o).collect()}
+    got = {r["file_id"]: r["source"] for r in delta.apply_lines(delta.pieces(f), o).collect()}
     turn = {r["file_id"]: r["source"] for r in delta.apply_sequential(f, o).collect()}
     keys = ("op_ord", "operation", "start_line", "end_line", "indent", "content")
     for i, source in files:
@@ -144,3 +145,36 @@ def test_cost_and_versions(spark):
     assert [versions.as_of(points, n).count() for n in (0, 1, 3)] == [0, 1, 0] and versions.as_of(points, 2).first()["content"] == "2"
     tries = spark.createDataFrame([("r", 1, "bad"), ("r", 2, "ok"), ("r", 3, "ok"), ("s", 1, "bad"), ("s", 2, "bad")], "run_id string, attempt int, status string")
     assert sorted((r["run_id"], r["attempt"]) for r in versions.best_attempt(tries).collect()) == [("r", 2), ("s", 2)]
+
+
+def test_the_only_definition(spark):
+    two = "def _inner(x):\n    return x\n\ndef helper(x):\n    return _inner(x)\n"
+    rows = [(two, "a.py", None), ("    @x\n    def f():\n        def g(): pass\n", "a.py", "f"), ("class A:\n    def m(self): pass", None, "A"), ("function f() {\n  function g() {}\n}", None, "f"), ("function f() {}\nfunction g() {}", None, None), ("x = 1", "a.py", None), (None, "a.py", None), ("def (", "a.py", None)]
+    got = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "k int, c string, p string").select("k", delta.definition(F.col("c"), F.col("p")).alias("d"))
+    assert {r["k"]: r["d"] for r in got.collect()} == {i: r[2] for i, r in enumerate(rows)}
+
+
+def test_edits_keep_what_they_do_not_name(spark):
+    """A helper before the function renames nothing, line ends stay, equal names need a line, and requests do not mix."""
+    from lodeline.plans.engine import Engine
+
+    twins = "class A:\n    def go(self):\n        return 1\n\n\nclass B:\n    x = 1\n\n    def go(self):\n        return 2\n"
+    shim = "class C:\n    def run(self):\n        return 3\n\n\ndef run():\n    return C.run(C())\n"
+    project = spark.createDataFrame([("h.py", "def helper(x):\n    return x\n\n\ny = helper(1)\n"), ("crlf.py", "def f():\r\n    return 1\r\n\r\n\r\ndef g():\r\n    return 2"), ("twins.py", twins), ("shim.py", shim)], "path string, source string")
+    op = lambda kind, name, content="null": '{"operations":[{"operation":"%s","target":{"symbol_type":"function","symbol_name":"%s"},"content":%s}]}' % (kind, name, content)
+    deltas = [
+        ("helper", "h.py", op("REPLACE", "helper", '"def _inner(x):\\n    return x\\n\\ndef helper(x):\\n    return _inner(x)\\n"')),
+        ("crlf", "crlf.py", op("REPLACE", "f", '"def f():\\n    return 7\\n"')), ("open", "twins.py", op("DELETE", "go")), ("pinned", "twins.py", op("DELETE", "go")),
+        ("via", "shim.py", op("REPLACE", "run", '"def run(self):\\n    return 4\\n"')), ("ask", "shim.py", op("DELETE", "run")),
+    ]
+    engine = Engine(spark, project)
+    prefer = spark.createDataFrame([("pinned", "go", 9)], "run_id string, symbol_name string, prefer_line int")
+    got = {r["run_id"]: r for r in engine.edit(spark.createDataFrame(deltas, "run_id string, file string, body string"), prefer=prefer).collect()}
+    assert got["helper"]["source"] == "def _inner(x):\n    return x\n\ndef helper(x):\n    return _inner(x)\n\n\ny = helper(1)\n"
+    assert got["crlf"]["source"] == "def f():\n    return 7\n\r\n\r\ndef g():\r\n    return 2"
+    assert (got["open"]["status"], got["open"]["error"]) == ("REFERENCE_ERROR", "AMBIGUOUS")
+    assert got["pinned"]["status"] == "ok" and got["pinned"]["source"] == twins[: twins.index("    def go(self):\n        return 2")]
+    assert got["via"]["source"] == shim.replace("return 3", "return 4") and got["ask"]["error"] == "AMBIGUOUS"
+    made = engine.plan_create(spark.createDataFrame([(1, "n.py", "x = 1"), (2, "n.py", "def (")], "request_id long, path string, content string")).collect()
+    assert {r["request_id"]: r["status"] for r in made} == {1: "ok", 2: "SYNTAX_ERROR"}
+    engine.close()

@@ -120,6 +120,7 @@ def test_event_streams(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.sql("select * from tumbled").where("event_type = 'click'").first()["n"] == 2
     frames = streams.step_frames(e.select("event_id")).select(F.concat_ws("", F.collect_list("frame").over(Window.partitionBy())).alias("buffer")).limit(1)
+    assert [r["body"] for r in streams.parse_frames(frames.sparkSession.createDataFrame([('data: {"a":1}\n\ndata: {"b"',)], "buffer string")).collect()] == ['{"a":1}']
     assert streams.parse_frames(frames).count() == 3
 
 
