@@ -18,7 +18,7 @@ from lodeline.operators.posting_index import PostingIndex
 from lodeline.plans import catalog
 from lodeline.plans.catalog import _BM25, _words, query, table
 from lodeline.plans.engine import Engine
-from lodeline.plans.lineage import cut
+from lodeline.plans.lineage import cut, shared_folder
 from lodeline.sources import code, files, pages
 from lodeline.streaming import events as streams
 
@@ -480,8 +480,8 @@ def cache_keys(spark, d):
 # --- sources and sinks, through a folder of the session's own ---------------------------------------------------------
 
 def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/lodeline-scratch/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/lodeline-scratch/{uuid.uuid4().hex}"
+
 
 
 @query(f"WITH {_BM25} SELECT request_id, symbol_id, round(score, 4) AS score, rank FROM bmr WHERE rank <= 10")
@@ -584,6 +584,19 @@ def engine_finds(spark, d):
     return targets.locate_candidates(asked, e.symbols.withColumn("ordinal", F.col("ordinal").cast("long")), k=1).join(e.symbols.select("symbol_id", "file", "name"), "symbol_id").select("request_id", "file", "name")
 
 
+@query(f"WITH {_K} SELECT k AS request_id, file, 'helper_' || k AS name, 'shared' AS calls, 2 AS called_by_count, file || ':9' AS sites, 5 AS n_rankings FROM g")
+def engine_finds_by_all_signals(spark, d):
+    """Engine.find with words, BM25, vectors, call edges, structure and call sites: the best symbol and what is known of it."""
+    asked = table(spark, d, "supplier").where("s_suppkey % 10 <> 7").select(F.col("s_suppkey").alias("request_id"), _filled("iterate: change helper_{k} now").alias("text"))
+    e, vectors = _engine(spark, d), table(spark, d, "embeddings").select("vec_id", "embedding")
+    # a request and the symbols of its supplier's file share a vector
+    stored = e.symbols.select("symbol_id", "ordinal", (F.regexp_extract("file", r"(\d+)", 1).cast("long") - 1).alias("vec_id")).join(vectors, "vec_id")
+    near = retrieval.vector_ranking(asked.withColumn("vec_id", F.col("request_id") - 1).join(vectors, "vec_id"), stored, 15)
+    got = e.find(asked, 1, near)
+    sites = F.array_join(F.transform("call_sites", lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string"))), ",")
+    return got.select("request_id", "file", "name", F.array_join("calls", ",").alias("calls"), "called_by_count", sites.alias("sites"), F.regexp_extract("evidence", r"of (\d+) rankings", 1).cast("int").alias("n_rankings"))
+
+
 # --- diffs, HTML and close names -------------------------------------------------------------------------------------
 
 def _two_versions(spark, d):

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir; on one machine, where that is unset, the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; where that is unset, below the warehouse."""
+    """A reliable checkpoint in the folder of spark.checkpoint.dir; on one machine, where that is unset, below the warehouse."""
     context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lodeline-checkpoints")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/lodeline-checkpoints")
     return df.checkpoint(eager=True)
