@@ -1,18 +1,22 @@
 """Document fingerprints by a randomised edit embedding, with bit-sampled banding and verification.
 
-A text is cut at content-defined places into short blocks. Over each block all documents share one random walk: at step j
-the walk writes the character class under its cursor and moves on by one (from a block's end to its start) or stays, as a
-random bit for (j, class) says. Two blocks at a small edit distance soon walk in step again, so their walks differ at few
-places: edit distance has become Hamming distance.
+All documents share random walks over characters: at step j the cursor of a text stands on a character, whose class is the
+walk's symbol j, and moves on by one or stays, as a random bit for (j, class) says. After an insertion, deletion or change two
+walks differ until their cursors meet again by chance, and agree from there on: walks at a small edit distance differ in few
+symbols, so edit distance has become Hamming distance. (x edits cost some x steps at least and, as a rule, no more than x^2.)
 
-The embedding of a text has COMPONENTS coordinates. A coordinate samples a few places of the walks (bit sampling, so that
-walks at a small Hamming distance mostly agree on the sample) and takes the least hash of the samples over all blocks of the
-text, of which the fingerprint holds 16 bits. The Hamming distance of two fingerprints is the number of coordinates that
-differ, and their likeness the share that agree. A walk over a whole text would be the same idea without blocks; it isn't
-taken, as its steps cannot be done side by side, so a long text holds up a task, and as sampled places of texts of different
-lengths don't correspond.
+The fingerprint has COORDINATES symbols, sampled from WALKS independent walks (bit sampling). A coordinate's place must be the
+same for texts of nearly equal length and any place of any text, so it is the least of all steps of the walk in a random order
+of the steps, one order a coordinate: of two texts the shorter one's place is also the longer one's with a chance of the ratio
+of their lengths. Only steps that come before all earlier ones in that order matter, about the logarithm of the text's
+length; they are drawn from a seed, without a table of steps. A coordinate is written as 8 bits of its place and symbol.
+The Hamming distance of two fingerprints is the number of coordinates that differ, and their likeness the share that agree.
 
-`near_documents` bands the coordinates, compares the different fingerprints of each bucket, and verifies by likeness.
+Texts of a piece walk side by side in arrays, and the last few of them, or a very long one, alone: time is linear in
+the characters, state is a cursor and a step.
+
+`link_counts` bands the fingerprints (BANDS keys of WIDTH coordinates), compares the different fingerprints of a bucket and
+verifies each pair on all coordinates.
 
 Nulls and edges: a null text is an empty one; empty texts share one fingerprint (likeness 1 among themselves); in the order
 of documents null ids come last and equal ids are told apart by their text's hash; equal texts have equal fingerprints;
@@ -32,113 +36,119 @@ from pyspark.sql import functions as F
 
 from lodeline.llm._batches import cut, map_arrow, mix64, record
 
-COMPONENTS, PLACES, BLOCK, LONGEST, STEPS = 64, 4, 24, 48, 128
-_CLASSES = 256
-#: Fingerprints of a bucket that one key compares with all of it; what stands for a null id.
-SHARE, _LAST = 512, 2**63 - 1
+COORDINATES, WALKS, BANDS, WIDTH = 128, 2, 16, 6
+#: Steps after which a walk's random bits repeat; steps that texts take side by side before those that ended are left out; as
+#: many texts or fewer walk alone, which is faster.
+PERIOD, STRETCH, ALONE = 4096, 256, 128
+#: Fingerprints of a bucket that one share holds; what stands for a null id; the class after a text's end, where a walk stays.
+SHARE, _LAST, _END = 1024, 2**63 - 1, 255
 
 _rng = np.random.default_rng(20260103)
-#: The walk's random bits for (step, class), the sampled steps of each component (every step in two of them), and its hash
-#: multipliers. A walk moves on by about half its steps: 64 +- 6 characters, so it reaches the end of the longest block.
-_MOVE = _rng.integers(0, 2, (STEPS, _CLASSES), dtype=np.int32)
-_AT = np.sort(np.concatenate([_rng.permutation(STEPS) for _ in range(COMPONENTS * PLACES // STEPS)]).reshape(COMPONENTS, PLACES), axis=1)
-_SALT = _rng.integers(0, 2**63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_EMPTY = np.full(COMPONENTS, 2**64 - 1, np.uint64)
+#: The walks' random bits for (step, class).
+_MOVE = _rng.integers(0, 2, (PERIOD, WALKS, 256), dtype=np.int64)
+_MOVE[:, :, _END] = 0
+_MOVE_BYTES = [[row.astype(np.uint8).tobytes() for row in _MOVE[:, walk]] for walk in range(WALKS)]
+_MOVE = _MOVE.reshape(PERIOD, WALKS * 256)
 
 
-def _classes(points: np.ndarray) -> np.ndarray:
-    """Code points as 256 classes."""
-    return (mix64(points.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
-
-
-def _blocks(classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the blocks: cut where a rolling hash of the last characters is small, and after LONGEST."""
-    h = classes.astype(np.uint32) * np.uint32(0x9E3779B1)
-    for s, k in ((1, 7), (2, 13), (4, 19)):  # the last eight characters
-        h[s:] = (h[s:] ^ ((h[:-s] << np.uint32(k)) | (h[:-s] >> np.uint32(32 - k)))) * np.uint32(0x85EBCA6B)
-    ends = np.flatnonzero((h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35) < np.uint32(2**32 // BLOCK)) + 1
-    row = np.searchsorted(offsets, ends - 1, "right") - 1
-    ends = np.union1d(ends[ends - offsets[row] >= 8], offsets[1:][offsets[1:] > 0])
-    gaps = np.diff(ends, prepend=0)
-    more = (gaps - 1) // LONGEST
-    if more.any():
-        base = np.repeat(ends - gaps, more)
-        nth = np.arange(len(base)) - np.repeat(np.cumsum(more) - more, more) + 1
-        ends = np.union1d(ends, base + nth * LONGEST)
-    return np.concatenate(([0], ends[:-1])), ends
-
-
-def walk(classes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The STEPS places of every block's walk, a row a step."""
-    cursor, out = starts.astype(np.int32), np.empty((STEPS, len(starts)), np.uint8)
-    starts, ends = cursor.copy(), ends.astype(np.int32)
-    for j in range(STEPS):
-        seen = np.take(classes, cursor, out=out[j])
-        cursor += np.take(_MOVE[j], seen)
-        np.copyto(cursor, starts, where=cursor >= ends)
-    return out
+def _places() -> tuple[np.ndarray, np.ndarray]:
+    """(steps, coordinates), by step: where a step comes before all earlier ones in a coordinate's order, up to step 2^40."""
+    out = []
+    for k in range(COORDINATES):
+        step, rank = 0, float(_rng.random())
+        while step < 2**40:
+            out.append((step, k))
+            step += 1 + int(np.log(_rng.random()) / np.log1p(-rank))  # the wait for a smaller rank
+            rank *= float(_rng.random())
+    return tuple(np.array(x, np.int64) for x in zip(*sorted(out)))
 
 
-def components(classes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hashed samples of every block: an array (COMPONENTS, blocks)."""
-    places = walk(classes, starts, ends).astype(np.uint32)
-    out = np.empty((COMPONENTS, len(starts)), np.uint64)
-    for k, at in enumerate(_AT):
-        sample = places[at[0]]
-        for p in at[1:]:
-            sample = (sample << np.uint32(8)) | places[p]
-        out[k] = (sample + np.uint64(k)) * _SALT[k]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return out
+_STEP, _WHO = _places()
+_PLACES = [np.flatnonzero(_WHO % WALKS == walk) for walk in range(WALKS)]
+_PRINT = (mix64((_STEP[:, None] * 65536 + _WHO[:, None] * 256 + np.arange(256)).astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
 
 
-class Sketcher:
-    """Fingerprints of texts, several at once, as arrays of COMPONENTS 64-bit minima."""
-
-    def blocks(self, texts: list[str]) -> list[np.ndarray]:
-        """The fingerprint of each text."""
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        if not len(points):
-            return [_EMPTY] * len(texts)
-        classes = _classes(points)
-        starts, ends = _blocks(classes, offsets)
-        row = np.searchsorted(offsets, starts, "right") - 1
-        out = np.tile(_EMPTY, (len(texts), 1))
-        for i in range(0, len(starts), 8192):  # a long text's blocks come in several rounds
-            samples, own = components(classes, starts[i : i + 8192], ends[i : i + 8192]), row[i : i + 8192]
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            out[own[first]] = np.minimum(out[own[first]], np.minimum.reduceat(samples, first, axis=1).T)
-        return list(out)
+def _classes(points: np.ndarray) -> np.ndarray:
+    """Code points as 255 classes."""
+    out = np.empty(len(points), np.uint8)
+    for i in range(0, len(points), 1 << 18):
+        out[i : i + (1 << 18)] = (mix64(points[i : i + (1 << 18)].astype(np.uint64)) >> np.uint64(32)) % np.uint64(_END)
+    return out
 
 
-def as_text(sketch: np.ndarray) -> str:
-    """Sixteen bits of each component, as 4 hex digits."""
-    return (mix64(sketch) >> np.uint64(48)).astype(">u2").tobytes().hex()
+def _alone(walk: int, classes: bytes, at: int, step: int, out: np.ndarray) -> None:
+    """Takes one text's walk on from (at, step) to its end."""
+    moves, places = _MOVE_BYTES[walk], _PLACES[walk]
+    for r in places[int(np.searchsorted(_STEP[places], step)) :].tolist():
+        stop = int(_STEP[r])
+        while step < stop:
+            first = step % PERIOD
+            last = min(PERIOD, first + stop - step)
+            for m in moves[first:last]:
+                at += m[classes[at]]
+            step += last - first
+            if classes[at] == _END:
+                return
+        if classes[at] == _END:
+            return
+        out[_WHO[r]] = _PRINT[r][classes[at]]
+
+
+def embed(texts: list[str]) -> np.ndarray:
+    """The fingerprints of texts, a row of COORDINATES bytes each; an empty text's are zero."""
+    prints = np.zeros((len(texts), COORDINATES), np.uint8)
+    points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1
+    classes = _classes(points)
+    classes[ends] = _END
+    # a copy of the texts for each walk, so that a lane's symbol says whose random bit it takes
+    symbols = np.concatenate([classes.astype(np.int16) + 256 * w for w in range(WALKS)])
+    lanes = np.tile(np.arange(len(texts)), WALKS)
+    cursor = (np.concatenate(([0], ends[:-1] + 1)) + len(classes) * np.arange(WALKS)[:, None]).ravel() if texts else lanes
+    step = entered = 0
+    while True:
+        on = np.flatnonzero(symbols[cursor] & 255 != _END)
+        lanes, cursor = lanes[on], cursor[on]
+        if len(lanes) <= ALONE:
+            break
+        seen, moved = np.empty((STRETCH, len(lanes)), np.int16), np.empty(len(lanes), np.int64)
+        for row, bits in zip(seen, _MOVE[step % PERIOD :]):
+            symbols.take(cursor, out=row, mode="clip")
+            bits.take(row, out=moved, mode="clip")
+            cursor += moved
+        upto = int(np.searchsorted(_STEP, step + STRETCH))
+        for r in range(entered, upto):
+            at = seen[_STEP[r] - step]
+            there = np.flatnonzero((at >> 8 == _WHO[r] % WALKS) & (at & 255 != _END))
+            prints[lanes[there], _WHO[r]] = _PRINT[r][at[there] & 255]
+        step, entered = step + STRETCH, upto
+    if len(lanes):
+        whole = classes.tobytes()
+        for lane, at in zip(lanes.tolist(), cursor.tolist()):
+            _alone(at // len(whole), whole, at % len(whole), step, prints[lane])
+    return prints
 
 
 def hamming(a: str, b: str) -> int:
     """The coordinates in which two fingerprints differ."""
-    return sum(a[i : i + 4] != b[i : i + 4] for i in range(0, len(a), 4))
+    return sum(a[i : i + 2] != b[i : i + 2] for i in range(0, len(a), 2))
 
 
 def likeness(a: str, b: str) -> float:
     """The share of equal coordinates of two fingerprints."""
-    return 1 - hamming(a, b) / (len(a) // 4)
+    return 1 - hamming(a, b) / (len(a) // 2)
 
 
-def sketches(texts: list[str], budget: int = 400_000) -> list[str]:
+def sketches(texts: list[str], budget: int = 2_000_000) -> list[bytes]:
     """Fingerprints of texts, in pieces of a bounded number of characters."""
-    out, piece, held, sketcher = [], [], 0, Sketcher()
-    for t in texts:
+    out, piece, held = [], [], 0
+    for i, t in enumerate(texts):
         piece.append(t)
         held += len(t)
-        if held >= budget:
-            out += map(as_text, sketcher.blocks(piece))
+        if held >= budget or i == len(texts) - 1:
+            out += [p.tobytes() for p in embed(piece)]
             piece, held = [], 0
-    return out + list(map(as_text, sketcher.blocks(piece))) if piece else out
+    return out
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,41 +157,88 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            yield record(schema, b.column(0), sketches([t or "" for t in b.column(1).to_pylist()]))
-
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fingerprint string")
-
-
-def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = 16) -> DataFrame:
-    """(a, b, likeness), a before b: documents that share a band's key and are verified by likeness.
-
-    Equal fingerprints are one class: its first document stands for it and is linked to each of the others, so n copies give
-    n - 1 links. The first documents of all classes in a bucket are compared with each other; a bucket of more than SHARE is
-    dealt to as many keys, so that no task holds all of its pairs. Rows that repeat an id with another text are documents of
-    their own (a = b); null ids come last and are reported as null.
+            yield record(schema, b.column(0), [p.hex() for p in sketches([t or "" for t in b.column(1).to_pylist()])])
+
+    return map_arrow(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), run, "doc_id long, fingerprint string")
+
+
+def _cells(batches):
+    """Pieces of whole cells from batches sorted by (key, low, high), as tables; a cell has at most about two shares of rows."""
+    held = []
+    for b in batches:
+        held.append(b)
+        whole = pa.Table.from_batches(held)
+        names = np.stack([whole.column(c).to_numpy() for c in ("key", "low", "high")])
+        ended = np.flatnonzero((names != names[:, -1:]).any(axis=0))
+        if len(ended):
+            last = int(ended[-1]) + 1
+            yield whole.slice(0, last), names[:, :last]
+            held = whole.slice(last).to_batches()
+    if held:
+        whole = pa.Table.from_batches(held)
+        yield whole, np.stack([whole.column(c).to_numpy() for c in ("key", "low", "high")])
+
+
+def _links_of_cell(prints: np.ndarray, band: int, side: np.ndarray, apart: bool, times: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(links, least first) of each fingerprint of a cell; a pair counts in the first band that it agrees on, so once."""
+    links, low = np.zeros(len(prints), np.int64), first.copy()
+    for i in range(0, len(prints), 32):
+        same = (prints[i : i + 32, None] == prints[None, i:]).view(np.uint8).sum(axis=2, dtype=np.uint8)
+        x, y = np.nonzero(same >= least)
+        on = (x < y) & ((side[x + i] != side[y + i]) if apart else True)
+        x, y = x[on] + i, y[on] + i
+        agreed = (prints[x, : BANDS * WIDTH] == prints[y, : BANDS * WIDTH]).reshape(-1, BANDS, WIDTH).all(axis=2)
+        on = agreed[:, band] & (agreed.argmax(axis=1) == band)
+        x, y = x[on], y[on]
+        for a, b in ((x, y), (y, x)):
+            np.add.at(links, a, times[b])
+            np.minimum.at(low, a, first[b])
+    return links, low
+
+
+def link_counts(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """(fingerprint, n_links, near_first), a row for every different fingerprint of prints(doc_id, fingerprint).
+
+    Two rows are linked if their fingerprints agree on all coordinates of a band and on `least` of all coordinates: n_links is
+    the number of rows that a row is linked to, near_first the least doc_id among them and itself (null: only null ids).
+    Equal fingerprints are one class with a count. A bucket of more than SHARE different fingerprints is dealt to
+    shares, and every two shares meet in a cell, in arrays: what leaves is a count a fingerprint, never a pair. Its work
+    still grows with the square of the different fingerprints that agree on a band.
     """
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("fingerprint", pa.string())])
+    classes = prints.groupBy("fingerprint").agg(F.count("*").alias("times"), F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("first"))
+    key = lambda b: F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("fingerprint", 1 + 2 * WIDTH * b, 2 * WIDTH)).alias("key"))
+    keys = classes.select(F.xxhash64("fingerprint").alias("h"), F.explode(F.array(*map(key, range(BANDS)))).alias("k")).select("h", "k.band", "k.key")
+    crowds = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", F.ceil(F.col("size") / SHARE).cast("int").alias("parts"))
+    met = keys.join(crowds, "key").join(classes.select(F.xxhash64("fingerprint").alias("h"), F.unhex("fingerprint").alias("print"), "times", "first"), "h")
+    sided = met.withColumn("side", F.pmod("h", F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = sided.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "band", "side", "print", "times", "first")
+    schema = pa.schema([("print", pa.binary()), ("links", pa.int64()), ("low", pa.int64())])
+    bound = int(np.ceil(least * COORDINATES - 1e-9))
 
     def run(batches):
-        for b in batches:
-            yield record(schema, b.column(0), b.column(1), sketches(b.column(2).to_pylist()))
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    marked = cut(map_arrow(keyed, run, "id long, th long, fingerprint string").distinct())
-    first = marked.groupBy("fingerprint").agg(F.min(F.struct("id", "th")).alias("doc"))
-    copies = marked.join(first, "fingerprint").where(F.struct("id", "th") > F.col("doc")).select(F.col("doc.id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("likeness"))
-    width = COMPONENTS * 4 // bands
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("fingerprint", 1 + i * width, width).alias("key")) for i in range(bands)])
-    bucketed = first.select("doc", "fingerprint", F.explode(keys).alias("k")).select("doc", "fingerprint", "k.band", "k.key")
-    crowds = bucketed.groupBy("band", "key").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = bucketed.join(crowds, ["band", "key"])
-    left = met.select("band", "key", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int").alias("part"), F.col("doc").alias("x"), F.col("fingerprint").alias("fx"))
-    right = met.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("doc").alias("y"), F.col("fingerprint").alias("fy"))
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), lambda i: F.substring(F.col("fx"), i * 4 + 1, F.lit(4)) == F.substring(F.col("fy"), i * 4 + 1, F.lit(4)))) / COMPONENTS
-    links = left.join(right, ["band", "key", "part"]).where("x < y").select("x", "y", same.alias("likeness")).where(F.col("likeness") >= least).distinct()
-    real = lambda c: F.when(F.col(c) < F.lit(_LAST), F.col(c)).alias(c)
-    return links.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "likeness").unionByName(copies).select(real("a"), real("b"), "likeness")
+        for rows, names in _cells(batches):
+            all_ = np.frombuffer(b"".join(rows.column("print").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            band, side, times, first = (rows.column(c).to_numpy() for c in ("band", "side", "times", "first"))
+            starts = np.flatnonzero(np.concatenate(([True], (names[:, 1:] != names[:, :-1]).any(axis=0))))
+            links, low = np.zeros(len(all_), np.int64), first.copy()
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(all_)]):
+                if b - a > 1:
+                    links[a:b], low[a:b] = _links_of_cell(all_[a:b], int(band[a]), side[a:b], names[1, a] != names[2, a], times[a:b], first[a:b], bound)
+            on = np.flatnonzero(links)
+            yield record(schema, rows.column("print").take(on).combine_chunks(), links[on], low[on])
+
+    found = map_arrow(cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high"), run, "print binary, links long, low long")
+    found = found.groupBy(F.lower(F.hex("print")).alias("fingerprint")).agg(F.sum("links").alias("links"), F.min("low").alias("low"))
+    near = F.least("first", "low")  # skips nulls
+    return classes.join(found, "fingerprint", "left").select(
+        "fingerprint", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.when(near < _LAST, near).alias("near_first")
+    )
+
+
+def linked_fingerprints(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """edited_fingerprints of all rows of docs, written once, with each row's n_links and near_first (see link_counts)."""
+    rows = cut(edited_fingerprints(docs))
+    return rows.join(link_counts(rows, least), "fingerprint")
 
 
 def edited(text: str, after: str) -> str:
@@ -260,11 +317,11 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # a range ends with a copy of the next one's head; of several copies the first counts
         pairs = [(x, y) for x, y in zip(rows, rows[1:]) if not x[1] and x[0] == y[0]]
         changed = [edited(x[3], y[3]) for x, y in pairs]
-        prints = sketches([r[3] for r in rows])
+        prints = [p.hex() for p in sketches([r[3] for r in rows])]
         own = [(p, q) for x, y, p, q in zip(rows, rows[1:], prints, prints[1:]) if not x[1] and x[0] == y[0]]
-        new = sketches(changed)
+        new = [p.hex() for p in sketches(changed)]
         far, next_ = [hamming(p, e) for (p, _), e in zip(own, new)], [hamming(p, q) for p, q in own]
-        share = lambda d: 1 - d / COMPONENTS
+        share = lambda d: 1 - d / COORDINATES
         return record(
             schema, [x[2] for x, _ in pairs], [len(x[3]) for x, _ in pairs], [hashlib.sha256(t.encode()).hexdigest() for t in changed],
             [p for p, _ in own], new, list(map(share, far)), list(map(share, next_)), far, next_,
@@ -279,7 +336,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 text = unpack(body).decode()
                 held.append((at, copy, doc_id, text))
                 size += len(text)
-                if size > 4_000_000 and len(held) > 1:
+                if size > 2_000_000 and len(held) > 1:
                     yield judged(held)
                     held, size = held[-1:], len(text)
         if len(held) > 1:

@@ -23,7 +23,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return edit_fingerprint.linked_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

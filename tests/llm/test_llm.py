@@ -297,8 +297,8 @@ def test_chunks_are_reused():
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 def brute_sketch(text):
-    """The fingerprint of a text, block after block and step after step, with the module's random numbers only."""
-    e, word, long_ = edit_fingerprint, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF
+    """The fingerprint of a text, one step after another, with the module's random numbers only."""
+    e, long_ = edit_fingerprint, 0xFFFFFFFFFFFFFFFF
 
     def mix(x):
         x ^= x >> 33
@@ -307,43 +307,29 @@ def brute_sketch(text):
         x = x * 0xC4CEB9FE1A85EC53 & long_
         return x ^ x >> 33
 
-    classes = [mix(ord(c)) >> 56 for c in text]
-    rolled = [c * 0x9E3779B1 & word for c in classes]
-    for s, k in ((1, 7), (2, 13), (4, 19)):
-        rolled = [h if i < s else (h ^ ((rolled[i - s] << k | rolled[i - s] >> 32 - k) & word)) * 0x85EBCA6B & word for i, h in enumerate(rolled)]
-    ends = sorted({i + 1 for i, h in enumerate(rolled) if (h ^ h >> 15) * 0xC2B2AE35 & word < 2**32 // e.BLOCK and i + 1 >= 8} | ({len(text)} if text else set()))
-    blocks, last = [], 0
-    for end in ends:
-        while end - last > e.LONGEST:
-            blocks.append(classes[last : last + e.LONGEST])
-            last += e.LONGEST
-        blocks.append(classes[last:end])
-        last = end
-    least = [long_] * e.COMPONENTS
-    for block in blocks:
-        walk, at = [], 0
-        for j in range(e.STEPS):
-            walk.append(block[at])
-            at += int(e._MOVE[j][block[at]])
-            if at >= len(block):
-                at = 0
-        for k in range(e.COMPONENTS):
-            x = 0
-            for j in e._AT[k].tolist():
-                x = (x << 8 | walk[j]) & word
-            x = (x + k & word) * int(e._SALT[k]) & long_
-            x ^= x >> 29
-            x = x * 0xBF58476D1CE4E5B9 & long_
-            x ^= x >> 32
-            least[k] = min(least[k], x)
-    return "".join(f"{mix(x) >> 48:04x}" for x in least)
-
-
-def test_sketches_against_brute_force(rows):
+    classes, out = [(mix(ord(c)) >> 32) % 255 for c in text], [0] * e.COORDINATES
+    for w in range(e.WALKS):
+        symbols, at = [], 0
+        while at < len(text):
+            symbols.append(classes[at])
+            at += int(e._MOVE[(len(symbols) - 1) % e.PERIOD][256 * w + classes[at]])
+        for step, k in zip(e._STEP.tolist(), e._WHO.tolist()):
+            if k % e.WALKS == w and step < len(symbols):
+                out[k] = mix(step * 65536 + k * 256 + symbols[step]) >> 56
+    return bytes(out).hex()
+
+
+def hexed(texts, **more):
+    return [p.hex() for p in edit_fingerprint.sketches(texts, **more)]
+
+
+def test_sketches_against_brute_force(rows, monkeypatch):
     rng = random.Random(24)
-    texts = [t for _, t in rows[:25]] + ["", "a", "x" * 300, "漢字かな" * 40, "".join(rng.choices("abcdefgh \n", k=3000))]
+    texts = [t for _, t in rows[:25]] + ["", "a", "x" * 300, "漢字かな" * 40, "".join(rng.choices("abcdefgh \n", k=9000))]
     want = [brute_sketch(t) for t in texts]
-    assert edit_fingerprint.sketches(texts) == want and edit_fingerprint.sketches(texts, budget=50) == want
+    assert hexed(texts) == want and hexed(texts, budget=50) == want and hexed([]) == []
+    monkeypatch.setattr(edit_fingerprint, "ALONE", 0)  # all side by side to the end
+    assert hexed(texts) == want
 
 
 def test_edited_fingerprints(docs, rows, spark):
@@ -355,8 +341,8 @@ def test_edited_fingerprints(docs, rows, spark):
         n = len(text) // 3
         new = text[: len(text) - n] + after[:n]
         f, e, q = map(sketch, (text, new, after))
-        apart = lambda a, b: sum(a[j : j + 4] != b[j : j + 4] for j in range(0, 256, 4))
-        want[i] = (i, len(text), hashlib.sha256(new.encode()).hexdigest(), f, e, 1 - apart(f, e) / 64, 1 - apart(f, q) / 64, apart(f, e), apart(f, q))
+        apart = lambda a, b: sum(a[j : j + 2] != b[j : j + 2] for j in range(0, 256, 2))
+        want[i] = (i, len(text), hashlib.sha256(new.encode()).hexdigest(), f, e, 1 - apart(f, e) / 128, 1 - apart(f, q) / 128, apart(f, e), apart(f, q))
     for ranges in (1, 3, 50):
         got = {r["doc_id"]: tuple(r) for r in edit_fingerprint.edited_fingerprints(extra(docs), ranges=ranges).collect()}
         assert got == want
@@ -380,70 +366,74 @@ def test_edited_fingerprints_of_one_id(spark):
     assert at.tolist() == [0, 1, 2, 3, 4, 4, 5]
 
 
-def test_walks_follow_edits():
+def noisy(rng, text, n):
+    """The text after n single-character edits."""
+    x = list(text)
+    for _ in range(n):
+        i, new = rng.randrange(len(x)), rng.choice("abcdefghij ")
+        x[i : i + 1] = rng.choice([[], [new], [x[i], new]])
+    return "".join(x)
+
+
+def made(rng, words):
+    return " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(words))
+
+
+def test_hamming_distance_follows_edits():
     rng = random.Random(2)
-    text = " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(600))
-
-    def noisy(k):
-        x = list(text)
-        for _ in range(k):
-            x[rng.randrange(len(x))] = "z"
-        return "".join(x)
-
-    base, near, far, other = edit_fingerprint.sketches([text, noisy(10), noisy(200), " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(600))])
-    a, b, c = (edit_fingerprint.likeness(base, x) for x in (near, far, other))
-    assert a > 0.75 > b > c and c < 0.1
-    classes = edit_fingerprint._classes(np.array([ord(x) for x in "abcdefghijklmnopqrstuvwx"], np.uint32))
-    walks = edit_fingerprint.walk(np.concatenate((classes, classes[:3], classes[4:])), np.array([0, 24]), np.array([24, 47]))
-    assert (walks[:, 0] == walks[:, 1]).mean() > 0.2 and edit_fingerprint.sketches([text, ""])[0] == base
-
-
-def test_walks_read_whole_blocks():
-    rng = np.random.default_rng(4)
-    n, blocks = edit_fingerprint.LONGEST, 200
-    base = rng.integers(0, 256, (blocks, n)).astype(np.uint8)
-    starts = np.arange(blocks) * n
-    walks = lambda classes: edit_fingerprint.walk(classes.ravel(), starts, starts + n)
-    seen, sampled = walks(base), walks(base)[np.unique(edit_fingerprint._AT)]
-    for place in range(n):
-        changed = base.copy()
-        changed[:, place] += 1
-        assert (walks(changed) != seen).any(axis=0).mean() > 0.98 and (walks(changed)[np.unique(edit_fingerprint._AT)] != sampled).any(axis=0).mean() > 0.98
-    text = "".join(rng.choice(list("abcdefgh"), 2000))
-    missed = sum(edit_fingerprint.sketches([text[i : i + n]]) == edit_fingerprint.sketches([text[i : i + n - 1] + "z"]) for i in range(0, 1900, n))
-    assert missed <= 1
-
-
-def test_near_documents(spark):
-    rng = random.Random(6)
-    base = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(200)) for _ in range(20)]
-    rows = [(i, t, "en", "s", 0) for i, t in enumerate(base)] + [(100 + i, t + " tail", "en", "s", 0) for i, t in enumerate(base)] + [(200 + i, t, "en", "s", 0) for i, t in enumerate(base[:5])]
-    got = {(r["a"], r["b"]) for r in edit_fingerprint.near_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert {(i, 100 + i) for i in range(20)} <= got and {(i, 200 + i) for i in range(5)} <= got and all(b % 100 == a % 100 for a, b in got)
-
-
-def test_near_documents_keep_every_link(spark, monkeypatch):
+    texts = [made(rng, rng.randint(150, 600)) for _ in range(60)]
+    base, means = hexed(texts), []
+    apart = lambda others: np.array([edit_fingerprint.hamming(a, b) for a, b in zip(base, hexed(others))])
+    shares = (0, 0.001, 0.005, 0.02, 0.05, 0.1, 0.2)
+    for share in shares:
+        means.append(apart([noisy(rng, t, int(np.ceil(share * len(t)))) for t in texts]).mean() / 128)
+    assert means[0] == 0 and all(a < b for a, b in zip(means, means[1:])) and means[1] < 0.1 and means[2] < 0.25
+    # edits cost about as much as they change at least, and unrelated texts are farther than any edited ones
+    other = apart(texts[1:] + texts[:1]).mean() / 128
+    assert all(m >= 0.8 * s for m, s in zip(means, shares)) and other > 0.85 and other > means[-1]
+    # what stays in place stays equal: a third replaced at the end costs a third, a text that goes on costs its share
+    third = apart([edit_fingerprint.edited(t, u) for t, u in zip(texts, texts[1:] + texts[:1])]).mean() / 128
+    longer = apart([t + " " + made(rng, len(t) // 6) for t in texts]).mean() / 128
+    assert 0.22 < third < 0.36 and 0.4 < longer < 0.55
+
+
+def linked_rows(rows, least=0.8):
+    """(links, least first) of each row, all pairs."""
+    e, prints = edit_fingerprint, [bytes.fromhex(p) for p in hexed([r[1] or "" for r in rows])]
+    ids = [2**63 - 1 if r[0] is None else r[0] for r in rows]
+    alike = lambda p, q: sum(a == b for a, b in zip(p, q)) >= least * e.COORDINATES
+    band = lambda p, q: any(p[e.WIDTH * b :][: e.WIDTH] == q[e.WIDTH * b :][: e.WIDTH] for b in range(e.BANDS))
+    out, missed, met = [], 0, 0
+    for i, p in enumerate(prints):
+        near = [j for j, q in enumerate(prints) if j != i and alike(p, q)]
+        linked = [j for j in near if band(p, prints[j])]
+        missed, met = missed + len(near) - len(linked), met + len(linked)
+        first = min([ids[i], *(ids[j] for j in linked)])
+        out.append((rows[i][0], prints[i].hex(), len(linked), None if first == 2**63 - 1 else first))
+    return out, met, missed
+
+
+def test_link_counts(spark, monkeypatch):
     rng = random.Random(16)
-    make = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
-    passage, rows = make(150), []
-    for group in range(4):  # a shared passage with ends of their own, each in mutual variants
-        own = passage + " " + make(90)
-        for k in range(8):
-            at = rng.randrange(len(own) - 20)
-            rows.append((10 * group + k, own[:at] + "".join(rng.choices("xyz", k=10)) + own[at + 10 :], "en", "s", 0))
-    rows += [(None, rows[3][1], "en", "s", 0), (rows[0][0], rows[1][1] + " end", "en", "s", 0)]
-    prints = edit_fingerprint.sketches([r[1] for r in rows])
-    last = sorted(((2**63 if r[0] is None else r[0]), p) for r, p in zip(rows, prints))
-    share = lambda p, q: any(p[i : i + 16] == q[i : i + 16] for i in range(0, 256, 16))
-    first = {}
-    want = Counter((first[p], a) for a, p in last if first.setdefault(p, a) != a)
-    heads = [(a, p) for a, p in last if first[p] == a]
-    want += Counter((a, b) for k, (a, p) in enumerate(heads) for b, q in heads[k + 1 :] if share(p, q) and edit_fingerprint.likeness(p, q) >= 0.8)
-    for size in (512, 3):
-        monkeypatch.setattr(edit_fingerprint, "SHARE", size, raising=False)
-        got = edit_fingerprint.near_documents(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
-        assert Counter((r["a"], 2**63 if r["b"] is None else r["b"]) for r in got) == want
-    assert any(b == 2**63 for _, b in want) and (0, 0) in want and len(want) > 40
+    rows = []
+    for group in range(12):
+        own = made(rng, 120)
+        rows += [(100 * group + k, noisy(rng, own, k % 4), "en", "s", 0) for k in range(9)]
+    rows += [(None, rows[3][1], "en", "s", 0), (rows[0][0], rows[1][1] + " end", "en", "s", 0), (None, "alone", "en", "s", 0), (None, "alone", "en", "s", 0), (5000, None, "en", "s", 0), (5001, "", "en", "s", 0)]
+    want, met, missed = linked_rows(rows)
+    assert met > 200 and met / (met + missed) >= 0.97  # recall of the banding
+    for size in (1024, 3):
+        monkeypatch.setattr(edit_fingerprint, "SHARE", size)
+        got = edit_fingerprint.linked_fingerprints(spark.createDataFrame(rows, SCHEMA).repartition(3)).select("doc_id", "fingerprint", "n_links", "near_first").collect()
+        assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_links_of_odd_rows(docs, odd, spark):
+    for frame in (extra(docs), odd):
+        rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
+        got = edit_fingerprint.linked_fingerprints(frame).select("doc_id", "fingerprint", "n_links", "near_first").collect()
+        assert Counter(map(tuple, got)) == Counter(linked_rows(rows)[0])
+    assert edit_fingerprint.linked_fingerprints(odd.limit(0)).count() == 0
 
 
 def test_edited_edges(odd):
