@@ -19,7 +19,7 @@ from lodeline.plans import catalog
 from lodeline.plans.catalog import _BM25, _words, query, table
 from lodeline.plans.engine import Engine
 from lodeline.plans.lineage import cut, shared_folder
-from lodeline.sources import code, files, pages
+from lodeline.sources import code, files, imports, pages
 from lodeline.streaming import events as streams
 
 _SOURCE = '''import os
@@ -133,7 +133,30 @@ def python_imports(spark, d):
 @query(f"""WITH {_K}, t AS (SELECT file AS path, k + 1 AS n, CASE WHEN k % 2 = 0 THEN 'shared' ELSE 'helper' END AS name FROM g)
 SELECT path, 'pkg.mod' || n AS module, CASE WHEN n <= (SELECT max(k) FROM k) THEN name END AS name FROM t WHERE n > (SELECT max(k) FROM k) OR name = 'helper' OR n % 10 = 7""")
 def unresolved_imports(spark, d):
-    return code.unresolved_imports(_project(spark, d))
+    return imports.unresolved_imports(_project(spark, d))
+
+
+_CHAIN = {0: "value = {k}\n_hidden = value\n", 3: "from .c{before} import *\n", 5: "from .c{k} import value\n"}
+
+
+def _chained_project(spark, d):
+    """For each supplier a module and its user; five modules of six take a name from the one before, or from themselves."""
+    k = F.col("s_suppkey")
+    source = F.lit("try:\n    from ..chain.c{before} import value as value\nexcept ImportError:\n    pass\n")
+    for rest, text in _CHAIN.items():
+        source = F.when(k % 6 == rest, F.lit(text)).otherwise(source)
+    filled = lambda c: F.replace(F.replace(c, F.lit("{k}"), k.cast("string")), F.lit("{before}"), (k - 1).cast("string"))
+    both = F.array(F.struct(F.lit("chain/c{k}.py").alias("path"), source.alias("source")), F.struct(F.lit("use/u{k}.py").alias("path"), F.lit("from chain.c{k} import value, _hidden\n").alias("source")))
+    return table(spark, d, "supplier").select(k, F.explode(both).alias("f")).select(filled(F.col("f.path")).alias("path"), filled(F.col("f.source")).alias("source"), F.lit("python").alias("language"))
+
+
+@query("""WITH RECURSIVE k AS (SELECT s_suppkey AS k FROM supplier), h AS (SELECT k FROM k WHERE k % 6 = 0 UNION ALL SELECT k.k FROM h JOIN k ON k.k = h.k + 1 WHERE k.k % 6 NOT IN (0, 5)),
+t AS (SELECT 'chain/c' || k || '.py' AS path, CASE WHEN k % 6 = 5 THEN k ELSE k - 1 END AS src, CASE WHEN k % 6 <> 3 THEN 'value' END AS name FROM k WHERE k % 6 <> 0
+UNION ALL SELECT 'use/u' || k || '.py', k, unnest(['value', '_hidden']) FROM k)
+SELECT path, 'chain.c' || src AS module, CASE WHEN src IN (SELECT k FROM k) THEN name END AS name FROM t
+WHERE src NOT IN (SELECT k FROM k) OR name = 'value' AND src NOT IN (SELECT k FROM h) OR name = '_hidden' AND src % 6 <> 0""")
+def import_chains(spark, d):
+    return imports.unresolved_imports(_chained_project(spark, d))
 
 
 @query(f"WITH {_K} SELECT file AS path, CASE WHEN k % 10 = 7 THEN 1 ELSE 0 END AS n_errors, k % 10 <> 7 AS is_python, CASE WHEN k % 10 <> 7 THEN 'python' END AS sniffed FROM k")

@@ -229,58 +229,6 @@ def file_imports(files: DataFrame, lines: DataFrame) -> DataFrame:
     return first.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "module"))), lambda x: x["module"]).alias("modules"))
 
 
-def unresolved_imports(files: DataFrame) -> DataFrame:
-    """(path, module, name): imports of the project's own modules that name a module, or something in one, that is not there.
-
-    A static stand-in for importing the file. Modules whose first part is no folder or file of the project are others' and
-    count as there, as do relative imports of a package itself; a name may be a module, a definition or a variable.
-    """
-    module = lambda c: F.regexp_replace(F.regexp_replace(c, r"(/__init__)?\.pyi?$", ""), "/", ".")
-    own = files.where("language = 'python'").select("path", module(F.col("path")).alias("module"))
-    heads = own.select(F.split_part("module", F.lit("."), F.lit(1)).alias("head")).distinct()
-    parents = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("module", r"\."))), lambda i: F.array_join(F.slice(F.split("module", r"\."), 1, i), "."))).alias("module")).distinct()
-    bound = module_names(files)
-    asked = imported_names(files).withColumn("head", F.split_part("module", F.lit("."), F.lit(1))).join(heads, "head", "left_semi")
-    no_module = asked.join(parents, "module", "left_anti").select("path", "module", F.lit(None).cast("string").alias("name")).distinct()
-    named = asked.where("name is not null and name <> '*'").join(parents, "module", "left_semi")
-    inside = own.join(bound, "path").select("module", "name").unionByName(parents.select(F.regexp_extract("module", r"^(.*)\.[^.]*$", 1).alias("module"), F.regexp_extract("module", r"([^.]*)$", 1).alias("name")))
-    no_name = named.join(inside, ["module", "name"], "left_anti").select("path", "module", "name").distinct()
-    return no_module.unionByName(no_name)
-
-
-def imported_names(files: DataFrame) -> DataFrame:
-    """(path, module, name): absolute imports of Python files; name is null for `import module`."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for path, source in zip(f["path"], f["source"]):
-                for n in _module_imports(parse(source) or ast.Module([], [])):
-                    if isinstance(n, ast.Import):
-                        rows += [(path, a.name, None) for a in n.names]
-                    elif not n.level:
-                        rows += [(path, n.module, a.name) for a in n.names]
-            yield pd.DataFrame(rows, columns=["path", "module", "name"])
-
-    return files.where("language = 'python'").select("path", "source").mapInPandas(run, "path string, module string, name string")
-
-
-def module_names(files: DataFrame) -> DataFrame:
-    """(path, name): what Python files bind at their top level: definitions, imports and assigned names."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for path, source in zip(f["path"], f["source"]):
-                tree = parse(source) or ast.Module([], [])
-                names = {n.name for n in tree.body if isinstance(n, _DEFINITIONS)} | {x for n in _module_imports(tree) for x in _bound(n)[0]}
-                names |= {x.id for n in tree.body for x in ast.walk(n) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store) and not isinstance(n, _DEFINITIONS)}
-                rows += [(path, n) for n in sorted(names)]
-            yield pd.DataFrame(rows, columns=["path", "name"])
-
-    return files.where("language = 'python'").select("path", "source").mapInPandas(run, "path string, name string")
-
-
 def block_metadata(blocks_: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
     """Metadata rows for the blocks(file_id, name, start_line, end_line) of files without symbols: files(file_id, path, language)."""
     body = blocks_.join(lines, "file_id").where(F.col("n").between(F.col("start_line"), F.col("end_line")))
