@@ -17,6 +17,8 @@ from lodeline.operators.graph import local_called_by
 
 # Close matches per word and their least ratio; what parts a list of targets; a rename request.
 CLOSE_MATCHES, CLOSE_RATIO = 3, 0.75
+# Letters from the most to the least frequent in English text; any order gives the same answers.
+_COMMON = "etaoinshrdlcumwfgypbvkjxqz"
 LIST_SEPARATOR = r"(?i),|\band\b|&|;"
 _NAME = "[A-Za-z_][A-Za-z0-9_]*"
 RENAME = (
@@ -34,7 +36,8 @@ def delete_candidates(requests: DataFrame, symbols: DataFrame, fuzzy: bool = Tru
     """(request_id, symbol_id, method): symbols of whose name a content word is a part; else close matches by difflib's ratio.
 
     requests may carry `file`: then only that file's symbols count. The substring test runs over the distinct words and
-    the distinct names, through shared trigrams, so no product of the two tables is formed.
+    the distinct names, through shared trigrams, and close names meet by rare characters (close_pairs), so no product of the
+    two tables is formed.
     """
     scope = ["file"] if "file" in requests.columns else []
     asked = requests.select("request_id", *scope, F.explode(t.content_words(F.col("text"))).alias("word"))
@@ -48,13 +51,41 @@ def delete_candidates(requests: DataFrame, symbols: DataFrame, fuzzy: bool = Tru
     if not fuzzy:
         return exact
     missed = asked.join(exact.select("request_id").distinct(), "request_id", "left_anti")
-    lengths = F.sequence(F.ceil(F.length("word") * (CLOSE_RATIO / (2 - CLOSE_RATIO))).cast("int"), F.floor(F.length("word") * ((2 - CLOSE_RATIO) / CLOSE_RATIO)).cast("int"))
-    near = missed.select("word").distinct().withColumn("n", F.explode(lengths)).join(names.withColumn("n", F.length("low")), "n").select("word", "low")
+    near = close_pairs(missed.select("word").distinct(), names)
     close = near.mapInPandas(_close, "word string, low string, ratio double")
     best = close.withColumn("k", F.row_number().over(W.partitionBy("word").orderBy(F.desc("ratio"), F.desc("low")))).where(F.col("k") <= CLOSE_MATCHES)
     return exact.unionByName(missed.join(best.select("word", "low"), "word").join(named, ["low", *scope]).select("request_id", "symbol_id").distinct().withColumn("method", F.lit("fuzzy")))
 
 
+def _counted(c: str) -> Column:
+    """The characters of a string, each with how often it came before, those that are rare in English names first."""
+    there = F.filter(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: i <= F.length(c))
+    char = lambda i: F.substring(F.col(c), i, F.lit(1))
+    before = lambda i: F.length(F.substring(F.col(c), F.lit(1), i)) - F.length(F.replace(F.substring(F.col(c), F.lit(1), i), char(i), F.lit("")))
+    order = lambda i: F.struct((-before(i)).alias("o"), (-F.instr(F.lit(_COMMON), char(i))).alias("r"), char(i).alias("char"), before(i).alias("nth"))
+    return F.transform(F.array_sort(F.transform(there, order)), lambda x: F.concat_ws(" ", x["char"], x["nth"].cast("string")))
+
+
+def close_pairs(words: DataFrame, names: DataFrame) -> DataFrame:
+    """(word, low) of words(word) and names(low), distinct both: a superset of the pairs with a ratio of CLOSE_RATIO and more.
+
+    The ratio is twice the matched characters by both lengths, and no more can match than the two multisets of characters
+    share. So a pair shares at least `both` characters, and by the prefix filter one of the first (length - both + 1)
+    in any common order, rare ones first; the pairs that meet are checked for `both`, all in one join on (character, which
+    one of its kind, length of the name). Strings are not empty.
+    """
+    least = lambda x, y: F.ceil(CLOSE_RATIO / 2 * (x + y)).cast("int")
+    shortest = lambda n: F.ceil(n * (CLOSE_RATIO / (2 - CLOSE_RATIO))).cast("int")
+    long = F.col("n") - least(F.col("n"), shortest(F.col("n"))) + 1  # whatever word comes
+    index = names.where("low <> ''").select("low", F.length("low").alias("n"), _counted("low").alias("has")).select("low", "n", "has", F.explode(F.slice("has", F.lit(1), long)).alias("token"))
+    w = words.where("word <> ''").select("word", F.length("word").alias("m"), _counted("word").alias("asked"))
+    w = w.withColumn("n", F.explode(F.sequence(shortest(F.col("m")), F.floor(F.col("m") * ((2 - CLOSE_RATIO) / CLOSE_RATIO)).cast("int")))).withColumn("both", least(F.col("m"), F.col("n")))
+    # some lengths leave no prefix: then no name of that length is close
+    asked = w.where("both <= m and both <= n").select("word", "n", "both", "asked", F.explode(F.slice("asked", F.lit(1), F.col("m") - F.col("both") + 1)).alias("token"))
+    met = asked.join(index, ["token", "n"]).where(F.size(F.array_intersect("asked", "has")) >= F.col("both"))
+    return met.select("word", "low").distinct()
+
+
 def _close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         ratios, matcher = [], difflib.SequenceMatcher()
