@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from lodeline import schemas
 from lodeline.functions import text as t
@@ -193,43 +193,61 @@ def _swept_gaps(placed: DataFrame, worded: DataFrame) -> DataFrame:
     return near.join(o, between, "left_anti").select("i.file_id", "i.op_ord").distinct()
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _swept_up(blank: pd.Series, at: pd.Series, end: pd.Series, kind: pd.Series, bare: pd.Series) -> pd.Series:
+    return pd.Series([sweep_up(list(b), list(zip(*o))) for b, *o in zip(blank, at, end, kind, bare)], dtype=object)
+
+
+def sweep_up(blank: list[bool], ops: list[tuple[int, int, str, bool]]) -> list[int]:
+    """What stands in a file after its operations: n for its nth line, 0 for an empty line, -k for the content of the kth operation.
+
+    blank tells the blank lines; ops are (at, end, kind, whether the content is blank), the lowest place in the file first; an
+    INSERT's end counts for nothing. Lines
+    are laid on a pile from the last one up to the operation at hand, which takes from the pile's top what it replaces or
+    deletes, so the time is linear in lines and operations.
+    """
+    pile, left = [], len(blank)
+
+    def is_blank(piece: int) -> bool:
+        return piece == 0 or (blank[piece - 1] if piece > 0 else ops[-piece - 1][3])
+
+    for k, (at, end, kind, _) in enumerate(ops, 1):
+        first = max(at + (kind == "INSERT"), 1)
+        while left >= first:
+            pile.append(left)
+            left -= 1
+        top = max(len(pile) - (first - 1 - left), 0)  # pieces over it stand above the operation
+        keep = top
+        if kind != "INSERT":
+            keep = max(top - max(end - first + 1, 0), 0)
+        while kind == "DELETE" and keep and is_blank(pile[keep - 1]):
+            keep -= 1
+        pile[keep:top] = {"INSERT": [-k, 0], "REPLACE": [-k], "DELETE": []}[kind]
+    pile.extend(range(left, 0, -1))
+    return pile[::-1]
+
+
 def apply_sequential(files: DataFrame, ops: DataFrame) -> DataFrame:
-    """(file_id, source) for files with overlapping spans, whose operations count one after the other from the bottom up.
+    """(file_id, source) of the files that have operations, which count one after the other from the bottom up; spans may overlap.
 
-    A layer holds one operation of each file, so the layers are as many as the busiest file has operations; each is the line
-    algebra over rows (file_id, n, piece), where a piece is a line with its end, or all that an earlier layer put in one place:
-    to the operations above, content counts as one line. Equal places keep the order of op_ord. Null and empty sources have no
-    lines; operations of files that are not there are left out.
+    files(file_id, source), one row an id; ops(file_id, op_ord, operation, start_line, end_line, indent, content). A line keeps
+    its end. To the operations above, content counts as one line. Equal places keep the order of op_ord. One job: a file meets
+    its operations in one row, `sweep_up` gives the order of lines and contents by number, and the texts are put together by
+    expressions. Null and empty sources have no lines; operations of files that are not there or without a place are left out.
     """
-    pieces = files.select("file_id", F.posexplode(F.filter(F.split(F.coalesce("source", F.lit("")), KEPT_ENDS, -1), lambda x: x != "")).alias("n", "piece")).withColumn("n", F.col("n") + 1)
-    sizes = pieces.groupBy("file_id").agg(F.max("n").alias("last"))
-    at = F.when(F.col("operation") == "INSERT", F.coalesce("end_line", "last", F.lit(0))).otherwise(F.col("start_line"))
-    turn = F.row_number().over(W.partitionBy("file_id").orderBy(F.desc("at"), "op_ord"))
-    layered = cut(
-        ops.join(files.select("file_id"), "file_id", "left_semi").join(sizes, "file_id", "left").withColumn("at", at).withColumn("layer", turn)
-        .select("file_id", "layer", "operation", "at", "end_line", t.dedent_to(F.col("content"), F.coalesce("indent", F.lit(0))).alias("body"))
-    )
-    for k in range(1, (layered.agg(F.max("layer")).first()[0] or 0) + 1):
-        pieces = cut(_layer(pieces, layered.where(F.col("layer") == k).drop("layer")))
-    joined = pieces.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "").alias("source"))
-    return layered.select("file_id").distinct().join(joined, "file_id", "left").select("file_id", F.coalesce("source", F.lit("")).alias("source"))
-
-
-def _layer(pieces: DataFrame, ops: DataFrame) -> DataFrame:
-    """pieces after at most one operation a file, numbered anew."""
-    met = pieces.join(ops, "file_id", "left")
-    # a DELETE ends before the first worded piece behind its span
-    behind = F.when((F.col("n") > F.col("end_line")) & (F.regexp_replace("piece", r"\s", "") != ""), F.col("n"))
-    stop = F.when(F.col("operation") == "DELETE", F.coalesce(F.min(behind).over(W.partitionBy("file_id")), F.lit(2**31 - 1))).otherwise(F.col("end_line") + 1)
-    lost = F.col("operation").isin("REPLACE", "DELETE") & (F.col("n") >= F.col("at")) & (F.col("n") < stop)
-    kept = met.withColumn("lost", F.coalesce(lost, F.lit(False))).where("not lost").select("file_id", F.col("n").alias("k"), F.lit(0).alias("j"), "piece")
-    gap = F.array(F.lit("\n"))
-    fresh = ops.where("operation <> 'DELETE'").select(
-        "file_id", (F.col("at") - F.when(F.col("operation") == "INSERT", 0).otherwise(1)).alias("k"),
-        F.posexplode(F.when(F.col("operation") == "INSERT", F.concat(gap, F.array("body"))).otherwise(F.array("body"))).alias("j", "piece"),
-    )
-    every = kept.unionByName(fresh.withColumn("j", F.col("j") + 1))
-    return every.select("file_id", F.row_number().over(W.partitionBy("file_id").orderBy("k", "j")).alias("n"), "piece")
+    insert = F.col("operation") == "INSERT"
+    body = t.dedent_to(F.col("content"), F.coalesce("indent", F.lit(0)))
+    is_blank = lambda x: F.regexp_replace(x, r"\s", "") == ""
+    placed = ops.where(insert | (F.col("operation").isin("REPLACE", "DELETE") & F.col("start_line").isNotNull() & F.col("end_line").isNotNull()))
+    listed = placed.groupBy("file_id").agg(F.collect_list(F.struct(F.when(insert, F.col("end_line")).otherwise(F.col("start_line")).alias("at"), "op_ord", "operation", "end_line", body.alias("body"))).alias("ops"))
+    met = files.select("file_id", F.filter(F.split(F.coalesce("source", F.lit("")), KEPT_ENDS, -1), lambda x: x != "").alias("lines")).join(listed, "file_id")
+    # an INSERT without a place goes to the file's end
+    up = F.transform("ops", lambda o: F.struct((-F.coalesce(o["at"], F.size("lines"))).alias("up"), o["op_ord"].alias("op_ord"), o["operation"].alias("operation"), o["end_line"].alias("end_line"), o["body"].alias("body")))
+    met = met.withColumn("ops", F.sort_array(up))
+    each = lambda f: F.transform("ops", f)
+    order = _swept_up(F.transform("lines", is_blank), each(lambda o: -o["up"]), each(lambda o: F.coalesce(o["end_line"], F.lit(0))), each(lambda o: o["operation"]), each(lambda o: is_blank(o["body"])))
+    piece = lambda i: F.when(i > 0, F.get("lines", i - 1)).when(i == 0, "\n").otherwise(F.get("ops", -i - 1)["body"])
+    return met.withColumn("order", order).select("file_id", F.array_join(F.transform("order", piece), "").alias("source"))
 
 
 def splice_blocks(lines: DataFrame, blocks: DataFrame) -> DataFrame:

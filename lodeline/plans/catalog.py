@@ -334,6 +334,35 @@ def _ops(spark, d, operation):
     return f.where(at[2]).select("file_id", F.lit(0).alias("op_ord"), F.lit(operation).alias("operation"), F.lit(at[0]).cast("int").alias("start_line"), F.lit(at[1]).alias("end_line"), F.lit(2).alias("indent"), F.concat(F.lit("new line "), F.col("file_id").cast("string"), F.lit("\n  second\n")).alias("content"))
 
 
+_TURNS = r"""WITH RECURSIVE src AS (SELECT doc_id, replace(text, chr(10), CASE WHEN doc_id % 2 = 0 THEN chr(13) || chr(10) || chr(10) ELSE chr(10) || chr(10) END) AS s FROM documents),
+f AS (SELECT doc_id, p, len(p) AS n FROM (SELECT doc_id, list_filter(regexp_extract_all(s, '[^\n]*\n|[^\n]+$'), lambda x: x <> '') AS p FROM src) WHERE len(p) > 0),
+o AS (SELECT doc_id, k, ['REPLACE', 'DELETE', 'INSERT'][(doc_id + k) % 3 + 1] AS kind, 1 + (doc_id * 7 + k * k * 5) % n AS s, least(n, 1 + (doc_id * 7 + k * k * 5) % n + (doc_id + k) % 4) AS e,
+  CASE WHEN k = 4 THEN chr(10) ELSE '  put ' || k || chr(10) || '    in' || chr(10) END AS body, n FROM f, range(6) AS t(k)),
+w AS (SELECT *, CASE WHEN kind <> 'INSERT' THEN s WHEN k = 5 THEN n ELSE e END AS pos FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC, k) AS turn FROM w),
+q AS (SELECT doc_id, 0::BIGINT AS turn, p FROM f UNION ALL
+  SELECT q.doc_id, r.turn, CASE kind WHEN 'INSERT' THEN list_concat(list_concat(p[1:pos], [chr(10), body]), p[pos + 1:]) WHEN 'REPLACE' THEN list_concat(list_append(p[1:s - 1], body), p[e + 1:])
+    ELSE list_concat(p[1:s - 1], p[e + coalesce(list_position(list_transform(p[e + 1:], lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> ''), true), len(p) + 1):]) END
+  FROM q JOIN r ON r.doc_id = q.doc_id AND r.turn = q.turn + 1)
+SELECT doc_id AS file_id, sha256(array_to_string(p, '')) AS hash, length(array_to_string(p, ''))::BIGINT AS n_chars FROM q WHERE turn = 6"""
+
+
+@query(_TURNS)
+def edits_in_turn(spark, d):
+    """Six operations a document, whose spans overlap, on lines with either end, a blank one behind each."""
+    ends = F.when(F.col("doc_id") % 2 == 0, "\r\n\n").otherwise("\n\n")
+    f = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.replace("text", F.lit("\n"), ends).alias("source"))
+    n = F.regexp_count("source", F.lit(r"[^\n]*\n|[^\n]+$"))
+    rows = f.withColumn("n", n).where("n > 0").select("file_id", "n", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    s = (1 + (F.col("file_id") * 7 + F.col("k") * F.col("k") * 5) % F.col("n")).cast("int")
+    kind = F.element_at(F.array(F.lit("REPLACE"), F.lit("DELETE"), F.lit("INSERT")), ((F.col("file_id") + F.col("k")) % 3 + 1).cast("int"))
+    e = F.least(F.col("n"), s + (F.col("file_id") + F.col("k")) % 4).cast("int")
+    end = F.when(~((kind == "INSERT") & (F.col("k") == 5)), e)
+    content = F.when(F.col("k") == 4, "").otherwise(F.concat(F.lit("put "), F.col("k").cast("string"), F.lit("\n  in\n")))
+    ops = rows.select("file_id", F.col("k").alias("op_ord"), kind.alias("operation"), F.when(kind != "INSERT", s).alias("start_line"), end.alias("end_line"), F.lit(2).alias("indent"), content.alias("content"))
+    return delta.apply_sequential(f, ops).select("file_id", F.sha2("source", 256).alias("hash"), F.length("source").cast("long").alias("n_chars"))
+
+
 def _applied(spark, d, operation):
     ops = _ops(spark, d, operation)
     lines = blocks.line_table(_files(spark, d)).join(ops.select("file_id"), "file_id", "left_semi")

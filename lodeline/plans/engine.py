@@ -107,10 +107,7 @@ class Engine:
         checked = cut(checked)  # what follows reads it many times
         bad = checked.where("status <> 'OK'").groupBy("run_id").agg(F.min("status").alias("failed"))
         good = checked.join(bad, "run_id", "left_anti")
-        tangled = delta.overlapping(good)
-        simple = good.join(tangled, "file_id", "left_anti")
-        changed = delta.apply_lines(delta.pieces(numbered.join(simple.select("file_id").distinct(), "file_id", "left_semi")), simple)
-        changed = changed.unionByName(delta.apply_sequential(numbered.join(tangled, "file_id", "left_semi").select("file_id", "source"), good))
+        changed = delta.apply_sequential(numbered.select("file_id", "source"), good)
         self.on_step("APPLY", "rewriting files")
         sweeps = cut(delta.rename_sweep(numbered.select("file_id", "source"), good))
         changed = delta.swept(cut(changed), sweeps)

@@ -71,6 +71,21 @@ def test_overlapping_operations_in_turn(spark):
     assert delta.apply_sequential(f, o.limit(0)).count() == 0
 
 
+def test_a_thousand_operations_in_one_file(spark):
+    rng = random.Random(5)
+    source = "".join(rng.choice(["a", "  b", "", " "]) + rng.choice(["\n", "\r\n"]) for _ in range(400)) + "end"
+    ops = []
+    for k in range(1000):
+        kind, at = rng.choice(["REPLACE", "DELETE", "INSERT"]), rng.randint(1, 401)
+        end = min(401, at + rng.randint(0, 5))
+        ops.append((1, k, kind, None if kind == "INSERT" else at, rng.choice([end, None]) if kind == "INSERT" else end, rng.choice([0, 2]), rng.choice(["put %d\n" % k, "a\n  b", "", None])))
+    f = spark.createDataFrame([(1, source), (2, None), (3, "kept\n")], "file_id long, source string")
+    o = spark.createDataFrame([*ops, (2, 0, "INSERT", None, None, 0, "x"), (2, 1, "DELETE", None, 1, 0, None), (9, 0, "DELETE", 1, 1, 0, None)], "file_id long, op_ord int, operation string, start_line int, end_line int, indent int, content string")
+    keys = ("op_ord", "operation", "start_line", "end_line", "indent", "content")
+    want = in_turn(source, [dict(zip(keys, [*x[1:-1], x[-1] or ""])) for x in ops])
+    assert {r["file_id"]: r["source"] for r in delta.apply_sequential(f, o).collect()} == {1: want, 2: "\nx\n"}
+
+
 def test_replace_with_same_text_is_identity(spark):
     f = spark.createDataFrame([(1, "def f():\n    return 1\n\n\ndef g():\n    return 2\n")], "file_id long, source string")
     o = spark.createDataFrame([(1, 0, "REPLACE", 1, 2, 0, "def f():\n    return 1\n")], "file_id long, op_ord int, operation string, start_line int, end_line int, indent int, content string")
