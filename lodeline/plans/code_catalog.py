@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -471,6 +472,29 @@ def parsed_frames(spark, d):
     return got.select("conv_id", F.from_json("body", "turn long")["turn"].alias("turn"), "body")
 
 
+@query("""SELECT conv_id, pos::INT AS pos, '{"type":"' || CASE WHEN last THEN 'done' ELSE 'step' END || '","tag":"é' || turn || '"}' AS body, CASE WHEN last THEN pos ELSE pos + 1 END AS n_steps,
+  'é' || CASE WHEN last THEN lag(turn) OVER (PARTITION BY conv_id ORDER BY pos) ELSE turn END AS last_tag, last AS done
+FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS last FROM conversations)""")
+def frames_from_stream(spark, d):
+    """Each conversation's events as bytes in chunks of 17, which come in three batches and in no order."""
+    at, c = _scratch(spark), table(spark, d, "conversations").select("conv_id", "turn")
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    events = c.withColumn("type", F.when(n == 1, "done").otherwise("step")).withColumn("frame", F.concat(F.lit("data: "), F.to_json(F.struct("type", F.concat(F.lit("é"), F.col("turn").cast("string")).alias("tag"))), F.lit("\n\n")))
+    bodies = events.groupBy("conv_id").agg(F.encode(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "frame"))), lambda x: x["frame"]), ""), "utf-8").alias("bytes"))
+    seq = F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("bytes") / 17).cast("int"))).alias("seq")
+    chunks = bodies.select("conv_id", "bytes", seq).select("conv_id", "seq", F.substring("bytes", F.col("seq") * 17 + 1, F.lit(17)).alias("chunk"))
+    chunks.repartition(3, "seq").write.parquet(f"{at}/chunks")
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, streams.ROCKS)
+    try:
+        frames = streams.frames_stream(streams.read_events(spark, f"{at}/chunks"), "conv_id")
+        run = frames.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/frames")
+    finally:
+        spark.conf.set(key, before)
+    run.awaitTermination()
+    return spark.read.schema(frames.schema).parquet(f"{at}/frames")
+
+
 @query("""SELECT item_id AS request_id, CASE WHEN item_id % 2 = 0 THEN 'answer ' || item_id END AS answer FROM benchmark""")
 def answered_prompts(spark, d):
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), "text")

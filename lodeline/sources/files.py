@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +66,8 @@ def _read(spark: SparkSession, fs, path) -> bytes:
 def hidden_files(spark: SparkSession, root: str, most: int = HIDDEN_BYTES) -> list[tuple[str, bytes, int, int]]:
     """(path, content, size, mtime_ms) of files whose names start with "_" or ".", which Spark's readers leave out.
 
-    They are read by the driver; more than `most` bytes of them is an error rather than a silent cut.
+    They are read by the driver; more than `most` bytes of them is an error rather than a silent cut. Scans that know how to
+    open the store on workers don't come here.
     """
     fs, path = _file_system(spark, root)
     base, found, total = fs.resolvePath(path).toUri().getPath().rstrip("/"), [], 0
@@ -76,18 +80,22 @@ def hidden_files(spark: SparkSession, root: str, most: int = HIDDEN_BYTES) -> li
             continue
         total += status.getLen()
         if total > most:
-            raise ValueError(f"more than {most} bytes of files with hidden names below {root}")
+            raise ValueError(f"more than {most} bytes of files with hidden names below {root}: give scan a function that opens this store on workers")
         found.append((at, _read(spark, fs, status.getPath()), status.getLen(), status.getModificationTime()))
     return found
 
 
-def ignored_names(spark: SparkSession, root: str, ignore_file: str = IGNORE_FILE) -> DataFrame:
-    """(name): the built-in names and the lines of the project's ignore file, blank and # lines skipped."""
+def ignore_rules(spark: SparkSession, root: str, ignore_file: str = IGNORE_FILE) -> list[str]:
+    """The built-in names and the lines of the project's ignore file, blank and # lines skipped."""
     fs, _ = _file_system(spark, root)
     own = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{ignore_file}")
     lines = _read(spark, fs, own).decode(errors="replace").splitlines() if fs.exists(own) else []
-    names = {*IGNORED, *(x.strip() for x in lines if x.strip() and not x.strip().startswith("#"))}
-    return spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    return sorted({*IGNORED, *(x.strip() for x in lines if x.strip() and not x.strip().startswith("#"))})
+
+
+def ignored_names(spark: SparkSession, root: str, ignore_file: str = IGNORE_FILE) -> DataFrame:
+    """(name): `ignore_rules` as a table."""
+    return spark.createDataFrame([(n,) for n in ignore_rules(spark, root, ignore_file)], "name string")
 
 
 def keep_unignored(files: DataFrame, ignored: DataFrame | None = None, path: str = "path") -> DataFrame:
@@ -100,8 +108,107 @@ def keep_unignored(files: DataFrame, ignored: DataFrame | None = None, path: str
     return plain.crossJoin(F.broadcast(names)).where(~F.arrays_overlap(folders, F.col("__names"))).drop("__names")
 
 
-def scan(spark: SparkSession, root: str, ignore_file: str = IGNORE_FILE) -> DataFrame:
-    """(path, source, size, mtime, language, has_symbols) of all files below root that are UTF-8; paths are relative to root."""
+#: What opens a store on a worker: a pyarrow file system and the folder in it that stands for the root.
+Opened = Callable[[], tuple]
+
+#: Entries a batch of a listing, and bytes a batch of contents and a partition of files.
+BATCH_ENTRIES, BATCH_BYTES, PARTITION_BYTES = 10_000, 16 << 20, 128 << 20
+
+
+def _local(spark: SparkSession, root: str) -> Opened | None:
+    """What opens a root in a file system that workers see under the same path; None for stores that only Spark reads."""
+    fs, path = _file_system(spark, root)
+    if fs.getUri().getScheme() != "file":
+        return None
+    base = fs.resolvePath(path).toUri().getPath()
+
+    def opened():
+        from pyarrow.fs import LocalFileSystem
+
+        return LocalFileSystem(), base
+
+    return opened
+
+
+def walk(spark: SparkSession, opened: Opened, ignored: list[str]) -> DataFrame:
+    """(path, size, mtime_us) of all files below a root, hidden names too, listed by the workers, a level of folders a round.
+
+    Folders that are ignored or start with a dot are not entered. A folder that is gone when its turn comes has no files. A
+    link counts as what it leads to, so a link to a folder above it ends where the system gives up on it. Each round is a
+    written table; the driver sees only whether there is a further level.
+    """
+    skipped = frozenset(ignored)
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSelector, FileType
+
+        system, base = opened()
+        base, rows = base.rstrip("/"), []
+        for folder in (x for f in frames for x in f["path"]):
+            for e in system.get_file_info(FileSelector(f"{base}/{folder}" if folder else base or "/", allow_not_found=True)):
+                at = f"{folder}/{e.base_name}" if folder else e.base_name
+                if e.type == FileType.File:
+                    rows.append((at, True, e.size, (e.mtime_ns or 0) // 1000))
+                elif e.type == FileType.Directory and not e.base_name.startswith(".") and e.base_name not in skipped:
+                    rows.append((at, False, 0, 0))
+                if len(rows) >= BATCH_ENTRIES:
+                    yield pd.DataFrame(rows, columns=["path", "is_file", "size", "mtime_us"])
+                    rows = []
+        yield pd.DataFrame(rows, columns=["path", "is_file", "size", "mtime_us"])
+
+    folders, found = spark.createDataFrame([("",)], "path string"), None
+    while found is None or not folders.isEmpty():
+        wide = folders if found is None else folders.repartition(spark.sparkContext.defaultParallelism, "path")
+        level = cut(wide.mapInPandas(listed, "path string, is_file boolean, size long, mtime_us long"))
+        here = level.where("is_file").drop("is_file")
+        found, folders = here if found is None else found.union(here), level.where("not is_file").select("path")
+    return found
+
+
+def contents(entries: DataFrame, opened: Opened) -> DataFrame:
+    """(path, content, size, mtime) of entries(path, size, mtime_us), read by the workers; a file that is gone by then has no row.
+
+    Files are dealt by path to partitions whose number follows their bytes; batches leave by bytes, so a task holds some
+    16 MB, or one larger file.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = opened()
+        base, rows, held = base.rstrip("/"), [], 0
+        columns = ["path", "content", "size", "mtime_us"]
+        for f in frames:
+            for path, size, mtime in zip(f["path"], f["size"], f["mtime_us"]):
+                try:
+                    with system.open_input_stream(f"{base}/{path}") as stream:
+                        rows.append((path, stream.read(), size, mtime))
+                except FileNotFoundError:
+                    continue
+                held += len(rows[-1][1])
+                if held >= BATCH_BYTES or len(rows) >= BATCH_ENTRIES:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=columns)
+
+    total = entries.agg(F.sum("size")).first()[0] or 0
+    parts = max(entries.sparkSession.sparkContext.defaultParallelism, -(-total // PARTITION_BYTES))
+    got = entries.repartition(parts, "path").mapInPandas(read, "path string, content binary, size long, mtime_us long")
+    return got.select("path", "content", "size", F.timestamp_micros("mtime_us").alias("mtime"))
+
+
+def scan(spark: SparkSession, root: str, ignore_file: str = IGNORE_FILE, opened: Opened | None = None) -> DataFrame:
+    """(path, source, size, mtime, language, has_symbols) of all files below root that are UTF-8; paths are relative to root.
+
+    Folders that workers see under root's own path are listed and read by the workers, and so is any store that `opened` opens
+    there. Other stores go through Spark's reader of binary files, and files with hidden names there through `hidden_files`.
+    """
+    opened, rules = opened or _local(spark, root), ignore_rules(spark, root, ignore_file)
+    kept = contents(walk(spark, opened, rules), opened) if opened else _spark_files(spark, root, rules)
+    texts = kept.where(F.is_valid_utf8(F.col("content").cast("string")))
+    return detect_language(texts.select("path", F.col("content").cast("string").alias("source"), "size", "mtime"))
+
+
+def _spark_files(spark: SparkSession, root: str, rules: list[str]) -> DataFrame:
+    """(path, content, size, mtime) through Spark's reader of binary files."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     fs, at = _file_system(spark, root)
     base = len(fs.resolvePath(at).toUri().getPath().rstrip("/")) + 2
@@ -109,8 +216,7 @@ def scan(spark: SparkSession, root: str, ignore_file: str = IGNORE_FILE) -> Data
     hidden = [(p, bytearray(c), n, t / 1000) for p, c, n, t in hidden_files(spark, root)]
     if hidden:
         files = files.union(spark.createDataFrame(hidden, "path string, content binary, size long, t double").select("path", "content", "size", F.timestamp_seconds("t")))
-    kept = keep_unignored(files, ignored_names(spark, root, ignore_file)).where(F.is_valid_utf8(F.col("content").cast("string")))
-    return detect_language(kept.select("path", F.col("content").cast("string").alias("source"), "size", "mtime"))
+    return keep_unignored(files, spark.createDataFrame([(n,) for n in rules], "name string"))
 
 
 def listing(files: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 # Fixed value: seconds that a run waits for its confirmation.
 CONFIRMATION_TTL = 86_400
@@ -33,6 +35,82 @@ def parse_frames(text: DataFrame) -> DataFrame:
     return text.select(*[c for c in text.columns if c != "buffer"], F.posexplode(frames).alias("pos", "frame")).withColumn("body", F.substr("frame", F.lit(7))).drop("frame")
 
 
+#: The state store that streams with several states a key need; set it as spark.sql.streaming.stateStore.providerClass.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_FRAMES = "pos int, body string, n_steps long, last_tag string, done boolean"
+
+
+class _Frames(StatefulProcessor):
+    """A run's unfinished frame, its open step, and the chunks that came before their turn."""
+
+    def __init__(self, key: str, silence_ms: int | None):
+        self.key, self.silence_ms = key, silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = {} if self.silence_ms is None else {"ttlDurationMs": self.silence_ms}
+        self.run = handle.getValueState("run", "next_seq long, tail binary, pos int, n_steps long, last_tag string, done boolean", **ttl)
+        self.early = handle.getMapState("early", "seq long", "chunk binary", **ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
+        turn, tail, pos, n, tag, done = self.run.get() if self.run.exists() else (0, b"", 0, 0, None, False)
+        out, fresh = [], {}
+        for f in rows:
+            for seq, chunk in zip(f["seq"], f["chunk"]):
+                if seq >= turn:  # a chunk that was read before came twice
+                    fresh.setdefault(int(seq), bytes(chunk))
+        while turn in fresh or self.early.containsKey((turn,)):
+            if turn in fresh:
+                chunk = fresh.pop(turn)
+            else:
+                chunk = bytes(self.early.getValue((turn,))[0])
+            if self.early.containsKey((turn,)):
+                self.early.removeKey((turn,))
+            turn += 1
+            *whole, tail = (bytes(tail) + chunk).split(b"\n\n")
+            for frame in whole:
+                if not frame.startswith(b"data: "):
+                    continue
+                body = frame[6:].decode(errors="replace")
+                kind, name = _kind(body)
+                if kind == "step":
+                    n, tag = n + 1, name
+                done = done or kind in ("done", "error")
+                out.append((*key, pos, body, n, tag, done))
+                pos += 1
+        for seq, chunk in fresh.items():
+            self.early.updateValue((seq,), (chunk,))
+        self.run.update((turn, bytes(tail), pos, n, tag, done))
+        yield pd.DataFrame(out, columns=[self.key, *(c.split()[0] for c in _FRAMES.split(", "))])
+
+    def close(self) -> None:
+        pass
+
+
+def _kind(body: str) -> tuple[str | None, str | None]:
+    """The type and tag of an event; neither for what is no JSON object."""
+    try:
+        event = json.loads(body)
+    except ValueError:
+        return None, None
+    if not isinstance(event, dict):
+        return None, None
+    return event.get("type"), None if event.get("tag") is None else str(event["tag"])
+
+
+def frames_stream(chunks: DataFrame, key: str = "run_id", silence_ms: int | None = None) -> DataFrame:
+    """(key, pos, body, n_steps, last_tag, done): the frames of a stream of chunks(key, seq, chunk), bytes cut anywhere.
+
+    A run's chunks are numbered from 0; one that comes early waits for those before it, one that comes twice counts once. A
+    frame leaves when its end has come, with the steps up to it, the last one's tag and whether the run is done. silence_ms: a
+    run's state goes that long after its last chunk; such a stream looks for it without end, so the trigger availableNow
+    does not stop it. Null numbers and chunks are left out; a body that is no JSON object is
+    a frame and no step. The session's state store has to be `ROCKS`.
+    """
+    some = chunks.where("seq is not null and chunk is not null").select(key, F.col("seq").cast("long").alias("seq"), F.col("chunk").cast("binary").alias("chunk"))
+    kind = dict(some.dtypes)[key]
+    return some.groupBy(key).transformWithStateInPandas(_Frames(key, silence_ms), f"`{key}` {kind}, {_FRAMES}", "Append", "None" if silence_ms is None else "ProcessingTime")
+
+
 def steps(events: DataFrame) -> DataFrame:
     """(run_id, n_steps, last_tag, done) of events(run_id, seq, type, tag): the last step of a run that is not done is still going."""
     is_step = F.col("type") == "step"

@@ -1,5 +1,9 @@
+import json
+import random
+import time
 from datetime import datetime, timedelta
 
+from pyarrow.fs import LocalFileSystem
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -69,6 +73,16 @@ def test_scan_and_listing(spark, tmp_path):
         (tmp_path / name).write_bytes(b"\xff\xfe\x00" if text is None else text.encode())
     got = {r["path"]: r["language"] for r in files.scan(spark, str(tmp_path)).collect()}
     assert got == {"a.py": "python", "sub/b.md": "markdown", "sub/__init__.py": "python", ".engineignore": None}
+    # stores that only Spark reads, and stores that a function opens
+    rules = files.ignore_rules(spark, str(tmp_path))
+    whole = {(r["path"], bytes(r["content"]), r["size"], r["mtime"].replace(microsecond=0)) for r in files._spark_files(spark, str(tmp_path), rules).collect()}
+    opened = lambda: (LocalFileSystem(), str(tmp_path))
+    walked = files.walk(spark, opened, rules)
+    assert whole == {(r["path"], bytes(r["content"]), r["size"], r["mtime"].replace(microsecond=0)) for r in files.contents(walked, opened).collect()} and len(whole) == 5
+    (tmp_path / "sub/b.md").unlink()
+    assert {r["path"] for r in files.contents(walked, opened).collect()} == {w[0] for w in whole} - {"sub/b.md"}
+    (tmp_path / "empty").mkdir()
+    assert files.scan(spark, str(tmp_path / "empty")).count() == 0
     rows = files.listing(spark.createDataFrame([("b/x.py",), ("A.py",), ("b/c/y.py",), ("p.egg-info",)], "path string")).where("parent = ''").collect()
     assert [(r["name"], r["is_file"]) for r in rows] == [("b", False), ("A.py", True)]
     store = files.Store(spark, str(tmp_path / "store"))
@@ -180,6 +194,64 @@ def test_steps_are_told(spark):
     e.close()
 
 
+def test_frames_stream_by_any_cut(spark, tmp_path):
+    """Bytes cut anywhere, chunks in any order over several batches and some twice, give the frames of the whole buffer."""
+    rng, whole, batches = random.Random(3), {}, [[], [], []]
+    for run in range(6):
+        tags = [rng.choice(["é", "b c", None]) for _ in range(rng.randint(1, 6))]
+        bodies = [json.dumps({"type": "step", "tag": t}, ensure_ascii=False) for t in tags] + ["no json", "[1]"][: run % 3] + ['{"type": "done"}'] * (run % 2)
+        whole[run] = "".join(f"data: {b}\n\n" for b in bodies) + ": comment\n\n" * (run % 2) + 'data: {"type": "st'
+        raw, cuts = whole[run].encode(), [0]
+        while cuts[-1] < len(raw):
+            cuts.append(min(len(raw), cuts[-1] + rng.randint(1, 9)))
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            for batch in {rng.randrange(3), rng.randrange(3)} if i % 4 == 0 else {rng.randrange(3)}:
+                batches[batch].append((run, i, raw[a:b]))
+    for rows in [*batches, [(None, 0, b"data: x\n\n"), (1, None, b"y"), (2, 10_000, None)]]:
+        rng.shuffle(rows)
+        spark.createDataFrame(rows, "run_id long, seq long, chunk binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKS)
+    try:
+        frames = streams.frames_stream(streams.read_events(spark, str(tmp_path / "in")))
+        frames.writeStream.format("memory").queryName("frames_by_any_cut").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    rows = spark.table("frames_by_any_cut").collect()
+    assert [r["body"] for r in rows if r["run_id"] is None] == ["x"]
+    for run, text in whole.items():
+        got = sorted((r for r in rows if r["run_id"] == run), key=lambda r: r["pos"])
+        want = streams.parse_frames(spark.createDataFrame([(text,)], "buffer string")).orderBy("pos").collect()
+        assert [r["body"] for r in got] == [r["body"] for r in want]
+        read = [json.loads(r["body"]) if r["body"].startswith("{") else {} for r in want]
+        taken = [x.get("tag") for x in read if x.get("type") == "step"]
+        assert (got[-1]["n_steps"], got[-1]["last_tag"], got[-1]["done"]) == (len(taken), taken[-1], bool(run % 2))
+
+
+def test_a_silent_run_is_forgotten(spark, tmp_path):
+    def put(body):
+        spark.createDataFrame([(1, 0, body)], "run_id long, seq long, chunk binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    put(b"data: a\n\ndata: unfi")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKS)
+    try:
+        frames = streams.frames_stream(streams.read_events(spark, str(tmp_path / "in")), silence_ms=1000)
+        run = frames.writeStream.format("memory").queryName("frames_of_silent_runs").option("checkpointLocation", str(tmp_path / "state")).start()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    try:
+        for want in (["a"], ["a", "b"]):
+            until = time.time() + 40
+            while len(got := [r["body"] for r in spark.table("frames_of_silent_runs").collect()]) < len(want) and time.time() < until:
+                time.sleep(0.5)
+            assert got == want
+            time.sleep(2)
+            put(b"data: b\n\n")  # numbered from 0 again: only a run that was forgotten takes it
+    finally:
+        run.stop()
+
+
 def test_commit_sink(spark, tmp_path):
     write = streams.commit_sink(str(tmp_path / "versions"))
     batch = lambda *ids: spark.createDataFrame([(i, "accepted" if i != "no" else "rejected", datetime(2026, 1, 1)) for i in ids], "run_id string, outcome string, resolved_at timestamp")
