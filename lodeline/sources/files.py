@@ -253,13 +253,14 @@ class Store:
         self.spark, self.location = spark, location.rstrip("/")
 
     def put(self, objects: DataFrame, name: str) -> None:
-        """Writes objects(key, body) as one version of the collection `name`; readers see the last write of a key."""
+        """Writes objects(key, body) as one version of the collection `name`; readers see the last write of a key, of one write the greatest body."""
         objects.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(f"{self.location}/{name}")
 
     def all(self, name: str) -> DataFrame:
         from lodeline.operators.versions import latest
 
-        return latest(self.spark.read.parquet(f"{self.location}/{name}"), "key", "written_at").select("key", "body")
+        rows = self.spark.read.parquet(f"{self.location}/{name}").withColumn("order", F.struct("written_at", "body"))
+        return latest(rows, "key", "order").select("key", "body")
 
     def get(self, name: str, key: str) -> DataFrame:
         return self.all(name).where(F.col("key") == key)

@@ -184,19 +184,28 @@ def confirmations_stream(events: DataFrame, ttl: int | None = CONFIRMATION_TTL,
 
 
 def commit_sink(location: str):
-    """A foreachBatch writer that appends accepted runs as versions; one writer, numbered after the versions that are there."""
+    """A foreachBatch writer that appends accepted runs as versions; one writer, numbered after the versions that are there.
+
+    Each batch leaves the last number behind in `<location>.heads`, where the next one takes it up, so a batch reads no
+    versions; only where the batch before left none are all versions looked through. A batch that runs again replaces its own.
+    """
     from lodeline.operators import versions
+    from lodeline.sources.files import available
+
+    at = location.rstrip("/")
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         fresh = batch.where("outcome = 'accepted'").select(F.lit("default").alias("project_id"), F.col("resolved_at").alias("created_at"), F.col("run_id").alias("commit_id"), F.lit(epoch).alias("epoch"))
-        try:
-            known = spark.read.parquet(location).where(F.col("epoch") < epoch)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
-        start = versions.head(known) if known is not None else None
-        versions.chain(fresh, start).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(location)
+        start = None
+        if available(spark, f"{at}.heads/epoch={epoch - 1}"):
+            start = spark.read.schema("project_id string, head int").parquet(f"{at}.heads/epoch={epoch - 1}")
+        elif available(spark, at):
+            start = versions.head(spark.read.schema("project_id string, version_n int, epoch int").parquet(at).where(F.col("epoch") < epoch))
+        versions.chain(fresh, start).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(at)
+        heads = spark.createDataFrame([], "project_id string, version_n int") if start is None else start.select("project_id", F.col("head").alias("version_n"))
+        if available(spark, f"{at}/epoch={epoch}"):
+            heads = heads.union(spark.read.parquet(f"{at}/epoch={epoch}").select("project_id", "version_n"))
+        versions.head(heads).coalesce(1).write.mode("overwrite").parquet(f"{at}.heads/epoch={epoch}")
 
     return write

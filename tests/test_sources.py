@@ -86,7 +86,8 @@ def test_scan_and_listing(spark, tmp_path):
     rows = files.listing(spark.createDataFrame([("b/x.py",), ("A.py",), ("b/c/y.py",), ("p.egg-info",)], "path string")).where("parent = ''").collect()
     assert [(r["name"], r["is_file"]) for r in rows] == [("b", False), ("A.py", True)]
     store = files.Store(spark, str(tmp_path / "store"))
-    store.put(spark.createDataFrame([("k/1", "a"), ("k/2", "b")], "key string, body string"), "t")
+    store.put(spark.createDataFrame([("k/1", "a"), ("k/2", "b"), ("k/1", "A")], "key string, body string"), "t")
+    assert store.get("t", "k/1").first()["body"] == "a"
     store.put(spark.createDataFrame([("k/1", "c")], "key string, body string"), "t")
     assert store.get("t", "k/1").first()["body"] == "c" and store.exists("t", "k/2") and not store.exists("t", "z") and store.list("t", "k/").count() == 2
 
@@ -260,3 +261,10 @@ def test_commit_sink(spark, tmp_path):
     write(batch("c"), 1)  # an epoch that is written again is replaced
     got = spark.read.parquet(str(tmp_path / "versions")).orderBy("version_n").collect()
     assert [(r["commit_id"], r["version_n"], r["parent_n"]) for r in got] == [("a", 1, None), ("b", 2, 1), ("c", 3, 2)]
+    write(batch("no"), 2)  # a batch without versions hands the number on
+    write(batch("d"), 3)
+    write(batch("e"), 7)  # the batch before left no number
+    write(batch("d"), 3)
+    got = spark.read.parquet(str(tmp_path / "versions")).orderBy("version_n").collect()
+    assert [(r["commit_id"], r["version_n"]) for r in got] == [("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5)]
+    assert [r["head"] for r in spark.read.parquet(str(tmp_path / "versions.heads/epoch=7")).collect()] == [5]
