@@ -253,6 +253,22 @@ def find_symbol(wanted: DataFrame, symbols: DataFrame, lines: Column | None = No
     return seen.groupBy("key").agg(status.alias("status"), F.max(F.when(hit, F.col("symbol_id"))).alias("symbol_id"))
 
 
+def backed_pairs(requests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(request_id, symbol_id): all pairs that locate_candidates may count, and few others.
+
+    A pair counts by a name or class that stands in the request, by a word of the doc line, or by two words of the name; of
+    two shared words one is not the name's most common word, so that one meets nobody.
+    """
+    tagged = lambda words, token: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(token).alias("token")))
+    told = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    tokens = requests.select("request_id", F.explode(F.concat(tagged(F.array_distinct(told), True), tagged(t.words(F.col("text")), False))).alias("q")).select("request_id", "q.*")
+    whole = symbols.select("symbol_id", F.explode(F.concat(tagged(F.array_distinct(F.array(F.lower("name"), F.lower(F.coalesce("parent_class", F.lit(""))))), True), tagged(t.words(F.col("docstring_first_line")), False))).alias("o")).select("symbol_id", "o.*")
+    words = symbols.select("symbol_id", F.explode(t.words(F.col("name"))).alias("word"))
+    held = words.join(words.groupBy("word").agg(F.count("*").alias("held")), "word").groupBy("symbol_id").agg(F.array_sort(F.collect_set(F.struct("held", "word"))).alias("h")).where("size(h) > 1")
+    parts = held.select("symbol_id", F.explode(F.slice("h", F.lit(1), F.size("h") - 1)).alias("o")).select("symbol_id", "o.word", F.lit(False).alias("token"))
+    return whole.unionByName(parts).join(tokens, ["word", "token"]).select("request_id", "symbol_id").distinct()
+
+
 def locate_candidates(requests: DataFrame, symbols: DataFrame, calls: DataFrame | None = None, vectors: DataFrame | None = None, k: int = 2, least: int = 1) -> DataFrame:
     """(request_id, symbol_id, score, rank): the best symbols of one file, one for each name.
 
@@ -261,9 +277,7 @@ def locate_candidates(requests: DataFrame, symbols: DataFrame, calls: DataFrame
     with the highest score wins, then the only one with the most callers, then the nearest vector, then the first.
     """
     asked = requests.select("request_id", "text", t.words(F.col("text")).alias("rw"))
-    pairs = symbols.select("symbol_id", F.explode(F.array_distinct(F.concat(t.words(F.col("name")), t.words(F.col("docstring_first_line")), F.array(F.lower("name"), F.lower(F.coalesce("parent_class", F.lit(""))))))).alias("word"))
-    tokens = requests.select("request_id", F.explode(F.array_distinct(F.concat(t.alnum(F.col("text")), F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))).alias("word"))
-    met = pairs.join(tokens, "word").select("request_id", "symbol_id").distinct().join(asked, "request_id").join(symbols.select("symbol_id", "ordinal", "name", "parent_class", "docstring_first_line"), "symbol_id")
+    met = backed_pairs(requests, symbols).join(asked, "request_id").join(symbols.select("symbol_id", "ordinal", "name", "parent_class", "docstring_first_line"), "symbol_id")
     overlap = F.size(F.array_intersect("rw", t.words(F.col("name"))))
     doc = F.size(F.array_intersect("rw", t.words(F.col("docstring_first_line"))))
     literal, in_class = t.literal_hit(F.col("name"), F.col("text")), F.coalesce(t.literal_hit(F.col("parent_class"), F.col("text")), F.lit(False))
