@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as t
-from lodeline.operators import blocks, retrieval, targets
+from lodeline.operators import blocks, graph, retrieval, targets
 
 
 def phrases(rng, n, most):
@@ -60,3 +61,17 @@ def test_single_file_candidates_meet_by_what_counts(spark):
     many = spark.range(200).select(F.col("id").alias("symbol_id"), F.concat(F.lit("helper_"), "id").alias("name"), F.lit(None).cast("string").alias("parent_class"), F.lit(None).cast("string").alias("docstring_first_line"))
     said = spark.range(200).select(F.col("id").alias("request_id"), F.concat(F.lit("change helper_"), "id", F.lit(" now")).alias("text"))
     assert targets.backed_pairs(said, many).count() == 200
+
+
+def test_best_ranks_leave_the_task(spark):
+    """With k only the best rows come back; they are those of all rows, ties by ordinal."""
+    rng = random.Random(8)
+    nodes = spark.createDataFrame([(i, rng.randint(0, 9)) for i in range(60)], "node long, ordinal int")
+    edges = spark.createDataFrame([(rng.randint(0, 59), rng.randint(0, 20), 1.0) for _ in range(90)], "src long, dst long, weight double")
+    personal = spark.createDataFrame([(r, rng.randint(0, 59)) for r in range(5) for _ in range(2)], "request_id long, node long").distinct()
+    asked = spark.range(6).select(F.col("id").alias("request_id"))
+    every = graph.pagerank(nodes, edges, personal, asked, iterations=10, tolerance=None).join(nodes, "node").toPandas()
+    got = graph.pagerank(nodes, edges, personal, asked, iterations=10, tolerance=None, k=7).toPandas()
+    best = every.assign(score=every["rank"].round(9)).sort_values(["request_id", "score", "ordinal", "node"], ascending=[True, False, True, True]).groupby("request_id").head(7)
+    assert len(got) == 42 and sorted(zip(got["request_id"], got["node"])) == sorted(zip(best["request_id"], best["node"]))
+    assert graph._best(np.array([0.1, 0.5000000005, 0.500000001, 0.2]), 1).tolist() == [1]  # half up, then the first place
