@@ -236,21 +236,27 @@ def find_symbol(wanted: DataFrame, symbols: DataFrame, lines: Column | None = No
     """wanted(key, file, symbol_type, symbol_name, prefer_line, allow_delegate) with status FOUND, MISSING or AMBIGUOUS and symbol_id.
 
     One symbol of the type and name is it; else the one that starts at prefer_line; else, of two, the one that a trivial
-    module-level delegate forwards to. symbols may carry `lines`, the lines of their file, for that test.
+    module-level delegate forwards to. symbols may carry `lines`, the lines of their file, for that test. A key stands once. Symbols
+    are counted by place before wanted ones meet them, so that many of one name in a file make no pairs.
     """
     has_lines = "lines" in symbols.columns
-    delegate = trivial_delegate(F.col("lines"), F.col("start_line"), F.col("end_line"), F.col("indent"), F.lit(""), F.col("name")) if has_lines else F.lit(False)
-    pool = symbols.select("symbol_id", "file", "symbol_type", F.col("name").alias("symbol_name"), "start_line", "parent_class", delegate.alias("short"), *(["lines", "end_line", "indent"] if has_lines else []))
-    met = wanted.join(pool, ["file", "symbol_type", "symbol_name"], "left")
-    group = W.partitionBy("key")
-    parent = F.max("parent_class").over(group)
-    forwards = trivial_delegate(F.col("lines"), F.col("start_line"), F.col("end_line"), F.col("indent"), parent, F.col("symbol_name")) & F.col("parent_class").isNull() if has_lines else F.lit(False)
-    seen = met.withColumn("n", F.count("symbol_id").over(group)).withColumn("preferred", F.coalesce(F.col("start_line") == F.col("prefer_line"), F.lit(False))).withColumn("forwards", F.coalesce(forwards, F.lit(False)))
-    seen = seen.withColumn("n_preferred", F.sum(F.col("preferred").cast("int")).over(group)).withColumn("n_forwards", F.sum(F.col("forwards").cast("int")).over(group))
-    via = F.col("allow_delegate") & (F.col("n") == 2) & (F.col("n_forwards") == 1)
-    hit = F.when(F.col("n") == 1, True).when(F.col("n_preferred") == 1, F.col("preferred")).when(via, ~F.col("forwards")).otherwise(False)
-    status = F.when(F.max("n") == 0, "MISSING").when(F.max(F.when(hit, 1).otherwise(0)) == 1, "FOUND").otherwise("AMBIGUOUS")
-    return seen.groupBy("key").agg(status.alias("status"), F.max(F.when(hit, F.col("symbol_id"))).alias("symbol_id"))
+    place = ["file", "symbol_type", "symbol_name"]
+    pool = symbols.select("symbol_id", "file", "symbol_type", F.col("name").alias("symbol_name"), "start_line", "parent_class", *(["lines", "end_line", "indent"] if has_lines else []))
+    counted = pool.groupBy(*place).agg(F.count("symbol_id").alias("n"), F.max("symbol_id").alias("only"), F.max("parent_class").alias("parent"))
+    at = pool.groupBy(*place, "start_line").agg(F.count("*").alias("n_preferred"), F.max("symbol_id").alias("preferred"))
+    met = wanted.join(counted, place, "left").join(at.withColumnRenamed("start_line", "prefer_line"), [*place, "prefer_line"], "left")
+    if has_lines:  # of two
+        two = pool.join(counted.where("n = 2").select(*place, "parent"), place)
+        forwards = F.coalesce(trivial_delegate(F.col("lines"), F.col("start_line"), F.col("end_line"), F.col("indent"), F.col("parent"), F.col("symbol_name")) & F.col("parent_class").isNull(), F.lit(False))
+        via = two.groupBy(*place).agg(F.sum(forwards.cast("int")).alias("n_forwards"), F.max(F.when(~forwards, F.col("symbol_id"))).alias("meant"))
+        met = met.join(via.where("n_forwards = 1").select(*place, "meant"), place, "left")
+    else:
+        met = met.withColumn("meant", F.lit(None).cast(symbols.schema["symbol_id"].dataType))
+    n = F.coalesce("n", F.lit(0))
+    hit = F.when(n == 1, F.col("only")).when(F.col("n_preferred") == 1, F.col("preferred")).when(F.col("allow_delegate"), F.col("meant"))
+    found = met.select("key", n.alias("n"), hit.alias("symbol_id")).groupBy("key").agg(F.max("n").alias("n"), F.max("symbol_id").alias("symbol_id"))
+    status = F.when(F.col("n") == 0, "MISSING").when(F.col("symbol_id").isNotNull(), "FOUND").otherwise("AMBIGUOUS")
+    return found.select("key", status.alias("status"), "symbol_id")
 
 
 def backed_pairs(requests: DataFrame, symbols: DataFrame) -> DataFrame:

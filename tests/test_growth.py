@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as t
-from lodeline.operators import graph, retrieval
+from lodeline.operators import graph, retrieval, targets
 
 
 @pytest.mark.parametrize("iterations", [None, 10])
@@ -44,3 +44,29 @@ def test_links_follow_calls(spark):
     symbols = spark.range(600).select(F.col("id").alias("symbol_id"), F.col("id").alias("ordinal"), F.when(F.col("id") < 300, "many").otherwise("caller").alias("name"))
     edges = spark.range(300, 600).select(F.col("id").alias("caller_id"), F.lit("many").alias("callee_name"))
     assert graph.alike(symbols, edges)[2].count() == 1
+
+
+def test_found_symbols_without_pairs(spark):
+    """Random places against the rule; then 30,000 symbols of one place, whose pairs with as many wanted ones would be 900 million."""
+    rng = random.Random(9)
+    lines = ["class Tool:", "    def go(self, x):", "        return x", "def go(x):", "    return Tool.go(x)", "def go(x):", "    return x"]
+    kinds = [(2, 3, 4, "Tool"), (4, 5, 0, None), (6, 7, 0, None)]
+    rows = []
+    for f in range(60):
+        for start, end, indent, parent in rng.choices(kinds, k=rng.randint(0, 3)):
+            rows.append((len(rows), f"f{f}", "function", "go", start, end, indent, parent, lines))
+    symbols = spark.createDataFrame(rows, "symbol_id long, file string, symbol_type string, name string, start_line int, end_line int, indent int, parent_class string, lines array<string>")
+    wanted = [(i, f"f{i % 60}", "function", "go", rng.choice([None, 2, 4, 9]), rng.random() < 0.5) for i in range(240)]
+    want = {}
+    for key, file, _, _, line, may in wanted:
+        own = [r for r in rows if r[1] == file]
+        at = [r for r in own if line is not None and r[4] == line]
+        parent = any(r[7] for r in own)
+        through = [r for r in own if parent and r[7] is None and r[4] == 4]
+        hit = own[0] if len(own) == 1 else at[0] if len(at) == 1 else next(r for r in own if r not in through) if may and len(own) == 2 and len(through) == 1 else None
+        want[key] = ("MISSING" if not own else "FOUND" if hit else "AMBIGUOUS", hit and hit[0])
+    asked = spark.createDataFrame(wanted, "key long, file string, symbol_type string, symbol_name string, prefer_line int, allow_delegate boolean")
+    assert {r["key"]: (r["status"], r["symbol_id"]) for r in targets.find_symbol(asked, symbols).collect()} == want and len({s for s, _ in want.values()}) == 3
+    many = spark.range(30_000).select(F.col("id").alias("symbol_id"), F.lit("f").alias("file"), F.lit("function").alias("symbol_type"), F.lit("go").alias("name"), F.col("id").cast("int").alias("start_line"), F.lit(None).cast("string").alias("parent_class"))
+    asked = many.select(F.col("symbol_id").alias("key"), "file", "symbol_type", F.col("name").alias("symbol_name"), F.when(F.col("symbol_id") % 2 == 0, F.col("start_line")).alias("prefer_line"), F.lit(False).alias("allow_delegate"))
+    assert {(r["status"], r["same"]): r["count"] for r in targets.find_symbol(asked, many).groupBy("status", (F.col("symbol_id") == F.col("key")).alias("same")).count().collect()} == {("FOUND", True): 15_000, ("AMBIGUOUS", None): 15_000}
