@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as t
-from lodeline.operators import graph, retrieval, targets
+from lodeline.operators import graph, retrieval, targets, tree_patterns
 
 
 @pytest.mark.parametrize("iterations", [None, 10])
@@ -70,3 +70,12 @@ def test_found_symbols_without_pairs(spark):
     many = spark.range(30_000).select(F.col("id").alias("symbol_id"), F.lit("f").alias("file"), F.lit("function").alias("symbol_type"), F.lit("go").alias("name"), F.col("id").cast("int").alias("start_line"), F.lit(None).cast("string").alias("parent_class"))
     asked = many.select(F.col("symbol_id").alias("key"), "file", "symbol_type", F.col("name").alias("symbol_name"), F.when(F.col("symbol_id") % 2 == 0, F.col("start_line")).alias("prefer_line"), F.lit(False).alias("allow_delegate"))
     assert {(r["status"], r["same"]): r["count"] for r in targets.find_symbol(asked, many).groupBy("status", (F.col("symbol_id") == F.col("key")).alias("same")).count().collect()} == {("FOUND", True): 15_000, ("AMBIGUOUS", None): 15_000}
+
+
+def test_sources_are_parsed_by_all_tasks(spark):
+    """A table of one partition: its sources are dealt out, and many of them make one batch; nodes are as of each source alone."""
+    sources = [(i, f"def f{i}(x):\n    return g(x, {i})\n" if i % 7 else "def (") for i in range(200)]
+    tree = tree_patterns.nodes(spark.createDataFrame(sources, "source_id long, source string").coalesce(1))
+    got = sorted((r["source_id"], r["pre"], r["kind"], r["text"], r["shape"], r["line"]) for r in tree.collect())
+    assert got == sorted((i, r["pre"], r["kind"], r["text"], r["shape"], r["line"]) for i, s in sources for r in tree_patterns.tree_rows(s))
+    assert tree.select(F.spark_partition_id()).distinct().count() > 1
