@@ -79,3 +79,22 @@ def test_sources_are_parsed_by_all_tasks(spark):
     got = sorted((r["source_id"], r["pre"], r["kind"], r["text"], r["shape"], r["line"]) for r in tree.collect())
     assert got == sorted((i, r["pre"], r["kind"], r["text"], r["shape"], r["line"]) for i, s in sources for r in tree_patterns.tree_rows(s))
     assert tree.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_bm25_scores_stay_where_documents_are(spark, monkeypatch):
+    """Equal to the joined ranking, in small pieces too, with ties, empty and null texts; no posting is shuffled by its symbol."""
+    rng = random.Random(2)
+    words = ["red", "blue", "camelCase", "İx", "the", "a1"] + [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(i, rng.randint(0, 20), "n_" + rng.choice(words), rng.choice(["", None, text(3)]), rng.choice([None, "", text(5), text(40)])) for i in range(200)] + [(200 + i, 5, "same", "", "red blue") for i in range(9)]
+    symbols = spark.createDataFrame(rows, "symbol_id long, ordinal long, name string, docstring_first_line string, source string").repartition(3)
+    asked = spark.createDataFrame([(i, text(rng.randint(1, 6))) for i in range(25)] + [(30, "red blue"), (31, "unknown"), (32, "")], "request_id long, text string")
+    for scored, counted in ((1 << 20, 500_000), (40, 5)):
+        monkeypatch.setattr(retrieval, "_SCORED", scored)
+        monkeypatch.setattr(retrieval, "_COUNTED", counted)
+        for k in (1, 6):
+            got = retrieval.bm25_ranking(asked, symbols, k)
+            want = retrieval.bm25_ranking(asked, symbols, k, stats=retrieval.bm25_stats(symbols))
+            assert [tuple(r) for r in got.orderBy("request_id", "rank").collect()] == [tuple(r) for r in want.orderBy("request_id", "rank").collect()]
+    assert "hashpartitioning(symbol_id" in want._jdf.queryExecution().toString() and "hashpartitioning(symbol_id" not in got._jdf.queryExecution().toString()
+    assert retrieval.bm25_ranking(asked, symbols.limit(0), 3).count() == 0
