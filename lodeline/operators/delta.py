@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -354,15 +355,21 @@ def swept(changed: DataFrame, sweeps: DataFrame) -> DataFrame:
     return changed
 
 
+#: Pairs of texts, and their diffs, that are Python objects at a time.
+_DIFFED = 64
+
+
 def diffs(pairs: DataFrame) -> DataFrame:
     """pairs(file_id, path, before, after) with the unified diff and the change ratio: changed lines over lines before (1 at least)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = [unified_diff(p, a or "", b or "") for p, a, b in zip(f["path"], f["before"], f["after"])]
-            yield pd.DataFrame({"file_id": f["file_id"], "diff": texts, "change_ratio": [change_ratio(d, a or "") for d, a in zip(texts, f["before"])]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for rows in (whole.slice(i, _DIFFED) for i in range(0, whole.num_rows, _DIFFED)):
+                _, paths, before, after = (rows.column(i).to_pylist() for i in range(4))
+                texts = [unified_diff(p, a or "", b or "") for p, a, b in zip(paths, before, after)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string()), pa.array([change_ratio(d, a or "") for d, a in zip(texts, before)], pa.float64())], names=["file_id", "diff", "change_ratio"])
 
-    return pairs.select("file_id", "path", "before", "after").mapInPandas(run, "file_id long, diff string, change_ratio double")
+    return pairs.select(F.col("file_id").cast("long").alias("file_id"), "path", "before", "after").mapInArrow(run, "file_id long, diff string, change_ratio double")
 
 
 def unified_diff(path: str, before: str, after: str) -> str:
