@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as t
-from lodeline.operators import graph, retrieval, targets, tree_patterns
+from lodeline.operators import delta, graph, retrieval, targets, tree_patterns
 
 
 @pytest.mark.parametrize("iterations", [None, 10])
@@ -98,3 +98,18 @@ def test_bm25_scores_stay_where_documents_are(spark, monkeypatch):
             assert [tuple(r) for r in got.orderBy("request_id", "rank").collect()] == [tuple(r) for r in want.orderBy("request_id", "rank").collect()]
     assert "hashpartitioning(symbol_id" in want._jdf.queryExecution().toString() and "hashpartitioning(symbol_id" not in got._jdf.queryExecution().toString()
     assert retrieval.bm25_ranking(asked, symbols.limit(0), 3).count() == 0
+
+
+def test_strips_and_slices(spark, monkeypatch):
+    """Vectors scored a few requests at a time, and diffs made a few pairs at a time, are those of one piece."""
+    rng = random.Random(4)
+    v = spark.createDataFrame([(i, [float(rng.randint(0, 3)) for _ in range(4)]) for i in range(90)], "symbol_id long, embedding array<float>")
+    asked = v.where("symbol_id % 3 = 0").withColumnRenamed("symbol_id", "request_id")
+    ranked = lambda k: sorted(tuple(r) for r in retrieval.vector_ranking(asked, v, k, exclude_self=True).collect())
+    want = {k: ranked(k) for k in (5, None)}
+    monkeypatch.setattr(retrieval, "STRIP", 4)
+    assert {k: ranked(k) for k in want} == want and len(want[None]) == 30 * 89
+    pairs = [(i, f"p{i}", rng.choice([None, "", "a\nb\n", "a\nb"]), rng.choice([None, "", "a\nc\n", "x" * i])) for i in range(50)]
+    monkeypatch.setattr(delta, "_DIFFED", 7)
+    got = {r["file_id"]: (r["diff"], r["change_ratio"]) for r in delta.diffs(spark.createDataFrame(pairs, "file_id long, path string, before string, after string").coalesce(1)).collect()}
+    assert got == {i: (d, delta.change_ratio(d, a or "")) for i, p, a, b in pairs for d in [delta.unified_diff(p, a or "", b or "")]}
