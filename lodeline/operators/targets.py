@@ -27,6 +27,8 @@ CLOSE_MATCHES, CLOSE_RATIO = 3, 0.75
 _COMMON = "etaoinshrdlcumwfgypbvkjxqz"
 #: Names of a block (of words four times as many), and bins of their characters and bigrams.
 _BLOCK, _BINS = 1024, 256
+#: Requests that go to every symbol, as they meet most of many documents by some word anyway.
+FEW = 1024
 LIST_SEPARATOR = r"(?i),|\band\b|&|;"
 _NAME = "[A-Za-z_][A-Za-z0-9_]*"
 RENAME = (
@@ -280,17 +282,28 @@ def locate_candidates(requests: DataFrame, symbols: DataFrame, calls: DataFrame
 
     A symbol counts if its name stands in the request, or if its doc line, two words of its name or its class corroborate it;
     a name that is just the request's opening generic verb needs that corroboration. Of several symbols of one name the one
-    with the highest score wins, then the only one with the most callers, then the nearest vector, then the first.
+    with the highest score wins, then the only one with the most callers, then the nearest vector, then the first. Up to FEW
+    requests go to the symbols, whose words are taken once; more meet them by words (backed_pairs).
     """
-    asked = requests.select("request_id", "text", t.words(F.col("text")).alias("rw"))
-    met = backed_pairs(requests, symbols).join(asked, "request_id").join(symbols.select("symbol_id", "ordinal", "name", "parent_class", "docstring_first_line"), "symbol_id")
-    overlap = F.size(F.array_intersect("rw", t.words(F.col("name"))))
-    doc = F.size(F.array_intersect("rw", t.words(F.col("docstring_first_line"))))
-    literal, in_class = t.literal_hit(F.col("name"), F.col("text")), F.coalesce(t.literal_hit(F.col("parent_class"), F.col("text")), F.lit(False))
-    backed = (doc > 0) | (overlap > 1) | in_class
+    told = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     opening = F.lower(F.regexp_extract(F.trim("text"), r"^(\S+)", 1))
-    verb = (F.lower("name") == opening) & opening.isin(*t.LEADING_VERBS)
+    verb = F.when(opening.isin(*t.LEADING_VERBS), opening)
+    asked = cut(requests.select("request_id", t.words(F.col("text")).alias("rw"), told.alias("told"), F.coalesce(verb, F.lit("")).alias("verb")))
+    known = symbols.select("symbol_id", "ordinal", "name", F.lower("name").alias("low"), F.lower("parent_class").alias("class"), t.words(F.col("name")).alias("nw"), t.words(F.col("docstring_first_line")).alias("dw"))
+    if asked.count() <= FEW:
+        every = asked.agg(F.array_distinct(F.flatten(F.collect_list("rw"))).alias("every"))
+        met = known.crossJoin(F.broadcast(every)).withColumn("dw", F.array_intersect("dw", "every")).drop("every").crossJoin(F.broadcast(asked))
+    else:
+        met = backed_pairs(requests, symbols).join(asked, "request_id").join(known, "symbol_id")
+    overlap, doc = F.size(F.array_intersect("rw", "nw")), F.size(F.array_intersect("rw", "dw"))
+    literal, in_class = F.array_contains("told", F.col("low")), F.coalesce(F.array_contains("told", F.col("class")), F.lit(False))
+    backed = (doc > 0) | (overlap > 1) | in_class
+    verb = (F.col("low") == F.col("verb")) & (F.col("verb") != "")
     scored = met.where((literal | backed) & ~(verb & ~backed)).select("request_id", "symbol_id", "ordinal", "name", (F.when(literal, 5).otherwise(0) + overlap + doc + F.when(in_class, 5).otherwise(0)).cast("double").alias("score")).where(F.col("score") >= least)
+    if calls is None and vectors is None:  # of each name the best, then the first, which is told before anything is shuffled
+        first = scored.groupBy("request_id", "name").agg(F.min(F.struct((-F.col("score")).alias("less"), "ordinal", "symbol_id")).alias("b"))
+        one = first.select("request_id", "b.symbol_id", "b.ordinal", (-F.col("b.less")).alias("score"))
+        return retrieval.top_k(one, k).select("request_id", "symbol_id", "score", "rank")
     scored = scored.join(local_called_by(calls, symbols), "symbol_id", "left") if calls is not None else scored.withColumn("called_by_count", F.lit(None).cast("long"))
     scored = scored.join(vectors.select("request_id", "symbol_id", F.col("score").alias("near")), ["request_id", "symbol_id"], "left") if vectors is not None else scored.withColumn("near", F.lit(None).cast("double"))
     name = W.partitionBy("request_id", "name")

@@ -113,3 +113,21 @@ def test_strips_and_slices(spark, monkeypatch):
     monkeypatch.setattr(delta, "_DIFFED", 7)
     got = {r["file_id"]: (r["diff"], r["change_ratio"]) for r in delta.diffs(spark.createDataFrame(pairs, "file_id long, path string, before string, after string").coalesce(1)).collect()}
     assert got == {i: (d, delta.change_ratio(d, a or "")) for i, p, a, b in pairs for d in [delta.unified_diff(p, a or "", b or "")]}
+
+
+def test_few_requests_go_to_the_symbols(spark, monkeypatch):
+    """The same best symbols whichever way they meet; for few requests neither pairs nor doc lines are shuffled by symbol."""
+    rng = random.Random(7)
+    words = ["head", "tail", "part", "the", "é", "add"] + [f"w{i}" for i in range(12)]
+    phrase = lambda n, by=" ": by.join(rng.choices(words, k=n))
+    rows = [(i, i // 2, phrase(rng.randint(1, 3), "_"), rng.choice([None, "Holder", "w3"]), rng.choice([None, "", phrase(4)])) for i in range(150)]
+    symbols = spark.createDataFrame(rows, "symbol_id long, ordinal long, name string, parent_class string, docstring_first_line string").where("symbol_id % 2 = 0")
+    asked = spark.createDataFrame([(i, rng.choice(["add ", "", "in Holder "]) + phrase(rng.randint(1, 5))) for i in range(40)] + [(99, "")], "request_id long, text string")
+    few = targets.locate_candidates(asked, symbols, k=3)
+    assert "hashpartitioning(symbol_id" not in few._jdf.queryExecution().toString()
+    monkeypatch.setattr(targets, "FEW", 0)
+    many = targets.locate_candidates(asked, symbols, k=3)
+    none = spark.createDataFrame([], "request_id long, symbol_id long, score double")
+    windows = targets.locate_candidates(asked, symbols, vectors=none, k=3)
+    got = sorted(tuple(r) for r in few.collect())
+    assert got == sorted(tuple(r) for r in many.collect()) == sorted(tuple(r) for r in windows.collect()) and len(got) > 60
