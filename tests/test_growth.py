@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as t
-from lodeline.operators import delta, graph, retrieval, targets, tree_patterns
+from lodeline.operators import blocks, delta, graph, retrieval, targets, tree_patterns
 
 
 @pytest.mark.parametrize("iterations", [None, 10])
@@ -131,3 +131,34 @@ def test_few_requests_go_to_the_symbols(spark, monkeypatch):
     windows = targets.locate_candidates(asked, symbols, vectors=none, k=3)
     got = sorted(tuple(r) for r in few.collect())
     assert got == sorted(tuple(r) for r in many.collect()) == sorted(tuple(r) for r in windows.collect()) and len(got) > 60
+
+
+def _met_in_place(df):
+    """Whether the last join is a broadcast one, without being small by chance, and nothing is shuffled behind it."""
+    conf, key = df.sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold"
+    before = conf.get(key)
+    conf.set(key, -1)
+    try:
+        above = df.select("*")._jdf.queryExecution().executedPlan().toString().split("Join", 1)[0]
+    finally:
+        conf.set(key, before)
+    return above.endswith("BroadcastHash") and "Exchange" not in above
+
+
+def test_pairs_of_requests_and_blocks_do_not_move(spark):
+    words = ["alpha", "beta", "gamma", "beta gamma"]
+    rows = [(i, i, f"f{i // 2}", f"{words[i % 4]} {i if i % 3 else ''}", f"alpha holds {words[i % 3]} number{i}", i) for i in range(40)]
+    b = spark.createDataFrame(rows, "symbol_id long, ordinal long, file string, name string, source string, file_id long")
+    said = {1: "move beta gamma 7 along", 2: "alpha number11", 3: "nothing of them", 4: "delta beta"}
+    asked = spark.createDataFrame(list(said.items()), "request_id long, text string")
+    is_in = lambda name, text: f" {name} " in f" {text} "  # noqa: E731  (a name's last blank counts)
+    by_name = {(r, i): len(set(t.split()) & set(n.split())) + 5.0 * bool(is_in(n, t)) for r, t in said.items() for i, _, _, n, _, _ in rows if set(t.split()) & set(n.split())}
+    got = blocks.name_ranking(asked, b, also=["file_id"]).select("request_id", "file_id", "score")
+    assert _met_in_place(got)
+    assert {(x[0], x[1]): x[2] for x in got.collect()} == by_name and got.count() == len(by_name)
+    place = {"move", "along", "beta", "gamma", "alpha", "number11", "nothing", "delta"}
+    by_body = {(r, i): float(len(set(t.split()) & set(s.split()) & place)) for r, t in said.items() for i, _, _, _, s, _ in rows}
+    best = {k: max(by_name.get(k, 0.0), v) for k, v in by_body.items() if max(by_name.get(k, 0.0), v) > 0}
+    got = blocks.locate_blocks(asked, b, also=["file_id"]).select("request_id", "file_id", "score")
+    assert _met_in_place(got)
+    assert {(x[0], x[1]): x[2] for x in got.collect()} == best and got.count() == len(best)
