@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 from lodeline import schemas
 from lodeline.functions import text as t
 from lodeline.operators.targets import find_symbol
+from lodeline.plans.joins import small
 from lodeline.plans.lineage import cut
 from lodeline.sources.code import snippet_name
 
@@ -410,6 +411,14 @@ def orphaned_imports(before: Column, after: Column, rest: Column) -> Column:
 
 
 def cross_file_impact(renames: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(file_id, old_name, caller_id, caller_file): callers in other files of the renamed names of renames(file_id, file, old_name)."""
+    """(file_id, old_name, caller_id, caller_file): callers in other files of the renamed names of renames(file_id, file, old_name).
+
+    Calls meet their callers before the renames, which go to all calls, dealt evenly, if they are few enough: what many renames of
+    a name find does not move.
+    """
+    parts = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    renamed = small(renames.select("file_id", "file", "old_name"))
+    asked = edges.join(small(renamed.select(F.col("old_name").alias("callee_name")).distinct()), "callee_name", "left_semi")
     callers = symbols.select(F.col("symbol_id").alias("caller_id"), F.col("file").alias("caller_file"))
-    return renames.join(edges, renames.old_name == edges.callee_name).join(callers, "caller_id").where("caller_file <> file").select("file_id", "old_name", "caller_id", "caller_file")
+    made = asked.join(callers, "caller_id").repartition(parts)
+    return made.join(renamed, (F.col("old_name") == F.col("callee_name")) & (F.col("caller_file") != F.col("file"))).select("file_id", "old_name", "caller_id", "caller_file")

@@ -162,3 +162,13 @@ def test_pairs_of_requests_and_blocks_do_not_move(spark):
     got = blocks.locate_blocks(asked, b, also=["file_id"]).select("request_id", "file_id", "score")
     assert _met_in_place(got)
     assert {(x[0], x[1]): x[2] for x in got.collect()} == best and got.count() == len(best)
+
+
+def test_callers_of_renamed_names_do_not_move(spark):
+    symbols = spark.createDataFrame([(i, f"f{i}") for i in range(30)], "symbol_id long, file string")
+    edges = spark.createDataFrame([(i, "shared") for i in range(30)] + [(3, "own")], "caller_id long, callee_name string")
+    renames = spark.createDataFrame([(i, f"f{i}", "shared") for i in range(5)] + [(7, "f7", "own"), (8, "f8", "none")], "file_id long, file string, old_name string")
+    got = delta.cross_file_impact(renames, edges, symbols)
+    assert _met_in_place(got)
+    want = {(r, "shared", i, f"f{i}") for r in range(5) for i in range(30) if i != r} | {(7, "own", 3, "f3")}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
