@@ -172,3 +172,19 @@ def test_callers_of_renamed_names_do_not_move(spark):
     assert _met_in_place(got)
     want = {(r, "shared", i, f"f{i}") for r in range(5) for i in range(30) if i != r} | {(7, "own", 3, "f3")}
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_best_symbols_without_all_that_share_a_common_word(spark, monkeypatch):
+    """With k, words of many symbols bring classes; names, doc lines and BM25 rank as over all pairs, and requests of one meaning are one walk."""
+    monkeypatch.setattr(retrieval, "COMMON", 3)
+    rng = random.Random(8)
+    words = ["load", "save", "user", "order", "cache", "x1", "x2", "x3"]
+    rows = [(i, rng.randint(0, 5), "_".join(rng.sample(words, rng.randint(1, 3))), " ".join(rng.sample(words, 2)), " ".join(rng.choices(words[: rng.randint(1, 8)], k=rng.randint(1, 12)))) for i in range(90)]
+    symbols = spark.createDataFrame(rows, "symbol_id long, ordinal int, name string, docstring_first_line string, source string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices([*words, "load_user", rows[i][2]], k=4))) for i in range(25)], "request_id long, text string")
+    for ranking in (retrieval.symbol_ranking, retrieval.bm25_ranking):
+        whole = {tuple(r) for r in ranking(asked, symbols, None).where("rank <= 4").select("request_id", "symbol_id", F.round("score", 6), "rank").collect()}
+        assert {tuple(r) for r in ranking(asked, symbols, 4).select("request_id", "symbol_id", F.round("score", 6), "rank").collect()} == whole
+    held = spark.createDataFrame([(i, w) for i in range(6) for w in ("helper", f"k{i}", "same")], "node long, word string")
+    said = spark.createDataFrame([(i, w) for i in range(6) for w in ("helper", f"k{i}", "same", "gone")] + [(7, "k1"), (7, "k2")], "request_id long, word string")
+    assert {tuple(r) for r in retrieval._telling(said, held).collect()} == {(i, "helper") for i in range(6)} | {(7, "k1"), (7, "k2")}
