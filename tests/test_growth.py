@@ -188,3 +188,17 @@ def test_best_symbols_without_all_that_share_a_common_word(spark, monkeypatch):
     held = spark.createDataFrame([(i, w) for i in range(6) for w in ("helper", f"k{i}", "same")], "node long, word string")
     said = spark.createDataFrame([(i, w) for i in range(6) for w in ("helper", f"k{i}", "same", "gone")] + [(7, "k1"), (7, "k2")], "request_id long, word string")
     assert {tuple(r) for r in retrieval._telling(said, held).collect()} == {(i, "helper") for i in range(6)} | {(7, "k1"), (7, "k2")}
+
+
+def test_stated_steps_take_nodes_with_exits_only(spark, monkeypatch):
+    """Ranks after stated steps equal those in arrays; before the last step no state of a node without an exit is written."""
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(40)], "node string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{(7 * i + j) % 40}", 1.0 + j) for i in range(6) for j in range(5)], "src string, dst string, weight double")
+    named = spark.createDataFrame([(1, "n3"), (1, "n30"), (2, "gone")], "request_id long, node string")
+    asked = spark.createDataFrame([(1,), (2,)], "request_id long")
+    want = {tuple(r) for r in graph.pagerank(nodes, edges, named, asked, iterations=4, tolerance=None).select("request_id", "node", F.round("rank", 10)).collect()}
+    written, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(plain(df)) or written[-1])
+    got = graph.pagerank(nodes, edges, named, asked, iterations=4, tolerance=None, small=0)
+    assert {tuple(r) for r in got.select("request_id", "node", F.round("rank", 10)).collect()} == want and len(want) == 80
+    assert max(df.count() for df in written if "rank" in df.columns) == 12
