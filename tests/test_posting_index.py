@@ -76,3 +76,21 @@ def test_unfinished_generations_are_not_seen(spark, tmp_path):
     index.add(spark.createDataFrame(corpus(5, 20), SYMBOLS))
     (tmp_path / "index/documents/generation=1").mkdir()
     assert index.generations() == [0]
+
+
+def test_best_of_a_range_leave_it(spark, tmp_path, monkeypatch):
+    """Documents in no order in three tasks and several runs; scores that leave the ranges number k a request and range, not a document."""
+    monkeypatch.setattr(posting_index, "HELD", 2000)
+    old = [(i, i // 2, *rest) for i, _, *rest in corpus(6, 1500)]  # two documents a place
+    rows, requests = spark.createDataFrame(old, SYMBOLS).repartition(3, F.hash("symbol_id", F.lit(7))), asks(spark)
+    index = PostingIndex(spark, str(tmp_path / "index"), buckets=4, span=50)
+    index.add(rows)
+    held = index._read("blocks").where("word is not null")
+    assert held.groupBy("word", "part", "run").count().where("count > 1").isEmpty() and 3 < held.select("run").distinct().count() < 40
+    assert held.count() < held.agg(F.sum("n")).first()[0] / 2
+    first = index.plan(requests, 5)[1]
+    assert 0 < first.groupBy("request_id").count().agg(F.max("count")).first()[0] <= posting_index.FIRST * 6  # ties at the last place stay
+    assert ranked(index.ranking(requests, k=5)) == ranked(retrieval.bm25_ranking(requests, rows, 5))
+    left = rows.where("symbol_id % 3 = 0")
+    index.add(rows.where("false"), left)
+    assert ranked(index.ranking(requests, k=5)) == ranked(retrieval.bm25_ranking(requests, rows.where("symbol_id % 3 <> 0"), 5))
