@@ -165,6 +165,34 @@ def walk(spark: SparkSession, opened: Opened, ignored: list[str]) -> DataFrame:
     return found
 
 
+def write(spark: SparkSession, root: str, files: DataFrame) -> bool:
+    """Writes files(path, source) below a root that workers see under the same path; False, and nothing written, for other stores.
+
+    The workers write, a file by one task, without Spark's commit, which moves each file or folder once more; files are dealt by path
+    to all tasks, as a file costs far more than its bytes. A task that runs again writes the same again.
+    """
+    fs, path = _file_system(spark, root)
+    if fs.getUri().getScheme() != "file":
+        return False
+    fs.mkdirs(path)
+    opened = _local(spark, root)
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = opened()
+        base, n = base.rstrip("/"), 0
+        for f in frames:
+            for at, source in zip(f["path"], f["source"]):
+                system.create_dir(f"{base}/{at}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{base}/{at}", compression=None) as stream:
+                    stream.write((source or "").encode())
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    dealt = files.select("path", "source").repartition(spark.sparkContext.defaultParallelism, "path")
+    dealt.mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    return True
+
+
 def contents(entries: DataFrame, opened: Opened) -> DataFrame:
     """(path, content, size, mtime) of entries(path, size, mtime_us), read by the workers; a file that is gone by then has no row.
 

@@ -268,3 +268,16 @@ def test_commit_sink(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "versions")).orderBy("version_n").collect()
     assert [(r["commit_id"], r["version_n"]) for r in got] == [("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5)]
     assert [r["head"] for r in spark.read.parquet(str(tmp_path / "versions.heads/epoch=7")).collect()] == [5]
+
+
+def test_written_files_are_scanned(spark, tmp_path):
+    """The workers write what the workers read, and all tasks of them do."""
+    rows = [(f"k={i}/a b.txt", f"é{i}\r\nx\n") for i in range(300)] + [("deep/er/.hid.py", "x = 1"), ("none.txt", None)]
+    made = spark.createDataFrame(rows, "path string, source string").coalesce(1)
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert files.write(spark, f"file://{tmp_path}/new/root", made)
+    jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    stages = [spark.sparkContext.statusTracker().getStageInfo(s) for j in jobs for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) == spark.sparkContext.defaultParallelism > 1
+    got = {r["path"]: r["source"] for r in files.scan(spark, f"{tmp_path}/new/root").collect()}
+    assert got == {p: x or "" for p, x in rows}
