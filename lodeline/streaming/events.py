@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,31 +40,46 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 _FRAMES = "pos int, body string, n_steps long, last_tag string, done boolean"
 
 
+#: Numbers of the chunks that wait together as one value of the state.
+_WAITING = 64
+
+
 class _Frames(StatefulProcessor):
-    """A run's unfinished frame, its open step, and the chunks that came before their turn."""
+    """A run's unfinished frame, its open step, and the chunks that came before their turn, which are kept by stretches of their numbers.
+
+    Each call of the state goes to the JVM and back, so a batch takes a few for a run and not one for a chunk.
+    """
 
     def __init__(self, key: str, silence_ms: int | None):
-        self.key, self.silence_ms = key, silence_ms
+        self.row, self.silence_ms = Row(key, *(c.split()[0] for c in _FRAMES.split(", "))), silence_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = {} if self.silence_ms is None else {"ttlDurationMs": self.silence_ms}
-        self.run = handle.getValueState("run", "next_seq long, tail binary, pos int, n_steps long, last_tag string, done boolean", **ttl)
-        self.early = handle.getMapState("early", "seq long", "chunk binary", **ttl)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
-        turn, tail, pos, n, tag, done = self.run.get() if self.run.exists() else (0, b"", 0, 0, None, False)
-        out, fresh = [], {}
-        for f in rows:
-            for seq, chunk in zip(f["seq"], f["chunk"]):
-                if seq >= turn:  # a chunk that was read before came twice
-                    fresh.setdefault(int(seq), bytes(chunk))
-        while turn in fresh or self.early.containsKey((turn,)):
-            if turn in fresh:
-                chunk = fresh.pop(turn)
-            else:
-                chunk = bytes(self.early.getValue((turn,))[0])
-            if self.early.containsKey((turn,)):
-                self.early.removeKey((turn,))
+        self.run = handle.getValueState("run", "next_seq long, tail binary, pos int, n_steps long, last_tag string, done boolean, ahead long", **ttl)
+        self.early = handle.getMapState("early", "stretch long", "seqs array<long>, chunks array<binary>", **ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803 (Spark's names)
+        # ahead: no chunk above it waits
+        turn, tail, pos, n, tag, done, ahead = self.run.get() or (0, b"", 0, 0, None, False, -1)
+        fresh: dict[int, bytes] = {}
+        for r in rows:
+            if r["seq"] >= turn:  # a chunk that was read before came twice
+                fresh.setdefault(int(r["seq"]), bytes(r["chunk"]))
+        held: dict[int, dict[int, bytes]] = {}
+        changed = set()
+
+        def waiting(seq):
+            at = seq // _WAITING
+            if at not in held:
+                value = self.early.getValue((at,)) if at <= ahead // _WAITING else None
+                held[at] = {int(i): bytes(x) for i, x in zip(*value)} if value else {}
+            return held[at]
+
+        while turn in fresh or (turn <= ahead and turn in waiting(turn)):
+            early = waiting(turn).pop(turn, None) if turn <= ahead else None
+            if early is not None:
+                changed.add(turn // _WAITING)
+            chunk = fresh.pop(turn, early)
             turn += 1
             *whole, tail = (bytes(tail) + chunk).split(b"\n\n")
             for frame in whole:
@@ -75,12 +90,17 @@ class _Frames(StatefulProcessor):
                 if kind == "step":
                     n, tag = n + 1, name
                 done = done or kind in ("done", "error")
-                out.append((*key, pos, body, n, tag, done))
+                yield self.row(*key, pos, body, n, tag, done)
                 pos += 1
         for seq, chunk in fresh.items():
-            self.early.updateValue((seq,), (chunk,))
-        self.run.update((turn, bytes(tail), pos, n, tag, done))
-        yield pd.DataFrame(out, columns=[self.key, *(c.split()[0] for c in _FRAMES.split(", "))])
+            waiting(seq)[seq] = chunk
+            changed.add(seq // _WAITING)
+        for at in changed:
+            if held[at]:
+                self.early.updateValue((at,), (list(held[at]), list(held[at].values())))
+            else:
+                self.early.removeKey((at,))
+        self.run.update((turn, bytes(tail), pos, n, tag, done, max([ahead, *fresh])))
 
     def close(self) -> None:
         pass
@@ -108,7 +128,7 @@ def frames_stream(chunks: DataFrame, key: str = "run_id", silence_ms: int | None
     """
     some = chunks.where("seq is not null and chunk is not null").select(key, F.col("seq").cast("long").alias("seq"), F.col("chunk").cast("binary").alias("chunk"))
     kind = dict(some.dtypes)[key]
-    return some.groupBy(key).transformWithStateInPandas(_Frames(key, silence_ms), f"`{key}` {kind}, {_FRAMES}", "Append", "None" if silence_ms is None else "ProcessingTime")
+    return some.groupBy(key).transformWithState(_Frames(key, silence_ms), f"`{key}` {kind}, {_FRAMES}", "Append", "None" if silence_ms is None else "ProcessingTime")
 
 
 def steps(events: DataFrame) -> DataFrame:

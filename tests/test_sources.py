@@ -229,6 +229,36 @@ def test_frames_stream_by_any_cut(spark, tmp_path):
         assert (got[-1]["n_steps"], got[-1]["last_tag"], got[-1]["done"]) == (len(taken), taken[-1], bool(run % 2))
 
 
+def test_state_is_asked_by_stretches():
+    """300 chunks that wait over batches take a call of the state a stretch, not a chunk, and give what they give in order."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.value, self.held = None, {}
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                return {"get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "exists": lambda: self.value is not None, "containsKey": lambda k: k in self.held,
+                        "getValue": lambda k: self.held.get(k), "updateValue": self.held.__setitem__, "removeKey": lambda k: self.held.pop(k)}[name](*args)
+
+            return call
+
+    class Handle:
+        getValueState = getMapState = lambda self, *a, **b: State()
+
+    text = "".join(f'data: {{"type":"step","tag":"{i}"}}\n\n' for i in range(100)).encode()
+    chunks = [{"seq": i, "chunk": text[i * 10 : i * 10 + 10]} for i in range(-(-len(text) // 10))]
+    assert len(chunks) > 300
+    frames, out = streams._Frames("run_id", None), []
+    frames.init(Handle())
+    for batch in (chunks[2::3], chunks[1::3], chunks[1:40:3], chunks[0:90:3], chunks[0::3]):
+        out += list(frames.handleInputRows((7,), iter(batch), None))
+    assert [(r["run_id"], r["pos"], r["n_steps"], r["last_tag"]) for r in out] == [(7, i, i + 1, str(i)) for i in range(100)]
+    assert not frames.early.__dict__["held"] and len(calls) < 60
+
+
 def test_a_silent_run_is_forgotten(spark, tmp_path):
     def put(body):
         spark.createDataFrame([(1, 0, body)], "run_id long, seq long, chunk binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
