@@ -116,7 +116,8 @@ def links(points: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) ->
         agree = [g for g in range(groups) if bits >> g & 1]
         if len(agree) >= keep:
             first[bits] = number[tuple(agree[:keep])]
-    a, b = placed.alias("a"), placed.alias("b")
+    # the hint: before the grids are laid out Spark takes a side for as small as the points, and would broadcast all its rows
+    a, b = placed.alias("a"), placed.hint("merge").alias("b")
     apart = embed(F.col("a.fp")).bitwiseXOR(embed(F.col("b.fp")))
     agree = sum((F.when(apart.bitwiseAND(F.lit(_signed(m))) == 0, 1 << g).otherwise(0) for g, m in enumerate(masks)), F.lit(0))
     return a.join(

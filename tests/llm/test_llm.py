@@ -192,6 +192,14 @@ def test_simhash_links_lose_nothing(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_simhash_grids_are_not_broadcast(spark):
+    """Each point has a row in 56 grids; Spark takes them for as small as the points and would send them all through the driver."""
+    met = simhash.links(spark.range(2000).select(F.xxhash64("id").alias("fp")))
+    met.collect()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(60)] + [tuple(sorted(rng.sample(range(100, 200), 2))) for _ in range(60)]
