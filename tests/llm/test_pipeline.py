@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodeline.llm import mixing
+from lodeline.llm import mixing, simhash
 from tests.llm.test_llm import CLASHING, ODD, SCHEMA, brute_components, brute_fingerprint, brute_lines, brute_mix
 
 DIR = "/root/testdata/sf0.001"
@@ -83,6 +83,14 @@ def test_run_takes_up_its_stages(spark, tmp_path):
     assert [p.name for folder in bare.iterdir() for p in folder.iterdir()] == ["3"]
 
 
+def test_near_stage_sends_no_grid_rows_through_the_driver(spark, monkeypatch):
+    met, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: met.append(links(*a)) or met[0])
+    corpus_pipeline.near(spark, spark.read.parquet(f"{DIR}/documents.parquet"), DIR)
+    met[0].collect()
+    assert "Broadcast" not in met[0]._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
 def test_edges_of_stages(spark, stage):
     """Nulls in any column, empty and long texts, repeated rows, an empty table, and a column for every inner name."""
