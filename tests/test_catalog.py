@@ -58,3 +58,9 @@ def test_deletions_cover_all_suppliers(spark):
     for n in ("delete_candidates", "multi_delete"):
         assert rows(catalog.QUERIES[n](spark, d).toPandas()) == rows(con.sql(catalog.ORACLE[n]).df())
     assert len(suppliers) > 20 and all(max(ids) > 20 for ids in asked.values())
+
+
+def test_vectors_are_ranked_for_all_rows(spark):
+    ids = {r[0] for r in catalog.table(spark, DIR, "embeddings").select("vec_id").collect()}
+    got = catalog.QUERIES["vector_topk"](spark, DIR).toPandas()
+    assert set(got["request_id"]) == ids and len(got) == 10 * len(ids) and any(i % 50 for i in ids)

@@ -115,6 +115,36 @@ def test_strips_and_slices(spark, monkeypatch):
     assert got == {i: (d, delta.change_ratio(d, a or "")) for i, p, a, b in pairs for d in [delta.unified_diff(p, a or "", b or "")]}
 
 
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_vectors_meet_in_cells(spark, monkeypatch, exclude_self):
+    """Copies, repeated ids, other lengths and rows without a vector, in blocks of a few vectors and many cells: the ranking of all pairs."""
+    rng = random.Random(8)
+    rows = [(i, rng.randint(0, 5), [float(rng.randint(-1, 2)) for _ in range(rng.choice([3, 3, 3, 2]))]) for i in range(150)]
+    rows += [(i, 1, [1.0, 2.0, 2.0]) for i in range(150, 190)] + [(7, 3, [2.0, 4.0, 4.0])] * 6 + [(8, 2, [1.0, 2.0, 2.0 + i / 1e6]) for i in range(9)]
+    odd = [(200, 0, None), (201, 0, []), (202, 0, [1.0, None, 2.0]), (203, 0, [float("nan"), 1.0, 1.0]), (None, 0, [1.0, 1.0, 1.0])]
+    v = spark.createDataFrame(rows + odd, "symbol_id long, ordinal long, embedding array<double>").repartition(5)
+    unit = lambda e: [x / (sum(y * y for y in e) ** 0.5 or 1) for x in e]
+    whole = [(i, o, unit(e)) for i, o, e in rows]
+
+    def want(i, e, k):
+        met = [(-round(sum(a * b for a, b in zip(e, f)), 9) + 0.0, o, j) for j, o, f in whole if len(f) == len(e) and not (exclude_self and i == j)]
+        return [(j, -s) for s, _, j in sorted(met)[:k]]
+
+    for name, value in (("BLOCK_BYTES", 24 * 12), ("STRIP", 5), ("ASKED", 3), ("STORED", 2)):
+        monkeypatch.setattr(retrieval, name, value)
+    asked = v.where("symbol_id <> 7 and symbol_id <> 8 or symbol_id is null").select(F.col("symbol_id").alias("request_id"), "embedding")
+    for k in (1, 4, 30, None):
+        got = {}
+        for r in retrieval.vector_ranking(asked, v, k, exclude_self).orderBy("request_id", "rank").collect():
+            got.setdefault(r["request_id"], []).append((r["symbol_id"], r["score"]))
+        plain = {i: w for i, _, e in whole if i not in (7, 8) and (w := want(i, e, k))}
+        assert {i: [(j, round(s, 6)) for j, s in x] for i, x in got.items()} == {i: [(j, round(s, 6)) for j, s in x] for i, x in plain.items()}
+    twice = v.where("symbol_id = 8").select(F.col("symbol_id").alias("request_id"), "embedding")
+    got = [(r["symbol_id"], round(r["score"], 6)) for r in retrieval.vector_ranking(twice.limit(1), v, 4, exclude_self).orderBy("rank").collect()]
+    assert len(got) == 4 and not (exclude_self and 8 in [j for j, _ in got])
+    assert retrieval.vector_ranking(asked.limit(0), v, 4).count() == 0 and retrieval.vector_ranking(asked, v.limit(0), 4).count() == 0
+
+
 def test_few_requests_go_to_the_symbols(spark, monkeypatch):
     """The same best symbols whichever way they meet; for few requests neither pairs nor doc lines are shuffled by symbol."""
     rng = random.Random(7)
