@@ -131,10 +131,15 @@ def symbols(files: DataFrame) -> DataFrame:
             rows = [s for p, x, l in zip(f["path"], f["source"], f["language"]) for s in (python_symbols(p, x or "") if l == "python" else other_symbols(p, x or "", l))]
             yield pd.DataFrame(rows, columns=names)
 
-    found = files.where("language is not null and source is not null").select("path", "source", "language").mapInPandas(run, _SYMBOL_COLUMNS)
+    found = _dealt(files.where("language is not null and source is not null").select("path", "source", "language")).mapInPandas(run, _SYMBOL_COLUMNS)
     return found.withColumn("symbol_id", F.xxhash64("file", "name", "symbol_type", "start_line"))
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files given out to all tasks by path: many short ones may lie in one partition, and would be parsed by one task."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
 def calls(symbols_: DataFrame) -> DataFrame:
     """(symbol_id, name): the names that each symbol's own source calls; classes include their methods' calls."""
 
@@ -174,7 +179,7 @@ def call_lines(files: DataFrame) -> DataFrame:
                         rows.append((n.func.id if isinstance(n.func, ast.Name) else n.func.attr, path, n.lineno))
             yield pd.DataFrame(rows, columns=["name", "file", "line"])
 
-    return files.where("language = 'python'").select("path", "source").mapInPandas(run, "name string, file string, line int")
+    return _dealt(files.where("language = 'python'").select("path", "source")).mapInPandas(run, "name string, file string, line int")
 
 
 def metadata(files: DataFrame) -> DataFrame:

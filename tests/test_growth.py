@@ -100,6 +100,39 @@ def test_bm25_scores_stay_where_documents_are(spark, monkeypatch):
     assert retrieval.bm25_ranking(asked, symbols.limit(0), 3).count() == 0
 
 
+def test_bm25_of_many_requests(spark, monkeypatch):
+    """More requests than a task holds: those of the same common words meet documents as one, with the ranking of all pairs."""
+    rng = random.Random(12)
+    words = ["helper", "shared", "now"] * 4 + ["the", "add"] * 2 + [f"w{i}" for i in range(40)]
+    phrase = lambda n: " ".join(rng.choices(words, k=n))
+    symbols = spark.createDataFrame([(i, i // 3, phrase(2), rng.choice([None, phrase(3)]), phrase(rng.randint(0, 9))) for i in range(90)], "symbol_id long, ordinal long, name string, docstring_first_line string, source string")
+    asked = spark.createDataFrame([(i, phrase(rng.randint(1, 6)) + rng.choice([" helper helper", "", " gone"])) for i in range(60)] + [(90, ""), (91, "gone"), (92, None)], "request_id long, text string")
+    stats = retrieval.bm25_stats(symbols)
+    monkeypatch.setattr(retrieval, "SMALL_BYTES", 0)
+    ranked = lambda *a, **b: [tuple(r) for r in retrieval.bm25_ranking(asked, *a, **b).orderBy("request_id", "rank").collect()]
+    for common, k in ((6, 1), (6, 5), (0, 5), (10_000, 5)):
+        monkeypatch.setattr(retrieval, "COMMON", common)
+        assert ranked(symbols, k) == ranked(symbols, k, stats=stats)
+    assert ranked(symbols.limit(0), 3) == []
+    # one word in all documents and requests: no row for each pair
+    many = spark.range(3000).select(F.col("id").alias("symbol_id"), F.col("id").alias("ordinal"), F.lit("helper").alias("name"), F.lit("").alias("docstring_first_line"), F.concat(F.lit("own"), "id").alias("source"))
+    asks = spark.range(3000).select(F.col("id").alias("request_id"), F.concat(F.lit("helper own"), "id").alias("text"))
+    monkeypatch.setattr(retrieval, "COMMON", 256)
+    got = retrieval.bm25_ranking(asks, many, 1)
+    assert got.where("request_id = symbol_id and rank = 1").count() == got.count() == 3000
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan()
+    assert max(_row_counts(plan)) < 100_000
+
+
+def _row_counts(plan):
+    """Rows that each operator of an executed plan gave out."""
+    kind = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows")
+    return ([own.get().value()] if own.isDefined() else [0]) + [n for x in below for n in _row_counts(x)]
+
+
 def test_strips_and_slices(spark, monkeypatch):
     """Vectors scored a few requests at a time, and diffs made a few pairs at a time, are those of one piece."""
     rng = random.Random(4)
