@@ -79,3 +79,17 @@ def test_deletions_within_a_file_and_by_many_requests(spark):
     assert {tuple(r) for r in plan.collect()} == {(i, k, "substring") for i in range(500) for k in range(4)}
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.index("Exchange") > text.index("Join")  # the expansion is the last step: no shuffle behind it
+
+
+def test_deletions_of_many_requests_are_stored_small(spark, tmp_path):
+    """Symbols leave in packs, each request with a run of them: 5.5 million rows, all there, take under half a byte each."""
+    symbols = spark.range(512).select((F.col("id") * 7919).alias("symbol_id"), F.concat(F.lit("widget"), F.col("id") % 37).alias("name"))
+    many = spark.range(20_000).select((F.col("id") * 104729).alias("request_id"), F.when(F.col("id") % 2 == 0, "delete the widget function").otherwise("remove wigdet5").alias("text"))
+    targets.delete_candidates(many, symbols).write.parquet(f"{tmp_path}/rows")
+    got = spark.read.parquet(f"{tmp_path}/rows")
+    close = [k for k, n in enumerate(f"widget{i % 37}" for i in range(512)) if n in difflib.get_close_matches("wigdet5", sorted(f"widget{i}" for i in range(37)), n=3, cutoff=0.75)]
+    assert got.count() == got.distinct().count() == 10_000 * (512 + len(close)) and close
+    assert {r[0] // 7919 for r in got.where("method = 'fuzzy'").select("symbol_id").distinct().collect()} == set(close)
+    assert {(r[0] // 104729 % 2, r[1], r[2]) for r in got.groupBy("request_id", "method").count().collect()} == {(0, "substring", 512), (1, "fuzzy", len(close))}
+    size = sum(p.stat().st_size for p in (tmp_path / "rows").glob("*.parquet"))
+    assert 2 * size < got.count()
